@@ -1,0 +1,136 @@
+"""URL scalars: Column -> Column, by the generic URI syntax."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: scheme, authority, path, query, fragment (RFC 3986, appendix B).
+URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+BAD_PERCENT = r"%(?![0-9A-Fa-f]{2})"
+_PORT = r":([0-9]*)$"
+
+
+def part(url: Column, k: int) -> Column:
+    return F.regexp_extract(url, "(?s)" + URI, k)
+
+
+def scheme(url: Column) -> Column:
+    return F.lower(part(url, 1))
+
+
+def host(url: Column) -> Column:
+    """Lower-case host without user, port and final dots."""
+    bare = F.regexp_replace(F.regexp_replace(part(url, 2), "^.*@", ""), _PORT, "")
+    return F.regexp_replace(F.lower(bare), r"\.+$", "")
+
+
+def port(url: Column) -> Column:
+    given = F.regexp_extract(F.regexp_replace(part(url, 2), "^.*@", ""), _PORT, 1)
+    default = F.when(scheme(url) == "https", 443).when(scheme(url) == "http", 80)
+    return F.coalesce(F.nullif(given, F.lit("")).try_cast("int"), default)
+
+
+def domain_of(url: Column) -> Column:
+    return F.lower(part(url, 2))
+
+
+def _unescape(segment: Column) -> Column:
+    """Unreserved escapes become their characters, others upper case; other
+    characters outside the unreserved set are escaped."""
+    tokens = F.regexp_extract_all(segment, F.lit(r"(%[0-9A-Fa-f]{2}|[^%])"), 1)
+
+    def one(t):
+        ch = F.unhex(F.substring(t, 2, 2)).cast("string")
+        escaped = F.when(F.substring(t, 2, 2).rlike("^[2-7]") & ch.rlike(r"^[A-Za-z0-9\-._~]$"), ch).otherwise(F.upper(t))
+        plain = F.when(t.rlike(r"^[A-Za-z0-9\-._~]$"), t).otherwise(F.regexp_replace(F.hex(F.encode(t, "UTF-8")), "(..)", "%$1"))
+        return F.when(t.startswith("%"), escaped).otherwise(plain)
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def canonical_path(path: Column) -> Column:
+    """Path with `.`, `..` and empty segments resolved and escapes made
+    canonical; null for malformed escapes or escapes that are not UTF-8."""
+
+    def step(stack, seg):
+        canon = _unescape(seg)
+        canon = F.when(seg.contains("%") & canon.isin(".", ".."), F.replace(canon, F.lit("."), F.lit("%2E"))).otherwise(canon)
+        return F.when(seg.isin("", "."), stack).when(seg == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.array_append(stack, canon))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    out = F.concat(F.lit("/"), F.array_join(parts, "/"))
+    out = F.when(path.endswith("/") & (out != "/"), F.concat(out, F.lit("/"))).otherwise(out)
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.rlike(BAD_PERCENT) | decoded.isNull() | decoded.contains("�"), F.lit(None)).otherwise(out)
+
+
+def path_template(path: Column) -> Column:
+    """Digits become {int}, later word-word segments {slug}."""
+    parts = F.split(F.substring(canonical_path(path), 2, 1 << 20), "/")
+    made = F.transform(parts, lambda x, i: F.when(x.rlike("^[0-9]+$"), F.lit("{int}")).when((i > 0) & x.rlike(r"^[A-Za-z][A-Za-z0-9._~-]*-[A-Za-z0-9._~-]+$"), F.lit("{slug}")).otherwise(x))
+    return F.concat(F.lit("/"), F.array_join(made, "/"))
+
+
+def _query_component(value: Column) -> Column:
+    tokens = F.split(value, r"\+", -1)
+    return F.array_join(F.transform(tokens, _unescape), "+")
+
+
+def canonical_query(query: Column) -> Column:
+    """Fields in their order, each key and value canonical."""
+
+    def field(f):
+        at = F.instr(f, "=")
+        return F.when(at > 0, F.concat(_query_component(F.substring(f, F.lit(1), at - 1)), F.lit("="), _query_component(F.substring(f, at + 1, F.length(f))))).otherwise(_query_component(f))
+
+    return F.array_join(F.transform(F.split(query, "&", -1), field), "&")
+
+
+def valid_url(url: Column) -> Column:
+    """http(s), a host of letters, digits and hyphens, no user, no control
+    characters, no malformed escape, a port from 1 to 65535."""
+    return (
+        ~url.rlike(r"[\x00-\x1f]") & ~url.rlike(BAD_PERCENT) & scheme(url).isin("http", "https") & ~part(url, 2).contains("@")
+        & host(url).rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)*$") & (F.length(host(url)) <= 253) & F.coalesce(port(url).between(1, 65535), F.lit(False))
+    )
+
+
+def origin(url: Column) -> Column:
+    default = F.when(scheme(url) == "https", 443).otherwise(80)
+    shown = F.when(port(url) == default, F.lit("")).otherwise(F.concat(F.lit(":"), port(url).cast("string")))
+    return F.concat(scheme(url), F.lit("://"), host(url), shown)
+
+
+def canonical_url(url: Column) -> Column:
+    """The chapter identity; null where valid_url is false."""
+    path = canonical_path(F.coalesce(F.nullif(part(url, 3), F.lit("")), F.lit("/")))
+    query = F.when(part(url, 4) == "", F.lit("")).otherwise(F.concat(F.lit("?"), canonical_query(part(url, 4))))
+    return F.when(F.coalesce(valid_url(url), F.lit(False)), F.concat(origin(url), path, query))
+
+
+def redact_url(url: Column) -> Column:
+    return F.when(F.coalesce(valid_url(url), F.lit(False)), F.concat(origin(url), F.lit("/"))).otherwise(F.lit("<invalid-url>"))
+
+
+def same_origin(a: Column, b: Column) -> Column:
+    return (scheme(a) == scheme(b)) & (host(a) == host(b)) & (port(a) == port(b))
+
+
+def page_id(url: Column) -> Column:
+    return F.substring(F.sha2(url, 256), 1, 16)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """Absolute URL of a reference."""
+    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    folder = F.regexp_extract(part(base, 3), "^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, part(base, 3), href)).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).when(href == "", base).otherwise(F.concat(root, folder, href))
+    )
+
+
+def chapter_key(url: Column) -> Column:
+    return F.regexp_replace(part(url, 3), r"(-\d+)-\d+(\.html)$", "$1$2")
