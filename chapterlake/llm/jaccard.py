@@ -20,8 +20,8 @@ the similarity. So a group of thousands of copies costs one comparison each.
 Null and empty texts have the empty set and link with nothing. A text with
 fewer words than the shingle width has its whole sequence as its one shingle.
 Rows with equal sets link. A null doc_id is kept as a row of its own (its
-component is null). Repeated ids are one document each row; an empty table
-gives no rows. Only doc_id and text are read.
+component is null). Rows of a repeated id are documents of their own
+that bear one name; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -43,7 +44,7 @@ COMMON, TOP_COMMON = 4, 200_000
 MEET = 8.0
 #: Candidate ids that may be broadcast (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
-_SET = "doc_id long, n int, h1 long, h2 long, keys array<struct<sig:long,pos:int>>"
+_SET = "doc_id long, n int, h1 long, h2 long, sketch binary, keys array<struct<sig:long,pos:int>>"
 
 
 def _needed(n, percent: int):
@@ -153,6 +154,23 @@ def choose_boundary(texts: DataFrame, width: int, percent: int, order: np.ndarra
     return boundary([(r["n"], r["sets"]) for r in rows if r["n"] and r["sets"]], entries / max(lists, 1), percent)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's counts in about n / 2 buckets. Sketches of two sets
+    differ in at most as many bits as the sets differ in shingles."""
+    bits = 1 << min(14, max(8, (len(s) // 2).bit_length()))
+    at = (common.mix(s ^ common._K[6]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_reach(n1: int, a: bytes, n2: int, b: bytes, percent: int) -> bool:
+    """False only where the sketches rule the similarity out."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), 0) for v in (x, y))
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return 100 * (n1 + n2 - apart) >= percent * (n1 + n2 + apart)
+
+
 def set_rows(texts: DataFrame, width: int, percent: int, order: np.ndarray, light: int) -> DataFrame:
     """Per text: n, the set's 128-bit hash, and its keys."""
     shared = texts.sparkSession.sparkContext.broadcast(Order(order))  # at most TOP_COMMON shingles
@@ -161,6 +179,7 @@ def set_rows(texts: DataFrame, width: int, percent: int, order: np.ndarray, ligh
     def run(batches):
         for batch in batches:
             sets = _numbers(batch, width)
+            sketches = [sketch(s) for s in sets]
             sizes, h1, h2, sigs, places = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             starts = [0]
             for s in sets:
@@ -178,14 +197,25 @@ def set_rows(texts: DataFrame, width: int, percent: int, order: np.ndarray, ligh
                 starts.append(starts[-1] + made)
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             struct = pa.StructArray.from_arrays([long(np.concatenate(sigs)), pa.array(np.concatenate(places), pa.int32())], ["sig", "pos"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), long(h1), long(h2), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), struct)], ["doc_id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), long(h1), long(h2), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), struct)], ["doc_id", "n", "h1", "h2", "sketch", "keys"])
 
     return texts.mapInArrow(run, _SET)
 
 
-def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    spark = texts.sparkSession
+def verify(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity. Sketches
+    (doc_id, n, sketch) turn most others away before any set is shuffled."""
+
+    def rule_out(batches):
+        for batch in batches:
+            a, b, *sides = (batch.column(k).to_pylist() for k in range(6))
+            keep = [may_reach(*x, percent) for x in zip(*sides)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    second = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    possible = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "na", "ka", "nb", "kb")
+    pairs = common.stage(possible.mapInArrow(rule_out, "a long, b long").distinct(), "possible")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -209,7 +239,7 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     right = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     links = common.stage(joined.mapInArrow(compare, "a long, b long"), "links")
-    common.release(found)
+    common.release(found, pairs)
     return links
 
 
@@ -249,14 +279,19 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     many = common.stage(classes.filter("members > 1").select("h1", "h2", "class_id"), "classes")
     member = known.select("doc_id", "n", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = common.stage(member, "members")
-    reps = known.join(many, ["h1", "h2"], "left").filter("class_id is null or class_id = doc_id")
+    # one shuffle of the keys: copies go by a list of their ids, lists are met in a window. A list has at most a
+    # row for each set, where each set has a key for every tenth (say) of its shingles, so none fills a task alone
+    copies = known.select("doc_id", "h1", "h2").join(many, ["h1", "h2"]).filter("class_id <> doc_id").select("doc_id", "h1", "h2").distinct()
+    sketches = known.select("doc_id", "n", "sketch")
+    reps = known.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc_id", "h1", "h2"], "left_anti")
     keys = reps.select("doc_id", "n", F.explode("keys").alias("k")).select("doc_id", "n", "k.sig", "k.pos")
-    lists = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "n", "doc_id")).alias("hub")).filter("m > 1")
-    listed = common.stage(keys.join(lists, "sig").select("sig", "doc_id", "n", "pos", "hub"), "lists")
+    of_list = Window.partitionBy("sig")
+    listed = keys.withColumn("m", F.count(F.lit(1)).over(of_list)).withColumn("hub", F.min(F.struct("pos", "n", "doc_id")).over(of_list))
+    listed = common.stage(listed.filter("m > 1").drop("m"), "lists")
     enough = lambda n1, p1, n2, p2: f"100 * (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1}) >= {percent} * ({n1} + {n2} - (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1})) and 100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
     hubs = listed.filter("doc_id <> hub.doc_id").filter(enough("n", "pos", "hub.n", "hub.pos"))
     hubs = common.stage(hubs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "hub_pairs")
-    links = verify(texts, hubs, width, percent)
+    links = verify(texts, sketches, hubs, width, percent)
     joined = common.stage(components(links), "joined")
     # members of one list that are still apart
     open_ = listed.join(joined, listed["doc_id"] == joined["node"], "left").select("sig", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
@@ -266,7 +301,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rest = x.join(y, F.col("x.sig") == F.col("y.sig")).filter("x.doc_id < y.doc_id and x.c <> y.c").filter(enough("x.n", "x.pos", "y.n", "y.pos"))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
     rest = common.stage(rest, "other_pairs")
-    more = verify(texts, rest, width, percent)
+    more = verify(texts, sketches, rest, width, percent)
     all_links = links.union(more)
     found = common.stage(components(all_links), "components")
     common.release(listed, open_, hubs, rest, joined)
