@@ -66,6 +66,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce((F.crc32(doc_id.cast("string")) % 4) == 2, F.lit(False))
 
 
+def least_hashed(rows: DataFrame, key, limit: int) -> DataFrame:
+    """At most `limit` rows of rows, those of least key (a hash). Rows far from
+    the least are filtered before they are ordered, so a task sends few."""
+    n = rows.count()
+    near = rows.withColumn("_h", key).filter(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2.0 * limit / max(n, 1))))
+    return near.orderBy(F.pmod("_h", F.lit(1 << 30)), "_h", *[c for c in rows.columns if c in ("doc_id", "id", "lang")]).limit(limit).drop("_h")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -116,7 +116,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteCnn | None:
     """Trains on the labelled rows of docs (text, lang; hash order by doc_id)."""
     length = F.greatest(F.length("text") - WINDOW, F.lit(1))
     shots = F.array(*[F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(k)), length) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", shots.alias("shots"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(sample_rows).collect()  # bounded
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    near = common.least_hashed(known.select("doc_id", "lang", "text"), F.xxhash64("doc_id"), sample_rows)
+    rows = near.filter(F.col("text").rlike(r"\p{L}")).select("lang", shots.alias("shots")).collect()  # bounded
     classes = sorted({r["lang"] for r in rows})
     if not classes:
         return None

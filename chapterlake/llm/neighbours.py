@@ -132,7 +132,8 @@ class Part:
 
 def fit(vectors: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS) -> Codes | None:
     """Learns codes on the at most sample_rows rows of least hash of id."""
-    rows = vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()  # bounded
+    known = vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "vector")
+    rows = common.least_hashed(known, F.xxhash64("id"), sample_rows).collect()  # bounded
     sizes = [len(r["vector"]) for r in rows]
     if not sizes:
         return None
