@@ -134,3 +134,75 @@ def resolve(base: Column, href: Column) -> Column:
 
 def chapter_key(url: Column) -> Column:
     return F.regexp_replace(part(url, 3), r"(-\d+)-\d+(\.html)$", "$1$2")
+
+
+#: Hosts and host endings of local and test targets (fixed values).
+LOCAL_HOST = r"^(?:localhost|example\.com|example\.org|example\.net|.*\.localhost|.*\.test|.*\.example|.*\.invalid)$"
+#: Loopback, private and link-local addresses.
+PRIVATE_V4 = r"^(?:0|10|127)(?:\.\d{1,3}){3}$|^(?:169\.254|192\.168|198\.1[89]|172\.(?:1[6-9]|2\d|3[01]))(?:\.\d{1,3}){2}$|^(?:192\.0\.[02]|198\.51\.100|203\.0\.113)\.\d{1,3}$|^2[45]\d(?:\.\d{1,3}){3}$"
+PRIVATE_V6 = r"^\[(?:::1|f[cd][0-9a-f]{2}:[0-9a-f:]*|fe[89ab][0-9a-f]:[0-9a-f:]*)\]$"
+
+
+def access_decision(url: Column, third_party: bool = False) -> Column:
+    """Decision code of a target; anything that is not local or a test host
+    needs `third_party`."""
+    h = host(url)
+    local = scheme(url).isin("http", "https") & (h.rlike(LOCAL_HOST) | h.rlike(PRIVATE_V4) | h.rlike(PRIVATE_V6))
+    other = "third_party_explicitly_enabled" if third_party else "third_party_crawl_disabled"
+    return F.when(F.coalesce(local, F.lit(False)), "local_or_test_url").otherwise(other)
+
+
+def final_url_error(expected: Column, final: Column) -> Column:
+    """chapter_redirect_mismatch unless host, path and query agree; else null."""
+    path = lambda u: canonical_path(F.coalesce(F.nullif(part(u, 3), F.lit("")), F.lit("/")))
+    same = (host(expected) == host(final)) & path(expected).eqNullSafe(path(final)) & path(final).isNotNull() & (part(expected, 4) == part(final, 4))
+    return F.when(~F.coalesce(same, F.lit(False)), "chapter_redirect_mismatch")
+
+
+def sibling_template(a: Column, b: Column) -> Column:
+    """Common template of two paths of one depth that differ in one run of
+    digits of one segment: {int} stands there. Null for other pairs."""
+    left, right = (F.split(F.substring(canonical_path(p), 2, 1 << 20), "/") for p in (a, b))
+    tokens = lambda s: F.regexp_extract_all(s, F.lit("(%[0-9A-F]{2}|[0-9]+|[^0-9%]+)"), 1)
+    unlike = F.zip_with(left, right, lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(unlike, True).cast("int")
+    x, y = tokens(F.get(left, at - 1)), tokens(F.get(right, at - 1))
+    merged = F.zip_with(x, y, lambda u, v: F.when(u == v, u).when(u.rlike("^[0-9]+$") & v.rlike("^[0-9]+$"), "{int}"))
+    good = (F.size(left) == F.size(right)) & (F.size(F.filter(unlike, lambda d: d)) == 1) & (F.size(x) == F.size(y))
+    good = good & (F.size(F.filter(F.zip_with(x, y, lambda u, v: u != v), lambda d: d)) == 1) & ~F.exists(merged, lambda m: m.isNull())
+    parts = F.transform(left, lambda s, i: F.when(i == at - 1, F.array_join(merged, "")).otherwise(s))
+    return F.when(F.coalesce(good, F.lit(False)), F.concat(F.lit("/"), F.array_join(parts, "/")))
+
+
+def pattern_regex(template: Column) -> Column:
+    """Anchored regex of a URL template: {int}, {slug} and * stand for one
+    segment, a last ** for the rest. Null for a malformed template."""
+    t = F.regexp_extract(template, r"^(https://[A-Za-z0-9.-]+(?::[0-9]+)?)?(/.*)?$", 1)
+    path = F.substring(template, F.length(t) + 1, F.length(template))
+    escaped = lambda c: F.replace(c, F.lit("."), F.lit("\\."))
+    parts = F.split(F.substring(path, 2, 1 << 20), "/")
+    last = F.size(parts) - 1
+    literal = r"^(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})*(?:\{int\}(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})*)?$"
+
+    def one(s, i):
+        plain = F.when(s.rlike(literal), F.replace(escaped(s), F.lit("{int}"), F.lit("[0-9]+")))
+        return F.when((s == "**") & (i == last), ".*").when(s == "*", "[^/]+").when(s == "{slug}", "[A-Za-z0-9][A-Za-z0-9._~-]*").otherwise(plain)
+
+    made = F.transform(parts, one)
+    good = path.startswith("/") & (F.length(template) <= 512) & ~F.exists(made, lambda m: m.isNull())
+    return F.when(F.coalesce(good, F.lit(False)), F.concat(F.lit("^"), escaped(t), F.lit("/"), F.array_join(made, "/"), F.lit("$")))
+
+
+def pattern_matches(url: Column, template: Column) -> Column:
+    """Whether a template fits a URL's path or its absolute form."""
+    path = canonical_path(F.coalesce(F.nullif(part(url, 3), F.lit("")), F.lit("/")))
+    regex = pattern_regex(template)
+    return F.coalesce(F.regexp_like(path, regex) | F.regexp_like(F.concat(origin(url), path), regex), F.lit(False))
+
+
+def chapter_order(url: Column) -> Column:
+    """Sort key of chapter links: the number that ends the path, else 10^9."""
+    p = part(url, 3)
+    dashed, bare = F.regexp_extract(p, r"-(\d+)(?:-\d+)?\.html$", 1), F.regexp_extract(p, r"/(\d+)(?:\.html)?/?$", 1)
+    n = F.coalesce(F.nullif(dashed, F.lit("")), F.nullif(bare, F.lit(""))).try_cast("long")
+    return F.struct(F.coalesce(n, F.lit(10**9).cast("long")).alias("number"), url.alias("url"))
