@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 STATUSES = ("done", "failed", "pending")
 
 
@@ -133,3 +135,100 @@ def validate(books: DataFrame, chapters: DataFrame) -> DataFrame:
 def title_collisions(books: DataFrame, name: Column) -> DataFrame:
     same = Window.partitionBy("safe")
     return books.withColumn("safe", name).withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1")
+
+
+def upsert_chapters(known: DataFrame, incoming: DataFrame) -> DataFrame:
+    """What becomes of incoming chapters (book_id, chapter_index, title, url,
+    canonical_url, position): action insert, update or ignore, and the known id
+    (known: id, book_id, chapter_index, canonical_url, status).
+
+    Insert where neither index nor url is known; update the row that has both,
+    or the index where the url is free; done rows and urls bound to another
+    index stay. Of incoming rows with one index or one url the first counts.
+    """
+    first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy("position"))
+    new = incoming.withColumn("_i", first("book_id", "chapter_index")).withColumn("_u", first("book_id", "canonical_url"))
+    by_index = known.select("book_id", "chapter_index", F.col("id").alias("_by_index"), F.col("status").alias("_status"))
+    by_url = known.select("book_id", "canonical_url", F.col("id").alias("_by_url"))
+    joined = new.join(by_index, ["book_id", "chapter_index"], "left").join(by_url, ["book_id", "canonical_url"], "left")
+    open_ = F.coalesce(F.col("_status") != "done", F.lit(True))
+    action = (
+        F.when((F.col("_i") > 1) | (F.col("_u") > 1), "ignore").when(F.col("_by_index").isNull() & F.col("_by_url").isNull(), "insert")
+        .when(F.col("_by_index").isNotNull() & F.coalesce(F.col("_by_url") == F.col("_by_index"), F.lit(True)) & open_, "update").otherwise("ignore")
+    )
+    return joined.withColumn("action", action).select(*incoming.columns, "action", F.when(F.col("action") == "update", F.col("_by_index")).alias("id"))
+
+
+def accept_content(chapters: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Outcome of incoming bodies (id, book_id, body) for known chapters (id,
+    book_id, status, content_hash): accepted, unchanged, or an error code. Of
+    equal bodies in one batch the lowest id is first."""
+    hashed = incoming.withColumn("_h", F.sha2("body", 256))
+    mine = chapters.select("id", "status", F.col("content_hash").alias("_old"))
+    held = chapters.filter("status = 'done' and content_hash is not null").groupBy("book_id", F.col("content_hash").alias("_h")).agg(F.min("id").alias("_a"), F.max("id").alias("_b"))
+    joined = hashed.join(mine, "id", "left").join(held, ["book_id", "_h"], "left").withColumn("_n", F.row_number().over(Window.partitionBy("book_id", "_h").orderBy("id")))
+    done, same = F.col("status") == "done", F.col("_old") == F.col("_h")
+    other = F.coalesce((F.col("_a") != F.col("id")) | (F.col("_b") != F.col("id")), F.lit(False))
+    outcome = (
+        F.when(F.coalesce(F.trim("body"), F.lit("")) == "", "chapter_content_empty").when(done & same, "unchanged").when(done, "chapter_content_conflict")
+        .when(other | (F.col("_n") > 1), "chapter_content_duplicate").otherwise("accepted")
+    )
+    return joined.select("id", "book_id", outcome.alias("outcome"))
+
+
+def mark_failed(chapters: DataFrame, failures: DataFrame) -> DataFrame:
+    """Chapters with failures (id, error) applied: a stored code, one attempt
+    more unless claimed; done rows stay."""
+    known = failures.groupBy("id").agg(F.min("error").alias("_e"), F.lit(True).alias("_f"))
+    hit = F.coalesce("_f", F.lit(False)) & (F.coalesce("status", F.lit("")) != "done")
+    attempts = F.coalesce("attempt_count", F.lit(0)) + F.when(F.col("claim_owner").isNull(), 1).otherwise(0)
+    out = chapters.join(known, "id", "left").withColumn("_hit", hit)
+    changed = {"status": F.lit("failed"), "error": text.safe_error_code(F.col("_e")), "attempt_count": attempts}
+    return out.select(*[F.when(F.col("_hit"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in chapters.columns])
+
+
+def delete_books(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Each table without the rows of the books in `gone` (book_id)."""
+    keys = gone.select("book_id").distinct()
+    return {name: df.join(keys, "book_id", "left_anti") for name, df in tables.items()}
+
+
+def deletable_content(chapters: DataFrame, gone: DataFrame) -> DataFrame:
+    """Hashes that only books in `gone` refer to."""
+    refs = chapters.filter("content_hash is not null").select("book_id", "content_hash").distinct()
+    marked = refs.join(gone.select("book_id").distinct().withColumn("_g", F.lit(True)), "book_id", "left")
+    return marked.groupBy("content_hash").agg(F.min(F.coalesce("_g", F.lit(False))).alias("only")).filter("only").select("content_hash")
+
+
+def remove_duplicates(chapters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Chapters with those of `pairs` (book_id, chapter_index) failed as
+    duplicate_content."""
+    out = chapters.join(pairs.select("book_id", "chapter_index").distinct().withColumn("_d", F.lit(True)), ["book_id", "chapter_index"], "left")
+    return out.withColumn("status", F.when(F.col("_d"), "failed").otherwise(F.col("status"))).withColumn("error", F.when(F.col("_d"), F.lit("duplicate_content"))).drop("_d")
+
+
+def title_repairs(chapters: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, before, after) of titles whose number is not
+    their chapter's index."""
+    fixed = chapters.select("book_id", "chapter_index", F.col("title").alias("before"), text.fix_title(F.col("chapter_index"), F.coalesce("title", F.lit(""))).alias("after"))
+    return fixed.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def report(books: DataFrame, chapters: DataFrame, logs: DataFrame, n: int = 10) -> DataFrame:
+    """Every book with its counts, its issues and its n newest log ids."""
+    issues = validate(books, chapters).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("level", "code", "n"))).alias("issues"))
+    newest = recent(logs, n).groupBy("book_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("logs"))
+    out = list_books(books, chapters).join(issues, "book_id", "left").join(newest, "book_id", "left")
+    return out.withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<level:string,code:string,n:bigint>>"))).withColumn("logs", F.coalesce("logs", F.array().cast("array<bigint>")))
+
+
+def fresh_pages(pages: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Non-empty pages retrieved in the last `days` days."""
+    return pages.filter((F.length("html") > 0) & (F.col("retrieved_at") >= now - F.make_dt_interval(F.lit(days))))
+
+
+def delete_plan(books: DataFrame, chapters: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of each table that deletion removes."""
+    keys = gone.select("book_id").distinct()
+    count = lambda df, name: df.join(keys, "book_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
+    return count(books, "books").unionByName(count(chapters, "chapters"))

@@ -46,3 +46,38 @@ EXPORTS = {"txt": to_text, "md": to_markdown, "xhtml": to_xhtml}
 def exporter(name: str):
     """The writer of a format; unknown formats are text."""
     return EXPORTS.get(name, to_text)
+
+
+def to_exchange(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book_id, document, error_code): a JSON document of the done chapters
+    with a body, in order; a first line that is the title goes. Books without
+    such chapters have a code in place of the document."""
+    body = text.strip(F.col("body"))
+    line = text.strip(F.substring_index(body, "\n", 1))
+    rest = F.when((line == text.strip(F.col("title"))) & body.contains("\n"), text.strip(F.substring(body, F.instr(body, "\n") + 1, F.length(body)))).otherwise(body)
+    key = F.concat(F.lit("book-"), F.col("book_id").cast("string"))
+    row = F.struct(F.col("chapter_index").alias("number"), F.concat(key, F.lit("-chapter-"), F.col("chapter_index").cast("string")).alias("id"), "title", rest.alias("content"))
+    good = chapters.filter((F.col("status") == "done") & (body != "")).groupBy("book_id").agg(F.array_sort(F.collect_list(row)).alias("chapters"))
+    head = F.struct(key.alias("id"), *[F.col(c) for c in ("title", "author") if c in books.columns])
+    joined = books.join(good, "book_id", "left")
+    document = F.when(F.col("chapters").isNotNull(), F.to_json(F.struct(head.alias("book"), "chapters")))
+    return joined.select("book_id", document.alias("document"), F.when(F.col("chapters").isNull(), "no_completed_chapters").alias("error_code"))
+
+
+def markdown_head(books: DataFrame) -> DataFrame:
+    """Title, author and site lines before a book's chapters."""
+    line = lambda label, c: F.coalesce(F.concat(F.lit(label), F.col(c), F.lit("\n\n")), F.lit(""))
+    return books.select("book_id", F.concat(line("# ", "title"), line("Author: ", "author"), line("Site: ", "site"), F.lit("---\n\n")).alias("head"))
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Writes (book_id, content) as text, one folder a book; a re-run
+    replaces the same folders."""
+    texts.select("book_id", "content").write.mode("overwrite").partitionBy("book_id").option("lineSep", "\n").text(path)
+
+
+def export_summary(books: DataFrame, exported: DataFrame) -> DataFrame:
+    """Books asked for, exported and failed."""
+    ok = F.count_if(F.coalesce(F.length("content"), F.lit(0)) > 0)
+    joined = books.select("book_id").join(exported, "book_id", "left")
+    return joined.agg(F.count(F.lit(1)).alias("books"), ok.alias("exported"), (F.count(F.lit(1)) - ok).alias("failed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +22,47 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """URLs, one a line; comments and empty lines go. Adds valid."""
     lines = spark.read.text(path).select(text.strip(F.col("value")).alias("url")).filter("url <> '' and not startswith(url, '#')")
     return lines.withColumn("valid", F.coalesce(urls.valid_url(F.col("url")), F.lit(False)) & (F.length("url") <= 2048))
+
+
+def decode_pages(raw: DataFrame) -> DataFrame:
+    """Pages (page_id, body binary, content_type) as (page_id, encoding, html):
+    the declared charset; else UTF-8, GB18030, Big5, the first that decodes;
+    else UTF-8 with replacements. Null bodies are null html. UTF-8 stays in the
+    JVM; other bodies go through Arrow batches."""
+    declared = F.lower(F.nullif(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", 1), F.lit("")))
+    marked = raw.select("page_id", "body", declared.alias("charset"))
+    plain = F.col("body").isNull() | ((F.col("charset").isNull() | F.col("charset").isin("utf-8", "utf8")) & F.is_valid_utf8(F.col("body").cast("string")))
+    marked = marked.withColumn("plain", plain)
+
+    def decode(batches):
+        for batch in batches:
+            known, texts = [], []
+            for body, charset in zip(batch.column("body").to_pylist(), batch.column("charset").to_pylist()):
+                for name in filter(None, (charset, "utf-8", "gb18030", "big5")):
+                    try:
+                        found = name, body.decode(name)
+                        break
+                    except (LookupError, UnicodeDecodeError):
+                        found = "utf-8", body.decode("utf-8", "replace")
+                known.append(found[0])
+                texts.append(found[1])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(known, pa.string()), pa.array(texts, pa.string())], ["page_id", "encoding", "html"])
+
+    kind = raw.schema["page_id"].dataType.simpleString()
+    other = marked.filter(~F.col("plain")).select("page_id", "body", "charset").mapInArrow(decode, f"page_id {kind}, encoding string, html string")
+    return marked.filter("plain").select("page_id", F.lit("utf-8").alias("encoding"), F.col("body").cast("string").alias("html")).unionByName(other)
+
+
+CONFIG = """config_id string, site string, domain string, version int, status string, validated string, url_patterns array<string>,
+selectors struct<clean: array<string>, book: map<string,string>, chapter: map<string,string>>,
+request_policy struct<timeout_seconds: double, max_retries: int, rate_limit_seconds: double>, field_scores map<string,double>"""
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Site configs from JSON files; absent fields are null."""
+    return spark.read.schema(CONFIG).option("multiLine", True).json(path)
+
+
+def url_summary(listed: DataFrame) -> DataFrame:
+    """Requested, valid and failed URLs of a list."""
+    return listed.agg(F.count(F.lit(1)).alias("requested"), F.count_if("valid").alias("created"), F.count_if(~F.col("valid")).alias("failed"))

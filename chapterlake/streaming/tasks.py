@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +19,54 @@ def page_intake(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Valid pages (url, retrieved_at, ...) once for each canonical URL."""
     canonical = stream.withColumn("canonical_url", urls.canonical_url(F.col("url"))).filter(F.col("canonical_url").isNotNull())
     return canonical.withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
+
+
+def task_states(stream: DataFrame, wait: str = "30 minutes") -> DataFrame:
+    """Live state of tasks from events (task_id, task_version, to_status,
+    created_at): per batch and task its status, version, the status to resume
+    and the code of what was refused. Events apply in version order; a version
+    that does not follow is a version_conflict, a move outside the graph an
+    illegal_transition. A waiting task without an event for `wait` fails with
+    wait_expired.
+
+    The state of a task is one row; a task's events of one batch are held only
+    by version and status."""
+    moves = {a: set(many.split()) for a, many in events.TRANSITIONS.items()}
+    micros = pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)
+
+    def apply(key, batches, state):
+        status, version, resume = state.get if state.exists else (None, -1, None)
+        code = None
+        if state.hasTimedOut:
+            resume, status, code = status, "recoverable_failed", "wait_expired"
+            version += 1
+        else:
+            rows = pd.concat([b[["task_version", "to_status", "created_at"]] for b in batches]).sort_values("task_version", kind="stable")
+            for at, to in zip(rows["task_version"], rows["to_status"]):
+                if at != version + 1:
+                    code = "version_conflict"
+                elif to not in (moves.get(status, ()) if status else ("created",)):
+                    code = "illegal_transition"
+                else:
+                    resume = status if to in ("paused", "recoverable_failed") else None
+                    status, version = to, int(at)
+        if status is not None:
+            state.update((status, version, resume))
+            if status == "waiting_for_user" and not state.hasTimedOut:
+                state.setTimeoutDuration(int(micros))
+        yield pd.DataFrame({"task_id": [key[0]], "version": [version], "status": [status], "resume_status": [resume], "code": [code]})
+
+    kind = stream.schema["task_id"].dataType.simpleString()
+    shape = f"task_id {kind}, version long, status string, resume_status string, code string"
+    return stream.groupBy("task_id").applyInPandasWithState(apply, shape, "status string, version long, resume_status string", "update", "ProcessingTimeTimeout")
+
+
+def intake(pages: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
+    """Runs page intake into a Parquet folder: each micro-batch is written once
+    under its batch id, so a batch that is repeated after a failure replaces
+    itself. Progress is in the checkpoint folder."""
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return page_intake(pages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
