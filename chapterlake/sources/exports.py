@@ -65,8 +65,9 @@ def to_exchange(books: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def markdown_head(books: DataFrame) -> DataFrame:
-    """Title, author and site lines before a book's chapters."""
-    line = lambda label, c: F.coalesce(F.concat(F.lit(label), F.col(c), F.lit("\n\n")), F.lit(""))
+    """Title, author and site lines before a book's chapters; absent columns
+    and nulls have no line."""
+    line = lambda label, c: F.coalesce(F.concat(F.lit(label), F.col(c) if c in books.columns else F.lit(None), F.lit("\n\n")), F.lit(""))
     return books.select("book_id", F.concat(line("# ", "title"), line("Author: ", "author"), line("Site: ", "site"), F.lit("---\n\n")).alias("head"))
 
 
