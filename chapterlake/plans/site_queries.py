@@ -153,7 +153,7 @@ def page_access(spark, d):
 _PATHS = r"(SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)"
 
 
-@_query(rf"""SELECT page_id, CASE WHEN p <> b AND regexp_replace(p, '[0-9]+(\.html)?$', '{{int}}\1') = regexp_replace(b, '[0-9]+(\.html)?$', '{{int}}\1') THEN regexp_replace(p, '[0-9]+(\.html)?$', '{{int}}\1') END AS template
+@_query(rf"""SELECT page_id, CASE WHEN p <> b AND regexp_replace(p, '[0-9]+(\.html|/)?$', '{{int}}\1') = regexp_replace(b, '[0-9]+(\.html|/)?$', '{{int}}\1') THEN regexp_replace(p, '[0-9]+(\.html|/)?$', '{{int}}\1') END AS template
 FROM (SELECT page_id, p, lag(p) OVER (PARTITION BY host ORDER BY page_id) AS b FROM {_PATHS})""")
 def sibling_templates(spark, d):
     w = Window.partitionBy("host").orderBy("page_id")
