@@ -2,8 +2,8 @@
 
 Selector subset: lists split by commas; steps joined by blanks (descendant) or
 `>` (child); each step a tag or `*` with any of `#id`, `.class`, `[attr]`,
-`[attr=v]`, `[attr*=v]`, `[attr^=v]` (` i` ignores case) and
-`:nth-of-type(n)`. Ancestor steps are joined on the page and kept by range.
+`[attr=v]`, `[attr*=v]`, `[attr^=v]`, `[attr$=v]` (` i` ignores case) and
+`:nth-of-type(n)`. Descendant steps are one window in page order, child steps a join on the parent.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 #: Limits of selectors (fixed values): how many, characters in all and of one, joins.
 LIMITS = (20, 4096, 512, 3)
-_ATTR = r"\[\s*([A-Za-z][\w:-]*)\s*(?:([*^]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*(i)?)?\s*\]"
+_ATTR = r"\[\s*([A-Za-z][\w:-]*)\s*(?:([*^$]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*(i)?)?\s*\]"
 _STEP = re.compile(rf"(?:\*|[A-Za-z][\w-]*)?(?:#[\w-]+|\.[\w-]+|{_ATTR}|:nth-of-type\(\d+\))*")
 #: Noise markers in tag, id and classes; noise classes of fingerprints; tags
 #: without text of their own (fixed values).
@@ -73,7 +73,7 @@ def _fits(step: str) -> Column:
         value, given = next((v for v in values if v), ""), attr(name.lower())
         if fold:
             value, given = value.lower(), F.lower(given)
-        tests.append(given.isNotNull() if not op else given == value if op == "=" else given.contains(value) if op == "*=" else given.startswith(value))
+        tests.append(given.isNotNull() if not op else given == value if op == "=" else given.contains(value) if op == "*=" else given.endswith(value) if op == "$=" else given.startswith(value))
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
@@ -87,8 +87,10 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
     for steps in parsed:
         hit = nodes.filter(_fits(steps[0][1]))
         for joint, step in steps[1:]:
-            near = F.col("parent_id") == F.col("_from") if joint == ">" else _inside(strict=True)
-            hit = nodes.filter(_fits(step)).join(_ranges(hit), _same_page() & near, "left_semi")
+            if joint == ">":
+                hit = nodes.filter(_fits(step)).join(_ranges(hit), _same_page() & (F.col("parent_id") == F.col("_from")), "left_semi")
+            else:
+                hit = _covered(nodes.filter(_fits(step)), hit, strict=True).filter("_in").drop("_in")
         found.append(hit)
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(["page_id", "node_id"])
 
@@ -115,23 +117,32 @@ def _same_page() -> Column:
     return F.col("page_id") == F.col("_page")
 
 
-def _inside(strict: bool = False) -> Column:
-    return (F.col("node_id") > F.col("_from") if strict else F.col("node_id") >= F.col("_from")) & (F.col("node_id") <= F.col("_to"))
+def _inside() -> Column:
+    return (F.col("node_id") >= F.col("_from")) & (F.col("node_id") <= F.col("_to"))
+
+
+def _covered(nodes: DataFrame, roots: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds _in: whether a node lies in the subtree of one of `roots` (with
+    strict, below its root). Subtrees nest, so the greatest end among roots
+    met so far in page order decides: one window, no pairs."""
+    ends = roots.select("page_id", "node_id", F.col("end_id").alias("_to"), F.lit(1 if strict else -1).alias("_kind"))
+    both = nodes.withColumn("_kind", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("node_id", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_last", F.max("_to").over(order)).filter("_kind = 0")
+    return met.select(*nodes.columns, F.coalesce(F.col("_last") >= F.col("node_id"), F.lit(False)).alias("_in"))
 
 
 def without(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes outside the subtrees of `roots`."""
-    return nodes.join(_ranges(roots), _same_page() & _inside(), "left_anti")
+    return _covered(nodes, roots).filter("not _in").drop("_in")
 
 
 def blanked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """All nodes, those in the subtrees of `roots` without tag, attributes and
     text: nothing selects them, and ranges and totals of others hold."""
-    gone = nodes.join(_ranges(roots), _same_page() & _inside(), "left_semi").select("page_id", "node_id", F.lit(True).alias("_gone"))
-    flagged = nodes.join(gone, ["page_id", "node_id"], "left")
-    shown = lambda c, none: F.when(F.col("_gone"), none).otherwise(F.col(c)).alias(c)
+    shown = lambda c, none: F.when(F.col("_in"), none).otherwise(F.col(c)).alias(c)
     empty = {"tag": F.lit(""), "attrs": F.lit(None), "own_text": F.lit("")}
-    return flagged.select(*[shown(c, empty[c]) if c in empty else F.col(c) for c in nodes.columns])
+    return _covered(nodes, roots).select(*[shown(c, empty[c]) if c in empty else F.col(c) for c in nodes.columns])
 
 
 def denoised(nodes: DataFrame, noise: Column | None = None) -> DataFrame:
@@ -154,8 +165,8 @@ def text_length() -> Column:
     return F.when(F.col("tag").isin(*SILENT), 0).otherwise(F.length("own_text"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Adds selector: `#id` where the id is the page's only one, else the class
+def paths(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Adds selector to all nodes, or to those of `of` (page_id, node_id): `#id` where the id is the page's only one, else the class
     set where unique, else the path of `tag:nth-of-type` steps from the root."""
     ids = Window.partitionBy("page_id", attr("id"))
     sets = Window.partitionBy("page_id", F.array_join(F.array_sort(classes()), "."))
@@ -167,7 +178,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     named = F.concat(F.lit("."), F.array_join(classes(), "."))
     by_class = F.when(attr("class").isNotNull() & safe(attr("class")) & (F.count(F.lit(1)).over(sets) == 1), named)
     above = marked.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_from"), F.col("end_id").alias("_to"), F.col("_step").alias("_up"))
-    chain = nodes.select("page_id", "node_id").join(above, _same_page() & _inside()).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("_from", "_up"))).alias("_chain"))
+    asked = nodes.select("page_id", "node_id") if of is None else of.select("page_id", "node_id").distinct()
+    chain = asked.join(above, _same_page() & _inside()).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("_from", "_up"))).alias("_chain"))
     chain = chain.select("page_id", "node_id", F.array_join("_chain._up", " > ").alias("_path"))
     short = marked.withColumns({"_id": by_id, "_class": by_class}).select(*nodes.columns, "_id", "_class")
     return short.join(chain, ["page_id", "node_id"]).select(*nodes.columns, F.coalesce("_id", "_class", "_path").alias("selector"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, urls
 from ..sources.shared import keep
-from . import dom, pages
+from . import dom, pages, routing
 
 #: Selectors tried in order, and what chapter links look like (fixed values).
 TITLE_SELECTORS = ["h1", ".book-title", ".bookname h1", ".info h1", "#info h1", "meta[property='og:novel:book_name']", "meta[property='og:title']"]
@@ -182,3 +182,74 @@ def next_chains(starts: DataFrame, following: DataFrame, limit: int = 10_000, in
         b = jump.select(F.col("url").alias("next_url"), F.col("next_url").alias("_next"))
         jump = keep(jump.join(b, "next_url").select("url", F.col("_next").alias("next_url")))
     return reach
+
+
+#: Breadcrumb of a book, its author's label, titles where none is found (fixed values).
+BREADCRUMB = ".position a[href*='/book/'][href$='.html']"
+AUTHOR_LINE = r"作者\s*/\s*([^\n]+)"
+DEFAULT_TITLES = {"shuyous": "书友社小说", "twbook": "twbook小说"}
+
+
+def _text_of(nodes: DataFrame, selector: str, name: str, sep: str = "") -> DataFrame:
+    """(page_id, name): text of the first match of a selector, for meta its content."""
+    first = dom.select(nodes, selector).groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id", "tag", dom.attr("content").alias("said")), "node_id").alias("f")).select("page_id", "f.*")
+    said = pages.node_text(nodes, first, sep)
+    value = F.when(F.col("tag") == "meta", F.trim("said")).otherwise(F.col("text"))
+    return first.join(said, ["page_id", "node_id"], "left").select("page_id", F.nullif(value, F.lit("")).alias(name))
+
+
+def book_info(captured: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page_id, site, title, author, url) of every captured page (page_id,
+    url), by the rule of its site: book meta, breadcrumb, heading and a fixed
+    title; or the best title selector, the first part of the page's title and
+    the host. Author from meta, or from its labelled line; null where none."""
+    best = rank_titles(nodes).filter("rank = 1").select("page_id", F.col("selector").alias("chosen"))
+    hit = _first_matches(nodes, TITLE_SELECTORS).join(best, "page_id").filter("selector = chosen")
+    ranked = hit.join(pages.node_text(nodes, hit, ""), ["page_id", "node_id"], "left").select("page_id", F.nullif(F.when(F.col("tag") == "meta", dom.attr("content")).otherwise(F.col("text")), F.lit("")).alias("ranked"))
+    roots = nodes.filter("parent_id is null").select("page_id", "node_id", "end_id")
+    whole = pages.node_text(nodes, roots, "\n").groupBy("page_id").agg(F.max(F.nullif(F.regexp_extract("text", AUTHOR_LINE, 1), F.lit(""))).alias("labelled"))
+    out = captured.select("page_id", "url", routing.site_of(F.col("url")).alias("site"))
+    wanted = {"meta_title": "meta[property='og:novel:book_name']", "meta_author": "meta[property='og:novel:author']", "crumb": BREADCRUMB, "heading": ".chapterBox .name, h1", "high": "h1, h2", "page_title": "title"}
+    for table in [ranked, whole, *[_text_of(nodes, s, name) for name, s in wanted.items()]]:
+        out = out.join(table, "page_id", "left")
+    short = F.nullif(F.substring_index(F.substring_index("page_title", "_", 1), "-", 1), F.lit(""))
+    title = (
+        F.when(F.col("site") == "shuyous", F.coalesce("meta_title", "crumb", "heading", F.lit(DEFAULT_TITLES["shuyous"]))).when(F.col("site") == "twbook", F.coalesce("high", F.lit(DEFAULT_TITLES["twbook"])))
+        .otherwise(F.coalesce("ranked", short, urls.domain_of(F.col("url"))))
+    )
+    author = F.when(F.col("site") == "shuyous", F.col("meta_author")).when(F.col("site") == "twbook", F.trim("labelled"))
+    return out.select("page_id", "site", title.alias("title"), author.alias("author"), "url")
+
+
+def book_identity(captured: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page_id, identity): the book's meta title, else its breadcrumb, in lower
+    case with single blanks; null where a page has neither."""
+    out = captured.select("page_id")
+    for name, selector in {"meta_title": "meta[property='og:novel:book_name']", "crumb": BREADCRUMB}.items():
+        out = out.join(_text_of(nodes, selector, name, " "), "page_id", "left")
+    return out.select("page_id", F.trim(F.regexp_replace(F.lower(F.coalesce("meta_title", "crumb")), r"(?U)\s+", " ")).alias("identity"))
+
+
+def numbered_catalog(captured: DataFrame, links: DataFrame, start: int = 1, count: int | None = None, rules=routing.RULES) -> DataFrame:
+    """(page_id, chapter_index, title, url) by the numbers in urls: links to
+    chapters of the page's own book, the first of each number, in order;
+    `start` is a number, `count` how many from there on."""
+    own = routing.url_parts(captured.select("page_id", "url"), rules).select("page_id", F.col("site").alias("own_site"), F.col("book_id").alias("own_book"))
+    met = routing.url_parts(keep(links), rules).join(own, "page_id").filter("site = own_site and book_id = own_book and chapter_number is not null")
+    first = met.groupBy("page_id", "chapter_number").agg(F.min_by(F.struct("text", "url"), "node_id").alias("f")).filter(F.col("chapter_number") >= start)
+    if count is not None:
+        order = Window.partitionBy("page_id").orderBy("chapter_number")
+        first = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count)
+    default = F.concat(F.lit("第"), F.col("chapter_number").cast("string"), F.lit("章"))
+    return first.select("page_id", F.col("chapter_number").alias("chapter_index"), F.coalesce(F.nullif("f.text", F.lit("")), default).alias("title"), "f.url")
+
+
+def listed_catalog(payloads: DataFrame, start: int = 1, count: int | None = None) -> DataFrame:
+    """(book_id, chapter_index, title, url) of JSON payloads (book_id, host,
+    payload) whose `list` holds the titles in order; malformed payloads and
+    those without a list give no row. Null titles are empty."""
+    got = payloads.withColumn("_list", F.from_json("payload", "list array<string>")["list"])
+    rows = got.select("book_id", "host", F.posexplode("_list").alias("_at", "_title")).withColumn("chapter_index", F.col("_at") + 1).filter(F.col("chapter_index") >= start)
+    rows = rows if count is None else rows.filter(F.col("chapter_index") < start + count)
+    link = F.concat(F.lit("https://"), "host", F.lit("/#/book/"), F.col("book_id").cast("string"), F.lit("/"), F.col("chapter_index").cast("string"), F.lit(".html"))
+    return rows.select("book_id", "chapter_index", F.trim(F.coalesce("_title", F.lit(""))).alias("title"), link.alias("url"))

@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls
 
@@ -83,11 +84,17 @@ def flatten(pages: DataFrame) -> DataFrame:
 
 
 def node_text(nodes: DataFrame, of: DataFrame, sep: str = " ") -> DataFrame:
-    """(page_id, node_id, text) of the nodes in `of` with all that is in them."""
-    o, d = of.select("page_id", F.col("node_id").alias("top"), F.col("end_id").alias("last")).alias("o"), nodes.filter(F.col("own_text") != "").alias("d")
-    inside = o.join(d, "page_id").filter("d.node_id >= o.top and d.node_id <= o.last")
-    found = inside.groupBy("page_id", "top").agg(F.array_sort(F.collect_list(F.struct("d.node_id", "own_text"))).alias("t"))
-    return found.select("page_id", F.col("top").alias("node_id"), F.array_join("t.own_text", sep).alias("text"))
+    """(page_id, node_id, text) of the nodes in `of` with all that is in them;
+    nodes without text have no row. A node's pieces are a run of its page's
+    pieces in order: one window counts where it begins and ends."""
+    pieces = nodes.filter(F.col("own_text") != "")
+    texts = pieces.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "own_text")))["own_text"].alias("t"))
+    mark = lambda df, at, kind, top: df.select("page_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), top.cast("int").alias("top"))
+    marks = mark(pieces, "node_id", 1, F.lit(None)).unionByName(mark(of, "node_id", 0, F.col("node_id"))).unionByName(mark(of, "end_id", 2, F.col("node_id")))
+    order = Window.partitionBy("page_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    spans = marks.withColumn("n", F.count_if(F.col("kind") == 1).over(order)).filter("kind <> 1").groupBy("page_id", "top").agg(F.min("n").cast("int").alias("first"), F.max("n").cast("int").alias("last"))
+    found = spans.filter("last > first").join(texts, "page_id")
+    return found.select("page_id", F.col("top").alias("node_id"), F.array_join(F.slice("t", F.col("first") + 1, F.col("last") - F.col("first")), sep).alias("text"))
 
 
 def links(pages: DataFrame, nodes: DataFrame) -> DataFrame:

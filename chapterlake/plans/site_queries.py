@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, urls
-from ..operators import adapt, dom, extract, pages, routing
+from ..operators import adapt, dom, explore, extract, pages, routing
 from ..sources.shared import keep
 from .queries import _query, _t
 
@@ -165,3 +165,48 @@ def sibling_templates(spark, d):
 def sequential_urls(spark, d):
     books = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("book_id")).agg(F.count(F.lit(1)).alias("count")).withColumns({"url": F.lit("https://shelf.test/"), "start": F.lit(1).cast("long")})
     return routing.sequential_urls(books)
+
+
+@_query(r"""WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\s\x{3000}]+', ''), '[\s\x{3000}]+$', '')) AS a,
+  lag(turn) OVER w IS NOT NULL AS has_prev, lead(turn) OVER w IS NOT NULL AS has_next, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS links FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_filter(a, lambda x: x <> ''), lambda x: length(x) + 1)), 0) + 4 AS inner_chars FROM t WHERE k <= 3),
+s AS (SELECT conv_id, max(links) AS chapter_link_count, count(*) AS sample_count, min(len(a) + 1) AS sample_min_paragraphs, min_by(CASE WHEN inner_chars >= 45 THEN '#content' ELSE 'body' END, k) AS content_selector,
+  min(CASE WHEN inner_chars >= 45 THEN inner_chars ELSE inner_chars + 2 + 3 + length(turn::VARCHAR) + 3 + 4 * has_prev::INT + 4 * has_next::INT END) AS sample_min_chars, min(turn) AS first FROM c GROUP BY 1)
+SELECT conv_id * 100000 + first AS page_id, 'shelf.test' AS domain, 'http://shelf.test/book/' || conv_id || '/' AS catalog_url, 'h1' AS title_selector, CASE WHEN chapter_link_count >= 2 THEN '.chapter-list a' ELSE 'a' END AS chapter_list_selector,
+  chapter_link_count, sample_count::INT AS sample_count, content_selector, sample_min_chars::BIGINT AS sample_min_chars, sample_min_paragraphs::BIGINT AS sample_min_paragraphs,
+  concat_ws(',', CASE WHEN chapter_link_count < 2 THEN 'catalog_links_low' END, CASE WHEN sample_min_chars < 200 THEN 'content_short' END) AS warnings, 'shelf' AS site FROM s""")
+def exploration_reports(spark, d):
+    chapters = keep(_chapter_pages(spark, d))
+    label = F.concat(F.lit('<li><a href="'), F.col("turn").cast("string"), F.lit('.html">第'), F.col("turn").cast("string"), F.lit("章</a></li>"))
+    book = F.concat(F.lit("http://shelf.test/book/"), F.col("conv_id").cast("string"), F.lit("/"))
+    listed = chapters.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", label.alias("a"))))["a"], "").alias("items"))
+    html = F.concat(F.lit('<html><head><title>Book</title></head><body><a href="/">Home</a><h1>Book</h1><ul class="chapter-list">'), "items", F.lit("</ul></body></html>"))
+    catalogs = listed.select((F.col("conv_id") * 100_000 + 99_999).alias("page_id"), book.alias("url"), html.alias("html"))
+    captured = keep(chapters.select("page_id", "url", "html").unionByName(catalogs))
+    starts = chapters.groupBy("conv_id").agg(F.min_by("page_id", "turn").alias("page_id"))
+    found = explore.explore(captured, _nodes(captured), starts)
+    said = F.array_join(F.col("warnings.code"), ",").alias("warnings")
+    return found.select("page_id", "domain", "catalog_url", "title_selector", "chapter_list_selector", "chapter_link_count", "sample_count", "content_selector", "sample_min_chars", "sample_min_paragraphs", said, F.col("proposed_config.site").alias("site"))
+
+
+@_query(r"""SELECT page_id, 'auto' AS site, coalesce(nullif(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), ''), nullif(split_part(split_part(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), '_', 1), '-', 1), ''),
+  lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))) AS title, NULL::VARCHAR AS author, url FROM pages""")
+def book_infos(spark, d):
+    p = _t(spark, d, "pages")
+    return extract.book_info(p, _nodes(p))
+
+
+@_query(r"SELECT page_id, rtrim(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.') AS domain FROM pages")
+def page_domains(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return urls.canonical_domains(rows).select("page_id", "domain")
+
+
+@_query("SELECT DISTINCT l_orderkey AS page_id, l_linenumber::BIGINT AS chapter_index, '第' || l_linenumber || '章' AS title, 'https://www.twbook.cc/' || l_orderkey || '/' || l_linenumber || '.html' AS url FROM lineitem")
+def numbered_chapters(spark, d):
+    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).distinct()
+    key, n = F.col("l_orderkey").cast("string"), F.col("n").cast("string")
+    link = F.concat(F.lit('<a href="'), F.lit("/"), key, F.lit("/"), n, F.lit('.html"></a><a href="/x/1.html">x</a>'))
+    html = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", link.alias("a"))))["a"], "").alias("html"))
+    p = keep(html.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://www.twbook.cc/"), key, F.lit("/")).alias("url"), "html"))
+    return extract.numbered_catalog(p, pages.links(p, _nodes(p)))

@@ -21,18 +21,20 @@ def page_intake(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return canonical.withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def task_states(stream: DataFrame, wait: str = "30 minutes") -> DataFrame:
+def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None = None) -> DataFrame:
     """Live state of tasks from events (task_id, task_version, to_status,
     created_at): per batch and task its status, version, the status to resume
     and the code of what was refused. Events apply in version order; a version
     that does not follow is a version_conflict, a move outside the graph an
     illegal_transition. A waiting task without an event for `wait` fails with
-    wait_expired.
+    wait_expired: by the clock, or with `late` by event time, once the watermark
+    (`late` behind the newest event) passes its last event by `wait`. Events
+    later than `late` are then dropped.
 
     The state of a task is one row; a task's events of one batch are held only
     by version and status."""
     moves = {a: set(many.split()) for a, many in events.TRANSITIONS.items()}
-    micros = pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)
+    millis = int(pd.Timedelta(wait) // pd.Timedelta(milliseconds=1))
 
     def apply(key, batches, state):
         status, version, resume = state.get if state.exists else (None, -1, None)
@@ -53,12 +55,17 @@ def task_states(stream: DataFrame, wait: str = "30 minutes") -> DataFrame:
         if status is not None:
             state.update((status, version, resume))
             if status == "waiting_for_user" and not state.hasTimedOut:
-                state.setTimeoutDuration(int(micros))
+                if late:
+                    newest = int(rows["created_at"].max().timestamp() * 1000) + millis
+                    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+                else:
+                    state.setTimeoutDuration(millis)
         yield pd.DataFrame({"task_id": [key[0]], "version": [version], "status": [status], "resume_status": [resume], "code": [code]})
 
     kind = stream.schema["task_id"].dataType.simpleString()
     shape = f"task_id {kind}, version long, status string, resume_status string, code string"
-    return stream.groupBy("task_id").applyInPandasWithState(apply, shape, "status string, version long, resume_status string", "update", "ProcessingTimeTimeout")
+    timed = stream.withWatermark("created_at", late) if late else stream
+    return timed.groupBy("task_id").applyInPandasWithState(apply, shape, "status string, version long, resume_status string", "update", "EventTimeTimeout" if late else "ProcessingTimeTimeout")
 
 
 def intake(pages: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
