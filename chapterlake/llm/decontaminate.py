@@ -3,8 +3,11 @@
 Words (runs of letters and digits, A-Z folded) are hashed; each fixed mask
 hashes the words at its 1 places of every window and ignores the rest, so a
 substituted word between them does not hide a hit. The benchmark's seed hashes
-are met in every window of every document; around each hit the two word
-sequences are aligned and the best substitution-tolerant overlap is measured.
+are met in every window of every document; a hit is followed word by word as
+long as it can be the beginning of a best run, and where it leads to enough
+matches the two word sequences are aligned and the best substitution-tolerant
+overlap is measured. The masks meet the beginning of every best run, so no
+overlap that counts is lost.
 
 A document is contaminated by an item when one alignment's best run matches at
 least min(MIN_MATCH, 80 % of the item's words) words, a mismatch costing two
@@ -28,10 +31,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The seeds (fixed values): 1 is a place that must match.
-MASKS = ("11111111", "1101101101101", "111001011011001", "1111000000001111")
+#: The seeds (fixed values): 1 is a place that must match. All words before any
+#: place of a best run hold more than twice as many matches as mismatches (else
+#: the run would begin later), so its first three words match and the next three
+#: hold one mismatch at most: each run of five words or more begins with a seed.
+MASKS = ("11111", "111101", "111011")
 MIN_MATCH, SHARE, MISMATCH = 13, 0.8, 2
 BLOCK_BYTES = 8 << 20
+#: Seed hits that are followed at a time.
+HITS = 1 << 20
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
 
 
@@ -47,6 +55,11 @@ def seed_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return common.mix(h)
 
 
+def needed(n: int) -> int:
+    """Matches that an item of n words needs."""
+    return n if n < 8 else min(MIN_MATCH, int(np.ceil(SHARE * n)))
+
+
 class SeedIndex:
     """The seed hashes of a block of items, sorted, with a table of their
     first bits that turns away most windows."""
@@ -55,19 +68,16 @@ class SeedIndex:
         raw = [(t or "").encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         words, begins = common.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, common.ALNUM)
-        self.ids, self.words, self.masks, hashes, item, place = ids, [], list(MASKS), [], [], []
+        self.ids, self.words, self.all, self.begins, hashes, item, place = ids, [], words, begins, [], [], []
         for k in range(len(ids)):
-            own = words[begins[k] : begins[k + 1]]
-            self.words.append(own)
-            if 5 <= len(own) < 8 and "1" * len(own) not in self.masks:
-                self.masks.append("1" * len(own))
-        for m, mask in enumerate(self.masks):
+            self.words.append(words[begins[k] : begins[k + 1]])
+        self.need = np.array([needed(len(w)) for w in self.words], np.int64)
+        for m, mask in enumerate(MASKS):
             for k, own in enumerate(self.words):
-                if len(mask) >= 8 or len(own) == len(mask):
-                    h = seed_hashes(own, mask, m)
-                    hashes.append(h)
-                    item.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
+                h = seed_hashes(own, mask, m)
+                hashes.append(h)
+                item.append(np.full(len(h), k))
+                place.append(np.arange(len(h)))
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
@@ -78,9 +88,10 @@ class SeedIndex:
         self.table[self.hashes >> self.shift] = True
 
     def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, diagonal) of every window of words that meets a seed."""
+        """(item, diagonal) of every window of words that meets a seed and from
+        which a run goes on to enough matches."""
         found = []
-        for m, mask in enumerate(self.masks):
+        for m, mask in enumerate(MASKS):
             h = seed_hashes(words, mask, m)
             at = np.flatnonzero(self.table[h >> self.shift]) if len(h) else np.zeros(0, np.int64)
             if not len(at):
@@ -88,11 +99,31 @@ class SeedIndex:
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             many = hi - lo
             at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-            if len(at):
-                k = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append(np.stack([self.item[k], np.repeat(at, many) - self.place[k]], 1))
+            ends = np.cumsum(many)
+            begin = 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - many[begin] + HITS, "right")))
+                a, n = at[begin:end], many[begin:end]
+                k = np.repeat(lo[begin:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append(self.follow(words, np.repeat(a, n), self.item[k], self.place[k]))
+                begin = end
         return np.unique(np.concatenate(found), axis=0).tolist() if found else []
 
+    def follow(self, words: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(item, diagonal) of the hits from which matches stay more than twice
+        the mismatches until there are enough of them."""
+        out = [np.zeros((0, 2), np.int64)]
+        own, last = self.begins[item] + place, self.begins[item + 1]
+        matches, step = np.zeros(len(at), np.int64), 0
+        while len(at):
+            matches = matches + (words[at + step] == self.all[own + step])
+            step += 1
+            done = matches >= self.need[item]
+            out.append(np.stack([item[done], (at - place)[done]], 1))
+            on = ~done & (matches > MISMATCH * (step - matches)) & (at + step < len(words)) & (own + step < last)
+            at, item, place, own, last, matches = (x[on] for x in (at, item, place, own, last, matches))
+        return np.concatenate(out)
+
     def verify(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """(matches, first word, word after) of the best run, if it is enough."""
         own = self.words[item]
@@ -103,8 +134,7 @@ class SeedIndex:
         end = int((run - low).argmax())
         start = int(np.flatnonzero(np.concatenate([[0], run[:-1]])[: end + 1] == low[end])[-1])
         matches = int(same[start : end + 1].sum())
-        need = len(own) if len(own) < 8 else min(MIN_MATCH, int(np.ceil(SHARE * len(own))))
-        return (matches, a + start, a + end + 1) if matches >= need else None
+        return (matches, a + start, a + end + 1) if matches >= self.need[item] else None
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

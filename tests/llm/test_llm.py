@@ -79,6 +79,55 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def brute_overlap(doc, item):
+    """Most matches of a best run (a mismatch costs two matches) over all alignments."""
+    most = 0
+    for d in range(1 - len(item), len(doc)):
+        score, matches, best = 0, 0, (0, 0)
+        for k in range(max(0, d), min(len(doc), d + len(item))):
+            same = doc[k] == item[k - d]
+            score, matches = score + (1 if same else -2), matches + same
+            if score <= 0:
+                score, matches = 0, 0
+            if score > best[0]:
+                best = (score, matches)
+        most = max(most, best[1])
+    return most
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    items, docs = [], []
+    for n in [*range(5, 25), 60]:
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, item))
+        for every in (3, 4, 5, 6):
+            for off in range(every):
+                docs.append((n, [f"x{k}" if k % every == off else w for k, w in enumerate(item)]))
+        for _ in range(40):
+            changed = rng.choice(n, rng.integers(0, 2 + n // 3), replace=False)
+            body = [f"x{k}" if k in changed else w for k, w in enumerate(item)]
+            docs.append((n, body[rng.integers(0, 3) :]))
+    docs = [(n, ["before"] * int(rng.integers(0, 4)) + body + ["after"] * int(rng.integers(0, 4))) for n, body in docs]
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items], "item_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(d)) for k, (_, d) in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.find_leaks(table, bench).collect()}
+    words, want = dict(items), {}
+    for k, (n, d) in enumerate(docs):
+        most = brute_overlap(d, words[n])
+        if most >= (n if n < 8 else min(13, -(-4 * n // 5))):
+            want[k, n] = most
+    assert got == want and len(want) > 300
+
+
+def test_hits_followed_in_parts(monkeypatch):
+    index = decontaminate.SeedIndex([1, 2], ["a b a b a b a b", "a b c d e f g h"])
+    words, _ = common.word_hashes(np.frombuffer(b"a b a b a b a b c d e f g h", np.uint8), np.array([0, 27]), common.ALNUM)
+    whole = index.hits(words)
+    monkeypatch.setattr(decontaminate, "HITS", 2)
+    assert whole == index.hits(words) and [0, 0] in whole and [1, 6] in whole
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32))
