@@ -4,6 +4,7 @@ A byte-level pre-tokenizer never joins what stands on the two sides of a
 single space between non-space characters, so a text's ids are the ids of
 its space-parted words, one after another. Each distinct word is encoded
 once per worker by the library's own model; the rest are dictionary lookups.
+A text that holds an added token's content goes to the library whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = str(self.tokenizer.pre_tokenizer)
         self.by_word = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind and self.tokenizer.normalizer is None
         self.chars = byte_chars()
@@ -61,10 +62,11 @@ class WordEncoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        """The ids of text as bytes; no special token is added or recognised."""
+        """The ids of text as bytes: those of the library's encode without
+        special tokens around them. Added tokens in the text are recognised."""
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or any([t in text for t in self.added]):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = _GAP.split(text) if _ODD.search(text) else text.split(" ")
         out = [self._ids(first)]

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from chapterlake.llm import chat, common, decontaminate, jaccard, langid, neighbours, packing, quality, queries, sharding, sstable, tokens, toxicity
 
@@ -34,6 +35,13 @@ def test_word_ids_equal_whole_ids(spark):
         assert np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == e.encode(t)
 
 
+def test_added_tokens_as_the_library_encodes_them():
+    library, e = Tokenizer.from_file(queries.tokenizer_path()), encoder()
+    for t in ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext| >", "no token\n here", "é <|endoftext|>\n x"]:
+        assert np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == e.encode(t)
+    assert np.frombuffer(e.encode("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+
+
 @pytest.mark.parametrize("counts", [[], [5] * 7, [2048, 1, 2047, 1024, 1024, 3]])
 def test_plan_uses_every_piece(counts):
     hist = np.bincount(counts, minlength=2049)
