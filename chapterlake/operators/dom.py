@@ -77,6 +77,14 @@ def _fits(step: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
+def fits_one(selector: str) -> Column:
+    """Whether a node fits one of a selector's alternatives, each a single step."""
+    parsed = parse(selector)
+    if parsed is None or any(len(steps) > 1 for steps in parsed):
+        raise ValueError(f"unsupported selector: {selector}")
+    return reduce(lambda a, b: a | b, [_fits(steps[0][1]) for steps in parsed])
+
+
 def select(nodes: DataFrame, selector: str) -> DataFrame:
     """Nodes that a selector matches, each once. An unsupported selector raises
     ValueError; select_all reports it instead."""

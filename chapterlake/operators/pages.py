@@ -17,11 +17,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..sources.shared import keep
+from . import dom
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_SELF = frozenset("p li dd dt tr td th option".split())
 NODES = "page_id long, node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, sibling_pos int, own_text string"
 CHAPTER_TEXT = r"(?i)(?:第\s*[0-9零一二三四五六七八九十百千万两]+\s*[章节回卷]|chapter\s+\d+)"
+#: Signs of kinds, and what is cut before they are looked for (fixed values).
+AUTH_STATUS = (401, 403, 429, 503)
+AUTH_TITLE = r"(?iU)(?:登录|登陆|验证|sign[ -]?in|log[ -]?in|verif(?:y|ication))"
+CHALLENGE_TEXT = r"(?iU)(?:verify (?:you are )?human|just a moment|captcha|安全验证|人机验证)"
+BLOCKED_TITLE = r"(?iU)(?:sorry,? you have been blocked|access denied|attention required|request blocked|访问被拒绝|访问受限)"
+ERROR_TITLE = r"(?iU)(?:404|not found|server error|页面不存在|访问出错)"
+SEARCH_TITLE = r"(?iU)(?:搜索结果|search results?|书库|小说列表)"
+CLASSIFY_NOISE = "comments, .comments, #comments, .comment, #comment, recommendations, .recommendations, #recommendations, aside"
+CLASSIFY_SIGNS = {
+    "content": "article, [id*=content i], [class*=chapter-content i], [class*=chapter_content i], [class*=read-content i]",
+    "captcha_field": "input[name*=captcha i], input[id*=captcha i]",
+    "captcha_image": "img[src*=captcha i], img[alt*=captcha i]",
+    "captcha_form": "form[action*=captcha i], form[action*=challenge i]",
+    "search_form": "form[role=search], input[type=search i]",
+}
 
 
 class _Flat(HTMLParser):
@@ -115,17 +132,53 @@ def page_facts(nodes: DataFrame) -> DataFrame:
 
 
 def classify(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Kind of each page by fixed precedence: error status, error title,
-    chapter, book index (three distinct chapter links), list, unknown."""
-    facts = page_facts(nodes)
-    anchors = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull() & F.col("own_text").rlike(CHAPTER_TEXT))
-    chapters = anchors.groupBy("page_id").agg(F.countDistinct(F.col("attrs")["href"]).alias("chapter_links"))
-    joined = pages.join(facts, "page_id", "left").join(chapters, "page_id", "left")
-    status = F.coalesce("status_code", F.lit(200)) if "status_code" in pages.columns else F.lit(200)
-    title = F.coalesce("title", F.lit(""))
-    kind = (
-        F.when(status >= 400, "error").when(title.rlike("(?i)(?:404|not found|server error|页面不存在|访问出错)"), "error")
-        .when((F.col("article_count") > 0) & F.concat_ws(" ", title, F.col("h1")).rlike(CHAPTER_TEXT), "chapter")
-        .when(F.col("chapter_links") >= 3, "book_index").when(title.rlike("(?i)(?:搜索结果|search results?|书库|小说列表)"), "search_or_list").otherwise("unknown")
+    """(page_id, kind, confidence, evidence) by fixed precedence: blocked title,
+    two of four challenge signals, login form (these at a status under 400 or
+    of AUTH_STATUS), error status, error title, chapter, book index (three
+    distinct chapter links), search or list, unknown. Noise regions are cut
+    first; the title is the whole page's. A null status is 200."""
+    here = lambda selector: dom.fits_one(selector)
+    clean = keep(dom.without(nodes, nodes.filter(here(CLASSIFY_NOISE))))
+    first = lambda table, tag: table.filter(F.col("tag") == tag).groupBy("page_id").agg(F.min("node_id").alias("node_id"), F.min_by("end_id", "node_id").alias("end_id"))
+    titles = node_text(nodes, first(nodes, "title")).select("page_id", F.trim("text").alias("title"))
+    heads = node_text(clean, first(clean, "h1")).select("page_id", F.trim("text").alias("heading"))
+    anchors = clean.filter((F.col("tag") == "a") & dom.attr("href").isNotNull())
+    chapter_text = F.col("text").rlike(f"(?U){CHAPTER_TEXT}")
+    said = node_text(clean, anchors).filter(chapter_text).join(anchors.select("page_id", "node_id", dom.attr("href").alias("href")), ["page_id", "node_id"])
+    chapters = said.groupBy("page_id").agg(F.countDistinct("href").alias("chapter_links"))
+    spoken = dom.without(clean, clean.filter(F.col("tag").isin("script", "style", "template"))).filter(F.col("own_text") != "")
+    texts = spoken.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("node_id", "own_text")))["own_text"], " ").alias("said"))
+    met = clean.groupBy("page_id").agg(*[F.max(here(selector)).alias(name) for name, selector in CLASSIFY_SIGNS.items()])
+    # a password field counts by the form nearest to it
+    forms = clean.filter(F.col("tag") == "form").select(
+        F.col("page_id"), F.col("node_id").alias("_from"), F.col("end_id").alias("_to"),
+        (dom.attr("hidden").isNull() & ~F.replace(F.coalesce(dom.attr("style"), F.lit("")), F.lit(" "), F.lit("")).contains("display:none")).alias("shown"),
     )
-    return joined.select("page_id", kind.alias("kind"))
+    fields = clean.filter(here("input[type=password i]")).join(forms, "page_id").filter("node_id > _from and node_id <= _to")
+    logins = fields.groupBy("page_id", "node_id").agg(F.max_by("shown", "_from").alias("shown")).groupBy("page_id").agg(F.max("shown").alias("login"))
+    joined = pages
+    for table in (titles, heads, chapters, texts, met, logins):
+        joined = joined.join(table, "page_id", "left")
+    status = F.coalesce("status_code", F.lit(200)) if "status_code" in pages.columns else F.lit(200)
+    title, heading = F.coalesce("title", F.lit("")), F.coalesce("heading", F.lit(""))
+    both, flag = F.concat_ws(" ", title, heading), lambda name: F.coalesce(F.col(name), F.lit(False))
+    refused = status.isin(*AUTH_STATUS)
+    asked = (status < 400) | refused
+    signals = F.concat_ws(" ", title, F.coalesce("said", F.lit(""))).rlike(CHALLENGE_TEXT).cast("int")
+    for name in ("captcha_field", "captcha_image", "captcha_form"):
+        signals = signals + flag(name).cast("int")
+    rules = [
+        (refused & title.rlike(BLOCKED_TITLE), "auth_or_challenge", 0.99, "auth.blocked_title"),
+        (asked & (signals >= 2), "auth_or_challenge", 0.96, "auth.challenge_signals"),
+        (asked & both.rlike(AUTH_TITLE) & flag("login"), "auth_or_challenge", 0.98, "auth.password_input"),
+        (status >= 400, "error", 1.0, "error.http_status"),
+        (title.rlike(ERROR_TITLE), "error", 0.9, "error.title_marker"),
+        (flag("content") & both.rlike(f"(?U){CHAPTER_TEXT}"), "chapter", 0.95, "chapter.title_and_content"),
+        (F.coalesce("chapter_links", F.lit(0)) >= 3, "book_index", 0.93, "book_index.chapter_link_cluster"),
+        (title.rlike(SEARCH_TITLE) | flag("search_form"), "search_or_list", 0.88, "list.search_marker"),
+    ]
+    verdict = lambda kind, sure, why: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.array(*map(F.lit, why)).cast("array<string>").alias("evidence"))
+    choice = F
+    for test, kind, sure, why in rules:
+        choice = choice.when(test, verdict(kind, sure, [why]))
+    return joined.select("page_id", choice.otherwise(verdict("unknown", 0.0, [])).alias("v")).select("page_id", "v.*")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text, urls
 from ..operators import books, dedup, events, pages, tts
 from ..sources import exports, readers
+from ..sources.shared import keep
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +106,7 @@ def page_links(spark, d):
 @_query()
 def page_kinds(spark, d):
     p = readers.read_pages(spark, f"{d}/pages.parquet")
-    return pages.classify(p, pages.flatten(p))
+    return pages.classify(p, keep(pages.flatten(p)))
 
 
 @_query(f"SELECT book_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending FROM ({_STATUS}) GROUP BY 1")

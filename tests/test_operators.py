@@ -63,3 +63,38 @@ def test_malformed_markup(spark):
     assert nodes.filter("tag = 'li'").count() == 3 and nodes.filter("tag = 'p'").count() == 2
     assert sorted(r["url"] for r in pages.links(p, nodes).collect()) == ["http://h/1", "http://h/2", "http://h/3"]
     assert {r["page_id"]: r["kind"] for r in pages.classify(p, nodes).collect()} == {1: "book_index", 2: "unknown"}
+
+
+CHALLENGE = "<title>Just a moment...</title><form action='/captcha'><input name='captcha'></form><p>Verify you are human</p>"
+LOGIN = "<title>Login</title><form{}><input type='password'></form>"
+CLASSES = [
+    (200, "<title>星海纪元 - 章节目录</title><h1>星海纪元</h1><div id='list'><a href='/1'>第一章 启程</a><a href='/2.html'>第二章 风暴</a><a href='/read?cid=3'>第三章 星门</a><a href='/?chapter_id=4'>第四章 归途</a></div><form class='login-widget'><input type='password'></form>", "book_index", 0.93),
+    (200, "<title>第一章 启程</title><h1>第一章 启程</h1><article id='content'><p>夜色落在港口</p></article>", "chapter", 0.95),
+    (200, "<title>第二章 风暴</title><h1>第二章 风暴</h1><div class='chapter-content'>风暴席卷甲板</div>", "chapter", 0.95),
+    (200, LOGIN.format(""), "auth_or_challenge", 0.98),
+    (200, CHALLENGE, "auth_or_challenge", 0.96),
+    (200, "<title>搜索结果</title><form role='search'></form><a href='/book'>星海纪元</a>", "search_or_list", 0.88),
+    (200, "<title>社区动态</title><section class='comments'><a href='/1'>第一章</a><a href='/2'>第二章</a><a href='/3'>第三章</a></section><aside class='recommendations'><a href='/a'>推荐</a></aside>", "unknown", 0.0),
+    (500, "<title>Novel chapter 1</title><article>content</article>", "error", 1.0),
+    (200, "<title>第三章 归来</title><h1>第三章 归来</h1><div id='content'>主人公终于回到故乡。</div>", "chapter", 0.95),
+    *[(status, CHALLENGE, "auth_or_challenge", 0.96) for status in (401, 403, 429, 503)],
+    (500, CHALLENGE, "error", 1.0),
+    (403, "<title>Access Denied</title>", "auth_or_challenge", 0.99),
+    (200, "<title>Access Denied</title>", "unknown", 0.0),
+    (200, LOGIN.format(" hidden"), "unknown", 0.0),
+    (200, LOGIN.format(" style='display: none'"), "unknown", 0.0),
+    (200, "<title>A</title><script>captcha</script><input name='captcha'>", "unknown", 0.0),
+    (200, "<title>A</title><a href='/1'><span>Chapter 1</span></a><a href='/2'><span>Chapter 2</span></a><a href='/3'><b>Chapter 3</b></a>", "book_index", 0.93),
+    (200, "<title>Page not found</title>", "error", 0.9),
+    (200, "<title>A</title><input type='Search'>", "search_or_list", 0.88),
+    (None, None, "unknown", 0.0),
+    (404, None, "error", 1.0),
+]
+
+
+def test_page_classes(spark):
+    rows = [(k, f"http://h/{k}", status, html) for k, (status, html, _, _) in enumerate(CLASSES)]
+    p = spark.createDataFrame(rows, "page_id long, url string, status_code int, html string")
+    got = {r["page_id"]: r for r in pages.classify(p, pages.flatten(p)).collect()}
+    assert [(got[k]["kind"], got[k]["confidence"]) for k in range(len(CLASSES))] == [c[2:] for c in CLASSES]
+    assert got[3]["evidence"] == ["auth.password_input"] and got[6]["evidence"] == []
