@@ -159,9 +159,10 @@ def merge_pages(parts: DataFrame, most: int = CHAPTER_PAGES) -> DataFrame:
     return once.groupBy("book_id", "chapter_number").agg(joined.alias("body"), F.count(F.lit(1)).alias("pages"))
 
 
-def next_chains(starts: DataFrame, following: DataFrame, limit: int = 10_000, increasing: Column | None = None) -> DataFrame:
+def next_chains(starts: DataFrame, following: DataFrame, limit: int | None = None, increasing: Column | None = None) -> DataFrame:
     """(start_url, position, url): urls met from each start along `following`
-    (url, next_url; one row a url) until none follows, one repeats, or `limit`.
+    (url, next_url; one row a url) until none follows, one repeats, or `limit`
+    where one is given (the rule of twbook has 10,000).
 
     Jumps double: round k knows, for each url, the urls up to 2^k steps on, so
     a chain of n takes log n rounds. Each round is a kept table: plans stay
@@ -172,10 +173,11 @@ def next_chains(starts: DataFrame, following: DataFrame, limit: int = 10_000, in
     links = keep(links if increasing is None else links.filter(increasing))
     reach, jump = starts.select(F.col("url").alias("start_url"), F.lit(0).cast("long").alias("position"), "url").distinct(), links
     step, known = 1, -1
-    while step < 2 * limit:
+    while limit is None or step < 2 * limit:
         far = jump.select("url", F.col("next_url").alias("_next"))
         more = reach.join(far, "url").select("start_url", (F.col("position") + step).alias("position"), F.col("_next").alias("url"))
-        reach = keep(reach.unionByName(more).groupBy("start_url", "url").agg(F.min("position").alias("position")).select("start_url", "position", "url").filter(F.col("position") < limit))
+        met = reach.unionByName(more).groupBy("start_url", "url").agg(F.min("position").alias("position")).select("start_url", "position", "url")
+        reach = keep(met if limit is None else met.filter(F.col("position") < limit))
         if (now := reach.count()) == known:
             break
         known, step = now, step * 2

@@ -27,6 +27,21 @@ def _catalog_pages(spark, d):
     return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("http://shelf.test/book/"), key, F.lit("/")).alias("url"), html.alias("html"))
 
 
+#: Bits of a page id that hold the turn; the conversation's id takes those above.
+_TURN_BITS = 32
+
+
+def _page_id(turn):
+    """An id of its own for each conversation (under 2^31) and turn (under 2^32)."""
+    return F.shiftleft(F.col("conv_id").cast("long"), _TURN_BITS) + turn.cast("long")
+
+
+def _shown_id():
+    """The page id as the SQL has it."""
+    turn = F.col("page_id").bitwiseAND(F.lit((1 << _TURN_BITS) - 1))
+    return (F.shiftright("page_id", _TURN_BITS) * 100_000 + turn).alias("page_id")
+
+
 def _chapter_pages(spark, d):
     """One chapter page a turn, linked with the ones before and after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -39,7 +54,7 @@ def _chapter_pages(spark, d):
         F.lit('<p class="ad">加入书签</p></div><nav>'), link("prev", "上一章"), F.lit('<a href="'), here, F.lit('">目录</a>'), link("next", "下一章"), F.lit("</nav></body></html>"),
     )
     url = F.concat(F.lit("http://shelf.test"), here, F.col("turn").cast("string"), F.lit(".html"))
-    return turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("page_id"), "conv_id", "turn", url.alias("url"), html.alias("html"))
+    return turns.select(_page_id(F.col("turn")).alias("page_id"), "conv_id", "turn", url.alias("url"), html.alias("html"))
 
 
 _LINES = "(SELECT DISTINCT l_orderkey AS book, l_linenumber AS n FROM lineitem)"
@@ -119,13 +134,13 @@ def page_decisions(spark, d):
 WHERE k IS NOT NULL OR field = 'index_link'""")
 def page_navigation(spark, d):
     p = _chapter_pages(spark, d)
-    return extract.navigation(extract.anchors(p, _nodes(p))).select("page_id", "field", "url", F.col("score").cast("double").alias("score"))
+    return extract.navigation(extract.anchors(p, _nodes(p))).select(_shown_id(), "field", "url", F.col("score").cast("double").alias("score"))
 
 
 @_query(r"""SELECT conv_id * 100000 + turn AS page_id, '第' || turn || '章' AS title,
   array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[\s\x{3000}]+', ''), '[\s\x{3000}]+$', '')), lambda x: x <> ''), chr(10)) AS body FROM conversations""")
 def chapter_bodies(spark, d):
-    return extract.chapters(_nodes(_chapter_pages(spark, d)))
+    return extract.chapters(_nodes(_chapter_pages(spark, d))).select(_shown_id(), "title", "body")
 
 
 @_query("""SELECT 'http://shelf.test/book/' || conv_id || '/' || min(turn) OVER (PARTITION BY conv_id) || '.html' AS start_url, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
@@ -181,12 +196,12 @@ def exploration_reports(spark, d):
     book = F.concat(F.lit("http://shelf.test/book/"), F.col("conv_id").cast("string"), F.lit("/"))
     listed = chapters.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", label.alias("a"))))["a"], "").alias("items"))
     html = F.concat(F.lit('<html><head><title>Book</title></head><body><a href="/">Home</a><h1>Book</h1><ul class="chapter-list">'), "items", F.lit("</ul></body></html>"))
-    catalogs = listed.select((F.col("conv_id") * 100_000 + 99_999).alias("page_id"), book.alias("url"), html.alias("html"))
+    catalogs = listed.select(_page_id(F.lit((1 << _TURN_BITS) - 1)).alias("page_id"), book.alias("url"), html.alias("html"))
     captured = keep(chapters.select("page_id", "url", "html").unionByName(catalogs))
     starts = chapters.groupBy("conv_id").agg(F.min_by("page_id", "turn").alias("page_id"))
     found = explore.explore(captured, _nodes(captured), starts)
     said = F.array_join(F.col("warnings.code"), ",").alias("warnings")
-    return found.select("page_id", "domain", "catalog_url", "title_selector", "chapter_list_selector", "chapter_link_count", "sample_count", "content_selector", "sample_min_chars", "sample_min_paragraphs", said, F.col("proposed_config.site").alias("site"))
+    return found.select(_shown_id(), "domain", "catalog_url", "title_selector", "chapter_list_selector", "chapter_link_count", "sample_count", "content_selector", "sample_min_chars", "sample_min_paragraphs", said, F.col("proposed_config.site").alias("site"))
 
 
 @_query(r"""SELECT page_id, 'auto' AS site, coalesce(nullif(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), ''), nullif(split_part(split_part(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), '_', 1), '-', 1), ''),

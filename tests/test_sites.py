@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chapterlake.functions import urls
 from chapterlake.operators import adapt, books, configs, dom, extract, pages, tts
+from chapterlake.plans import site_queries
 from chapterlake.sources import exports, readers
 from chapterlake.streaming import tasks
 
@@ -203,3 +204,16 @@ def test_intake(spark, tmp_path):
 def test_chapter_order(spark):
     rows = spark.createDataFrame([("http://h/b/10.html",), ("http://h/b/2.html",), ("http://h/x",)], "u string")
     assert [r["u"] for r in rows.orderBy(urls.chapter_order(F.col("u"))).collect()] == ["http://h/b/2.html", "http://h/b/10.html", "http://h/x"]
+
+
+def test_long_chains_and_page_ids(spark, tmp_path):
+    n = 10_050
+    links = spark.range(n).selectExpr("cast(id as string) as url", "cast(id + 1 as string) as next_url")
+    chain = extract.next_chains(spark.createDataFrame([("0",)], "url string"), links)
+    assert chain.agg(F.max("position")).first()[0] == n and chain.count() == n + 1
+    turns = [(1, 100_000, "user", "a"), (1, 99_999, "user", "b"), (2, 0, "user", "c")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    bodies = site_queries.chapter_bodies(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["title"], r["body"]) for r in bodies) == [(199_999, "第99999章", "b"), (200_000, "第0章", "c"), (200_000, "第100000章", "a")]
+    chains = site_queries.next_chains(spark, str(tmp_path)).collect()
+    assert sorted((r["position"], r["url"]) for r in chains) == [(0, "http://shelf.test/book/1/99999.html"), (0, "http://shelf.test/book/2/0.html"), (1, "http://shelf.test/book/1/100000.html")]
