@@ -137,21 +137,30 @@ class SeedIndex:
         return (matches, a + start, a + end + 1) if matches >= self.need[item] else None
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text) against benchmark (item_id, text). Returns a row for
-    each document and item that overlap: doc_id, item_id, matched_words,
-    item_words, start_word, end_word (of the document)."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame) -> list:
+    """For each block of the benchmark a function that broadcasts its seeds."""
+    spark = benchmark.sparkSession
     common.configure(spark)
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // BLOCK_BYTES))
+
+    def send(block: int):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
+        return spark.sparkContext.broadcast(SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+    return [lambda block=block: send(block) for block in range(blocks)]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text) against benchmark (item_id, text). Returns a row for
+    each document and item that overlap: doc_id, item_id, matched_words,
+    item_words, start_word, end_word (of the document)."""
     schema = "doc_id long, item_id long, matched_words int, item_words int, start_word int, end_word int"
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def pass_over(block: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    def pass_over(send) -> DataFrame:
+        shared = send()
 
         def run(batches):
             index = shared.value
@@ -172,10 +181,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return texts.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [pass_over(b) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [pass_over(send) for send in _indexes(benchmark)])
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose id has no leak."""
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """The rows of docs whose own text has no leak. Each row is decided by its
+    text alone, so ids may be null or repeated. Between two blocks of the
+    benchmark the rows are written."""
+    at = docs.columns.index("text")
+
+    def pass_over(rows: DataFrame, send) -> DataFrame:
+        shared = send()
+
+        def run(batches):
+            index = shared.value
+            for batch in batches:
+                words, begins = common.word_hashes(*common.text_buffers(batch.column(at)), common.ALNUM)
+                keep = []
+                for k in range(batch.num_rows):
+                    own = words[begins[k] : begins[k + 1]]
+                    keep.append(not any(index.verify(own, item, diagonal) for item, diagonal in index.hits(own)))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    sends, staged = _indexes(benchmark), None
+    for send in sends[:-1]:
+        now = common.stage(pass_over(docs if staged is None else staged, send), "clean")
+        if staged is not None:
+            common.release(staged)
+        staged = now
+    return pass_over(docs if staged is None else staged, sends[-1])

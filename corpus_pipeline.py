@@ -29,15 +29,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates
-    (five-word shingles, similarity 0.8 or more)."""
-    found = jaccard.similar_components(docs, 5, 80)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near duplicates (five-word shingles,
+    similarity 0.8 or more): that of smallest doc_id, null ids after all others,
+    any one of those that share the id. Rows are told apart by a written key,
+    so rows of a null or repeated id count each for itself. Null and empty
+    texts have no duplicates."""
+    keyed = common.stage(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = jaccard.similar_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), 5, 80)
+    found = found.select(F.col("doc_id").alias("row_key"), "component_id").join(keyed.select("row_key", "doc_id"), "row_key")
+    found = common.stage(found, "components_of_rows")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    first = found.groupBy("component_id").agg(F.min(order)["row_key"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    gone = found.join(first, "component_id").filter("row_key <> first").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a passage of the benchmark."""
+    """Removes rows that hold a passage of the benchmark."""
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 

@@ -260,3 +260,27 @@ def test_pipeline_keeps_and_drops(spark):
         kept = after
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    same, other, leak = "one two three four five six seven", "a quite different text of its own here", f"so {item} it ends"
+    rows = [*ODD[:3], (None, same), (None, same), (6, other), (6, other), (7, same), (8, "some third text that stays as it is"), (8, other), (9, leak), (9, "clean text of an id that also has a leak"), (None, leak), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r[:2], "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.duplicate_stage(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    got = Counter(map(tuple, after))
+    want = Counter([*[r[:2] for r in ODD[:3]], (6, other), (7, same), (8, rows[8][1]), (9, leak), (9, rows[11][1]), (None, None), (None, "")])
+    assert got == want
+    left = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect())
+    assert left == Counter([r[:2] for r in rows if r[1] != leak])
+
+
+def test_remove_leaks_in_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, " ".join(f"b{k}w{i}" for i in range(16))) for k in range(5)], "item_id long, text string")
+    docs = bench.withColumnRenamed("item_id", "doc_id").union(spark.createDataFrame([(None, "clean"), (None, None)], "doc_id long, text string"))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    assert sorted(r["text"] or "" for r in decontaminate.remove_leaks(docs, bench).collect()) == ["", "clean"]
+    assert decontaminate.find_leaks(docs, bench).count() == 5
