@@ -5,17 +5,20 @@ gathered. Over it the configuration linear program
 
     minimise sum_c x_c   with   sum_c a_cl x_c >= n_l   for every length l
 
-is solved by multiplicative weights: lengths that the mix so far covers worst
-weigh most, and a knapsack dynamic program prices the best configuration under
-those weights. The fractional counts are rounded down and the pieces left over
-are put best-fit, again as counts. Which sequence a piece gets is then
-arithmetic on its rank among the pieces of its length, so no piece passes
-through the driver and no group is gathered in one task.
+is solved by multiplicative weights: the more of a length's demand the mix so
+far covers, the less it weighs, and one bounded knapsack dynamic program a
+round prices, for every length, the full configuration of most weight that
+holds it. The fractional counts are rounded down to whole sequences and the
+program is solved again for the demand that is left, until no full
+configuration is left; the small rest is put best-fit. Which sequence a piece
+gets is then arithmetic on its rank among the pieces of its length, so no
+piece passes through the driver and no group is gathered in one task.
 
 Empty and null texts hold the end id alone (length 1). Rows repeat as they
 are: each is packed. A null id is kept. An empty table gives no rows. Columns
 other than the id and the text are not read. Ties of length are ranked by
-input split and position.
+input split and position. Texts of any length are cut into pieces of the
+capacity, the first of which may be shorter.
 """
 
 from __future__ import annotations
@@ -31,60 +34,95 @@ from pyspark.sql.window import Window
 
 from . import common, tokens
 
-#: Rounds of multiplicative weights, and the step of each.
-ROUNDS, STEP = 120, 0.15
+#: How fast weights fall with coverage, the share of the scarcest length's
+#: demand that a round covers at a time, and the rounds of one solution.
+FALL, STEP, ROUNDS = 4.0, 0.9, 100
 
 
-def price(weights: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of most weight: an unbounded knapsack by dynamic
-    programming over capacities, cut to the pieces that exist."""
-    lengths = np.flatnonzero(counts)
-    value = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    w = weights[lengths]
-    for room in range(1, capacity + 1):
-        k = np.searchsorted(lengths, room, "right")
-        value[room] = value[room - 1]
-        if k:
-            gain = value[room - lengths[:k]] + w[:k]
-            best = int(gain.argmax())
-            if gain[best] > value[room]:
-                value[room], took[room] = gain[best], lengths[best]
-    out: dict[int, int] = defaultdict(int)
-    room = capacity
-    while room > 0:
-        if took[room] == 0:
-            room -= 1
-            continue
-        out[int(took[room])] += 1
-        room -= int(took[room])
-    return {l: min(a, int(counts[l])) for l, a in out.items()}
-
-
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations and their (fractional) numbers, by multiplicative
-    weights; together they cover about counts."""
+class Knapsack:
+    """A bounded knapsack by dynamic programming: for every room up to capacity
+    the pieces of most weight that fill it exactly. Multiplicities are split in
+    powers of two."""
+
+    def __init__(self, lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int):
+        self.parts = []
+        for l, w, m in zip(lengths.tolist(), weights.tolist(), most.tolist()):
+            many, m = 1, min(m, capacity // l)
+            while m > 0:
+                many = min(many, m)
+                self.parts.append((l, many, many * l, many * w))
+                m, many = m - many, many * 2
+        value = np.full(capacity + 1, -np.inf)
+        value[0] = 0
+        took = np.zeros((len(self.parts), capacity + 1), bool)
+        for i, (_, _, size, worth) in enumerate(self.parts):
+            gain = value[: capacity + 1 - size] + worth
+            better = gain > value[size:]
+            took[i, size:] = better
+            np.copyto(value[size:], gain, where=better)
+        self.value, self.took = value, np.ascontiguousarray(took.T)
+
+    def fill(self, room: int) -> dict[int, int] | None:
+        """Pieces of each length that fill room, if any do."""
+        if not np.isfinite(self.value[room]):
+            return None
+        out: dict[int, int] = defaultdict(int)
+        end = len(self.parts)
+        while room:
+            end = end - 1 - int(self.took[room, :end][::-1].argmax())
+            l, many, size, _ = self.parts[end]
+            out[l] += many
+            room -= size
+        return out
+
+
+def fractional(counts: np.ndarray, capacity: int) -> dict[tuple, float]:
+    """Full configurations and their (fractional) numbers by multiplicative
+    weights. A length's weight grows faster than the length, so that long pieces
+    are met first and short ones are left to fill up."""
     lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return {}
-    # a configuration is worth the share of each length's demand that it fills
-    log_w = np.log(lengths / capacity)
+    size = lengths * (1 + lengths / capacity)
+    rest = counts.astype(float)
     mixed: dict[tuple, float] = defaultdict(float)
-    used = np.zeros(len(counts))
-    bound = float((counts * np.arange(len(counts))).sum()) / capacity
-    for _ in range(rounds):
-        weights = np.zeros(len(counts))
-        weights[lengths] = np.exp(log_w - log_w.max())
-        config = price(weights, counts, capacity)
-        mixed[tuple(sorted(config.items(), reverse=True))] += bound / rounds
-        for l, a in config.items():
-            used[l] += a * bound / rounds
-        # lengths that got more than their share lose weight
-        share = used[lengths] / counts[lengths]
-        log_w = np.log(lengths / capacity) - STEP * rounds ** 0.5 * (share - share.min())
+    for _ in range(ROUNDS):
+        weights = size * np.exp(-FALL * (1 - rest[lengths] / counts[lengths]))
+        most = rest[lengths].astype(np.int64)
+        open_ = most > 0
+        priced = Knapsack(lengths[open_], weights[open_], most[open_], capacity)
+        met = False
+        for l in lengths[open_][np.argsort(-weights[open_], kind="stable")].tolist():
+            config = priced.fill(capacity - l) if rest[l] >= 1 else None
+            if config is None:
+                continue
+            config[l] += 1
+            room = min(rest[k] / a for k, a in config.items())
+            if room < 1:  # another configuration of this round took its pieces
+                continue
+            x = max(1.0, STEP * room)
+            mixed[tuple(sorted(config.items(), reverse=True))] += x
+            for k, a in config.items():
+                rest[k] -= a * x
+            met = True
+        if not met:
+            break
     return mixed
 
 
+def configured(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """(configurations and whole numbers of sequences, counts left over): the
+    program's solution rounded down, solved again for the rest."""
+    left, out, taken = np.asarray(counts, np.int64).copy(), [], True
+    while taken and left.any():
+        taken = False
+        for config, x in fractional(left, capacity).items():
+            if many := int(x + 1e-9):
+                out.append((dict(config), many))
+                taken = True
+                for l, a in config:
+                    left[l] -= a * many
+    return out, left
+
+
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict, int]]:
     """Best-fit decreasing on counts: (contents, how many such sequences)."""
     open_: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
@@ -119,17 +157,24 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict, int]]:
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and whole numbers of sequences that use every piece."""
-    counts = np.asarray(counts, np.int64)
-    left, out = counts.copy(), []
-    for config, x in sorted(fractional(counts, capacity).items(), key=lambda c: -c[1]):
-        many = min([int(x), *(int(left[l]) // a for l, a in config)])
-        # a configuration with room left is a case for best fit
-        if many and sum(l * a for l, a in config) == capacity:
-            out.append((dict(config), many))
-            for l, a in config:
+    """Configurations and whole numbers of sequences that use every piece: the
+    program's, and best fit for what it leaves. While there are more sequences
+    than the tokens need, configurations with the shortest pieces are given
+    back, twice as many each time, if best fit saves a sequence with them."""
+    made, left = configured(counts, capacity)
+    made = sorted(made, key=lambda c: -min(c[0]))
+    total = int((np.asarray(counts) * np.arange(len(counts))).sum())
+    many_of = lambda plan: sum(many for _, many in plan)
+    best, back = made + best_fit(left, capacity), 1
+    while many_of(best) > -(-total // capacity) and back < 2 * len(made):
+        kept, left = made[: max(0, len(made) - back)], np.array(counts, np.int64)
+        for contents, many in kept:
+            for l, a in contents.items():
                 left[l] -= a * many
-    return out + best_fit(left, capacity)
+        tried = kept + best_fit(left, capacity)
+        best = tried if many_of(tried) < many_of(best) else best
+        back *= 2
+    return best
 
 
 def slots(planned: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -54,6 +55,46 @@ def test_plan_uses_every_piece(counts):
     assert used == Counter(counts)
 
 
+def test_knapsack_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths, most = np.unique(rng.integers(1, 12, 5)), rng.integers(1, 4, 5)
+        weights = rng.random(len(lengths))
+        priced = packing.Knapsack(lengths, weights, most[: len(lengths)], 20)
+        for room in range(21):
+            fits = [sum(a * w for a, w in zip(many, weights)) for many in product(*[range(m + 1) for m in most[: len(lengths)]]) if sum(a * l for a, l in zip(many, lengths)) == room]
+            found = priced.fill(room)
+            assert (found is None) == (not fits)
+            if fits:
+                assert np.isclose(sum(weights[list(lengths).index(l)] * a for l, a in found.items()), max(fits)) and sum(l * a for l, a in found.items()) == room
+
+
+def test_program_makes_the_packing(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        texts = [r["text"] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect()]
+        e, hist = encoder(), np.zeros(2049, np.int64)
+        for t in texts:
+            n = len(e.encode(t or "")) // 4 + 1
+            hist[2048] += n // 2048
+            hist[n % 2048] += n % 2048 > 0
+        many = lambda plan: sum(m for _, m in plan)
+        made, bound = packing.plan(hist, 2048), -(-int((hist * np.arange(2049)).sum()) // 2048)
+        program = {tuple(sorted(c.items())) for c, _ in packing.configured(hist, 2048)[0]}
+        assert many(made) <= min(bound + 1, many(packing.best_fit(hist, 2048)))
+        assert sum(m for c, m in made if tuple(sorted(c.items())) in program) > 0.7 * many(made)
+
+
+def test_packing_cuts_only_long_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x y " * 400), (3, None), (2, "x y " * 400)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, queries.tokenizer_path(), 64).toPandas().sort_values(["doc_id", "sequence_id", "piece"])
+    e = encoder()
+    for d, t in ((1, "a b c"), (3, ""), (2, "x y " * 400)):
+        n, own = len(e.encode(t)) // 4 + 1, rows[rows.doc_id == d]
+        copies = 2 if d == 2 else 1
+        assert own.length.sum() == copies * n and (own[own.piece > 0].length == 64).all()
+        assert sorted(set(zip(own.piece, own.start, own.length))) == [(k, max(0, (n % 64 or min(n, 64)) + 64 * (k - 1)) if k else 0, 64 if k else n % 64 or min(n, 64)) for k in range(-(-n // 64))]
+
+
 def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
     rows = packing.pack_documents(odd, queries.tokenizer_path(), 512, with_ids=True).toPandas()
