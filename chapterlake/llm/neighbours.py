@@ -15,8 +15,10 @@ within the radius gives its k nearest codes instead, so no query is short.
 
 Vectors null, zero, or with null or non-finite components take no part, nor do
 those of other dimensions than the sample's commonest. Rows with a null id take
-no part. Repeated vectors are separate rows; ties go to the smaller id. An
-empty table gives no rows.
+no part. Repeated vectors are separate rows; equal vectors have equal scores,
+and ties go to the smaller id. Very large or small components are scaled by a
+power of two, which leaves the cosine as it is. An empty table gives no rows.
+Only id and vector are read.
 """
 
 from __future__ import annotations
@@ -88,16 +90,22 @@ def unit_rows(ids, vectors, dim: int | None = None) -> tuple[np.ndarray, np.ndar
         a = np.asarray(v, float)
         if np.isfinite(a).all() and (a != 0).any():
             kept.append(i)
-            out.append(a)
+            far = int(np.frexp(np.abs(a).max())[1])
+            out.append(np.ldexp(a, -far) if abs(far) > 300 else a)
     return np.array(kept, np.int64), (np.stack(out) if out else np.zeros((0, dim or 0)))
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Norms of rows, summed row by row: equal rows have equal norms."""
+    return np.sqrt((vectors * vectors).sum(1))
+
+
 class Part:
     """The codes of a part of the table, indexed by every substring."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
         self.codes, self.ids = codes, ids
-        self.norms = np.linalg.norm(vectors, axis=1)
+        self.norms = lengths(vectors)
         self.vectors = vectors
         self.code = codes.of(vectors / self.norms[:, None])
         parts = codes.substrings(self.code)
@@ -122,10 +130,12 @@ class Part:
             others = self.ids != query_id
             far = np.where(others, np.bitwise_count(self.code ^ code).sum(1).astype(np.int64), 1 << 30)
             rows = np.argsort(far, kind="stable")[: min(k, int(others.sum()))]
-        score = self.vectors[rows] @ query / (self.norms[rows] * np.linalg.norm(query))
-        if len(rows) > 4 * k:  # ties at the edge stay in
-            edge = np.partition(score, -k)[-k]
-            rows, score = rows[score >= edge - 1e-12], score[score >= edge - 1e-12]
+        norm = lengths(query[None])[0]
+        if len(rows) > 4 * k:  # a first pass by matrix product, wide enough for its rounding
+            near = self.vectors[rows] @ query / (self.norms[rows] * norm)
+            rows = rows[near >= np.partition(near, -k)[-k] - 1e-9]
+        # one fixed order of summation a row, so that equal vectors score the same wherever they lie
+        score = (self.vectors[rows] * query).sum(1) / (self.norms[rows] * norm)
         best = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[best]], score[best]
 
@@ -181,7 +191,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
                     ids, own = [], []
             yield from answer(ids, own)
 
-        return vectors.select("id", "vector").mapInArrow(run, schema)
+        found = vectors.select("id", "vector").mapInArrow(run, schema)
+        if blocks > 1:  # the driver holds one block at a time
+            found = common.stage(found, "near")
+            wanted.unpersist()
+        return found
 
     found = reduce(DataFrame.unionByName, [block_of(b) for b in range(blocks)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
