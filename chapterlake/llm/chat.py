@@ -1,21 +1,28 @@
 """Chat formatting by schema fingerprints.
 
 Records come in many layouts. A record's fingerprint is the hash of the sorted
-paths of its fields that hold a value; it selects a declarative mapping, which
-says where the turns are: single fields (prompt, response, ...) each said by a
-role, or a list of messages with role and text fields. The canonical turns are
-then written with a template, one piece a turn.
+nested paths that hold a value, of those that a mapping names; it selects a
+declarative mapping, which says where the turns are: single fields (prompt,
+response, ...) each said by a role, or a list of messages with role and text
+fields. A mapping's paths may lie at the top or within any struct column
+(`data.messages[].content`); fields that no mapping names are passed over. The
+canonical turns are then written with a template, one piece a turn.
+
+A record whose fingerprint is no mapping's own takes the mapping of most paths
+that it fills whole, else the first whose missing fields are all it lacks:
+those are null and count as empty texts. A null or empty list has no turns.
+Where no mapping fits, turns is null; unknown() counts such records.
 
 Template of a turn: TURN role newline text END newline. Inside role and text
 `\\` is written `\\\\`, `<` is `\\l` and `[` is `\\b` (in roles newline is `\\n`), so
 no control string survives there, and unescape() gives each text back. A
 piece carries the span of its text under the loss mask (assistant turns).
 
-Everything is DataFrame functions. Null text or role is empty; a record with
-no known fingerprint gives no turns and is counted by unknown(); rows with a
-null id form one conversation; turns of equal number are ordered by role and
-text; an empty table gives no rows. Very long conversations are written piece
-by piece: only a caller's digest of a whole conversation needs it in one row.
+Everything is DataFrame functions. Null text or role is empty; rows with a
+null id form one conversation; repeated turns stay, and turns of equal number
+are ordered by role and text; an empty table gives no rows. Texts are taken
+whole; very long conversations are written piece by piece: only a caller's
+digest of a whole conversation needs it in one row.
 """
 
 from __future__ import annotations
@@ -38,18 +45,20 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 @dataclass(frozen=True)
 class Mapping:
     """fields: (role, field) in order; or items: a list field with the names of
-    its role, text and (if any) order fields."""
+    its role, text and (if any) order fields. aliases: whether its roles may go
+    by other names."""
 
     fields: tuple[tuple[str, str], ...] = ()
     items: str = ""
     role: str = ""
     text: str = ""
     order: str = ""
+    aliases: bool = True
 
-    def paths(self) -> list[str]:
+    def paths(self, under: str = "") -> list[str]:
         if self.fields:
-            return sorted(f for _, f in self.fields)
-        return sorted(f"{self.items}[].{x}" for x in (self.role, self.text, self.order) if x)
+            return sorted(under + f for _, f in self.fields)
+        return sorted(f"{under}{self.items}[].{x}" for x in (self.role, self.text, self.order) if x)
 
 
 #: The known layouts.
@@ -63,63 +72,81 @@ MAPPINGS = (
     Mapping((("system", "system"), ("user", "instruction"), ("assistant", "output"))),
     Mapping(items="messages", role="role", text="content"),
     Mapping(items="conversations", role="from", text="value"),
-    Mapping(items="turns", role="role", text="text", order="turn"),
+    Mapping(items="turns", role="role", text="text", order="turn", aliases=False),
 )
 
 
-def fingerprint_of(paths: list[str]) -> Column:
-    return F.xxhash64(F.concat_ws("\n", *[F.lit(p) for p in sorted(paths)]))
-
-
-def _paths(name: str, value: Column, kind: T.DataType) -> list[Column]:
-    """For every nested field a column: its path where it holds a value."""
+def _paths(name: str, value: Column, kind: T.DataType) -> dict[str, tuple[Column, T.DataType]]:
+    """For every nested path its presence (a list has the fields of its items if
+    it has items) and type."""
     if isinstance(kind, T.StructType):
-        return [x for f in kind for x in _paths(f"{name}.{f.name}", value[f.name], f.dataType)]
+        return {p: x for f in kind for p, x in _paths(f"{name}.{f.name}", value.getField(f.name), f.dataType).items()}
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        # a list has a field if any of its items has the field, or if it has items of this one kind only
-        return [F.when(F.size(value) > 0, F.lit(f"{name}[].{f.name}")) for f in kind.elementType]
-    return [F.when(value.isNotNull(), F.lit(name))]
+        return {f"{name}[].{f.name}": (F.size(value) > 0, f.dataType) for f in kind.elementType}
+    return {name: (value.isNotNull(), kind)}
+
+
+def _structs(name: str, value: Column, kind: T.DataType) -> list[tuple[str, Column]]:
+    """The struct columns, at any depth, in which a mapping may lie."""
+    if not isinstance(kind, T.StructType):
+        return []
+    return [(f"{name}.", value), *(x for f in kind for x in _structs(f"{name}.{f.name}", value.getField(f.name), f.dataType))]
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> Column:
-    """The hash of the sorted paths of the record's fields that hold a value."""
-    found = [x for c in columns for x in _paths(c, F.col(f"`{c}`"), df.schema[c].dataType)]
-    return F.xxhash64(F.array_join(F.array_sort(F.array_compact(F.array(*found))), "\n"))
+def fingerprint(present: dict[str, Column], paths: list[str]) -> Column:
+    """The hash of those of paths (sorted) that hold a value in the record."""
+    held = [F.when(F.coalesce(present[p], F.lit(False)), F.lit(p)) for p in sorted(paths)]
+    return F.xxhash64(F.array_join(F.array_compact(F.array(*held)), "\n")) if held else F.xxhash64(F.lit(""))
 
 
-def _turns(df: DataFrame, m: Mapping, columns: list[str]) -> Column | None:
-    """The canonical turns of a record by a mapping, if df has its fields."""
-    kind = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+def fingerprint_of(paths: list[str]) -> Column:
+    return F.xxhash64(F.lit("\n".join(sorted(paths))))
+
+
+def _turns(m: Mapping, at) -> Column:
+    """The canonical turns of a record by a mapping; at gives a field's column."""
+    said = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     if m.fields:
-        if not {f for _, f in m.fields} <= set(columns) or any(not isinstance(df.schema[f].dataType, T.StringType) for _, f in m.fields):
-            return None
-        return F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), kind(F.col(f"`{f}`")).alias("text")) for k, (r, f) in enumerate(m.fields)])
-    if m.items not in columns or not isinstance(df.schema[m.items].dataType, T.ArrayType):
-        return None
-    inner = df.schema[m.items].dataType.elementType
-    if not isinstance(inner, T.StructType) or not {x for x in (m.role, m.text, m.order) if x} <= set(inner.names):
-        return None
+        return F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), said(at(f)).alias("text")) for k, (r, f) in enumerate(m.fields)])
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    role = lambda x: F.coalesce(names[F.lower(x)], x, F.lit(""))
+    role = (lambda x: F.coalesce(names[F.lower(x)], x, F.lit(""))) if m.aliases else said
     turn = (lambda x, k: x[m.order].cast("long")) if m.order else (lambda x, k: k.cast("long"))
-    made = F.transform(F.col(f"`{m.items}`"), lambda x, k: F.struct(turn(x, k).alias("turn"), role(x[m.role].cast("string")).alias("role"), kind(x[m.text]).alias("text")))
+    made = F.transform(at(m.items), lambda x, k: F.struct(turn(x, k).alias("turn"), role(x[m.role].cast("string")).alias("role"), said(x[m.text]).alias("text")))
+    made = F.coalesce(made, F.array().cast(TURNS))
     return F.array_sort(made) if m.order else made
 
 
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
 def canonical_turns(records: DataFrame, key: str) -> DataFrame:
-    """Adds fingerprint and turns (array of turn, role, text) to records whose
+    """key, fingerprint and turns (array of turn, role, text) of records whose
     columns other than key hold one of the known layouts."""
-    columns = [c for c in records.columns if c != key]
-    kind = "array<struct<turn:bigint,role:string,text:string>>"
-    case = None
+    kinds = {f.name: f.dataType for f in records.schema if f.name != key}
+    found = {p: x for c, kind in kinds.items() for p, x in _paths(c, _column(c), kind).items()}
+    places = [("", None), *(x for c, kind in kinds.items() for x in _structs(c, _column(c), kind))]
+    known = []
     for m in MAPPINGS:
-        turns = _turns(records, m, columns)
-        if turns is not None:
-            test = F.col("_fp") == fingerprint_of(m.paths())
-            case = F.when(test, turns.cast(kind)) if case is None else case.when(test, turns.cast(kind))
-    marked = records.withColumn("_fp", fingerprint(records, columns))
-    found = F.lit(None).cast(kind) if case is None else case
-    return marked.select(F.col(f"`{key}`"), F.col("_fp").alias("fingerprint"), found.alias("turns"))
+        for under, struct in places:
+            paths = m.paths(under)
+            if all(p in found and not isinstance(found[p][1], (T.ArrayType, T.MapType)) for p in paths):
+                known.append((paths, _turns(m, _column if struct is None else struct.getField).cast(TURNS)))
+    named = sorted({p for paths, _ in known for p in paths})
+    present = {p: found[p][0] for p in named}
+    own = fingerprint(present, named)
+    case = None
+    for test, order in (
+        (lambda paths: own == fingerprint_of(paths), known),
+        (lambda paths: fingerprint(present, paths) == fingerprint_of(paths), sorted(known, key=lambda k: -len(k[0]))),
+        (lambda paths: fingerprint(present, [p for p in named if p not in paths]) == fingerprint_of([]), known),
+    ):
+        for paths, turns in order:
+            case = F.when(test(paths), turns) if case is None else case.when(test(paths), turns)
+    return records.select(_column(key), own.alias("fingerprint"), (F.lit(None).cast(TURNS) if case is None else case).alias("turns"))
 
 
 def unknown(canonical: DataFrame) -> DataFrame:
