@@ -15,26 +15,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for text tables: a few MB of text at usual lengths.
-TEXT_ROWS = 1000
+#: Rows and bytes per Arrow batch for text tables: a few MB of text at usual
+#: lengths, and no more than the bytes (or one row) where texts are very long.
+TEXT_ROWS, TEXT_BYTES = 1000, 32 << 20
 #: Bytes of text that one numpy step works on.
 STEP_BYTES = 1 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches of text operators."""
+    """Bound the Arrow batches of text operators. Plans read these settings
+    when they run, so the session keeps them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where
-    it is set; else a temporary folder on a local master, or the warehouse."""
+    it is set; else a temporary folder on a local master, or the warehouse if it
+    is not a folder of one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             found = "file://" + tempfile.mkdtemp(prefix="chapterlake-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
+            if found.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

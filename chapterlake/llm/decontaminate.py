@@ -14,10 +14,13 @@ least min(MIN_MATCH, 80 % of the item's words) words, a mismatch costing two
 matches. Items of 5 to 7 words count when they occur whole; items of fewer
 words are too common to tell and give no hit. Null and empty texts, on either
 side, give no hit; repeated rows are each reported; the first best run is
-reported on ties. An empty table on either side gives no rows.
+reported on ties. An empty table on either side gives no rows. Texts are read
+whole, whatever their length; columns other than the ids and texts are not
+read (remove_leaks passes them on).
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text, one
-pass over the documents for each, so its size is not bounded by memory.
+The benchmark goes to the tasks in blocks of about BLOCK_BYTES of text, one
+pass over the documents for each, whose rows are written before the next block
+is gathered: its size is not bounded by memory.
 """
 
 from __future__ import annotations
@@ -179,9 +182,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "matched_words", "item_words", "start_word", "end_word"])
 
-        return texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(run, schema)
+        if len(sends) > 1:  # the driver holds one block at a time
+            found = common.stage(found, "leaks")
+            shared.unpersist()
+        return found
 
-    return reduce(DataFrame.unionByName, [pass_over(send) for send in _indexes(benchmark)])
+    sends = _indexes(benchmark)
+    return reduce(DataFrame.unionByName, [pass_over(send) for send in sends])
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
