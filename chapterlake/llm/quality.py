@@ -7,8 +7,9 @@ columns. Pairs interact through low-rank factors, summed in linear time as
 AdaGrad on at most SAMPLE_ROWS labelled rows (those of least hash of doc_id).
 
 Null and empty texts have the structure bins of zero and get a score too. Null
-metadata has a bin of its own. Rows repeat as they are. An empty table gives
-no rows; without labelled rows every score is 0.5.
+metadata has a bin of its own; negative values count as 0. Any label above 0
+is a 1. Texts of any length are read whole. Rows repeat as they are. An empty
+table gives no rows; without labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -137,16 +138,24 @@ def _numbers(batch: pa.RecordBatch, places: list[int]) -> list[np.ndarray]:
 
 def sample_labels(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """At most `rows` labelled ids, those of least hash."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("label"))
     return known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
 
 
+def labelled(docs: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """columns and label of the chosen ids: one row an id and label (the least
+    where ids repeat), so that a repeated id is not gathered whole."""
+    rows = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # bounded by the sample
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("r")).select("doc_id", "r.*")
+    return least.join(F.broadcast(chosen), "doc_id").select(*columns, "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine | None:
     """Trains on docs (doc_id, text, metadata) joined with labels (doc_id,
     label 0 or 1)."""
     common.configure(docs.sparkSession)
     chosen = sample_labels(labels, label, sample_rows)
-    rows = docs.select("doc_id", "text", *metadata).join(F.broadcast(chosen), "doc_id").select("text", "label", *metadata)
+    rows = labelled(docs, chosen, ["text", *metadata]).select("text", "label", *metadata)
 
     def run(batches):
         for batch in batches:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import chat, common, decontaminate, jaccard, langid, neighbours, packing, quality, sharding, sstable, toxicity
 
 
+#: The metadata columns that quality reads.
+METADATA = ("n_chars",)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,10 +48,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", common.held_out(F.col("doc_id")).alias("held_out"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", common.held_out(F.col("doc_id")).alias("held_out"))
     labels = _table(spark, sf_dir, "labels")
-    model = quality.fit(docs.filter(~F.col("held_out")), labels.filter(~common.held_out(F.col("doc_id"))), "quality")
-    return quality.score(docs, model, keep_text=False).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    model = quality.fit(docs.filter(~F.col("held_out")), labels.filter(~common.held_out(F.col("doc_id"))), "quality", METADATA)
+    return quality.score(docs, model, METADATA, keep_text=False).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

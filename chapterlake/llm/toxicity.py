@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     spark = docs.sparkSession
     common.configure(spark)
     chosen = quality.sample_labels(labels, label, sample_rows)
-    rows = common.stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic_sample")
+    rows = common.stage(quality.labelled(docs, chosen, ["text"]), "toxic_sample")
 
     def count(batches):
         sums = np.zeros((2, 1 << BITS), np.int64)

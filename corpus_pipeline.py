@@ -16,8 +16,8 @@ QUALITY_MIN, LANGUAGE_MIN = 0.5, 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is QUALITY_MIN or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~common.held_out(F.col("doc_id")))
-    model = quality.fit(docs.filter(~common.held_out(F.col("doc_id"))), labels, "quality")
-    return quality.score(docs.select(*COLUMNS), model).filter(F.col("score") >= QUALITY_MIN).select(*COLUMNS)
+    model = quality.fit(docs.filter(~common.held_out(F.col("doc_id"))), labels, "quality", queries.METADATA)
+    return quality.score(docs.select(*COLUMNS), model, queries.METADATA).filter(F.col("score") >= QUALITY_MIN).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
