@@ -117,6 +117,22 @@ def test_shards_of_tokens(spark, odd, empty):
             assert bytes(next(r["ids"] for r in found if r["doc_id"] == 5)) == encoder().encode("!!! 12") + b"\0\0\0\0"
 
 
+def test_checksums_of_token_shards(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**12, "last <|endoftext|> one"), (-5, None)], "doc_id long, text string"))
+    path = common.new_path(spark, "t")
+    sstable.write_tokens(docs.repartition(7), queries.tokenizer_path(), path)
+    library, at = Tokenizer.from_file(queries.tokenizer_path()), 0
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sstable.read_tokens(spark, path).collect())
+    want = []
+    for r in docs.orderBy("doc_id").collect():
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((at, r["doc_id"], len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+    asked = spark.createDataFrame([(10**12,), (-5,), (10**12 + 1,), (-6,)], "doc_id long")
+    assert sorted(r["doc_id"] for r in sstable.lookup(spark, path, asked).collect()) == [-5, 10**12]
+
+
 def test_leaks(spark, odd, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
     words = item.split()
@@ -128,6 +144,12 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "same text here again now"), (1, "same text here again now"), (2, "word " * 20), (3, "no id"), (4, "x"), (None, "same text here again now")], "item_id long, text string")
+    found = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(odd, bench).collect())
+    assert found == {(4, 1): 4, (4, None): 2, (3, 2): 1}
+
+
 def brute_overlap(doc, item):
     """Most matches of a best run (a mismatch costs two matches) over all alignments."""
     most = 0
@@ -198,6 +220,34 @@ def test_neighbours_recall(spark):
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(6, 61))
+def test_equal_vectors_tie_by_id(n):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=48)
+    codes = neighbours.Codes(rng.normal(size=(200, 48)), 5)
+    for order in (np.arange(n), np.arange(n)[::-1], rng.permutation(n)):
+        part = neighbours.Part(codes, order.astype(np.int64), np.tile(v, (n, 1)))
+        code = codes.of(v[None] / np.linalg.norm(v))
+        ids, scores = part.search(0, v, code[0], codes.substrings(code)[0], 5)
+        assert ids.tolist() == list(range(1, n))[:5] and len(set(scores.tolist())) == 1 and abs(scores[0] - 1) < 1e-12
+
+
+def test_neighbours_ties_across_parts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    x[100:200] = x[3]
+    x[250] = x[7] * 1e200
+    rows = [(k, [float(c) for c in v], "clash", 1.0) for k, v in enumerate(x)] + [(400, [1.0, None] * 8, "", 0.0), (401, [1.0] * 4, "", 0.0), (402, [float("inf")] * 16, "", 0.0)]
+    table = spark.createDataFrame(rows, "id long, vector array<double>, rank string, score double").repartition(5)
+    asked = table.filter("id % 50 = 0 or id = 3 or id = 7")
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
+    got = neighbours.search(table, asked, 5, part_rows=40).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 3].vec_id.tolist() == [100, 101, 102, 103, 104]
+    assert got[got.query_id == 100].vec_id.tolist() == [3, 101, 102, 103, 104]
+    assert got[got.query_id == 7].vec_id.iloc[0] == 250 and abs(got[got.query_id == 7].score.iloc[0] - 1) < 1e-12
+    assert set(got.query_id) == {0, 3, 7, 50, 100, 150, 200, 250} and (got.groupby("query_id").size() == 5).all()
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -211,6 +261,44 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
     assert langid.fit(empty) is None and quality.fit(docs, labels.limit(0)) is None and toxicity.fit(docs, labels.limit(0)).score(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0] < 0.01
 
 
+def held_out_rows(spark, sf="/root/testdata/sf0.01"):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return docs.withColumn("held_out", common.held_out(F.col("doc_id"))), labels, labels.filter(~common.held_out(F.col("doc_id")))
+
+
+def area(scores, truth):
+    ranks = scores.rank()
+    pos = truth == 1
+    return (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def test_language_of_held_out_documents(spark):
+    docs, _, _ = held_out_rows(spark)
+    model = langid.fit(docs.filter("not held_out"))
+    rows = langid.predict(docs.filter("held_out").select("doc_id", "text"), model, keep_text=False).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'").toPandas()
+    assert len(rows) > 200 and (rows.lang == rows.lang_pred).mean() >= 0.97
+
+
+@pytest.mark.parametrize("name,bar,least", [("quality", 0.97, 0.9), ("toxic", 0.9, 0.9)])
+def test_labels_of_held_out_documents(spark, name, bar, least):
+    docs, labels, known = held_out_rows(spark)
+    own, cut = (quality, 0.7) if name == "quality" else (toxicity, 0.3)
+    args = (("n_chars",),) if name == "quality" else ()
+    model = own.fit(docs.filter("not held_out"), known, name, *args)
+    rows = own.score(docs.filter("held_out").select("doc_id", "text", "n_chars"), model, *args, keep_text=False).join(labels, "doc_id").filter(f"{name} is not null").toPandas()
+    assert len(rows) > 80 and area(rows.score, rows[name]) >= bar and ((rows.score >= cut) == (rows[name] == 1)).mean() >= least
+
+
+def test_metadata_of_quality(spark):
+    docs = spark.createDataFrame([(k, "same words here", float(4000 if k % 2 else 3)) for k in range(400)], "doc_id long, text string, n_chars double")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = quality.fit(docs, labels, "quality", ("n_chars",))
+    asked = spark.createDataFrame([(1, "same words here", 4000.0, 9.0), (2, "same words here", 3.0, 9.0), (3, None, None, None), (4, "same words here", float("nan"), None)], "doc_id long, text string, n_chars double, score double")
+    got = {r["doc_id"]: r["score"] for r in quality.score(asked, model, ("n_chars",)).collect()}
+    assert got[1] > 0.8 and got[2] < 0.2 and all(0 <= s <= 1 for s in got.values()) and len(got) == 4
+
+
 def test_linear_time_identity():
     m = quality.FactorisationMachine(50)
     cells, values = np.array([1, 7, 9]), np.array([0.5, 1.0, 2.0])
@@ -218,20 +306,49 @@ def test_linear_time_identity():
     assert np.isclose(m.raw(cells, values, np.array([0, 3]))[0][0], pairs)
 
 
-def test_chat_layouts(spark):
-    text = "a\\b <|end|> [INST] \\l\n"
-    frames = [
-        spark.createDataFrame([(1, text, "yes")], "id long, prompt string, response string"),
-        spark.createDataFrame([(2, text, None, "yes")], "id long, instruction string, input string, output string"),
-        spark.createDataFrame([(3, [("human", text), ("gpt", "yes")])], "id long, conversations array<struct<from:string,value:string>>"),
-    ]
-    for f in frames:
+TEXT = "a\\b <|end|> [INST] \\l\n"
+MESSAGES = "array<struct<role:string,content:string,name:string>>"
+LAYOUTS = {
+    "prompt string, response string": ([TEXT, "yes"], [("user", TEXT), ("assistant", "yes")]),
+    "prompt string, completion string": ([TEXT, "yes"], [("user", TEXT), ("assistant", "yes")]),
+    "question string, answer string": ([TEXT, "yes"], [("user", TEXT), ("assistant", "yes")]),
+    "instruction string, output string": ([TEXT, "yes"], [("user", TEXT), ("assistant", "yes")]),
+    "instruction string, input string, output string": ([TEXT, "more", "yes"], [("user", TEXT), ("user", "more"), ("assistant", "yes")]),
+    "system string, prompt string, response string": (["be", TEXT, "yes"], [("system", "be"), ("user", TEXT), ("assistant", "yes")]),
+    "system string, instruction string, output string": (["be", TEXT, "yes"], [("system", "be"), ("user", TEXT), ("assistant", "yes")]),
+    f"messages {MESSAGES}": ([[("user", TEXT, "n"), ("assistant", None, None), ("tool", "x", None)]], [("user", TEXT), ("assistant", ""), ("tool", "x")]),
+    "conversations array<struct<from:string,value:string>>": ([[("human", TEXT), ("gpt", "yes")]], [("user", TEXT), ("assistant", "yes")]),
+    "turns array<struct<turn:int,role:string,text:string>>": ([[(1, "bot", "yes"), (0, "human", TEXT), (2, None, None), (2, None, None)]], [("human", TEXT), ("bot", "yes"), ("", ""), ("", "")]),
+    f"data struct<meta:string,messages:{MESSAGES}>": ([("m", [("user", TEXT, None), ("assistant", "yes", "n")])], [("user", TEXT), ("assistant", "yes")]),
+    "data struct<inner:struct<prompt:string,response:string>>": ([((TEXT, "yes"),)], [("user", TEXT), ("assistant", "yes")]),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_chat_layouts(spark, layout):
+    values, want = LAYOUTS[layout]
+    plain = spark.createDataFrame([(1, *values)], f"id long, {layout}")
+    for f in (plain, plain.withColumns({"source": F.lit("s"), "turn": F.lit(9), "text": F.lit("clash"), "a.b`c": F.lit(1)})):
         turns = chat.canonical_turns(f, "id")
+        assert chat.unknown(turns).count() == 0
         pieces = chat.format_turns(turns, "id")
         back = chat.read_pieces(pieces).orderBy("nth").collect()
-        assert [(r["role"], r["text"], r["loss_text"]) for r in back] == [("user", text, None), ("assistant", "yes", "yes")]
+        assert [(r["role"], r["text"]) for r in back] == want
+        loss = [t for r, t in want if r == "assistant"]
+        assert [r["loss_text"] for r in back if r["loss_text"] is not None] == loss
         w = chat.whole(pieces, "id").first()
-        assert [w["formatted"][s["start"] : s["end"]] for s in w["loss_spans"]] == ["yes"]
+        assert [w["formatted"][s["start"] : s["end"]] for s in w["loss_spans"]] == [t.replace("\\", "\\\\").replace("<", "\\l").replace("[", "\\b") for t in loss]
+        assert chat.canonical_turns(f.limit(0), "id").count() == 0
+
+
+def test_chat_null_fields_and_mixed_layouts(spark):
+    schema = f"id long, prompt string, response string, system string, messages {MESSAGES}"
+    rows = [(1, "p", None, None, None), (2, None, "r", None, None), (3, "p", "r", "s", None), (4, None, None, None, [("user", "m", None)]), (5, "p", "r", None, []), (6, None, None, None, None), (7, "p", None, "s", None), (None, "p", "r", None, None)]
+    got = {r["id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.canonical_turns(spark.createDataFrame(rows, schema), "id").collect()}
+    assert got == {
+        1: [("user", "p"), ("assistant", "")], 2: [("user", ""), ("assistant", "r")], 3: [("system", "s"), ("user", "p"), ("assistant", "r")], 4: [("user", "m")], 5: [("user", "p"), ("assistant", "r")],
+        6: [("user", ""), ("assistant", "")], 7: [("system", "s"), ("user", "p"), ("assistant", "")], None: [("user", "p"), ("assistant", "r")],
+    }
     other = spark.createDataFrame([(9, "x")], "id long, strange string")
     assert chat.unknown(chat.canonical_turns(other, "id")).first()["n"] == 1
 
@@ -290,6 +407,30 @@ def test_sharding(spark, odd, empty):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
 
 
+def test_equal_texts_lie_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sharding.shard_by_bytes(docs, 16).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(zlib.crc32((texts[d] or "").encode()) == c for d, c in zip(rows.doc_id, rows.text_crc32))
+    rows["text"] = [texts[d] or "" for d in rows.doc_id]
+    share = rows["size"].sum() / 16
+    small = rows.groupby("text").filter(lambda g: g["size"].sum() <= sharding.TOGETHER * share)
+    assert small.text.duplicated().sum() > 20 and (small.groupby("text").shard.nunique() == 1).all()
+
+
+def test_shards_of_rows_that_repeat_exactly(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 900 + [(7, "same text")] * 900 + [(k, f"text {k}") for k in range(900)], "doc_id long, text string")
+    sizes = sharding.shard_by_bytes(docs, 8, 64).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()
+    assert len(sizes) == 8 and sizes.n.max() <= 1.05 * sizes.n.mean()
+
+
+def test_small_groups_are_whole_across_ranges(spark):
+    docs = spark.createDataFrame([(k, f"group {k % 400} " * 5) for k in range(4000)], "doc_id long, text string")
+    rows = sharding.shard_by_bytes(docs, 8, 512).toPandas()
+    rows["text"] = [k % 400 for k in rows.doc_id]
+    assert (rows.groupby("text").shard.nunique() == 1).all()
+
+
 def test_pipeline_keeps_and_drops(spark):
     import corpus_pipeline
 
