@@ -271,4 +271,5 @@ def safe_count(n: Column) -> Column:
 def safe_timestamp(stamp: Column) -> Column:
     """The text itself where it is an ISO time with a zone; else null."""
     zoned = stamp.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})$") & (F.length(stamp) <= 64)
-    return F.when(zoned & F.try_to_timestamp(stamp).isNotNull(), stamp)
+    whole = F.regexp_replace(stamp, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
+    return F.when(zoned & F.try_to_timestamp(whole).isNotNull(), stamp)

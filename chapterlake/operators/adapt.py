@@ -154,14 +154,25 @@ def _weighted(field: str, parts: list[tuple[str, Column, float]]) -> Column:
     return F.array(*[F.struct(F.lit(f"{field}.{name}").alias("id"), clean(score).alias("score"), F.lit(float(weight)).alias("weight")) for name, score, weight in parts])
 
 
+def check_rules(rules: dict[str, list[tuple[str, Column, float]]]) -> None:
+    """Raises ValueError unless names differ within a field and weights are above 0."""
+    for field, parts in rules.items():
+        names = [name for name, _, _ in parts]
+        if not names or len(set(names)) < len(names) or any(not weight > 0 for _, _, weight in parts):
+            raise ValueError(f"scoring rules of {field} need names of their own and weights above 0")
+
+
 def weighted_score(components: Column) -> Column:
     total = lambda f: F.aggregate(components, F.lit(0.0), lambda a, x: a + f(x))
     return total(lambda x: x["score"] * x["weight"]) / total(lambda x: x["weight"])
 
 
-def score(c: Context, found: DataFrame) -> DataFrame:
+def score(c: Context, found: DataFrame, rules: dict[str, list[tuple[str, Column, float]]] | None = None) -> DataFrame:
     """Adds components, score and rank (in page and field: best score, then
-    selector). Fields are not compared with each other."""
+    selector). Fields are not compared with each other. `rules` gives a caller's
+    components of a field, (name, score, weight) over the columns of found, its
+    nodes and features, in place of the field's own."""
+    check_rules(rules or {})
     nodes = c.nodes.select("page_id", "node_id", "tag", "attrs", "noise", "chars", "pieces", "clean_chars", "clean_pieces", "paragraphs", "link_chars")
     anchors = c.links.select("page_id", "node_id", F.col("text").alias("label"), "rel")
     many = c.links.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
@@ -178,8 +189,11 @@ def score(c: Context, found: DataFrame) -> DataFrame:
     in_rel = F.array_contains(F.split("rel", r"\s+"), F.regexp_replace("field", "_link$", "")).cast("double")
     nav = lambda name: _weighted(name, [("rel", in_rel, 3), ("text", label, 2), ("order", ((F.col("field") == "index_link") | (F.col("anchors") > 1)).cast("double"), 1)])
     field = F.col("field")
+    mine = F
+    for name, given in (rules or {}).items():
+        mine = mine.when(field == name, _weighted(name, given))
     parts = (
-        F.when(field == "title", _weighted("title", [("semantic", (kind != "chapter").cast("double"), 3), ("dom", dom_score(1.0, 0.7, 0.5), 2), ("length", _length_score(size, 2, 80), 1)]))
+        mine.when(field == "title", _weighted("title", [("semantic", (kind != "chapter").cast("double"), 3), ("dom", dom_score(1.0, 0.7, 0.5), 2), ("length", _length_score(size, 2, 80), 1)]))
         .when(field == "author", _weighted("author", [("semantic", text.author_of(F.col("text")).isNotNull().cast("double"), 4), ("length", F.when(text.author_of(F.col("text")).isNotNull(), _length_score(size, 2, 64)), 1)]))
         .when(field == "chapter_title", _weighted("chapter_title", [("semantic", numbered.cast("double"), 4), ("dom", F.when(numbered, dom_score(1.0, 0.5, 0.6)), 2), ("length", F.when(numbered, _length_score(size, 2, 100)), 1)]))
         .when(field == "chapter_list", _weighted("chapter_list", [("count", F.col("count") / TARGET_LINKS, 2), ("continuity", F.col("continuity"), 3), ("same_origin", F.col("same_origin"), 1), ("selector_precision", F.col("precision"), 4)]))

@@ -103,10 +103,18 @@ def page_links(spark, d):
     return pages.links(p, pages.flatten(p)).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("href").alias("hrefs"))
 
 
-@_query()
+_TITLES = "trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS heading"
+_PLAIN = lambda pattern: pattern.replace("(?iU)", "(?i)")
+
+
+@_query(f"""WITH t AS (SELECT page_id, html, {_TITLES}, len(list_distinct(list_transform(list_filter(regexp_extract_all(html, '<a href="[^"]*">[^<]*'), lambda a: regexp_matches(a, '>.*{pages.CHAPTER_TEXT}')), lambda a: split_part(a, '"', 2)))) AS links FROM pages),
+k AS (SELECT page_id, CASE WHEN regexp_matches(title, '{_PLAIN(pages.ERROR_TITLE)}') THEN 'error.title_marker' WHEN contains(html, '<article') AND regexp_matches(title || ' ' || heading, '{pages.CHAPTER_TEXT}') THEN 'chapter.title_and_content'
+  WHEN links >= 3 THEN 'book_index.chapter_link_cluster' WHEN regexp_matches(title, '{_PLAIN(pages.SEARCH_TITLE)}') THEN 'list.search_marker' ELSE '' END AS evidence FROM t)
+SELECT page_id, CASE split_part(evidence, '.', 1) WHEN '' THEN 'unknown' WHEN 'list' THEN 'search_or_list' ELSE split_part(evidence, '.', 1) END AS kind,
+  (CASE split_part(evidence, '.', 1) WHEN 'error' THEN 0.9 WHEN 'chapter' THEN 0.95 WHEN 'book_index' THEN 0.93 WHEN 'list' THEN 0.88 ELSE 0 END)::DOUBLE AS confidence, evidence FROM k""")
 def page_kinds(spark, d):
     p = readers.read_pages(spark, f"{d}/pages.parquet")
-    return pages.classify(p, keep(pages.flatten(p)))
+    return pages.classify(p, keep(pages.flatten(p))).withColumn("evidence", F.array_join("evidence", ","))
 
 
 @_query(f"SELECT book_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending FROM ({_STATUS}) GROUP BY 1")
@@ -147,10 +155,11 @@ def recent_logs(spark, d):
     return books.recent(_t(spark, d, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("id")), 10).select("book_id", "id")
 
 
-@_query("""WITH s AS (SELECT l_orderkey AS book_id, unnest(generate_series(min(l_linenumber), max(l_linenumber))) AS chapter_index FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY 1)
-SELECT book_id, chapter_index FROM s ANTI JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 2) ON book_id = l_orderkey AND chapter_index = l_linenumber""")
+@_query("""WITH s AS (SELECT user_id AS book_id, unnest(generate_series(min(event_id % 500), max(event_id % 500))) AS chapter_index FROM events GROUP BY 1)
+SELECT book_id, chapter_index FROM s ANTI JOIN (SELECT user_id, event_id % 500 AS n FROM events) ON book_id = user_id AND chapter_index = n""")
 def missing_indexes(spark, d):
-    return books.missing_indexes(_line_chapters(spark, d).filter("chapter_index % 3 <> 2"))
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("book_id"), (F.col("event_id") % 500).alias("chapter_index"))
+    return books.missing_indexes(rows)
 
 
 @_query("SELECT l_orderkey AS book_id, l_linenumber AS chapter_index, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

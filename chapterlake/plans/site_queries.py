@@ -225,3 +225,50 @@ def numbered_chapters(spark, d):
     html = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", link.alias("a"))))["a"], "").alias("html"))
     p = keep(html.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://www.twbook.cc/"), key, F.lit("/")).alias("url"), "html"))
     return extract.numbered_catalog(p, pages.links(p, _nodes(p)))
+
+
+#: (status, html, kind, confidence) of made pages, one of each class and turn of the precedence.
+_KINDS = [
+    (200, "<title>第一章 启程</title><h1>第一章 启程</h1><article>text</article>", "chapter", 0.95),
+    (200, "<title>Book</title><a href='/1'>第一章</a><a href='/2'><b>第二章</b></a><a href='/3'>Chapter 3</a>", "book_index", 0.93),
+    (200, "<title>Login</title><form><input type='password'></form>", "auth_or_challenge", 0.98),
+    (503, "<title>Just a moment...</title><form action='/captcha'><input name='captcha'></form>", "auth_or_challenge", 0.96),
+    (403, "<title>Access Denied</title>", "auth_or_challenge", 0.99),
+    (500, "<title>Chapter 1</title><article>text</article>", "error", 1.0),
+    (200, "<title>Page not found</title>", "error", 0.9),
+    (200, "<title>搜索结果</title><form role='search'></form>", "search_or_list", 0.88),
+    (200, "<title>News</title><aside><a href='/1'>第一章</a><a href='/2'>第二章</a><a href='/3'>第三章</a></aside>", "unknown", 0.0),
+]
+
+
+@_query("SELECT o_orderkey AS page_id, CASE o_orderkey % 9 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, _, kind, _) in enumerate(_KINDS)) + " END AS kind, (CASE o_orderkey % 9 " + " ".join(f"WHEN {k} THEN {sure}" for k, (_, _, _, sure) in enumerate(_KINDS)) + " END)::DOUBLE AS confidence FROM orders")
+def made_page_kinds(spark, d):
+    """One page an order, of the nine shapes in turn."""
+    k = F.col("o_orderkey")
+    of = lambda at, kind: F.element_at(F.array(*[F.lit(x[at]) for x in _KINDS]), (k % 9 + 1).cast("int")).cast(kind)
+    made = _t(spark, d, "orders").select(k.alias("page_id"), F.concat(F.lit("http://shelf.test/"), k.cast("string")).alias("url"), of(0, "int").alias("status_code"), of(1, "string").alias("html"))
+    return pages.classify(made, _nodes(made)).select("page_id", "kind", "confidence")
+
+
+@_query("SELECT book AS page_id, 'shelf.test' AS domain, 'h1' AS title_selector, least(length('Book ' || book), 80)::DOUBLE AS title_score, CASE WHEN m >= 3 THEN '.chapter-list a' END AS list_selector, CASE WHEN m >= 3 THEN m END::DOUBLE AS list_score FROM (SELECT book, count(*) AS m FROM " + _LINES + " GROUP BY 1)")
+def catalog_inspections(spark, d):
+    p = _catalog_pages(spark, d)
+    return extract.inspect(p, _nodes(p)).select("page_id", "domain", "title_selector", "title_score", "list_selector", "list_score")
+
+
+@_query("""WITH l AS (SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY n) AS k, count(*) OVER (PARTITION BY book) AS m FROM """ + _LINES + """)
+SELECT book AS page_id, 'html > body > ul' || CASE WHEN m > 1 THEN ' > li:nth-of-type(' || k || ') > a' ELSE ' > li > a' END AS selector FROM l""")
+def link_paths(spark, d):
+    """The paths of the chapter links of made catalogs."""
+    nodes = _nodes(_catalog_pages(spark, d))
+    anchors = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].startswith("/book/"))
+    found = dom.paths(nodes, anchors)
+    return found.select("page_id", "selector")
+
+
+@_query("SELECT book AS page_id, count(*) OVER (PARTITION BY m) AS alike FROM (SELECT book, count(*) AS m FROM " + _LINES + " GROUP BY 1)")
+def alike_structures(spark, d):
+    """How many catalogs have the structure of each: as many links, whatever they say."""
+    found = dom.fingerprints(_nodes(_catalog_pages(spark, d)), "salt")
+    sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("alike"))
+    return found.join(sizes, "digest").select("page_id", "alike")

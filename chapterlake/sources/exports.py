@@ -40,7 +40,26 @@ def to_xhtml(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", F.format_string("chap_%05d.xhtml", "chapter_index").alias("file"), F.concat(F.lit("<h1>"), text.xml_escape(F.col("title")), F.lit("</h1>\n"), body).alias("content"))
 
 
-EXPORTS = {"txt": to_text, "md": to_markdown, "xhtml": to_xhtml}
+def to_jsonl(chapters: DataFrame) -> DataFrame:
+    """The JSON lines of a book as one text: the book's, then its chapters'."""
+    lines = to_json_lines(chapters.select("book_id").distinct(), chapters)
+    ordered = F.array_sort(F.collect_list(F.struct("nth", "line")))
+    return lines.groupBy("book_id").agg(F.array_join(ordered["line"], "\n").alias("content"))
+
+
+def to_xhtml_book(chapters: DataFrame) -> DataFrame:
+    """The XHTML of a book's chapters, one after another."""
+    ordered = F.array_sort(F.collect_list(F.struct("file", "content")))
+    return to_xhtml(chapters).groupBy("book_id").agg(F.array_join(ordered["content"], "\n").alias("content"))
+
+
+#: Writers by format: chapters -> (book_id, content).
+EXPORTS = {"txt": to_text, "md": to_markdown, "jsonl": to_jsonl, "xhtml": to_xhtml_book}
+
+
+def register_exporter(name: str, writer) -> None:
+    """Adds or replaces a format."""
+    EXPORTS[name] = writer
 
 
 def exporter(name: str):
@@ -82,3 +101,14 @@ def export_summary(books: DataFrame, exported: DataFrame) -> DataFrame:
     ok = F.count_if(F.coalesce(F.length("content"), F.lit(0)) > 0)
     joined = books.select("book_id").join(exported, "book_id", "left")
     return joined.agg(F.count(F.lit(1)).alias("books"), ok.alias("exported"), (F.count(F.lit(1)) - ok).alias("failed"))
+
+
+def export_all(books: DataFrame, chapters: DataFrame, name: str = "txt", most: int = 1000) -> DataFrame:
+    """Counts of exporting the done chapters of the first `most` books by id
+    (the batch of one call, a feature of the export): asked for, exported,
+    failed (nothing to write), and books that remain for a later call."""
+    first = books.select("book_id").distinct().orderBy("book_id").limit(most)
+    done = chapters.filter("status = 'done'").join(first, "book_id", "left_semi")
+    summary = export_summary(first, exporter(name)(done))
+    total = books.agg(F.countDistinct("book_id").alias("_all"))
+    return summary.crossJoin(total).select("books", "exported", "failed", (F.col("_all") - F.col("books")).alias("remaining"))  # one row each

@@ -59,8 +59,26 @@ request_policy struct<timeout_seconds: double, max_retries: int, rate_limit_seco
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Site configs from JSON files; absent fields are null."""
-    return spark.read.schema(CONFIG).option("multiLine", True).json(path)
+    """Site configs, one a file: JSON, or YAML (.yaml, .yml), which needs the
+    yaml package on the executors. Absent fields are null; a path with another
+    suffix raises ValueError. A path without suffix is a folder of JSON files."""
+    suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rstrip("/").rsplit("/", 1)[-1] else ""
+    if suffix in ("yaml", "yml"):
+        as_json = spark.read.text(path, wholetext=True).mapInArrow(_yaml_to_json, "value string")
+        return as_json.select(F.from_json("value", CONFIG).alias("c")).select("c.*")
+    if suffix not in ("", "json"):
+        raise ValueError(f"unsupported config format: .{suffix}")
+    return spark.read.schema(CONFIG).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+
+
+def _yaml_to_json(batches):
+    import json
+
+    import yaml
+
+    for batch in batches:
+        texts = [json.dumps(yaml.safe_load(t), default=str) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
 
 
 def url_summary(listed: DataFrame) -> DataFrame:

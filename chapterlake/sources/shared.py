@@ -10,20 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; else, on a local master, a
-    temporary folder; else one in the warehouse."""
+    temporary folder; else one in the warehouse, if that is not a folder of one
+    machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             found = "file://" + tempfile.mkdtemp(prefix="chapterlake-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kept"
+            if found.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{folder(spark)}/chapterlake/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again: later jobs neither repeat its work
     nor lose it with an executor."""
-    path = f"{folder(df.sparkSession)}/chapterlake/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stream_of(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read as a stream."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import events
+from ..operators import events, pages
+from ..sources.shared import keep, new_folder
 
 
 def event_rates(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -68,12 +69,57 @@ def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None =
     return timed.groupBy("task_id").applyInPandasWithState(apply, shape, "status string, version long, resume_status string", "update", "EventTimeTimeout" if late else "ProcessingTimeTimeout")
 
 
-def intake(pages: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
-    """Runs page intake into a Parquet folder: each micro-batch is written once
+def _plain_checkpoints(spark: SparkSession) -> None:
+    """State files without checksum files: Spark 4.1 writes those in a pool of
+    a few threads, in which more stateful tasks than threads wait for ever."""
+    spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+
+
+def _classified(batch: DataFrame, target: str, batch_id: int) -> DataFrame:
+    """New contents of a batch with their classes."""
+    hashed = batch.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256))
+    first = hashed.groupBy("content_hash").agg(F.min("page_id").alias("page_id"))
+    new = hashed.join(first, ["content_hash", "page_id"], "left_semi")
+    if batch_id:
+        earlier = batch.sparkSession.read.parquet(target).filter(F.col("batch") < batch_id)
+        new = new.join(earlier.select("content_hash").distinct(), "content_hash", "left_anti")
+    new = keep(new)
+    kinds = pages.classify(new, keep(pages.flatten(new))).select("page_id", "kind", "confidence")
+    return new.join(kinds, "page_id", "left")
+
+
+def intake(captured: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
+    """Runs page intake into a Parquet folder. Pages with page_id and html get
+    their class (kind, confidence) and the hash of their content; those whose
+    content an earlier page has are refused. Each micro-batch is written once
     under its batch id, so a batch that is repeated after a failure replaces
     itself. Progress is in the checkpoint folder."""
 
+    def write(batch, batch_id):
+        if batch.isEmpty():
+            return
+        out = _classified(batch, target, batch_id) if {"page_id", "html"} <= set(batch.columns) else batch
+        out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    _plain_checkpoints(captured.sparkSession)
+    return page_intake(captured).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_states(states: DataFrame) -> str:
+    """Runs task_states (with `late`: the clock's timeouts never come to an end)
+    over what its stream holds now; the folder of the rows by batch."""
+    target, checkpoint = new_folder(states.sparkSession), new_folder(states.sparkSession)
+
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return page_intake(pages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    _plain_checkpoints(states.sparkSession)
+    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+def last_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest row of each task."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    newest = F.max_by(F.struct("version", "status", "resume_status", "code"), "batch").alias("s")
+    return rows.groupBy("task_id").agg(newest).select("task_id", "s.*")

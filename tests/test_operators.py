@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chapterlake.operators import books, dedup, events, pages
-from chapterlake.plans import queries, site_queries, text_queries  # noqa: F401
+from chapterlake.plans import admin_queries, queries, site_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"similar_pairs"}
