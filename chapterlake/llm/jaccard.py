@@ -11,8 +11,8 @@ set of at least t times the boundary is entered. The boundary is the size of
 least estimated cost: subsets made against list entries met.
 
 A list is not expanded into pairs. Its member that holds the list's shingle
-earliest is its hub: all others are verified against it on their whole sets
-(one comparison a member), links are joined into components, and only members
+earliest is its hub (a partial aggregate, no task holds a list): all others are
+verified against it on their whole sets (one comparison a member), links are joined into components, and only members
 of one list that are still in different components are paired with one
 another, if their sizes and the shingles left after their places still allow
 the similarity. So a group of thousands of copies costs one comparison each.
@@ -56,31 +56,56 @@ def _numbers(data: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return common.shingle_sets(*common.word_hashes(*common.text_buffers(data.column(1))), width)
 
 
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles that many texts share, ascending by count (the order's end)."""
+#: Sizes from here on count as one for the boundary: such sets are heavy.
+LARGE = 4096
+
+
+def statistics(texts: DataFrame, width: int) -> DataFrame:
+    """One pass over the texts, written: counts of shingles that a task sees
+    COMMON times or more (kind 0: shingle, n), the first shingle of each set in
+    the order as far as the task knows it (kind 1), and the sets of each size
+    (kind 2: size, n)."""
+    names = ["kind", "value", "n"]
+
+    def row(kind, value, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind), pa.int32()), pa.array(value, pa.int64()), pa.array(n, pa.int64())], names)
 
     def count(batches):
-        waiting, n = [], 0
+        waiting, total, many = [], 0, {}
 
         def flush():
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
             keep = counts >= COMMON
-            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(counts[keep])], ["shingle", "n"])
+            yield row(0, found[keep].view(np.int64), counts[keep])
+            shared, first = found[keep], []
+            for s in waiting:
+                rare = s[shared[np.minimum(np.searchsorted(shared, s), len(shared) - 1)] != s] if len(shared) else s
+                first.append(rare[0] if len(rare) else s[0])
+            first = np.array(first, np.uint64).view(np.int64)
+            yield row(1, first, np.ones(len(first), np.int64))
 
         for batch in batches:
-            sets = _numbers(batch, width)
-            waiting += sets
-            n += sum(map(len, sets))
-            if n > 4_000_000:
-                yield flush()
-                waiting, n = [], 0
+            for s in _numbers(batch, width):
+                many[min(len(s), LARGE)] = many.get(min(len(s), LARGE), 0) + 1
+                if len(s):
+                    waiting.append(s)
+                    total += len(s)
+            if total > 4_000_000:
+                yield from flush()
+                waiting, total = [], 0
         if waiting:
-            yield flush()
+            yield from flush()
+        yield row(2, np.array(sorted(many), np.int64), np.array([many[k] for k in sorted(many)], np.int64))
 
-    rows = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.col("n").desc(), "shingle").limit(TOP_COMMON).toArrow()  # bounded
-    order = np.lexsort((top["shingle"].to_numpy(), top["n"].to_numpy()))
-    return top["shingle"].to_numpy()[order].view(np.uint64)
+    return common.stage(texts.mapInArrow(count, "kind int, value long, n long"), "statistics")
+
+
+def common_shingles(counted: DataFrame) -> np.ndarray:
+    """Shingles that many texts share, ascending by count (the order's end)."""
+    rows = counted.filter("kind = 0").groupBy("value").agg(F.sum("n").alias("n"))
+    top = rows.orderBy(F.col("n").desc(), "value").limit(TOP_COMMON).toArrow()  # bounded
+    order = np.lexsort((top["value"].to_numpy(), top["n"].to_numpy()))
+    return top["value"].to_numpy()[order].view(np.uint64)
 
 
 class Order:
@@ -130,28 +155,13 @@ def boundary(sizes: list[tuple[int, int]], mean_list: float, percent: int) -> in
     return best
 
 
-def choose_boundary(texts: DataFrame, width: int, percent: int, order: np.ndarray) -> int:
+def choose_boundary(counted: DataFrame, percent: int) -> int:
     """The boundary from the sets' sizes and the mean length of the lists that
-    single shingles would have: prefix entries over distinct ones (HLL)."""
-    shared = texts.sparkSession.sparkContext.broadcast(Order(order))  # at most TOP_COMMON shingles
-
-    def run(batches):
-        many: dict[int, int] = {}
-        for batch in batches:
-            prefixes = []
-            for s in _numbers(batch, width):
-                many[len(s)] = many.get(len(s), 0) + 1
-                prefixes.append(shared.value.arrange(s)[: len(s) - _needed(len(s), percent) + 1][:1])
-            # the first shingle of a set stands for its prefix
-            first = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), pa.array(first.view(np.int64)), pa.array(np.zeros(len(first), np.int64))], ["n", "first", "sets"])
-        sizes = sorted(many.items())
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sizes], pa.int32()), pa.array([None] * len(sizes), pa.int64()), pa.array([m for _, m in sizes], pa.int64())], ["n", "first", "sets"])
-
-    seen = texts.mapInArrow(run, "n int, first long, sets long")
-    rows = seen.groupBy("n").agg(F.sum("sets").alias("sets"), F.count("first").alias("entries"), F.approx_count_distinct("first").alias("lists")).collect()  # a row for each size
-    entries, lists = sum(r["entries"] for r in rows), sum(r["lists"] for r in rows)
-    return boundary([(r["n"], r["sets"]) for r in rows if r["n"] and r["sets"]], entries / max(lists, 1), percent)
+    single shingles would have: entries over distinct ones (HLL), of the first
+    shingles of sets. It decides the cost alone; any boundary gives the same links."""
+    sizes = counted.filter("kind = 2").groupBy("value").agg(F.sum("n").alias("sets")).collect()  # at most LARGE rows
+    met = counted.filter("kind = 1").agg(F.count(F.lit(1)).alias("entries"), F.approx_count_distinct("value").alias("lists")).first()
+    return boundary([(r["value"], r["sets"]) for r in sizes if r["value"]], met["entries"] / max(met["lists"], 1), percent)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -185,7 +195,7 @@ def set_rows(texts: DataFrame, width: int, percent: int, order: np.ndarray, ligh
             for s in sets:
                 n, made = len(s), 0
                 ordered = shared.value.arrange(s)
-                for wanted, keys in ((SUBSET <= n <= light, light_keys), (n and (n >= from_size or n < SUBSET), heavy_keys)):
+                for wanted, keys in ((SUBSET <= n <= light, light_keys), (n and (n >= from_size or _needed(n, percent) < SUBSET), heavy_keys)):
                     if wanted:
                         sig, place = keys(ordered, percent)
                         sigs.append(sig)
@@ -271,23 +281,25 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     common.configure(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    order = common_shingles(texts, width)
-    light = choose_boundary(texts, width, percent, order)
+    counted = statistics(texts, width)
+    order = common_shingles(counted)
+    light = choose_boundary(counted, percent)
     rows = common.stage(set_rows(texts, width, percent, order, light), "shingle_rows")
     known = rows.filter(F.col("doc_id").isNotNull())
     classes = known.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     many = common.stage(classes.filter("members > 1").select("h1", "h2", "class_id"), "classes")
     member = known.select("doc_id", "n", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = common.stage(member, "members")
-    # one shuffle of the keys: copies go by a list of their ids, lists are met in a window. A list has at most a
-    # row for each set, where each set has a key for every tenth (say) of its shingles, so none fills a task alone
     copies = known.select("doc_id", "h1", "h2").join(many, ["h1", "h2"]).filter("class_id <> doc_id").select("doc_id", "h1", "h2").distinct()
     sketches = known.select("doc_id", "n", "sketch")
     reps = known.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc_id", "h1", "h2"], "left_anti")
     keys = reps.select("doc_id", "n", F.explode("keys").alias("k")).select("doc_id", "n", "k.sig", "k.pos")
-    of_list = Window.partitionBy("sig")
-    listed = keys.withColumn("m", F.count(F.lit(1)).over(of_list)).withColumn("hub", F.min(F.struct("pos", "n", "doc_id")).over(of_list))
-    listed = common.stage(listed.filter("m > 1").drop("m"), "lists")
+    # lists of two or more with their hubs, counted in the tasks before the shuffle; a long list then is one
+    # row on one side of a join, so its members can be dealt to several tasks
+    lists = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "n", "doc_id")).alias("hub")).filter("m > 1").drop("m")
+    lists = common.stage(lists, "hubs")
+    listed = common.stage(keys.join(lists, "sig"), "lists")
+    common.release(lists)
     enough = lambda n1, p1, n2, p2: f"100 * (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1}) >= {percent} * ({n1} + {n2} - (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1})) and 100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
     hubs = listed.filter("doc_id <> hub.doc_id").filter(enough("n", "pos", "hub.n", "hub.pos"))
     hubs = common.stage(hubs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "hub_pairs")
@@ -304,7 +316,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = verify(texts, sketches, rest, width, percent)
     all_links = links.union(more)
     found = common.stage(components(all_links), "components")
-    common.release(listed, open_, hubs, rest, joined)
+    common.release(listed, open_, hubs, rest, joined, counted)
     out = member.join(found, member["class_id"] == found["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     nameless = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nameless)

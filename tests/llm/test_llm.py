@@ -373,11 +373,11 @@ def brute_components(rows, width, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (2, 50), (1, 30)])
 def test_jaccard_equals_brute_force(spark, width, percent):
     rng = np.random.default_rng(3)
     vocab = [f"w{k}" for k in range(300)]
-    rows = [(0, None), (1, ""), (2, "One two"), (3, "one TWO"), (4, "one")]
+    rows = [(0, None), (1, ""), (2, "One two"), (3, "one TWO"), (4, "one"), (5, "b c d"), (6, "b c e"), (7, "d b c"), (8, "q r"), (9, "q s t")]
     base = [list(rng.choice(vocab, n)) for n in (12, 14, 40, 90, 200, 400)]
     for b in base:
         for k in range(12):
