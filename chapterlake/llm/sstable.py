@@ -154,20 +154,22 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, shard_bytes: int = 32 << 20, shards: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, shards: int | None = None) -> DataFrame:
     """Tokenises `doc_id, text`, appends id 0 and writes shards under path in
     ascending doc_id order. Returns the manifest (shard, file, docs, n_ids,
     first_key, last_key), itself a Parquet table in path.
 
-    Rows are dealt by ranges of (doc_id, text hash) from Spark's own sample of
-    keys, so one id that holds many rows is split too. shards: by default the
-    input's partitions.
+    Rows are dealt by ranges of (doc_id, text hash, row) from Spark's own sample
+    of keys, so one id or one repeated row that holds many rows is split too.
+    shards: by default the input's partitions. path is one that pyarrow's file
+    systems know (file, hdfs, s3, gs, abfs).
     """
     spark = docs.sparkSession
     common.configure(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row")
     _open(path)[0].create_dir(_open(path)[1], recursive=True)
 
     def write(batches):
