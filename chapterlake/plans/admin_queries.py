@@ -340,3 +340,14 @@ def taken_pages(spark, d):
     target, stream = shared.new_folder(spark), shared.stream_of(p.unionByName(again))
     tasks.intake(stream, target, shared.new_folder(spark)).awaitTermination()
     return spark.read.parquet(target).select((F.col("page_id") % (1 << 40)).alias("page_id"), "content_hash")
+
+
+@_query("""SELECT o_orderkey AS task_id, CASE WHEN gone THEN 3 ELSE 2 END AS version, CASE WHEN gone THEN 'recoverable_failed' ELSE 'waiting_for_user' END AS status, CASE WHEN gone THEN 'waiting_for_user' END AS resume_status, CASE WHEN gone THEN 'wait_expired' END AS code
+FROM (SELECT o_orderkey, epoch_ms(o_orderdate) + 1800000 < (SELECT max(epoch_ms(o_orderdate)) FROM orders) - 86400000 AS gone FROM orders)""")
+def expired_waits(spark, d):
+    """Every order a task that waits since its date: those fail whose wait has
+    passed by the newest date less a day."""
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    moves = F.posexplode(F.array(*[F.lit(s) for s in ("created", "probing", "waiting_for_user")])).alias("task_version", "to_status")
+    rows = _t(spark, d, "orders").select(key.alias("task_id"), at.alias("created_at"), moves).withColumn("task_version", F.col("task_version").cast("long"))
+    return tasks.last_states(spark, tasks.run_states(tasks.task_states(shared.stream_of(rows), "30 minutes", "1 day")))
