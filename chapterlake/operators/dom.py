@@ -91,6 +91,8 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
     parsed = parse(selector)
     if parsed is None:
         raise ValueError(f"unsupported selector: {selector}")
+    if all(len(steps) == 1 for steps in parsed):
+        return nodes.filter(fits_one(selector))
     found = []
     for steps in parsed:
         hit = nodes.filter(_fits(steps[0][1]))
@@ -103,17 +105,33 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(["page_id", "node_id"])
 
 
+def select_each(nodes: DataFrame, selectors: list[str]) -> DataFrame:
+    """Matches of each selector: nodes with selector and its position in the
+    list. Selectors of single steps are met in one pass over the nodes."""
+    single, many = [], []
+    for k, s in enumerate(selectors):
+        parsed = parse(s)
+        (single if parsed and all(len(steps) == 1 for steps in parsed) else many).append((k, s))
+    found = [select(nodes, s).select(*nodes.columns, F.lit(s).alias("selector"), F.lit(k).alias("position")) for k, s in many]
+    if single:
+        hits = F.array(*[F.when(fits_one(s), F.struct(F.lit(s).alias("selector"), F.lit(k).alias("position"))) for k, s in single])
+        met = nodes.select(*nodes.columns, F.explode(F.array_compact(hits)).alias("_hit"))
+        found.append(met.select(*nodes.columns, "_hit.selector", "_hit.position"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def select_all(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """(page_id, name, selector, matches, first_node, error_code) of named
     selectors; pages without a match of a selector have no row of it."""
+    names, known = list(selectors), {k: s for k, s in enumerate(selectors.values()) if parse(s) is not None}
+    labels = lambda k: (F.element_at(F.array(*map(F.lit, names)), k + 1).alias("name"), F.element_at(F.array(*map(F.lit, selectors.values())), k + 1).alias("selector"))
     out = []
-    for name, selector in selectors.items():
-        labels = F.lit(name).alias("name"), F.lit(selector).alias("selector")
-        if parse(selector) is None:
-            out.append(nodes.select("page_id").distinct().select("page_id", *labels, F.lit(0).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_node"), F.lit("selector_invalid").alias("error_code")))
-        else:
-            hit = select(nodes, selector).groupBy("page_id").agg(F.count(F.lit(1)).alias("matches"), F.min("node_id").alias("first_node"))
-            out.append(hit.select("page_id", *labels, "matches", "first_node", F.lit(None).cast("string").alias("error_code")))
+    if known:
+        place = F.element_at(F.array(*map(F.lit, known)), F.col("position") + 1)
+        hit = select_each(nodes, list(known.values())).groupBy("page_id", place.alias("k")).agg(F.count(F.lit(1)).alias("matches"), F.min("node_id").alias("first_node"))
+        out.append(hit.select("page_id", *labels(F.col("k")), "matches", "first_node", F.lit(None).cast("string").alias("error_code")))
+    for k in (k for k in range(len(names)) if k not in known):
+        out.append(nodes.select("page_id").distinct().select("page_id", *labels(F.lit(k)), F.lit(0).cast("long").alias("matches"), F.lit(None).cast("int").alias("first_node"), F.lit("selector_invalid").alias("error_code")))
     return reduce(DataFrame.unionByName, out)
 
 

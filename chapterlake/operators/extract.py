@@ -61,9 +61,8 @@ def _top(ranked: DataFrame) -> DataFrame:
 
 def _first_matches(nodes: DataFrame, selectors: list[str]) -> DataFrame:
     """First match of each selector in each page: the node with position and selector."""
-    found = [dom.select(nodes, s).select(*nodes.columns, F.lit(s).alias("selector"), F.lit(k).alias("position")) for k, s in enumerate(selectors)]
     first = Window.partitionBy("page_id", "position").orderBy("node_id")
-    return reduce(DataFrame.unionByName, found).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return dom.select_each(nodes, selectors).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def rank_titles(nodes: DataFrame) -> DataFrame:
@@ -91,8 +90,8 @@ def rank_lists(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, selector, score, rank): same-site chapter links of a selector,
     three or more."""
     good = links.filter("same_site").filter(F.col("text").rlike(CHAPTER_LABEL) | F.col("href").rlike(CHAPTER_HREF)).select("page_id", "node_id")
-    found = [dom.select(nodes, s).select("page_id", "node_id", F.lit(s).alias("selector"), F.lit(k).alias("position")) for k, s in enumerate(LIST_SELECTORS)]
-    counted = reduce(DataFrame.unionByName, found).join(good, ["page_id", "node_id"]).groupBy("page_id", "selector", "position").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    found = dom.select_each(nodes, LIST_SELECTORS).select("page_id", "node_id", "selector", "position")
+    counted = found.join(good, ["page_id", "node_id"]).groupBy("page_id", "selector", "position").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return _top(counted.filter("score >= 3")).select("page_id", "selector", "score", "rank")
 
 
@@ -130,7 +129,7 @@ def chapters(nodes: DataFrame, drop: tuple[str, ...] = (), junk: str = JUNK) ->
     """(page_id, title, body) of every page with a node: junk is cut, the body
     is the paragraphs of the best content node (else of the largest block),
     without promotions and lines that hold one of `drop`."""
-    clean = dom.blanked(nodes, dom.select(nodes, junk))
+    clean = keep(dom.blanked(nodes, dom.select(nodes, junk)))
     ranked = rank_contents(clean).filter("rank = 1").select("page_id", F.col("selector").alias("chosen"))
     hits = _first_matches(clean, CONTENT_SELECTORS).join(ranked, "page_id").filter("selector = chosen").select("page_id", F.col("node_id").alias("_a"), F.col("end_id").alias("_b"))
     block = largest_block(clean).select("page_id", F.col("node_id").alias("_c"), F.col("end_id").alias("_d"))
