@@ -22,6 +22,17 @@ TEXT_ROWS, TEXT_BYTES = 1000, 32 << 20
 STEP_BYTES = 1 << 20
 
 
+#: Functions that drop what a reused worker still remembers for an operator.
+caches: list = []
+
+
+def forget() -> None:
+    """Drops what this worker remembers for other operators. A task of much
+    memory of its own calls it first."""
+    for drop in caches:
+        drop()
+
+
 def configure(spark: SparkSession) -> None:
     """Bound the Arrow batches of text operators. Plans read these settings
     when they run, so the session keeps them."""

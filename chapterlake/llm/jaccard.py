@@ -58,6 +58,8 @@ def _numbers(data: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 #: Sizes from here on count as one for the boundary: such sets are heavy.
 LARGE = 4096
+#: Shingles that a task counts together (about 40 bytes each while it does).
+WINDOW = 1_000_000
 
 
 def statistics(texts: DataFrame, width: int) -> DataFrame:
@@ -71,13 +73,15 @@ def statistics(texts: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind), pa.int32()), pa.array(value, pa.int64()), pa.array(n, pa.int64())], names)
 
     def count(batches):
+        common.forget()
         waiting, total, many = [], 0, {}
 
         def flush():
             found, counts = np.unique(np.concatenate(waiting), return_counts=True)
             keep = counts >= COMMON
-            yield row(0, found[keep].view(np.int64), counts[keep])
-            shared, first = found[keep], []
+            shared, counts, first = found[keep], counts[keep], []
+            del found, keep
+            yield row(0, shared.view(np.int64), counts)
             for s in waiting:
                 rare = s[shared[np.minimum(np.searchsorted(shared, s), len(shared) - 1)] != s] if len(shared) else s
                 first.append(rare[0] if len(rare) else s[0])
@@ -90,7 +94,7 @@ def statistics(texts: DataFrame, width: int) -> DataFrame:
                 if len(s):
                     waiting.append(s)
                     total += len(s)
-            if total > 4_000_000:
+            if total > WINDOW:
                 yield from flush()
                 waiting, total = [], 0
         if waiting:
@@ -187,6 +191,7 @@ def set_rows(texts: DataFrame, width: int, percent: int, order: np.ndarray, ligh
     from_size = _needed(light + 1, percent)  # smaller sets reach no heavy one
 
     def run(batches):
+        common.forget()
         for batch in batches:
             sets = _numbers(batch, width)
             sketches = [sketch(s) for s in sets]

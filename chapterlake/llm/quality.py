@@ -182,6 +182,7 @@ def score(docs: DataFrame, model: FactorisationMachine | None, metadata: tuple[s
     text, places = names.index("text"), [names.index(m) for m in metadata]
 
     def run(batches):
+        common.forget()
         machine = shared.value
         for batch in batches:
             if machine is None:

@@ -15,6 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from . import common
+
 #: Distinct words that a worker remembers (about 130 bytes each).
 WORDS = 600_000
 #: The split pattern of the byte-level pre-tokenizer (a fixed value).
@@ -78,6 +80,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+common.caches.append(_encoders.clear)
 
 
 def encoder(path: str) -> WordEncoder:
