@@ -154,7 +154,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> list[int]:
             out.append(int(k))
             continue
         gaps = np.flatnonzero(~word[data[out[-1] + 1 : end]])
-        if len(gaps) == 0:  # one word longer than a step: it is cut at the step
+        if len(gaps) == 0:  # one word longer than a step: it is cut at the step, and its pieces are added up
             out.append(end)
         else:
             out.append(out[-1] + 1 + int(gaps[-1]))
@@ -176,11 +176,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPA
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each text's words begin (n + 1).
 
-    The hash of a word depends on its bytes alone. Words over STEP_BYTES (1 MiB)
-    are hashed by pieces of that size.
+    The hash of a word depends on its bytes alone: it is mixed from a sum over
+    its bytes, each weighted by its place. A word that steps cut is the sum of
+    its pieces, each weighted by the place of its first byte.
     """
     power, inverse = _tables()
-    hashes, begins = [], []
+    sums, begins = [], []
     places = cuts(data, offsets, word)
     for lo, hi in zip(places, places[1:]):
         part = data[lo:hi]
@@ -190,11 +191,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SP
         s, e = word_spans(part, inner, word)
         prefix = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((fold[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=prefix[1:])
-        hashes.append(mix((prefix[e] - prefix[s]) * inverse[s]))
-        begins.append(s + lo)
-    if not hashes:
+        found, at = (prefix[e] - prefix[s]) * inverse[s], s + lo
+        if lo and len(s) and s[0] == 0 and word[data[lo - 1]] and offsets[np.searchsorted(offsets, lo)] != lo:
+            weight = pow(_BASE, lo - int(begins[-1][-1]), 1 << 64)  # the piece goes on with the word before it
+            sums[-1][-1:] += found[:1] * np.uint64(weight)
+            found, at = found[1:], at[1:]
+        if len(found):
+            sums.append(found)
+            begins.append(at)
+    if not sums:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), offsets)
+    return mix(np.concatenate(sums)), np.searchsorted(np.concatenate(begins), offsets)
 
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)

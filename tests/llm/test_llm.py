@@ -191,6 +191,17 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 300
 
 
+@pytest.mark.parametrize("step", [1, 7, 16])
+def test_words_that_steps_cut_are_hashed_whole(monkeypatch, step):
+    texts = [b"", b"x" * 50, b" a" + b"Bc" * 31 + b" d ", b"y" * 16, b"y" * 16 + b" ", b"one two three", b"  "]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = common.word_hashes(data, offsets)
+    monkeypatch.setattr(common, "STEP_BYTES", step)
+    parted = common.word_hashes(data, offsets)
+    assert whole[0].tolist() == parted[0].tolist() and whole[1].tolist() == parted[1].tolist()
+    assert len(whole[0]) == sum(len(t.split()) for t in texts)
+
+
 def test_hits_followed_in_parts(monkeypatch):
     index = decontaminate.SeedIndex([1, 2], ["a b a b a b a b", "a b c d e f g h"])
     words, _ = common.word_hashes(np.frombuffer(b"a b a b a b a b c d e f g h", np.uint8), np.array([0, 27]), common.ALNUM)
