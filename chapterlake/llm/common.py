@@ -27,10 +27,11 @@ caches: list = []
 
 
 def forget() -> None:
-    """Drops what this worker remembers for other operators. A task of much
-    memory of its own calls it first."""
+    """Drops what this worker remembers for other operators, and gives Arrow's
+    free memory back. A task of much memory of its own calls it first."""
     for drop in caches:
         drop()
+    pa.default_memory_pool().release_unused()
 
 
 def configure(spark: SparkSession) -> None:

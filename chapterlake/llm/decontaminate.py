@@ -166,6 +166,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = send()
 
         def run(batches):
+            common.forget()
             index = shared.value
             for batch in batches:
                 data, offsets = common.text_buffers(batch.column(1))
@@ -202,6 +203,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = send()
 
         def run(batches):
+            common.forget()
             index = shared.value
             for batch in batches:
                 words, begins = common.word_hashes(*common.text_buffers(batch.column(at)), common.ALNUM)

@@ -141,6 +141,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep_text: bool = True) -> D
     place = names.index("text")
 
     def run(batches):
+        common.forget()
         net = shared.value
         for batch in batches:
             column = batch.column(place)

@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: tu
     rows = labelled(docs, chosen, ["text", *metadata]).select("text", "label", *metadata)
 
     def run(batches):
+        common.forget()
         for batch in batches:
             cells, values, starts = features(*common.text_buffers(batch.column(0)), _numbers(batch, range(2, 2 + len(metadata))))
             part = lambda x, t: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, t))
