@@ -37,9 +37,12 @@ from pyspark.sql.window import Window
 from . import common
 
 SUBSET = 2
-#: A shingle counts as shared by many when a task sees it COMMON times or
-#: more; at most TOP_COMMON of these take part in the order (others are rare).
-COMMON, TOP_COMMON = 4, 200_000
+#: A shingle counts as shared by many when a task's window of texts sees it
+#: COMMON times or more: at 2, one of m texts is seen once m is about the root
+#: of the number of windows, so lists of shingles thought rare grow with that
+#: root and their pairs with the input. At most TOP_COMMON of these take part in
+#: the order (others are rare).
+COMMON, TOP_COMMON = 2, 200_000
 #: Estimated cost of meeting one list entry, in keys made.
 MEET = 8.0
 #: Candidate ids that may be broadcast (8 bytes each); more are joined.
