@@ -92,6 +92,30 @@ def least_hashed(rows: DataFrame, key, limit: int) -> DataFrame:
     return near.orderBy(F.pmod("_h", F.lit(1 << 30)), "_h", *[c for c in rows.columns if c in ("doc_id", "id", "lang")]).limit(limit).drop("_h")
 
 
+#: A key is hot that holds over 1 / HOT of the rows (there are fewer than HOT
+#: such keys); its rows are dealt to SALTS parts.
+HOT, SALTS = 1000, 64
+
+
+def hot_keys(counted: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Keys of counted (`n` rows each, `total` rows in all at least) that are hot:
+    fewer than HOT rows, each once."""
+    return counted.filter(F.col(n) * HOT > total).select(*on).distinct()
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, spread, how: str = "inner") -> DataFrame:
+    """left joined to right on `on`, the rows of left's hot keys parted by
+    `spread` and met with a copy of right's row in each part. Both sides are
+    read once; hot keys (fewer than HOT) are broadcast. A null key is not hot
+    and meets nothing."""
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    right = right.join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -295,18 +295,23 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = common.stage(set_rows(texts, width, percent, order, light), "shingle_rows")
     known = rows.filter(F.col("doc_id").isNotNull())
     classes = known.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
-    many = common.stage(classes.filter("members > 1").select("h1", "h2", "class_id"), "classes")
-    member = known.select("doc_id", "n", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
-    member = common.stage(member, "members")
-    copies = known.select("doc_id", "h1", "h2").join(many, ["h1", "h2"]).filter("class_id <> doc_id").select("doc_id", "h1", "h2").distinct()
+    many = common.stage(classes.filter("members > 1"), "classes")
+    total = rows.count()
+    # a class may hold a third of all rows: its rows are dealt to several tasks
+    hot = common.hot_keys(many, ["h1", "h2"], "members", total)
+    member = common.join_hot(known.select("doc_id", "n", "h1", "h2"), many.drop("members"), ["h1", "h2"], hot, "doc_id", "left")
+    member = common.stage(member.select("doc_id", "n", "h1", "h2", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
+    copies = member.filter("class_id <> doc_id").select("doc_id", "h1", "h2").distinct()
     sketches = known.select("doc_id", "n", "sketch")
     reps = known.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc_id", "h1", "h2"], "left_anti")
     keys = reps.select("doc_id", "n", F.explode("keys").alias("k")).select("doc_id", "n", "k.sig", "k.pos")
     # lists of two or more with their hubs, counted in the tasks before the shuffle; a long list then is one
-    # row on one side of a join, so its members can be dealt to several tasks
-    lists = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "n", "doc_id")).alias("hub")).filter("m > 1").drop("m")
+    # row on one side of a join, and its members are dealt to several tasks
+    lists = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "n", "doc_id")).alias("hub")).filter("m > 1")
     lists = common.stage(lists, "hubs")
-    listed = common.stage(keys.join(lists, "sig"), "lists")
+    entries = lists.agg(F.sum("m")).first()[0] or 0
+    listed = common.join_hot(keys, lists.drop("m"), ["sig"], common.hot_keys(lists, ["sig"], "m", entries), "doc_id")
+    listed = common.stage(listed, "lists")
     common.release(lists)
     enough = lambda n1, p1, n2, p2: f"100 * (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1}) >= {percent} * ({n1} + {n2} - (least({n1} - {p1}, {n2} - {p2}) + {SUBSET - 1})) and 100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})"
     hubs = listed.filter("doc_id <> hub.doc_id").filter(enough("n", "pos", "hub.n", "hub.pos"))
@@ -325,6 +330,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     all_links = links.union(more)
     found = common.stage(components(all_links), "components")
     common.release(listed, open_, hubs, rest, joined, counted)
-    out = member.join(found, member["class_id"] == found["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    hot = common.hot_keys(many, ["class_id"], "members", total)
+    out = common.join_hot(member, found.withColumnRenamed("node", "class_id"), ["class_id"], hot, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     nameless = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(nameless)

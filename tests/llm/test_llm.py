@@ -402,6 +402,26 @@ def test_jaccard_equals_brute_force(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+def test_hot_keys_join_as_others(spark):
+    left = spark.createDataFrame([(k % 40 if k % 3 else 7, k) for k in range(9000)] + [(None, -1), (99, -2)], "key long, row long")
+    right = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("key <> 99")
+    hot = common.hot_keys(right, ["key"], "n", 9002 * 20)
+    assert 0 < hot.count() < right.count()
+    for how in ("inner", "left"):
+        got = common.join_hot(left, right, ["key"], hot, "row", how)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, ["key"], how).collect()))
+    assert common.hot_keys(right.union(right), ["key"], "n", 9002 * 20).count() == hot.count()
+
+
+def test_jaccard_of_a_hot_class(spark):
+    rows = [(k % 900, "copies of one text fill the table") for k in range(1000)] + [(5, "another text that has the id of a copy"), (2000, "another text that has the id of a copy")]
+    rows += [(3000 + k, f"text {k} of its own words {k * 7}") for k in range(500)]
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert len(got) == len(rows)
+    assert Counter(r["component_id"] for r in got if r["doc_id"] < 900 and r["doc_id"] != 5) == {0: 998}
+    assert all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] >= 3000)
+
+
 def test_jaccard_on_odd_rows(spark, odd, empty):
     rows = jaccard.similar_components(odd, 5, 80).collect()
     assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["doc_id"] == 4} == {4}
