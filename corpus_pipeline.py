@@ -39,8 +39,11 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = found.select(F.col("doc_id").alias("row_key"), "component_id").join(keyed.select("row_key", "doc_id"), "row_key")
     found = common.stage(found, "components_of_rows")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
-    first = found.groupBy("component_id").agg(F.min(order)["row_key"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    gone = found.join(first, "component_id").filter("row_key <> first").select("row_key")
+    first = found.groupBy("component_id").agg(F.min(order)["row_key"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = common.stage(first, "firsts")
+    # a group may hold a third of all rows: its rows are dealt to several tasks
+    hot = common.hot_keys(first, ["component_id"], "n", found.count())
+    gone = common.join_hot(found, first.drop("n"), ["component_id"], hot, "row_key").filter("row_key <> first").select("row_key")
     return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
