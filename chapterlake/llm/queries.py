@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard, langid, neighbours, packing, quality, sharding, sstable, toxicity
+from . import chat, clustering, common, decontaminate, jaccard, langid, licenses, neighbours, packing, quality, sharding, spelling, sstable, toxicity
 
 
 #: The metadata columns that quality reads.
@@ -106,11 +106,79 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    assigned, centroids = clustering.cluster(rows, k=40, rounds=5, dim=64, scale=256, salt="2")
+    return clustering.summarised(assigned, centroids).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = [
+        "f AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, i, floor(256 * x::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM f) AS u)",
+        f"s AS MATERIALIZED (SELECT vec_id, c FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM f) AS h WHERE c < {k})",
+        "c0 AS MATERIALIZED (SELECT s.c, v.i, v.x FROM v JOIN s ON v.vec_id = s.vec_id)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS nth"
+            f" FROM (SELECT v.vec_id, t.c, sum((v.x - t.x) * (v.x - t.x)) AS d FROM v JOIN c{r} AS t ON v.i = t.i GROUP BY v.vec_id, t.c) AS p) AS o WHERE nth = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT t.c, t.i, coalesce(floor(m.total::DOUBLE / m.n)::BIGINT, t.x) AS x FROM c{r} AS t LEFT JOIN"
+                f" (SELECT a.c, v.i, sum(v.x) AS total, count(*) AS n FROM a{r} AS a JOIN v ON v.vec_id = a.vec_id GROUP BY a.c, v.i) AS m ON m.c = t.c AND m.i = t.i)"
+            )
+    return (
+        f"WITH {', '.join(steps)}, g AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)"
+        f" SELECT a.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, g.centroid_sha256"
+        f" FROM a{rounds} AS a JOIN g ON g.c = a.c"
+    )
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base, own = F.filter("matches", lambda m: m["base"]), lambda list_, name: F.transform(list_, lambda m: m[name])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(own(base, "first")).alias("first_word"), F.array_max(own(base, "first")).alias("last_word"),
+        licenses.joined(own(base, "label")).alias("base_labels"), licenses.joined(own(F.col("matches"), "label")).alias("labels"), F.coalesce(F.array_max(own(F.col("matches"), "confidence")), F.lit(0.0)).alias("score"),
+    )
+
+
+def _pattern(parts: list) -> str:
+    """A template's parts as an expression over words with a blank before each."""
+    one = lambda p: f" {p}" if isinstance(p, str) else f"(?:{_pattern(p)})?" if isinstance(p, list) else f"(?: [^ ]+){{{p[0]},{p[1]}}}"
+    return "".join(map(one, parts))
+
+
+def _op12_sql() -> str:
+    base = [(t.label, licenses.parse(t.markup)) for t in licenses.TEMPLATES if t.base]
+    at = lambda words: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    places = " || ".join(f"list_filter(r, lambda i: {at(words)})" for _, words in base)
+    hit = lambda t: f"regexp_matches(said, '{_pattern(licenses.parse(t.markup))} ')"
+    listed = lambda cases: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '')"
+    base_labels = ", ".join(f"CASE WHEN len(list_filter(r, lambda i: {at(words)})) > 0 THEN '{label}' END" for label, words in base)
+    labels = ", ".join(f"CASE WHEN {hit(t)} THEN '{t.label}' END" for t in licenses.TEMPLATES)
+    scores = ", ".join(f"CASE WHEN {hit(t)} THEN {t.confidence} ELSE 0.0 END" for t in licenses.TEMPLATES)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT doc_id, w, range(1, len(w) + 1) AS r, ' ' || array_to_string(w, ' ') || ' ' AS said FROM d),
+p AS (SELECT *, {places} AS b FROM e)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(b)::BIGINT AS n_base, list_min(b) - 1 AS first_word, list_max(b) - 1 AS last_word,
+  {listed(base_labels)} AS base_labels, {listed(labels)} AS labels, greatest({scores})::DOUBLE AS score FROM p
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = common.stage(spelling.words(_table(spark, sf_dir, "documents"), 7, 2, 31), "vocabulary")
+    return spelling.variants(vocabulary, 7)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_neighbours, op4_language, op5_tokens, op6_quality, op7_chat, op8_jaccard, op9_toxicity, op10_shard, pipeline)}
-SQL = {"op7_chat": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_neighbours, op4_language, op5_tokens, op6_quality, op7_chat, op8_jaccard, op9_toxicity, op10_shard, op11_clusters, op12_licenses, op13_spelling, pipeline)}
+SQL = {"op7_chat": OP7_SQL, "op11_clusters": _op11_sql(), "op12_licenses": _op12_sql()}
