@@ -273,3 +273,10 @@ def safe_timestamp(stamp: Column) -> Column:
     zoned = stamp.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})$") & (F.length(stamp) <= 64)
     whole = F.regexp_replace(stamp, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
     return F.when(zoned & F.try_to_timestamp(whole).isNotNull(), stamp)
+
+
+def odd_bytes(body: Column) -> Column:
+    """Whether UTF-8 bytes hold what another encoding would: NUL, a byte order
+    mark, or a switch of mode."""
+    value = body.cast("string")
+    return value.contains("\0") | value.startswith("\ufeff") | value.contains("\x1b$") | value.contains("\x1b(J")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, urls
+from ..sources.shared import keep
 from . import dom, extract, pages
 
 #: Chapter labels of candidates and of scores (fixed values).
@@ -49,19 +50,20 @@ class Context:
 
 
 def context(captured: DataFrame, nodes: DataFrame, kinds: DataFrame) -> Context:
-    """Lays out once what rules and scores read of pages (page_id, url, html)."""
-    roots = nodes.filter(dom.is_noise())
-    noisy = dom.without(nodes, roots).select("page_id", "node_id", F.lit(True).alias("clean"))
-    flagged = dom.paths(nodes).join(noisy, ["page_id", "node_id"], "left").withColumn("noise", F.col("clean").isNull()).drop("clean")
+    """Lays out once what rules and scores read of pages (page_id, url, html);
+    the tables are written, so that no rule works them out again."""
+    links = keep(extract.anchors(captured, nodes))
+    good = links.filter(F.col("text").rlike(CHAPTER)).select("page_id", "node_id", F.lit(1).alias("_good"))
+    flagged = dom.covered(dom.paths(nodes).join(good, ["page_id", "node_id"], "left"), nodes.filter(dom.is_noise()), "noise")
     said = F.col("own_text") != ""
     shown = F.length("own_text")
     totals = dom.subtree_totals(
         flagged, chars=shown, pieces=said, clean_chars=F.when(~F.col("noise"), shown).otherwise(0), clean_pieces=said & ~F.col("noise"),
-        paragraphs=(F.col("tag") == "p") & ~F.col("noise"), link_chars=F.when(F.col("tag") == "a", shown).otherwise(0),
+        paragraphs=(F.col("tag") == "p") & ~F.col("noise"), link_chars=F.when(F.col("tag") == "a", shown).otherwise(0), chapter_links=F.coalesce("_good", F.lit(0)),
     )
     hinted = F.col("tag").isin("h1", "h2", "title", "p", "span") | dom.marker().rlike("(?i)author|writer")
     texts = pages.node_text(nodes, nodes.filter(hinted))
-    return Context(totals, extract.anchors(captured, nodes), texts, kinds.select("page_id", "kind"))
+    return Context(keep(totals.drop("_good")), links, keep(texts), keep(kinds.select("page_id", "kind")))
 
 
 def _row(df: DataFrame, field: Column, score: Column, rule: str) -> DataFrame:
@@ -86,18 +88,13 @@ def authors(c: Context) -> DataFrame:
     return _row(labelled, F.lit("author"), F.lit(0.85), "author.label").unionByName(_row(beside, F.lit("author"), F.lit(0.75), "author.sibling"))
 
 
-def _chapter_counts(c: Context) -> DataFrame:
-    """Containers outside noise with the chapter links in them."""
-    good = c.links.filter(F.col("text").rlike(CHAPTER)).select(F.col("page_id").alias("_page"), F.col("node_id").alias("_link"))
-    boxes = c.nodes.filter(F.col("tag").isin(*LISTS) & ~F.col("noise"))
-    return boxes.join(good, (F.col("page_id") == F.col("_page")) & (F.col("_link") > F.col("node_id")) & (F.col("_link") <= F.col("end_id"))).groupBy("page_id", "node_id", "parent_id", "selector").agg(F.count(F.lit(1)).alias("links"))
-
-
 def chapter_lists(c: Context) -> DataFrame:
-    boxes = _chapter_counts(c).filter(F.col("links") >= MIN_LINKS)
+    """Containers outside noise of MIN_LINKS chapter links or more, not those
+    that are the parent of one."""
+    boxes = c.nodes.filter(F.col("tag").isin(*LISTS) & ~F.col("noise") & (F.col("chapter_links") >= MIN_LINKS))
     outer = boxes.select("page_id", F.col("parent_id").alias("node_id"))
     inner = boxes.join(outer, ["page_id", "node_id"], "left_anti")
-    return _row(inner, F.lit("chapter_list"), 0.55 + F.least(F.col("links"), F.lit(10)) * 0.04, "chapter_list").withColumn("selector", F.concat("selector", F.lit(" a")))
+    return _row(inner, F.lit("chapter_list"), 0.55 + F.least(F.col("chapter_links"), F.lit(10)) * 0.04, "chapter_list").withColumn("selector", F.concat("selector", F.lit(" a")))
 
 
 def contents(c: Context) -> DataFrame:
@@ -133,16 +130,23 @@ def candidates(c: Context, rules: dict[str, Callable[[Context], DataFrame]] = RU
 def list_features(c: Context, found: DataFrame) -> DataFrame:
     """Of each chapter list: count and share of chapter labels, share of its
     links on the page's site, and continuity: the share of neighbouring links
-    whose number grows by one."""
-    boxes = found.filter("field = 'chapter_list'").select("page_id", "node_id").join(c.nodes.select("page_id", "node_id", "end_id"), ["page_id", "node_id"])
-    links = c.links.select("page_id", F.col("node_id").alias("_link"), "href", "text", "same_site")
-    inside = boxes.join(links, "page_id").filter("_link > node_id and _link <= end_id")
-    order = Window.partitionBy("page_id", "node_id").orderBy("_link")
+    whose number grows by one. A list's links are a run of its page's links in
+    order: running sums where it begins and ends give all of these."""
+    boxes = found.filter("field = 'chapter_list'").select("page_id", "node_id").distinct().join(c.nodes.select("page_id", "node_id", "end_id"), ["page_id", "node_id"])
     number = text.link_number(F.col("text"), F.col("href"))
-    stepped = inside.withColumn("number", number).withColumn("_next", F.lead("number").over(order)).withColumn("_has", F.lead("_link").over(order).isNotNull())
-    grows = F.when(F.col("_has"), F.coalesce((F.col("_next") - F.col("number") == 1).cast("double"), F.lit(0.0)))
-    label = F.col("text").rlike(SCORED_CHAPTER).cast("double")
-    return stepped.groupBy("page_id", "node_id").agg(F.sum(label).alias("count"), F.avg(label).alias("precision"), F.avg(F.col("same_site").cast("double")).alias("same_origin"), F.coalesce(F.avg(grows), F.lit(0.0)).alias("continuity"))
+    linked = c.links.select("page_id", F.col("node_id").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("box"), number.alias("number"), F.col("text").rlike(SCORED_CHAPTER).cast("int").alias("label"), F.col("same_site").cast("int").alias("same"))
+    onward = Window.partitionBy("page_id").orderBy("at")
+    linked = linked.withColumn("grows", F.coalesce((F.lead("number").over(onward) - F.col("number") == 1).cast("int"), F.lit(0))).drop("number")
+    mark = lambda at, kind: boxes.select("page_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), F.col("node_id").alias("box"))
+    marks = linked.unionByName(mark("node_id", 2).unionByName(mark("end_id", 3)), allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"links": F.count_if(F.col("kind") == 1), "labels": F.sum(F.coalesce("label", F.lit(0))), "own": F.sum(F.coalesce("same", F.lit(0))), "steps": F.sum(F.coalesce("grows", F.lit(0)))}
+    met = marks.withColumns({n: f.over(order) for n, f in sums.items()} | {"last": F.last("grows", ignorenulls=True).over(order)}).filter("kind > 1")
+    begin, end = (lambda n: F.min(F.when(F.col("kind") == 2, F.col(n)))), (lambda n: F.max(F.when(F.col("kind") == 3, F.col(n))))
+    each = met.groupBy("page_id", F.col("box").alias("node_id")).agg(*[(end(n) - begin(n)).alias(n) for n in sums], end("last").alias("last"))
+    share = lambda n: F.col(n) / F.col("links")
+    steps = F.when(F.col("links") > 1, (F.col("steps") - F.col("last")) / (F.col("links") - 1)).otherwise(0.0)
+    return each.filter("links > 0").select("page_id", "node_id", F.col("labels").cast("double").alias("count"), share("labels").alias("precision"), share("own").alias("same_origin"), steps.alias("continuity"))
 
 
 def _length_score(n: Column, low: int, high: int) -> Column:
@@ -173,6 +177,7 @@ def score(c: Context, found: DataFrame, rules: dict[str, list[tuple[str, Column,
     components of a field, (name, score, weight) over the columns of found, its
     nodes and features, in place of the field's own."""
     check_rules(rules or {})
+    found = keep(found)
     nodes = c.nodes.select("page_id", "node_id", "tag", "attrs", "noise", "chars", "pieces", "clean_chars", "clean_pieces", "paragraphs", "link_chars")
     anchors = c.links.select("page_id", "node_id", F.col("text").alias("label"), "rel")
     many = c.links.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))

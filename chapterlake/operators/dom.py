@@ -9,8 +9,12 @@ Selector subset: lists split by commas; steps joined by blanks (descendant) or
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +28,12 @@ _STEP = re.compile(rf"(?:\*|[A-Za-z][\w-]*)?(?:#[\w-]+|\.[\w-]+|{_ATTR}|:nth-of-
 NOISE = r"(?i)(?:comment|recommend|related|advert|\bad\b|banner|footer|share|评论|推荐|广告)"
 NOISE_TOKEN = r"(?i)(?:^|[-_\s])(?:ad|ads|advert|advertisement|banner|cookie|popup|promo|social|tracking)(?:$|[-_\s])"
 SILENT = "script style noscript template svg".split()
+#: Words of ids and classes that name parts of pages (fixed values), and ids and
+#: classes that no selector may show.
+PARTS = frozenset("content chapter catalog book list reader article author title nav pagination main body text novel entry item link comment recommend related advert ad banner footer share".split())
+_SECRET = re.compile(r"token|secret|session|password|@", re.I)
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+_PLAIN = re.compile(r"[A-Za-z_][\w-]*")
 #: Tags and roles that a fingerprint tells apart (fixed values).
 TAG_BUCKETS = "html body main article section header footer nav aside h1 h2 h3 p ol ul li a form input button table tr td".split()
 ROLE_BUCKETS = "article banner button contentinfo form heading link list listitem main navigation region search".split()
@@ -100,7 +110,7 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
             if joint == ">":
                 hit = nodes.filter(_fits(step)).join(_ranges(hit), _same_page() & (F.col("parent_id") == F.col("_from")), "left_semi")
             else:
-                hit = _covered(nodes.filter(_fits(step)), hit, strict=True).filter("_in").drop("_in")
+                hit = covered(nodes.filter(_fits(step)), hit, strict=True).filter("_in").drop("_in")
         found.append(hit)
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).dropDuplicates(["page_id", "node_id"])
 
@@ -147,20 +157,20 @@ def _inside() -> Column:
     return (F.col("node_id") >= F.col("_from")) & (F.col("node_id") <= F.col("_to"))
 
 
-def _covered(nodes: DataFrame, roots: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds _in: whether a node lies in the subtree of one of `roots` (with
+def covered(nodes: DataFrame, roots: DataFrame, name: str = "_in", strict: bool = False) -> DataFrame:
+    """Adds the flag `name`: whether a node lies in the subtree of one of `roots` (with
     strict, below its root). Subtrees nest, so the greatest end among roots
     met so far in page order decides: one window, no pairs."""
     ends = roots.select("page_id", "node_id", F.col("end_id").alias("_to"), F.lit(1 if strict else -1).alias("_kind"))
     both = nodes.withColumn("_kind", F.lit(0)).unionByName(ends, allowMissingColumns=True)
     order = Window.partitionBy("page_id").orderBy("node_id", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("_last", F.max("_to").over(order)).filter("_kind = 0")
-    return met.select(*nodes.columns, F.coalesce(F.col("_last") >= F.col("node_id"), F.lit(False)).alias("_in"))
+    return met.select(*nodes.columns, F.coalesce(F.col("_last") >= F.col("node_id"), F.lit(False)).alias(name))
 
 
 def without(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes outside the subtrees of `roots`."""
-    return _covered(nodes, roots).filter("not _in").drop("_in")
+    return covered(nodes, roots).filter("not _in").drop("_in")
 
 
 def blanked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -168,7 +178,7 @@ def blanked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     text: nothing selects them, and ranges and totals of others hold."""
     shown = lambda c, none: F.when(F.col("_in"), none).otherwise(F.col(c)).alias(c)
     empty = {"tag": F.lit(""), "attrs": F.lit(None), "own_text": F.lit("")}
-    return _covered(nodes, roots).select(*[shown(c, empty[c]) if c in empty else F.col(c) for c in nodes.columns])
+    return covered(nodes, roots).select(*[shown(c, empty[c]) if c in empty else F.col(c) for c in nodes.columns])
 
 
 def denoised(nodes: DataFrame, noise: Column | None = None) -> DataFrame:
@@ -191,24 +201,123 @@ def text_length() -> Column:
     return F.when(F.col("tag").isin(*SILENT), 0).otherwise(F.length("own_text"))
 
 
-def paths(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """Adds selector to all nodes, or to those of `of` (page_id, node_id): `#id` where the id is the page's only one, else the class
-    set where unique, else the path of `tag:nth-of-type` steps from the root."""
-    ids = Window.partitionBy("page_id", attr("id"))
-    sets = Window.partitionBy("page_id", F.array_join(F.array_sort(classes()), "."))
-    safe = lambda v: ~v.rlike(r"(?i)token|secret|session|password|@") & (F.length(v) <= 48) & (F.length(F.regexp_replace(v, r"\D", "")) <= 4) & v.rlike(r"^[A-Za-z_][\w. -]*$")
-    kinds = Window.partitionBy("page_id", "parent_id", "tag")
-    step = F.when(F.count(F.lit(1)).over(kinds) > 1, F.concat("tag", F.lit(":nth-of-type("), F.col("sibling_pos").cast("string"), F.lit(")"))).otherwise(F.col("tag"))
-    marked = nodes.withColumn("_step", step)
-    by_id = F.when(attr("id").isNotNull() & safe(attr("id")) & (F.count(F.lit(1)).over(ids) == 1), F.concat(F.lit("#"), attr("id")))
-    named = F.concat(F.lit("."), F.array_join(classes(), "."))
-    by_class = F.when(attr("class").isNotNull() & safe(attr("class")) & (F.count(F.lit(1)).over(sets) == 1), named)
-    above = marked.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_from"), F.col("end_id").alias("_to"), F.col("_step").alias("_up"))
-    asked = nodes.select("page_id", "node_id") if of is None else of.select("page_id", "node_id").distinct()
-    chain = asked.join(above, _same_page() & _inside()).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("_from", "_up"))).alias("_chain"))
-    chain = chain.select("page_id", "node_id", F.array_join("_chain._up", " > ").alias("_path"))
-    short = marked.withColumns({"_id": by_id, "_class": by_class}).select(*nodes.columns, "_id", "_class")
-    return short.join(chain, ["page_id", "node_id"]).select(*nodes.columns, F.coalesce("_id", "_class", "_path").alias("selector"))
+class _Page:
+    """The nodes of one page, for the search of selectors that match one node."""
+
+    def __init__(self, ids, parents, ends, tags, positions, attrs, texts):
+        self.at = {i: k for k, i in enumerate(ids)}
+        self.ids, self.ends, self.tags, self.positions, self.texts = ids, ends, tags, positions, texts
+        self.up = [self.at.get(p) for p in parents]
+        self.attrs = [dict(a or ()) for a in attrs]
+        kinds, self.by_id, self.by_class = Counter(zip(self.up, tags)), defaultdict(set), defaultdict(set)
+        # a step names its place only among several of its kind
+        self.steps = [tag if kinds[up, tag] == 1 else f"{tag}:nth-of-type({n})" for up, tag, n in zip(self.up, tags, positions)]
+        for k, a in enumerate(self.attrs):
+            self.by_id[a.get("id")].add(k)
+            for c in a.get("class", "").split():
+                self.by_class[c].add(k)
+
+    def speaks(self, value: str, k: int) -> bool:
+        """Whether an id or class names a part of a page, and neither a secret
+        nor what the node says."""
+        if _SECRET.search(value) or _UUID.fullmatch(value) or len(value) > 48 or sum(c.isdigit() for c in value) > 4 or not _PLAIN.fullmatch(value):
+            return False
+        if not any(w in PARTS or w.removesuffix("s") in PARTS for w in re.split(r"[-_]", value.casefold())):
+            return False
+        bare = re.sub(r"\W+", "", value).casefold()
+        return len(bare) < 4 or bare != re.sub(r"\W+", "", "".join(self.texts[k : bisect_right(self.ids, self.ends[k])])).casefold()
+
+    def named(self, k: int) -> str | None:
+        """By id, else by classes, where that is the page's only match."""
+        own = self.attrs[k].get("id")
+        if own and len(self.by_id[own]) == 1 and self.speaks(own, k):
+            return f"#{own}"
+        classes = [c for c in dict.fromkeys(self.attrs[k].get("class", "").split()) if self.speaks(c, k)]
+        if classes and len(set.intersection(*[self.by_class[c] for c in classes])) == 1:
+            return "." + ".".join(classes)
+        return None
+
+    def plainly_named(self, k: int) -> str | None:
+        """By any id, else by tag and one class, where that is the page's only match."""
+        own = self.attrs[k].get("id")
+        if own and len(self.by_id[own]) == 1 and _PLAIN.fullmatch(own):
+            return f"#{own}"
+        for c in self.attrs[k].get("class", "").split():
+            if _PLAIN.fullmatch(c) and sum(self.tags[j] == self.tags[k] for j in self.by_class[c]) == 1:
+                return f"{self.tags[k]}.{c}"
+        return None
+
+    def selectors(self, asked, plain: bool = False) -> dict[int, str]:
+        """The selector of each asked node: its name, else the shortest path of
+        steps upward that matches it alone; that to the root where none does.
+        Paths in use grow by one step a round, and with each the nodes that it
+        matches; those of one match are done."""
+        out = {k: name for k in asked if (name := self.plainly_named(k) if plain else self.named(k))}
+        open_ = {k: (self.steps[k], self.up[k]) for k in asked if k not in out}  # path, and the next step's node
+        used = {path for path, _ in open_.values()}
+        met = defaultdict(list)  # of a path the nodes it matches, each with the node of the next step
+        for k, tag in enumerate(self.tags):
+            for path in {tag, f"{tag}:nth-of-type({self.positions[k]})"} & used:
+                met[path].append((k, self.up[k]))
+        while open_:
+            longer, used = {}, set()
+            for k, (path, up) in open_.items():
+                if len(met[path]) == 1 or up is None:
+                    out[k] = path
+                else:
+                    longer[k] = (f"{self.steps[up]} > {path}", self.up[up])
+                    used.add(longer[k][0])
+            grown, going = defaultdict(list), {path for k, (path, _) in open_.items() if k in longer}
+            for path in going:
+                for k, up in met[path]:
+                    if up is not None:
+                        for step in {self.tags[up], f"{self.tags[up]}:nth-of-type({self.positions[up]})"}:
+                            if (far := f"{step} > {path}") in used:
+                                grown[far].append((k, self.up[up]))
+            open_, met = longer, grown
+        return out
+
+
+def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) -> DataFrame:
+    """Adds selector to all nodes, or to those of `of` (page_id, node_id): `#id`
+    or the class set where that speaks of the page's parts (plain: any id, or tag
+    and class) and no other node matches it, else the shortest path of `tag:nth-of-type` steps that matches
+    no other node. A page's nodes are searched together, as they came from one
+    row; of two nodes that nothing tells apart (roots of a page without one)
+    both have the path from the root."""
+    columns = [*nodes.columns, "selector"]
+    asked = nodes.withColumn("_asked", F.lit(True)) if of is None else nodes.join(of.select("page_id", "node_id").distinct().withColumn("_asked", F.lit(True)), ["page_id", "node_id"], "left")
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        """Whole pages, one after another."""
+        read = lambda name: rows.column(name).to_pylist()
+        pages, asks = rows.column("page_id").to_numpy(zero_copy_only=False), read("_asked")
+        parts = [read(c) for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos", "attrs", "own_text")]
+        chosen, said = [], []
+        edges = [0, *(np.flatnonzero(pages[1:] != pages[:-1]) + 1).tolist(), len(pages)]
+        for lo, hi in zip(edges, edges[1:]):
+            wanted = [k for k in range(hi - lo) if asks[lo + k]]
+            if wanted:
+                of_page = _Page(*[p[lo:hi] for p in parts]).selectors(wanted, plain)
+                chosen += [lo + k for k in of_page]
+                said += of_page.values()
+        out = rows.take(pa.array(chosen, pa.int64())).drop_columns(["_asked"]).append_column("selector", pa.array(said, pa.string()))
+        return out.select(columns).combine_chunks()
+
+    def run(batches):
+        held: list = []  # the last page so far: it may go on
+        for batch in batches:
+            page = batch.column("page_id").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(page, page[-1])) if len(page) else 0
+            if cut or held and len(page) and held[-1].column("page_id")[-1].as_py() != page[0]:
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    return asked.repartition("page_id").sortWithinPartitions("page_id", "node_id").mapInArrow(run, f"{shape}, selector string")
 
 
 def fingerprints(nodes: DataFrame, salt: str, counts: DataFrame | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def list_containers(nodes: DataFrame, found: DataFrame) -> DataFrame:
     counted = dom.subtree_totals(nodes.join(flags, ["page_id", "node_id"], "left"), links=F.coalesce("_link", F.lit(0)))
     holders = counted.filter(F.col("tag").isin(*LIST_TAGS) & (F.col("links") >= 2))
     best = holders.groupBy("page_id").agg(F.min_by("node_id", F.struct("links", "node_id")).alias("node_id"))
-    return dom.paths(nodes, best).select("page_id", F.concat("selector", F.lit(" a")).alias("chapter_list_selector"))
+    return dom.paths(nodes, best, plain=True).select("page_id", F.concat("selector", F.lit(" a")).alias("chapter_list_selector"))
 
 
 def contents(nodes: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def contents(nodes: DataFrame) -> DataFrame:
     marked = sized.filter(F.col("tag").isin(*CONTENT_TAGS) & F.concat_ws(" ", dom.attr("id"), dom.attr("class")).rlike(CONTENT_MARK))
     enough = marked.filter((F.col("content_chars") >= MIN_CHARS) & (F.col("paragraphs") >= 1))
     best = keep(enough.groupBy("page_id").agg(F.max_by(F.struct("node_id", "content_chars", "paragraphs"), F.struct("content_chars", "paragraphs", -F.col("node_id"))).alias("b")).select("page_id", "b.*"))
-    named = dom.paths(nodes, best).select("page_id", "selector").join(best, "page_id")
+    named = dom.paths(nodes, best, plain=True).select("page_id", "selector").join(best, "page_id")
     whole = sized.filter("parent_id is null").groupBy("page_id").agg(F.sum("chars").alias("c"), F.sum("pieces").alias("k"), F.sum("all_paragraphs").alias("p"))
     joined = whole.join(named, "page_id", "left")
     all_chars = F.col("c") + F.greatest(F.col("k") - 1, F.lit(0))

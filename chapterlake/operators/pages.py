@@ -2,9 +2,12 @@
 
 flatten() parses each page once, in Arrow batches, with the standard library's
 tolerant parser; everything after it is relational. Policy for malformed
-markup: void elements have no content; p, li, dd, dt, tr, td, th and option end
-where a sibling of their kind begins; comments are dropped; an end tag without
-a start tag is ignored.
+markup: void elements have no content; a start tag ends the open elements that
+cannot hold it (a paragraph before a block, items, terms, cells, rows, options,
+headings and links before their like, through what stands open in them, but not
+out of the list, table or cell around them); an end tag does not reach out of a
+table cell, nor that of a phrase out of a block; one without its start tag is
+ignored; comments are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +24,22 @@ from ..sources.shared import keep
 from . import dom
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS_SELF = frozenset("p li dd dt tr td th option".split())
+#: Start tags that end an open paragraph; elements that end the search for an
+#: open one; parts of tables; what a head may hold (after the HTML standard).
+ENDS_PARAGRAPH = (
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp"
+).split()
+SPECIAL = frozenset(
+    (
+        "address applet article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html"
+        " iframe img input keygen li link listing main marquee menu meta nav noembed noframes noscript object ol p param plaintext pre script search section select source style summary table tbody td template textarea tfoot th thead title tr track ul wbr xmp"
+    ).split()
+)
+TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+CELLS = frozenset("td th caption table template".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: Nodes in one batch of rows, at least.
+BATCH_NODES = 20_000
 NODES = "page_id long, node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, sibling_pos int, own_text string"
 CHAPTER_TEXT = r"(?i)(?:第\s*[0-9零一二三四五六七八九十百千万两]+\s*[章节回卷]|chapter\s+\d+)"
 #: Signs of kinds, and what is cut before they are looked for (fixed values).
@@ -41,20 +59,68 @@ CLASSIFY_SIGNS = {
 }
 
 
+def _rules() -> dict[str, list[tuple[frozenset, frozenset]]]:
+    """By start tag: the open elements it ends, and those that end the search
+    for them (outward from the innermost; the outermost one met is ended)."""
+    scope = frozenset("applet button caption html marquee object table td template th".split())
+    tables = frozenset(("table", "template"))
+    cells, rows = {"td", "th"}, {"tr", "caption", "colgroup"}
+    groups = {"thead", "tbody", "tfoot"}
+    items = SPECIAL - {"address", "div", "p"}
+    rules = {tag: [(frozenset("p"), scope)] for tag in ENDS_PARAGRAPH}
+    more = [
+        ("li", {"li"}, items), ("dd dt", {"dd", "dt"}, items), ("option", {"option"}, {"select", "optgroup", "datalist"}), ("optgroup", {"option", "optgroup"}, {"select"}),
+        ("rp rt", {"rp", "rt"}, {"ruby", *scope}), ("a", {"a"}, scope), ("h1 h2 h3 h4 h5 h6", {"h1", "h2", "h3", "h4", "h5", "h6"}, SPECIAL),
+        ("td th", cells, {"tr", *tables}), ("tr", cells | rows, groups | tables), ("caption colgroup thead tbody tfoot", cells | rows | groups, tables), ("body", {"head"}, {"html"}),
+    ]
+    for tags, ended, stops in more:
+        for tag in tags.split():
+            rules.setdefault(tag, []).append((frozenset(ended), frozenset(stops) - ended))
+    return rules
+
+
 class _Flat(HTMLParser):
+    """The nodes of pages fed one after another, column by column."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.stack, self.kinds = [], [], [{}]
+        self.rules, self.columns = _rules(), {f.split()[0]: [] for f in NODES.split(", ")}
+        self.stack, self.kinds, self.texts, self.first = [], [{}], [], 0
+
+    def __len__(self):
+        return len(self.columns["tag"])
+
+    def page(self, page, html):
+        self.reset()
+        self.first, self.texts = len(self), []
+        self.feed(html or "")
+        self.close()
+        self._close(0)
+        self.columns["page_id"] += [page] * len(self.texts)
+        self.columns["own_text"] += [" ".join(t) for t in self.texts]
+        self.kinds = [{}]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_SELF and self.stack and self.nodes[self.stack[-1]]["tag"] == tag:
+        if self.stack and self._open(-1) == "head" and tag not in IN_HEAD:
             self._close(len(self.stack) - 1)
-        parent = self.stack[-1] if self.stack else None
-        counts = self.kinds[-1]
+        for ended, stops in self.rules.get(tag, ()):
+            outermost = None
+            for k in range(len(self.stack) - 1, -1, -1):
+                name = self._open(k)
+                if name in ended:
+                    outermost = k
+                elif name in stops:
+                    break
+            if outermost is not None:
+                self._close(outermost)
+        counts, c = self.kinds[-1], self.columns
         counts[tag] = counts.get(tag, 0) + 1
-        self.nodes.append({"tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "parent": parent, "depth": len(self.stack), "pos": counts[tag], "text": [], "end": None})
+        at = len(self) - self.first
+        for name, value in (("node_id", at), ("parent_id", self.stack[-1] if self.stack else None), ("end_id", at), ("depth", len(self.stack)), ("tag", tag), ("attrs", [(k, v or "") for k, v in dict(attrs).items()]), ("sibling_pos", counts[tag])):
+            c[name].append(value)
+        self.texts.append([])
         if tag not in VOID:
-            self.stack.append(len(self.nodes) - 1)
+            self.stack.append(at)
             self.kinds.append({})
 
     def handle_startendtag(self, tag, attrs):
@@ -63,18 +129,26 @@ class _Flat(HTMLParser):
             self._close(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
+        stops = {"table", "template"} if tag in TABLE_PARTS else CELLS if tag in SPECIAL else SPECIAL
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.nodes[self.stack[k]]["tag"] == tag:
+            name = self._open(k)
+            if name == tag:
                 self._close(k)
                 return
+            if name in stops:
+                return
 
     def handle_data(self, data):
-        if self.stack and data.strip():
-            self.nodes[self.stack[-1]]["text"].append(data.strip())
+        if self.stack and (data := data.strip()):
+            self.texts[self.stack[-1]].append(data)
+
+    def _open(self, depth):
+        return self.columns["tag"][self.first + self.stack[depth]]
 
     def _close(self, depth):
+        last = len(self) - self.first - 1
         while len(self.stack) > depth:
-            self.nodes[self.stack.pop()]["end"] = len(self.nodes) - 1
+            self.columns["end_id"][self.first + self.stack.pop()] = last
             self.kinds.pop()
 
 
@@ -83,19 +157,15 @@ def flatten(pages: DataFrame) -> DataFrame:
     those with node_id in (node_id, end_id]. Null html gives no node."""
 
     def run(batches):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string()]
         for batch in batches:
-            out = {f.split()[0]: [] for f in NODES.split(", ")}
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                flat = _Flat()
-                flat.feed(html or "")
-                flat.close()
-                flat._close(0)
-                for k, n in enumerate(flat.nodes):
-                    row = (page, k, n["parent"], k if n["end"] is None else n["end"], n["depth"], n["tag"], n["attrs"], n["pos"], " ".join(n["text"]))
-                    for name, value in zip(out, row):
-                        out[name].append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+            flat = _Flat()
+            for page, html in zip(batch.column(0), batch.column(1)):
+                flat.page(page.as_py(), html.as_py())
+                if len(flat) >= BATCH_NODES:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(flat.columns.values(), kinds)], list(flat.columns))
+                    flat = _Flat()
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(flat.columns.values(), kinds)], list(flat.columns))
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
 

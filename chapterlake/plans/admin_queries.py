@@ -3,6 +3,7 @@ over columns that Spark derives from the given tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -29,6 +30,30 @@ def decoded_pages(spark, d):
     return readers.decode_pages(raw).select("page_id", "encoding", F.md5(F.col("html").cast("binary")).alias("md5"))
 
 
+#: Sentences in three scripts, and the encodings that bodies of them come in.
+_SIMPLIFIED = "他站在山门前，望着远处的群山，心中忽然明白了师父当年说过的那些话。夜色渐渐深了，风从谷底吹上来，带着松树的气味。"
+_TRADITIONAL = "她把書放回架上，轉身對老人說：這個故事我從小聽到大，卻從來沒有想過結局會是這樣。窗外下著雨，街上的燈一盞一盞亮起來。"
+_JAPANESE = "彼は静かに本を閉じて、窓の外を見つめた。雨はまだ降り続いていて、町の明かりがぼんやりと滲んでいる。明日の朝には、すべてが変わっているだろう。"
+_BODIES = [("gb18030", _SIMPLIFIED), ("big5", _TRADITIONAL), ("shift-jis", _JAPANESE), ("euc-jp", _JAPANESE), ("utf-16-le", _TRADITIONAL), ("utf-16-be", _SIMPLIFIED), ("utf-8", _JAPANESE)]
+
+
+@_query("SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(_BODIES)) + " END AS encoding, md5('<p>' || page_id || repeat(CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{said}'" for k, (_, said) in enumerate(_BODIES)) + " END, 2 + page_id % 3)) AS md5 FROM (SELECT doc_id AS page_id FROM documents)")
+def guessed_pages(spark, d):
+    """Bodies without a declared charset in seven encodings, one a document."""
+    k = (F.col("doc_id") % 7).cast("int")
+    of = lambda at: F.element_at(F.array(*[F.lit(x[at]) for x in _BODIES]), k + 1)
+    html = F.concat(F.lit("<p>"), F.col("doc_id").cast("string"), F.repeat(of(1), (2 + F.col("doc_id") % 3).cast("int")))
+    made = _t(spark, d, "documents").select(F.col("doc_id").alias("page_id"), of(0).alias("name"), html.alias("html"))
+
+    def encode(batches):
+        for batch in batches:
+            bodies = [t.encode(n) for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.nulls(len(bodies), pa.string())], ["page_id", "body", "content_type"])
+
+    raw = made.mapInArrow(encode, "page_id long, body binary, content_type string")
+    return readers.decode_pages(raw).select("page_id", "encoding", F.md5(F.col("html").cast("binary")).alias("md5"))
+
+
 def _url_list(spark, d):
     key = F.col("page_id").cast("string")
     lines = F.array(F.concat(F.lit("  "), "url", F.lit(" ")), F.concat(F.lit("# page "), key), F.lit(""), F.concat(F.lit("ftp://h.test/"), key), F.concat(F.lit("http://user@h.test/"), key))

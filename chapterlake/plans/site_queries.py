@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, urls
 from ..operators import adapt, dom, explore, extract, pages, routing
-from ..sources.shared import keep
+from ..sources.shared import keep, new_folder
 from .queries import _query, _t
 
 
@@ -17,6 +17,12 @@ def _nodes(captured):
     return keep(pages.flatten(captured))
 
 
+def _dealt(spark, made):
+    """Made pages, written, in as many parts as the session shuffles into: few
+    bytes of markup are much work, so parts by bytes would leave cores idle."""
+    return keep(made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"))
+
+
 def _catalog_pages(spark, d):
     """One catalog page an order, its lines as chapter links in order."""
     lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).distinct()
@@ -24,7 +30,7 @@ def _catalog_pages(spark, d):
     link = F.concat(F.lit('<li><a href="/book/'), key, F.lit("/"), n, F.lit('.html">第'), n, F.lit("章</a></li>"))
     rows = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("k"), link.alias("a"))))["a"], "").alias("links"))
     html = F.concat(F.lit("<html><head><title>Book "), key, F.lit('</title></head><body><nav><a href="/">Home</a></nav><h1>Book '), key, F.lit('</h1><ul class="chapter-list">'), F.col("links"), F.lit("</ul></body></html>"))
-    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("http://shelf.test/book/"), key, F.lit("/")).alias("url"), html.alias("html"))
+    return _dealt(spark, rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("http://shelf.test/book/"), key, F.lit("/")).alias("url"), html.alias("html")))
 
 
 #: Bits of a page id that hold the turn; the conversation's id takes those above.
@@ -54,7 +60,7 @@ def _chapter_pages(spark, d):
         F.lit('<p class="ad">加入书签</p></div><nav>'), link("prev", "上一章"), F.lit('<a href="'), here, F.lit('">目录</a>'), link("next", "下一章"), F.lit("</nav></body></html>"),
     )
     url = F.concat(F.lit("http://shelf.test"), here, F.col("turn").cast("string"), F.lit(".html"))
-    return turns.select(_page_id(F.col("turn")).alias("page_id"), "conv_id", "turn", url.alias("url"), html.alias("html"))
+    return _dealt(spark, turns.select(_page_id(F.col("turn")).alias("page_id"), "conv_id", "turn", url.alias("url"), html.alias("html")))
 
 
 _LINES = "(SELECT DISTINCT l_orderkey AS book, l_linenumber AS n FROM lineitem)"
@@ -114,7 +120,7 @@ def list_scores(spark, d):
     p = _catalog_pages(spark, d)
     kinds = p.select("page_id", F.lit("book_index").alias("kind"))
     c = adapt.context(p, _nodes(p), kinds)
-    found = keep(adapt.candidates(c, {"chapter_list": adapt.chapter_lists}))
+    found = adapt.candidates(c, {"chapter_list": adapt.chapter_lists})
     return adapt.score(c, found).select("page_id", F.round("score", 6).alias("score"))
 
 
@@ -125,7 +131,7 @@ def page_decisions(spark, d):
     p = _catalog_pages(spark, d)
     kinds = p.select("page_id", F.lit("book_index").alias("kind"))
     c = adapt.context(p, _nodes(p), kinds)
-    scored = adapt.score(c, keep(adapt.candidates(c)))
+    scored = adapt.score(c, adapt.candidates(c))
     return adapt.decide(kinds, adapt.decide_fields(kinds, scored)).select("page_id", "decision")
 
 
@@ -187,11 +193,29 @@ def sequential_urls(spark, d):
 c AS (SELECT *, coalesce(list_sum(list_transform(list_filter(a, lambda x: x <> ''), lambda x: length(x) + 1)), 0) + 4 AS inner_chars FROM t WHERE k <= 3),
 s AS (SELECT conv_id, max(links) AS chapter_link_count, count(*) AS sample_count, min(len(a) + 1) AS sample_min_paragraphs, min_by(CASE WHEN inner_chars >= 45 THEN '#content' ELSE 'body' END, k) AS content_selector,
   min(CASE WHEN inner_chars >= 45 THEN inner_chars ELSE inner_chars + 2 + 3 + length(turn::VARCHAR) + 3 + 4 * has_prev::INT + 4 * has_next::INT END) AS sample_min_chars, min(turn) AS first FROM c GROUP BY 1)
-SELECT conv_id * 100000 + first AS page_id, 'shelf.test' AS domain, 'http://shelf.test/book/' || conv_id || '/' AS catalog_url, 'h1' AS title_selector, CASE WHEN chapter_link_count >= 2 THEN '.chapter-list a' ELSE 'a' END AS chapter_list_selector,
+SELECT conv_id * 100000 + first AS page_id, 'shelf.test' AS domain, 'http://shelf.test/book/' || conv_id || '/' AS catalog_url, 'h1' AS title_selector, CASE WHEN chapter_link_count >= 2 THEN 'ul.chapter-list a' ELSE 'a' END AS chapter_list_selector,
   chapter_link_count, sample_count::INT AS sample_count, content_selector, sample_min_chars::BIGINT AS sample_min_chars, sample_min_paragraphs::BIGINT AS sample_min_paragraphs,
   concat_ws(',', CASE WHEN chapter_link_count < 2 THEN 'catalog_links_low' END, CASE WHEN sample_min_chars < 200 THEN 'content_short' END) AS warnings, 'shelf' AS site FROM s""")
 def exploration_reports(spark, d):
-    chapters = keep(_chapter_pages(spark, d))
+    """Reports written as JSON and read back."""
+    found, path = _explored(spark, d), new_folder(spark)
+    explore.write_reports(found, path)
+    found = spark.read.schema(found.schema).json(path)
+    said = F.array_join(F.col("warnings.code"), ",").alias("warnings")
+    return found.select(_shown_id(), "domain", "catalog_url", "title_selector", "chapter_list_selector", "chapter_link_count", "sample_count", "content_selector", "sample_min_chars", "sample_min_paragraphs", said, F.col("proposed_config.site").alias("site"))
+
+
+@_query("""SELECT 'shelf' AS site, 'shelf.test' AS domain, 'h1' AS book_title, CASE WHEN count(*) >= 2 THEN 'ul.chapter-list a' ELSE 'a' END AS chapter_list, 'h1' AS chapter_title, '加入书签' AS last_phrase, 2.0::DOUBLE AS delay_min FROM conversations GROUP BY conv_id""")
+def proposed_configs(spark, d):
+    """Proposed configs written as JSON and read back."""
+    found, path = _explored(spark, d), new_folder(spark)
+    explore.write_proposed_configs(found, path)
+    c = spark.read.schema(found.select("proposed_config.*").schema).json(path)
+    return c.select("site", F.col("domain")[0].alias("domain"), F.col("book.title_selector").alias("book_title"), F.col("book.chapter_list_selector").alias("chapter_list"), F.col("chapter.title_selector").alias("chapter_title"), F.element_at("clean.remove_text_contains", -1).alias("last_phrase"), F.col("request.delay_min").alias("delay_min"))
+
+
+def _explored(spark, d):
+    chapters = _chapter_pages(spark, d)
     label = F.concat(F.lit('<li><a href="'), F.col("turn").cast("string"), F.lit('.html">第'), F.col("turn").cast("string"), F.lit("章</a></li>"))
     book = F.concat(F.lit("http://shelf.test/book/"), F.col("conv_id").cast("string"), F.lit("/"))
     listed = chapters.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", label.alias("a"))))["a"], "").alias("items"))
@@ -199,9 +223,7 @@ def exploration_reports(spark, d):
     catalogs = listed.select(_page_id(F.lit((1 << _TURN_BITS) - 1)).alias("page_id"), book.alias("url"), html.alias("html"))
     captured = keep(chapters.select("page_id", "url", "html").unionByName(catalogs))
     starts = chapters.groupBy("conv_id").agg(F.min_by("page_id", "turn").alias("page_id"))
-    found = explore.explore(captured, _nodes(captured), starts)
-    said = F.array_join(F.col("warnings.code"), ",").alias("warnings")
-    return found.select(_shown_id(), "domain", "catalog_url", "title_selector", "chapter_list_selector", "chapter_link_count", "sample_count", "content_selector", "sample_min_chars", "sample_min_paragraphs", said, F.col("proposed_config.site").alias("site"))
+    return explore.explore(captured, _nodes(captured), starts)
 
 
 @_query(r"""SELECT page_id, 'auto' AS site, coalesce(nullif(trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')), ''), nullif(split_part(split_part(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), '_', 1), '-', 1), ''),
@@ -257,7 +279,7 @@ def catalog_inspections(spark, d):
 
 
 @_query("""WITH l AS (SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY n) AS k, count(*) OVER (PARTITION BY book) AS m FROM """ + _LINES + """)
-SELECT book AS page_id, 'html > body > ul' || CASE WHEN m > 1 THEN ' > li:nth-of-type(' || k || ') > a' ELSE ' > li > a' END AS selector FROM l""")
+SELECT book AS page_id, CASE WHEN m > 1 THEN 'li:nth-of-type(' || k || ') > a' ELSE 'li > a' END AS selector FROM l""")
 def link_paths(spark, d):
     """The paths of the chapter links of made catalogs."""
     nodes = _nodes(_catalog_pages(spark, d))
@@ -266,6 +288,37 @@ def link_paths(spark, d):
     return found.select("page_id", "selector")
 
 
+@_query("""WITH l AS (SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY n) AS k, count(*) OVER (PARTITION BY book) AS m FROM """ + _LINES + """)
+SELECT book AS page_id, 'dd' AS tag, k, CASE WHEN m = 1 THEN '#item-main' WHEN k = m THEN '.entry.last-item' ELSE 'dd:nth-of-type(' || k || ')' END AS selector FROM l
+UNION ALL SELECT book, 'p', k, CASE WHEN m = 1 THEN 'p' ELSE 'dd:nth-of-type(' || k || ') > p' END FROM l""")
+def repeated_name_paths(spark, d):
+    """The paths of made definition lists, one an order: every definition has
+    the same id, all have a class, the last of several a second one; end tags
+    are left out."""
+    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
+    w = Window.partitionBy("l_orderkey")
+    ranked = lines.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("n")))
+    last = F.when((F.col("k") == F.col("m")) & (F.col("m") > 1), " last-item").otherwise("")
+    item = F.concat(F.lit('<dt>x<dd id="item-main" class="entry'), last, F.lit('"><p>'), F.col("n").cast("string"))
+    rows = ranked.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", item.alias("a"))))["a"], "").alias("items"))
+    made = _dealt(spark, rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body><dl>"), "items", F.lit("</dl></body></html>")).alias("html")))
+    found = dom.paths(_nodes(made)).filter(F.col("tag").isin("dd", "p"))
+    return found.select("page_id", "tag", F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("node_id")).cast("long").alias("k"), "selector")
+
+
+@_query("""SELECT o_orderkey AS page_id, tag, count(*) AS n, min(depth)::INTEGER AS depth FROM orders, (SELECT unnest(['table', 'tr', 'td', 'p', 'li', 'b']) AS tag, unnest([2, 3, 4, 5, 3, 4]) AS depth,
+  unnest([1, 2, 3, 3, 2, 2]) AS fixed, unnest([0, 1, 2, 2, 1, 1]) AS each) AS t, (SELECT unnest([0, 1, 2, 3]) AS extra) AS e WHERE extra <= o_orderkey % 4 AND (extra > 0 AND each > 0 OR extra = 0)
+GROUP BY o_orderkey, tag""".replace("count(*) AS n", "sum(CASE WHEN extra = 0 THEN fixed ELSE each END)::BIGINT AS n"))
+def implied_ends(spark, d):
+    """Tags by depth of made pages, one an order, whose rows, cells, paragraphs
+    and items all lack their end tags."""
+    k = (F.col("o_orderkey") % 4).cast("int")
+    cells, items = F.lit("<tr><td><p>a<td><p>b"), F.lit("<li><b>z")
+    html = F.concat(F.lit("<html><body><table><tr><td><p>h"), cells, F.repeat(cells, k), F.lit("</table><ul><li><b>x"), items, F.repeat(items, k), F.lit("</ul></body></html>"))
+    nodes = _nodes(_dealt(spark, _t(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))))
+    return nodes.filter(F.col("tag").isin("table", "tr", "td", "p", "li", "b")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth"))
+
+
 @_query("SELECT book AS page_id, count(*) OVER (PARTITION BY m) AS alike FROM (SELECT book, count(*) AS m FROM " + _LINES + " GROUP BY 1)")
 def alike_structures(spark, d):
     """How many catalogs have the structure of each: as many links, whatever they say."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from . import charsets
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -26,24 +27,25 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_pages(raw: DataFrame) -> DataFrame:
     """Pages (page_id, body binary, content_type) as (page_id, encoding, html):
-    the declared charset; else UTF-8, GB18030, Big5, the first that decodes;
-    else UTF-8 with replacements. Null bodies are null html. UTF-8 stays in the
-    JVM; other bodies go through Arrow batches."""
+    the declared charset where it decodes, else the guessed one (charsets.py),
+    else UTF-8 with replacements. Null bodies are null html. UTF-8 without NUL
+    bytes stays in the JVM; other bodies go through Arrow batches."""
     declared = F.lower(F.nullif(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", 1), F.lit("")))
     marked = raw.select("page_id", "body", declared.alias("charset"))
-    plain = F.col("body").isNull() | ((F.col("charset").isNull() | F.col("charset").isin("utf-8", "utf8")) & F.is_valid_utf8(F.col("body").cast("string")))
+    plain = F.col("body").isNull() | ((F.col("charset").isNull() | F.col("charset").isin("utf-8", "utf8")) & F.is_valid_utf8(F.col("body").cast("string")) & (F.col("charset").isNotNull() | ~text.odd_bytes(F.col("body"))))
     marked = marked.withColumn("plain", plain)
 
     def decode(batches):
         for batch in batches:
             known, texts = [], []
             for body, charset in zip(batch.column("body").to_pylist(), batch.column("charset").to_pylist()):
-                for name in filter(None, (charset, "utf-8", "gb18030", "big5")):
+                found = None
+                if charset:
                     try:
-                        found = name, body.decode(name)
-                        break
+                        found = charset, body.decode(charset)
                     except (LookupError, UnicodeDecodeError):
-                        found = "utf-8", body.decode("utf-8", "replace")
+                        pass
+                found = found or charsets.guess(body) or ("utf-8", body.decode("utf-8", "replace"))
                 known.append(found[0])
                 texts.append(found[1])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(known, pa.string()), pa.array(texts, pa.string())], ["page_id", "encoding", "html"])

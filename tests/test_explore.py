@@ -32,7 +32,7 @@ def test_reports(spark, captured, tmp_path):
     r = got[2]
     assert r["catalog_url"] == f"{H}/book/7.html" and r["title_selector"] == "meta[property='og:title']" and r["author_selector"] == "[class*=author i]"
     assert r["chapter_list_selector"] == "#all a" and r["chapter_link_count"] == 2 and [x["title"] for x in r["chapter_links"]] == ["Chapter 1", "Chapter 2"]
-    assert r["chapter_title_selector"] == "h1.title" and r["content_selector"] == ".readbox" and r["sample_count"] == 2
+    assert r["chapter_title_selector"] == "h1.title" and r["content_selector"] == "div.readbox" and r["sample_count"] == 2
     one, two = r["samples"]
     assert (one["content_chars"], one["paragraphs"], one["has_next_page"]) == (3 * 99 + 2, 3, True)
     assert (two["content_selector"], two["content_chars"], two["paragraphs"]) == ("body", len("Chapter 2 short 目录"), 1)
@@ -42,7 +42,7 @@ def test_reports(spark, captured, tmp_path):
     assert bare["proposed_config"]["book"].asDict() == {"title_selector": "h1", "author_selector": ".author", "chapter_list_selector": "a"}
     explore.write_proposed_configs(found.filter("page_id = 2"), str(tmp_path / "c"))
     (line,) = [x for f in (tmp_path / "c").glob("part-*") for x in f.read_text().splitlines()]
-    assert json.loads(line)["chapter"] == {"title_selector": "h1.title", "content_selector": ".readbox", "paragraph_selector": "p"}
+    assert json.loads(line)["chapter"] == {"title_selector": "h1.title", "content_selector": "div.readbox", "paragraph_selector": "p"}
     with pytest.raises(ValueError):
         explore.explore(captured, nodes, starts, sample=6)
 

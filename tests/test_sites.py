@@ -1,5 +1,6 @@
 """Selectors, extraction, candidates, configs and streams on small pages."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -51,11 +52,80 @@ def test_noise_and_totals(nodes):
     assert total["html"] == 4 and total["ul"] == 3 and total["aside"] == 1
 
 
-def test_paths_are_unique(nodes):
-    found = dom.paths(nodes)
-    assert found.count() == nodes.count() == found.select("page_id", "selector").distinct().count()
-    for r in found.filter("page_id = 1 and tag = 'a'").collect():
-        assert [x["node_id"] for x in dom.select(nodes.filter("page_id = 1"), r["selector"]).collect()] == [r["node_id"]] if dom.parse(r["selector"]) else True
+def matches(rows, selector):
+    """Nodes that a path, an id or a class set selects, by going through all."""
+    by_id = {r["node_id"]: r for r in rows}
+
+    def fits(r, step):
+        tag, _, place = step.partition(":nth-of-type(")
+        return r["tag"] == tag and (not place or r["sibling_pos"] == int(place[:-1]))
+
+    if selector[0] == "#":
+        return [r["node_id"] for r in rows if dict(r["attrs"]).get("id") == selector[1:]]
+    if selector[0] == ".":
+        return [r["node_id"] for r in rows if set(selector[1:].split(".")) <= set(dict(r["attrs"]).get("class", "").split())]
+    out = []
+    for r in rows:
+        at, steps = r, selector.split(" > ")
+        while steps and at is not None and fits(at, steps[-1]):
+            steps, at = steps[:-1], by_id.get(at["parent_id"])
+        if not steps:
+            out.append(r["node_id"])
+    return out
+
+
+def test_paths_are_unique_and_shortest(spark, nodes):
+    rng = random.Random(4)
+    tags = ["div", "p", "ul", "li", "span", "a"]
+
+    def tree(depth):
+        attrs = rng.choice(["", "", " class='chapter body'", " class=body", " id=content", " id='x1'", " class='token-list'"])
+        tag = rng.choice(tags)
+        return f"<{tag}{attrs}>{''.join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else 't'}</{tag}>"
+
+    made = spark.createDataFrame([(100 + k, f"<html><body>{tree(4)}{tree(3)}</body></html>") for k in range(30)], "page_id long, html string")
+    every = nodes.unionByName(pages.flatten(made))
+    found = dom.paths(every).collect()
+    assert len(found) == every.count()
+    by_page = {}
+    for r in every.orderBy("page_id", "node_id").collect():
+        by_page.setdefault(r["page_id"], []).append(r)
+    for r in found:
+        rows = by_page[r["page_id"]]
+        assert matches(rows, r["selector"]) == [r["node_id"]], r["selector"]
+        if " > " in r["selector"]:
+            assert len(matches(rows, r["selector"].split(" > ", 1)[1])) > 1
+    some = every.filter("tag = 'a'").select("page_id", "node_id")
+    assert {(r["page_id"], r["node_id"], r["selector"]) for r in dom.paths(every, some).collect()} == {(r["page_id"], r["node_id"], r["selector"]) for r in found if r["tag"] == "a"}
+
+
+@pytest.mark.parametrize(
+    "attrs, selector",
+    [("id=content", "#content"), ("id=body:main class='reader body'", ".reader.body"), ("id=a1b2c3d4e5-list", "i"), ("id=session-list", "i"), ("class='book said'", ".book"), ("id='user@book'", "i"), ("class='title-words'", "i"), ("id=" + "list-" * 10, "i"), ("id=zebra", "i")],
+)
+def test_names_in_paths(spark, attrs, selector):
+    page = spark.createDataFrame([(1, f"<body><i {attrs}>title <u>words</u></i></body>")], "page_id long, html string")
+    assert dom.paths(pages.flatten(page)).filter("tag = 'i'").first()["selector"] == selector
+
+
+@pytest.mark.parametrize(
+    "html, tree",
+    [
+        ("<p>one<div>two</div>", "p div"), ("<p>a<span>b<ul><li>c</ul>", "p(span) ul(li)"), ("<dl><dt>a<dd>b<dt>c</dl>", "dl(dt dd dt)"), ("<table><td>a<th>b<tr><td>c</table>", "table(td th tr(td))"),
+        ("<ul><li><b>x<li><b>y</ul>", "ul(li(b) li(b))"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "ul(li(ul(li)) li)"), ("<select><option>a<option>b<optgroup><option>c<optgroup></select>", "select(option option optgroup(option) optgroup)"),
+        ("<head><title>t</title><body><p>x", "head(title) body(p)"), ("<head><title>t</title><h1>x</h1>", "head(title) h1"), ("<a>x<a>y</a>", "a a"), ("<h1>x<h2>y</h2>", "h1 h2"), ("<table><tr><td><p>a<td>b<tbody><tr><td>c</table><p>d", "table(tr(td(p) td) tbody(tr(td))) p"),
+        ("<table><tr><td><ul><li>a</table></ul>", "table(tr(td(ul(li))))"), ("<div><b>x</div>y</b>z", "div(b)"), ("<b><div>x</b>y</div>", "b(div)"), ("<td><div></td>x", "td(div)"), ("<p>a<p>b</p></p>c", "p p"), ("<li><p>x<li>y", "li(p) li"), ("<ruby>a<rt>b<rp>c</ruby>", "ruby(rt rp)"), ("<div><p>x<table><tr><td><p>y</td></tr></table>z</div>", "div(p table(tr(td(p))))"),
+    ],
+)
+def test_implied_ends(spark, html, tree):
+    rows = pages.flatten(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("node_id").collect()
+    below = {}
+    for r in rows:
+        below.setdefault(r["parent_id"], []).append(r)
+    shown = lambda r: r["tag"] + (f"({' '.join(map(shown, below[r['node_id']]))})" if r["node_id"] in below else "")
+    assert " ".join(map(shown, below[None])) == tree
+    ends = {r["node_id"]: r["end_id"] for r in rows}
+    assert all(r["parent_id"] is None or r["end_id"] <= ends[r["parent_id"]] for r in rows) and [r["node_id"] for r in rows] == list(range(len(rows)))
 
 
 def test_fingerprints(spark):
