@@ -85,6 +85,71 @@ def politeness(requests: DataFrame, seconds: float) -> DataFrame:
     return requests.withColumn("gap_us", gap).filter(F.col("gap_us") < int(seconds * 1e6))
 
 
+def interval_at(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Adds min_seconds and pause_seconds to requests (host, ts): what intervals
+    (host, since, min_seconds, pause_seconds) say of the host from `since` on,
+    the last that is not after ts. Null where none holds. Each host's changes
+    are few and lie in one row, so streams can be joined too."""
+    changes = intervals.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("since", "min_seconds", "pause_seconds"))).alias("_changes"))
+    valid = F.element_at(F.filter("_changes", lambda c: c["since"] <= F.col("ts")), -1)
+    valid = F.when(F.exists("_changes", lambda c: c["since"] <= F.col("ts")), valid)
+    joined = requests.join(changes, "host", "left").withColumn("_valid", valid)
+    return joined.select(*requests.columns, "_valid.min_seconds", "_valid.pause_seconds")
+
+
+def impolite(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Requests (host, ts, id) that follow another of their host sooner than the
+    interval valid at their time; hosts without one have none."""
+    w = Window.partitionBy("host").orderBy("ts", "id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return interval_at(requests, intervals).withColumn("gap_us", us - F.lag(us).over(w)).filter(F.col("gap_us") < (F.col("min_seconds") * 1_000_000).cast("long"))
+
+
+def visits(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(host, first, last, requests): runs of requests of a host without a long
+    pause: each goes on while the next request comes within the pause_seconds
+    valid at a request of it, or just then. Hosts without an interval have none. Also on a
+    stream with a watermark on ts."""
+    timed = interval_at(requests, intervals).filter("pause_seconds is not null")
+    gap = F.concat((F.col("pause_seconds") * 1_000_000).cast("long").cast("string"), F.lit(" microseconds"))
+    return timed.groupBy("host", F.session_window("ts", gap)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("requests")).select("host", "first", "last", "requests")
+
+
+def pauses(visited: DataFrame) -> DataFrame:
+    """(host, began, ended, pause_us): long pauses between visits."""
+    before = F.lag("last").over(Window.partitionBy("host").orderBy("first"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return visited.withColumn("began", before).filter("began is not null").select("host", "began", F.col("first").alias("ended"), (us("first") - us("began")).alias("pause_us"))
+
+
+def fenced(claims: DataFrame, writes: DataFrame) -> DataFrame:
+    """Every write (book_id, chapter_index, write_id, at, owner, generation,
+    token; the last three null where it names no claim) with the code of its
+    refusal, null where it stands. Claims (book_id, chapter_index, owner,
+    generation, token, at, expires_at) hold from `at` until the next of their
+    chapter or until they expire; of claims and writes of one instant the claims
+    are first. One pass over each chapter's history in order: the last claim
+    before a write is the one that held.
+
+    unclaimed_write: no claim is named while one runs; no_claim: none was ever
+    made; expired_claim: the holder's has run out; stale_generation, wrong_owner
+    and wrong_token: it differs from the holder's."""
+    held = F.struct("owner", "generation", "token", "expires_at")
+    key = ["book_id", "chapter_index"]
+    log = claims.select(*key, "at", F.lit(0).alias("_kind"), F.col("generation").alias("_order"), held.alias("_claim")).unionByName(
+        writes.select(*key, "at", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_order"), "write_id", "owner", "generation", "token"), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*key).orderBy("at", "_kind", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    met = log.withColumn("h", F.last("_claim", ignorenulls=True).over(order)).filter("_kind = 1")
+    active = F.coalesce(F.col("h.expires_at") > F.col("at"), F.lit(False))
+    differs = lambda name: ~F.col(name).eqNullSafe(F.col(f"h.{name}"))
+    code = (
+        F.when(F.col("generation").isNull() & F.col("owner").isNull() & F.col("token").isNull(), F.when(active, "unclaimed_write"))
+        .when(F.col("h").isNull(), "no_claim").when(differs("generation"), "stale_generation").when(differs("owner"), "wrong_owner").when(differs("token"), "wrong_token").when(~active, "expired_claim")
+    )
+    return met.select(*key, "write_id", "at", code.alias("code"))
+
+
 def rates(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Events by status and time window; also on a stream with a watermark."""
     return events.groupBy(F.window("created_at", width).alias("w"), "to_status").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "to_status", "n")

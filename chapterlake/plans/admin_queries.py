@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text, urls
 from ..operators import adapt, books, configs, dedup, events, tts
 from ..sources import exports, readers, shared
+from ..sources.shared import keep
 from ..streaming import tasks
 from .queries import _EVENTS, _GRAPH, _STATUS, _WS, _documents, _events, _query, _status_chapters, _t, _turns
 
@@ -376,3 +378,80 @@ def expired_waits(spark, d):
     moves = F.posexplode(F.array(*[F.lit(s) for s in ("created", "probing", "waiting_for_user")])).alias("task_version", "to_status")
     rows = _t(spark, d, "orders").select(key.alias("task_id"), at.alias("created_at"), moves).withColumn("task_version", F.col("task_version").cast("long"))
     return tasks.last_states(spark, tasks.run_states(tasks.task_states(shared.stream_of(rows), "30 minutes", "1 day")))
+
+
+_CLAIMS = """c AS (SELECT l_orderkey AS book_id, 'w' || l_suppkey % 3 AS owner, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_extendedprice) AS generation, 't' || l_linenumber AS token,
+  l_shipdate AS since, l_shipdate + INTERVAL 20 DAY AS expires, l_linenumber AS n FROM lineitem),
+w AS (SELECT book_id, generation AS write_id, since + to_days((n * 9 % 31)::INTEGER) AS done, CASE WHEN n % 5 <> 0 THEN CASE n % 5 WHEN 1 THEN 'other' ELSE owner END END AS owner, CASE WHEN n % 5 <> 0 THEN generation END AS generation,
+  CASE WHEN n % 5 <> 0 THEN CASE n % 5 WHEN 2 THEN 'x' ELSE token END END AS token FROM c)"""
+
+
+@_query(f"""WITH {_CLAIMS}, m AS (SELECT w.book_id, w.write_id, w.done, w.owner, w.generation, w.token, c.owner AS o, c.generation AS g, c.token AS t, c.expires AS e,
+  row_number() OVER (PARTITION BY w.book_id, w.write_id ORDER BY c.since DESC, c.generation DESC) AS k FROM w LEFT JOIN c ON c.book_id = w.book_id AND c.since <= w.done)
+SELECT book_id, write_id, CASE WHEN generation IS NULL THEN CASE WHEN e > done THEN 'unclaimed_write' END WHEN g IS NULL THEN 'no_claim' WHEN g <> generation THEN 'stale_generation' WHEN o <> owner THEN 'wrong_owner'
+  WHEN t <> token THEN 'wrong_token' WHEN e <= done THEN 'expired_claim' END AS code FROM m WHERE k = 1""")
+def fenced_writes(spark, d):
+    """Every line of an order a claim of one chapter, and a write some days on,
+    by its own claim, a wrong owner or token, or by none."""
+    n, w = F.col("l_linenumber"), Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice")
+    at = F.col("l_shipdate").cast("timestamp")
+    days = lambda k: F.make_dt_interval(k)
+    named = lambda value: F.when(n % 5 != 0, value)
+    owner, token = F.concat(F.lit("w"), (F.col("l_suppkey") % 3).cast("string")), F.concat(F.lit("t"), n.cast("string"))
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.lit(1).alias("chapter_index"), n.alias("n"), owner.alias("owner"), F.row_number().over(w).cast("long").alias("generation"), token.alias("token"), at.alias("at"))
+    claims = lines.withColumn("expires_at", F.col("at") + days(F.lit(20)))
+    n = F.col("n")
+    writes = lines.select(
+        "book_id", "chapter_index", F.col("generation").alias("write_id"), (F.col("at") + days((n * 9 % 31).cast("int"))).alias("at"), named(F.when(n % 5 == 1, "other").otherwise(F.col("owner"))).alias("owner"),
+        named(F.col("generation")).alias("generation"), named(F.when(n % 5 == 2, "x").otherwise(F.col("token"))).alias("token"),
+    )
+    return events.fenced(claims, writes).select("book_id", "write_id", "code")
+
+
+_VISITS = """r AS (SELECT user_id AS host, ts, event_id AS id FROM events), m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle FROM events),
+s AS (SELECT host, ts, id, CASE WHEN ts >= middle THEN 900 ELSE 60 + host % 7 * 600 END AS least, CASE WHEN ts >= middle THEN 14400 ELSE 3600 * (1 + host % 5) END AS pause FROM r, m),
+g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, max(epoch_us(ts) + pause * 1000000) OVER (PARTITION BY host ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(epoch_us(ts)) OVER w AS before FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, id))"""
+
+
+def _requests(spark, d):
+    """Requests of a host an event, and two settings of each host: from the
+    beginning, and from the middle of the time on."""
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    us = F.unix_micros("ts")
+    span = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))  # one row
+    hosts = rows.select("host").distinct().crossJoin(F.broadcast(span))
+    first = hosts.select("host", F.timestamp_micros("lo").alias("since"), (60 + F.col("host") % 7 * 600).cast("double").alias("min_seconds"), (3600 * (1 + F.col("host") % 5)).cast("double").alias("pause_seconds"))
+    later = hosts.select("host", F.timestamp_micros((F.col("lo") + (F.col("hi") - F.col("lo")) / 2).cast("long")).alias("since"), F.lit(900.0).alias("min_seconds"), F.lit(14400.0).alias("pause_seconds"))
+    return rows, keep(first.unionByName(later))
+
+
+@_query(f"WITH {_VISITS} SELECT host, count(*) AS requests, count(*) FILTER (reach IS NULL OR epoch_us(ts) > reach) AS visits, count(*) FILTER (gap < least * 1000000) AS impolite, coalesce(max(gap) FILTER (epoch_us(ts) > reach), 0)::BIGINT AS longest_pause_us FROM g GROUP BY 1")
+def host_visits(spark, d):
+    """Visits, requests that came too soon and the longest pause of each host."""
+    requests, intervals = _requests(spark, d)
+    visited = keep(events.visits(requests, intervals))
+    soon = events.impolite(requests, intervals).groupBy("host").agg(F.count(F.lit(1)).alias("impolite"))
+    longest = events.pauses(visited).groupBy("host").agg(F.max("pause_us").alias("longest_pause_us"))
+    out = visited.groupBy("host").agg(F.sum("requests").alias("requests"), F.count(F.lit(1)).alias("visits")).join(soon, "host", "left").join(longest, "host", "left")
+    return out.select("host", "requests", "visits", F.coalesce("impolite", F.lit(0)).alias("impolite"), F.coalesce("longest_pause_us", F.lit(0)).alias("longest_pause_us"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS book_id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 1000 ORDER BY o_custkey || ':' || o_orderkey) = 1 AS lead, o_orderkey % 2 = 0 AS even FROM orders)
+SELECT book_id, k AS chapter_index, 'http://shelf.test/' || CASE WHEN NOT lead AND even AND k % 3 = 0 THEN 'n' ELSE 'u' END || k AS canonical_url, CASE WHEN lead OR even THEN 'done' ELSE 'pending' END AS status,
+  CASE WHEN lead THEN sha256('b' || k % 1000) WHEN even THEN sha256('c' || k) END AS content_hash, CASE WHEN even THEN 'chapter_content_conflict' WHEN NOT lead THEN 'chapter_content_duplicate' END AS error FROM o""")
+def streamed_chapters(spark, d):
+    """Every order a chapter of its customer's book, in a stream that is stopped
+    after each of three batches: bodies that repeat within a book; new urls of
+    every third chapter and new bodies of every second; the first batch again."""
+    k = F.col("o_orderkey")
+    orders = _t(spark, d, "orders").select(k, F.col("o_custkey").cast("long").alias("book_id"), k.cast("long").alias("chapter_index"), F.lit("t").alias("title"), k.cast("long").alias("position"))
+    named = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    columns = ["book_id", "chapter_index", "title", "url", "body", "position"]
+    first = orders.withColumns({"url": named("http://shelf.test/u", k), "body": named("b", k % 1000)}).select(*columns)
+    third = k % 3 == 0
+    second = orders.filter(third | (k % 2 == 0)).withColumns({"url": F.when(third, named("http://shelf.test/n", k)).otherwise(named("http://shelf.test/u", k)), "body": F.when(k % 2 == 0, named("c", k))}).select(*columns)
+    path, store, checkpoint = (shared.new_folder(spark) for _ in range(3))
+    for batch in (first, second, first):
+        batch.write.mode("append").parquet(path)
+        tasks.chapter_intake(spark.readStream.schema(batch.schema).parquet(path), store, checkpoint, buckets=8).awaitTermination()
+    return tasks.ChapterStore(spark, store, 8).read().select("book_id", "chapter_index", "canonical_url", "status", "content_hash", "error")

@@ -1,14 +1,19 @@
-"""Streams: event rates with a watermark, and page intake."""
+"""Streams: event rates with a watermark, live task states, intake of pages and
+of chapters."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..operators import events, pages
+from ..operators import books, events, pages
 from ..sources.shared import keep, new_folder
+from ..sources.tables import KeyedTable
 
 
 def event_rates(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -22,87 +27,217 @@ def page_intake(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return canonical.withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None = None) -> DataFrame:
+class TaskProcessor(StatefulProcessor):
+    """The live state of one task: its row, events that came before those they
+    follow, and one timer while it waits. A batch's events are held by version
+    and status number, 9 bytes each, and put in order at its end."""
+
+    def __init__(self, wait_ms: int, early: int, by_event: bool):
+        self.wait_ms, self.early, self.by_event = wait_ms, early, by_event
+        self.moves = {a: frozenset(many.split()) for a, many in events.TRANSITIONS.items()}
+        self.names = sorted({*self.moves, *events.TERMINAL})
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "status string, version long, resume_status string, deadline long")
+        self.waiting = handle.getListState("waiting", "version long, status string")
+
+    def _now(self, times) -> int:
+        return times.getCurrentWatermarkInMs() if self.by_event else times.getCurrentProcessingTimeInMs()
+
+    def _shown(self, key, status, version, resume, code) -> pd.DataFrame:
+        return pd.DataFrame({"task_id": [key[0]], "version": [version], "status": [status], "resume_status": [resume], "code": [code]})
+
+    def _wait_until(self, old: int | None, new: int | None) -> None:
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is not None and old != new:
+            self.handle.registerTimer(new)
+
+    def handleInputRows(self, key, rows, timerValues):
+        status, version, resume, deadline = self.row.get() if self.row.exists() else (None, -1, None, None)
+        number = {s: k for k, s in enumerate(self.names)}
+        versions, statuses, other, newest = [], [], {}, None
+        for at, to in self.waiting.get() if self.waiting.exists() else ():
+            versions.append(np.array([at], np.int64))
+            statuses.append(np.array([number.get(to, -1)], np.int8))
+        for part in rows:
+            part = part[part["task_version"].notna()]
+            known = part["to_status"].map(number)
+            other |= dict(zip(part["task_version"][known.isna()].astype("int64"), part["to_status"][known.isna()]))
+            versions.append(part["task_version"].to_numpy(np.int64))
+            statuses.append(known.fillna(-1).to_numpy(np.int8))
+            last = part["created_at"].max()
+            newest = last if newest is None or last > newest else newest
+        at, to = np.concatenate(versions), np.concatenate(statuses)
+        order = np.argsort(at, kind="stable")
+        code, left = None, []
+        for v, s in zip(at[order].tolist(), to[order].tolist()):
+            name = self.names[s] if s >= 0 else other.get(v)
+            if v > version + 1 and len(left) < self.early:
+                left.append((v, name))
+            elif v != version + 1:
+                code = "version_conflict"
+            elif name not in (self.moves.get(status, ()) if status else ("created",)):
+                code = "illegal_transition"
+            else:
+                resume = status if name in ("paused", "recoverable_failed") else None
+                status, version = name, v
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        until = None
+        if status == "waiting_for_user":
+            ends = int(newest.timestamp() * 1000) + self.wait_ms if self.by_event and newest is not None and newest == newest else self._now(timerValues) + self.wait_ms
+            until = max(ends, self._now(timerValues) + 1)
+        self._wait_until(deadline, until)
+        if status is not None:
+            self.row.update((status, version, resume, until))
+        yield self._shown(key, status, version, resume, code)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        status, version, _, deadline = self.row.get() if self.row.exists() else (None, -1, None, None)
+        if status != "waiting_for_user" or deadline != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.row.update(("recoverable_failed", version + 1, status, None))
+        yield self._shown(key, "recoverable_failed", version + 1, status, "wait_expired")
+
+    def close(self) -> None:
+        pass
+
+
+def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None = None, early: int = 0) -> DataFrame:
     """Live state of tasks from events (task_id, task_version, to_status,
     created_at): per batch and task its status, version, the status to resume
     and the code of what was refused. Events apply in version order; a version
     that does not follow is a version_conflict, a move outside the graph an
-    illegal_transition. A waiting task without an event for `wait` fails with
-    wait_expired: by the clock, or with `late` by event time, once the watermark
-    (`late` behind the newest event) passes its last event by `wait`. Events
-    later than `late` are then dropped.
-
-    The state of a task is one row; a task's events of one batch are held only
-    by version and status."""
-    moves = {a: set(many.split()) for a, many in events.TRANSITIONS.items()}
-    millis = int(pd.Timedelta(wait) // pd.Timedelta(milliseconds=1))
-
-    def apply(key, batches, state):
-        status, version, resume = state.get if state.exists else (None, -1, None)
-        code = None
-        if state.hasTimedOut:
-            resume, status, code = status, "recoverable_failed", "wait_expired"
-            version += 1
-        else:
-            rows = pd.concat([b[["task_version", "to_status", "created_at"]] for b in batches]).sort_values("task_version", kind="stable")
-            for at, to in zip(rows["task_version"], rows["to_status"]):
-                if at != version + 1:
-                    code = "version_conflict"
-                elif to not in (moves.get(status, ()) if status else ("created",)):
-                    code = "illegal_transition"
-                else:
-                    resume = status if to in ("paused", "recoverable_failed") else None
-                    status, version = to, int(at)
-        if status is not None:
-            state.update((status, version, resume))
-            if status == "waiting_for_user" and not state.hasTimedOut:
-                if late:
-                    newest = int(rows["created_at"].max().timestamp() * 1000) + millis
-                    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-                else:
-                    state.setTimeoutDuration(millis)
-        yield pd.DataFrame({"task_id": [key[0]], "version": [version], "status": [status], "resume_status": [resume], "code": [code]})
+    illegal_transition. Up to `early` events of a task that come a batch too
+    early wait for those before them. A waiting task without an event for
+    `wait` fails with wait_expired: by the clock, or with `late` by event time,
+    once the watermark (`late` behind the newest event) passes its last event
+    by `wait`. Events later than `late` are then dropped. Events of a null
+    version are passed over.
 
+    The state needs RocksDB: start such a stream by start()."""
+    processor = TaskProcessor(int(pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)), early, late is not None)
     kind = stream.schema["task_id"].dataType.simpleString()
     shape = f"task_id {kind}, version long, status string, resume_status string, code string"
     timed = stream.withWatermark("created_at", late) if late else stream
-    return timed.groupBy("task_id").applyInPandasWithState(apply, shape, "status string, version long, resume_status string", "update", "EventTimeTimeout" if late else "ProcessingTimeTimeout")
+    return timed.groupBy("task_id").transformWithStateInPandas(processor, shape, "Update", "EventTime" if late else "ProcessingTime")
 
 
-def _plain_checkpoints(spark: SparkSession) -> None:
-    """State files without checksum files: Spark 4.1 writes those in a pool of
-    a few threads, in which more stateful tasks than threads wait for ever."""
-    spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+#: Settings of streams while they start (a query keeps those it started with):
+#: states in RocksDB, written as changes; and without checksum files, which
+#: Spark 4.1 writes in a pool of a few threads, in which more stateful tasks
+#: than threads wait for ever.
+STREAMS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
+}
 
 
-def _classified(batch: DataFrame, target: str, batch_id: int) -> DataFrame:
-    """New contents of a batch with their classes."""
-    hashed = batch.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256))
+def start(spark: SparkSession, writer):
+    """Starts a stream under STREAMS; the session's own settings stay."""
+    had = {k: spark.conf.get(k, None) for k in STREAMS}
+    try:
+        for k, v in STREAMS.items():
+            spark.conf.set(k, v)
+        return writer.start()
+    finally:
+        for k, v in had.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _classified(batch: DataFrame, hashes: KeyedTable, batch_id: int) -> DataFrame:
+    """New contents of a batch with their classes; their hashes are noted."""
+    hashed = keep(batch.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256)))
     first = hashed.groupBy("content_hash").agg(F.min("page_id").alias("page_id"))
     new = hashed.join(first, ["content_hash", "page_id"], "left_semi")
-    if batch_id:
-        earlier = batch.sparkSession.read.parquet(target).filter(F.col("batch") < batch_id)
-        new = new.join(earlier.select("content_hash").distinct(), "content_hash", "left_anti")
-    new = keep(new)
+    new = keep(new.join(hashes.near(hashed, batch_id).select("content_hash"), "content_hash", "left_anti"))
     kinds = pages.classify(new, keep(pages.flatten(new))).select("page_id", "kind", "confidence")
+    hashes.merge(new.select("content_hash", F.lit(batch_id).cast("long").alias("batch")), batch_id)
     return new.join(kinds, "page_id", "left")
 
 
-def intake(captured: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
+def intake(captured: DataFrame, target: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64):
     """Runs page intake into a Parquet folder. Pages with page_id and html get
     their class (kind, confidence) and the hash of their content; those whose
-    content an earlier page has are refused. Each micro-batch is written once
-    under its batch id, so a batch that is repeated after a failure replaces
-    itself. Progress is in the checkpoint folder."""
+    content an earlier page has are refused: hashes lie in a keyed table beside
+    the target, of which a batch reads the buckets of its own hashes. Each
+    micro-batch is written once under its batch id, so a batch that is repeated
+    after a failure replaces itself. Progress is in the checkpoint folder."""
+    hashes = KeyedTable(captured.sparkSession, f"{target}_hashes", ["content_hash"], "content_hash string, batch long", buckets)
 
     def write(batch, batch_id):
         if batch.isEmpty():
             return
-        out = _classified(batch, target, batch_id) if {"page_id", "html"} <= set(batch.columns) else batch
+        out = _classified(batch, hashes, batch_id) if {"page_id", "html"} <= set(batch.columns) else batch
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    _plain_checkpoints(captured.sparkSession)
-    return page_intake(captured).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return start(captured.sparkSession, page_intake(captured).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
+
+
+CHAPTERS = "id string, book_id long, chapter_index long, title string, canonical_url string, status string, content_hash string, error string"
+
+
+class ChapterStore:
+    """Chapters that streams write: rows by index, and which row a url and a
+    content is bound to, each a keyed table."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        table = lambda name, keys: KeyedTable(spark, f"{path}/{name}", keys, CHAPTERS, buckets)
+        self.by_index, self.by_url, self.by_content = table("index", ["book_id", "chapter_index"]), table("url", ["book_id", "canonical_url"]), table("content", ["book_id", "content_hash"])
+
+    def read(self) -> DataFrame:
+        return self.by_index.read()
+
+    def take(self, incoming: DataFrame, batch: int) -> None:
+        """Upserts chapters (book_id, chapter_index, title, canonical_url, body,
+        position) of one batch by books.upsert_chapters, then accepts their
+        bodies by books.accept_content: an accepted body makes its chapter done,
+        a refused one leaves it as it is, with the code as its error. Rows
+        without book, index or url are passed over."""
+        new = keep(incoming.filter("book_id is not null and chapter_index is not null and canonical_url is not null").withColumn("content_hash", F.sha2("body", 256)))
+        here = keep(self.by_index.near(new, batch).join(new.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi"))
+        bound = self.by_url.near(new, batch).join(new.select("book_id", "canonical_url").distinct(), ["book_id", "canonical_url"], "left_semi")
+        known = keep(here.unionByName(bound).dropDuplicates(["id", "canonical_url"]))
+        actions = books.upsert_chapters(known, new.drop("content_hash", "body")).filter("action <> 'ignore'")
+        own = F.concat_ws(":", F.col("book_id").cast("string"), F.col("chapter_index").cast("string"))
+        changed = actions.select(own.alias("id"), "book_id", "chapter_index", "title", "canonical_url").join(here.select("id", "status", "content_hash", "error"), "id", "left")
+        rows = here.join(changed.select("id"), "id", "left_anti").unionByName(changed.withColumn("status", F.coalesce("status", F.lit("pending"))), allowMissingColumns=True)
+        rows = keep(rows.select(*here.columns))
+        first = F.row_number().over(Window.partitionBy("book_id", "chapter_index").orderBy("position"))
+        bodies = keep(new.withColumn("_n", first).filter("_n = 1 and body is not null").select(own.alias("id"), "book_id", "body", "content_hash").join(rows.select("id"), "id", "left_semi"))
+        held = self.by_content.near(bodies, batch)
+        mine = rows.select("id", "book_id", "status", "content_hash").unionByName(held.join(rows.select("id"), "id", "left_anti").select("id", "book_id", "status", "content_hash"))
+        outcomes = books.accept_content(mine, bodies.select("id", "book_id", "body")).join(bodies.select("id", F.col("content_hash").alias("_hash")), "id")
+        joined = rows.join(outcomes.select("id", "outcome", "_hash"), "id", "left")
+        good = F.col("outcome") == "accepted"
+        done = keep(joined.select(
+            "id", "book_id", "chapter_index", "title", "canonical_url", F.when(good, "done").otherwise(F.col("status")).alias("status"), F.when(good, F.col("_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
+            F.when(good, F.lit(None)).when(F.col("outcome").startswith("chapter_"), F.col("outcome")).otherwise(F.col("error")).alias("error"),
+        ))
+        moved = here.join(done.select("id", F.col("canonical_url").alias("_now")), "id").filter("canonical_url <> _now")
+        self.by_url.merge(done, batch, moved)
+        self.by_content.merge(done.filter("status = 'done'").dropDuplicates(["book_id", "content_hash"]), batch)
+        self.by_index.merge(done, batch)  # the last: what it has, the others have
+
+
+def chapter_intake(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64):
+    """Runs a stream of chapters (book_id, chapter_index, title, url, body,
+    position) into a ChapterStore. Invalid urls are passed over."""
+    store = ChapterStore(stream.sparkSession, path, buckets)
+    named = stream.select("book_id", "chapter_index", "title", urls.canonical_url(F.col("url")).alias("canonical_url"), "body", "position")
+
+    def write(batch, batch_id):
+        store.take(batch, batch_id)
+
+    return start(stream.sparkSession, named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
 
 
 def run_states(states: DataFrame) -> str:
@@ -113,8 +248,7 @@ def run_states(states: DataFrame) -> str:
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    _plain_checkpoints(states.sparkSession)
-    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    start(states.sparkSession, states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
     return target
 
 

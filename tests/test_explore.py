@@ -102,7 +102,7 @@ def test_wait_expires_by_event_time(spark, tmp_path):
     for k, rows in enumerate([first, late, [("c", 0, "created", t0 + timedelta(hours=4))]]):
         spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
-        q = tasks.task_states(stream, "30 minutes", "10 minutes").writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = tasks.start(spark, tasks.task_states(stream, "30 minutes", "10 minutes").writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True))
         q.awaitTermination()
     got = [(r["version"], r["status"], r["resume_status"], r["code"]) for r in spark.read.parquet(str(tmp_path / "out")).filter(F.col("task_id") == "a").orderBy("version").collect()]
     assert got[0][:2] == (2, "waiting_for_user") and got[-1] == (3, "recoverable_failed", "waiting_for_user", "wait_expired") and len(got) == 2

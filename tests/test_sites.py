@@ -256,7 +256,7 @@ def test_live_states(spark, tmp_path):
     at = datetime(2024, 1, 1)
     spark.createDataFrame([(*m, at) for m in moves], "task_id string, task_version long, to_status string, created_at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("task_id string, task_version long, to_status string, created_at timestamp").parquet(str(tmp_path / "in"))
-    q = tasks.task_states(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = tasks.start(spark, tasks.task_states(stream).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True))
     q.awaitTermination(15)  # timeouts by the clock keep the stream awake
     q.stop()
     got = {r["task_id"]: (r["status"], r["version"], r["resume_status"], r["code"]) for r in spark.table("live").collect()}
