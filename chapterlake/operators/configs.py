@@ -74,10 +74,45 @@ def status_history(configs: DataFrame) -> DataFrame:
     return configs.withColumn("previous", F.lag("status").over(w)).filter(~F.col("previous").eqNullSafe(F.col("status"))).select("config_id", "version", "previous", "status")
 
 
+def _segments(path: Column) -> Column:
+    return F.split(F.substr(path, F.lit(2)), "/")
+
+
+def pattern_keys(patterns: DataFrame) -> DataFrame:
+    """Adds shape and key to patterns (pattern): the shape has `=` for each
+    literal segment and `*` for each other, and `+` where a final `**` takes the
+    rest; the key has the literal segments."""
+    parts = _segments(urls.part(F.concat(F.when(F.col("pattern").startswith("/"), "https://h").otherwise(""), "pattern"), 3))
+    open_ = F.element_at("_parts", -1) == "**"
+    literal = lambda s: ~(s.contains("{") | (s == "*"))
+    fixed = patterns.withColumn("_parts", parts).withColumn("_open", open_)
+    fixed = fixed.withColumn("_parts", F.when(F.col("_open"), F.slice("_parts", F.lit(1), F.size("_parts") - 1)).otherwise(F.col("_parts")))
+    shape = F.concat(F.array_join(F.transform("_parts", lambda s: F.when(literal(s), "=").otherwise("*")), ""), F.when(F.col("_open"), "+").otherwise(""))
+    key = F.array_join(F.transform("_parts", lambda s: F.when(literal(s), s).otherwise("*")), "/")
+    return fixed.withColumns({"shape": shape, "key": key}).drop("_parts", "_open")
+
+
+def page_keys(asked: DataFrame, shapes: DataFrame) -> DataFrame:
+    """asked (domain, url) with each shape that patterns of its domain have and
+    its path can fill, and the key of its path in that shape. The shapes of a
+    domain are few: they lie in one row."""
+    of_domain = shapes.groupBy("domain").agg(F.collect_set("shape").alias("_shapes"))
+    path = urls.canonical_path(F.coalesce(F.nullif(urls.part(F.col("url"), 3), F.lit("")), F.lit("/")))
+    joined = asked.join(of_domain, "domain").withColumn("_parts", _segments(path)).select("*", F.explode("_shapes").alias("shape")).drop("_shapes")
+    size, open_ = F.length("shape"), F.col("shape").endswith("+")
+    fits = F.when(open_, F.size("_parts") >= size).otherwise(F.size("_parts") == size)
+    own = F.slice("_parts", F.lit(1), size - F.when(open_, 1).otherwise(0))
+    key = F.array_join(F.transform(own, lambda s, i: F.when(F.substr("shape", i + 1, F.lit(1)) == "=", s).otherwise("*")), "/")
+    return joined.filter(fits).withColumn("key", key).drop("_parts")
+
+
 def active_for(pages: DataFrame, configs: DataFrame) -> DataFrame:
     """(page_id, config_id): the active config of each page's domain one of
-    whose patterns fits its url; the best by (validated, version, id)."""
+    whose patterns fits its url; the best by (validated, version, id). Pages
+    meet patterns by equal keys (domain, shape, literal segments); only those
+    are tried."""
     live = latest(configs).filter("status = 'active'").select(F.col("domain"), "config_id", "version", "validated", F.explode("url_patterns").alias("pattern"))
+    live = pattern_keys(live)
     asked = pages.select("page_id", "url", urls.host(F.col("url")).alias("domain")).filter(F.coalesce(urls.valid_url(F.col("url")), F.lit(False)))
-    met = asked.join(live, "domain").filter(urls.pattern_matches(F.col("url"), F.col("pattern")))
+    met = page_keys(asked, live.select("domain", "shape")).join(live, ["domain", "shape", "key"]).filter(urls.pattern_matches(F.col("url"), F.col("pattern")))
     return met.groupBy("page_id").agg(F.max_by("config_id", F.struct("validated", "version", "config_id")).alias("config_id"))

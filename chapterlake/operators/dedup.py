@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.shared import keep
 
 
 def exact_duplicates(chapters: DataFrame) -> DataFrame:
@@ -18,6 +19,37 @@ def exact_duplicates(chapters: DataFrame) -> DataFrame:
     return hashed.join(firsts, ["book_id", "h"]).filter("chapter_index > first_index").select("book_id", "first_index", "chapter_index")
 
 
+#: A key is hot that holds over 1 / HOT of the rows (fewer than HOT are); the
+#: pairs of a hot key are dealt to SALTS parts.
+HOT, SALTS = 1000, 32
+
+
+def _paired(rows: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with themselves on `on`, sides named x and y, for x.i < y.i.
+    The rows of a hot key are parted on one side and copied to each part on the
+    other. Rows are read twice: give a written table."""
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").filter(F.col("_n") * HOT > rows.count())
+    hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))  # fewer than HOT rows
+    marked = rows.join(hot, on, "left")
+    x = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    y = marked.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return x.alias("x").join(y.alias("y"), [*on, "_salt"]).filter("x.i < y.i")
+
+
+def _sets(chapters: DataFrame) -> DataFrame:
+    """(book_id, i, g, n): the bigram set of each distinct body of a book, by
+    the least index that has it."""
+    distinct = chapters.filter(F.length("body") > 0).groupBy("book_id", "body").agg(F.min("chapter_index").alias("i"))
+    return keep(distinct.select("book_id", "i", text.bigrams(F.col("body")).alias("g")).withColumn("n", F.size("g")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (book_id, a, b) of similarity `threshold` or more on whole sets."""
+    left, right = sets.select("book_id", F.col("i").alias("a"), F.col("g").alias("ga")), sets.select("book_id", F.col("i").alias("b"), F.col("g").alias("gb"))
+    scored = pairs.join(left, ["book_id", "a"]).join(right, ["book_id", "b"]).withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    return scored.select("book_id", "a", "b", (F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).alias("score")).filter(F.col("score") >= threshold)
+
+
 def similar_pairs(chapters: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Pairs of different bodies of one book with bigram Jaccard >= threshold:
     book_id, a, b (least indexes of their bodies, a < b), score.
@@ -27,18 +59,27 @@ def similar_pairs(chapters: DataFrame, threshold: float = 0.85) -> DataFrame:
     filter); the pairs met are verified on whole sets.
     """
     t = threshold
-    distinct = chapters.filter(F.length("body") > 0).groupBy("book_id", "body").agg(F.min("chapter_index").alias("i"))
-    sets = distinct.select("book_id", "i", text.bigrams(F.col("body")).alias("g")).withColumn("n", F.size("g"))
+    sets = _sets(chapters)
     spread = sets.select("book_id", "i", "n", F.explode("g").alias("t"))
     common = spread.groupBy("book_id", "t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     order = Window.partitionBy("book_id", "i").orderBy(F.coalesce("df", F.lit(1)), "t")
     ranked = spread.join(common, ["book_id", "t"], "left").withColumn("p", F.row_number().over(order))
     # bigrams of one body only meet nobody
-    prefix = ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).filter("df is not null").select("book_id", "i", "n", "t", "p")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = keep(ranked.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).filter("df is not null").select("book_id", "i", "n", "t", "p"))
     room = "1 + least(x.n - x.p, y.n - y.p)"
-    met = x.join(y, ["book_id", "t"]).filter(f"x.i < y.i and x.n >= {t} * y.n and y.n >= {t} * x.n and {room} >= {t} * (x.n + y.n - ({room})) - 1e-9")
-    pairs = met.select("book_id", F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
-    left, right = sets.select("book_id", F.col("i").alias("a"), F.col("g").alias("ga")), sets.select("book_id", F.col("i").alias("b"), F.col("g").alias("gb"))
-    scored = pairs.join(left, ["book_id", "a"]).join(right, ["book_id", "b"]).withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    return scored.select("book_id", "a", "b", (F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).alias("score")).filter(F.col("score") >= t)
+    met = _paired(prefix, ["book_id", "t"]).filter(f"x.n >= {t} * y.n and y.n >= {t} * x.n and {room} >= {t} * (x.n + y.n - ({room})) - 1e-9")
+    return _verified(met.select("book_id", F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct(), sets, t)
+
+
+def approximate_pairs(chapters: DataFrame, threshold: float = 0.85, bands: int = 12, rows: int = 4) -> DataFrame:
+    """similar_pairs by MinHash: bodies meet that agree in all `rows` least
+    hashes of one of `bands` bands, and are verified on whole sets. A pair of
+    similarity s is met with probability 1 - (1 - s^rows)^bands (0.9998 at 0.85
+    with the defaults); none that is not similar is given."""
+    sets = _sets(chapters)
+    least = [F.min(F.xxhash64("t", F.lit(k))).alias(f"h{k}") for k in range(bands * rows)]
+    signed = sets.select("book_id", "i", "n", F.explode("g").alias("t")).groupBy("book_id", "i", "n").agg(*least)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    spread = keep(signed.select("book_id", "i", "n", F.explode(keys).alias("band")))
+    met = _paired(spread, ["book_id", "band"]).filter(f"x.n >= {threshold} * y.n and y.n >= {threshold} * x.n")
+    return _verified(met.select("book_id", F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct(), sets, threshold)

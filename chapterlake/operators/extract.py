@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,102 @@ def chapters(nodes: DataFrame, drop: tuple[str, ...] = (), junk: str = JUNK) ->
     return every.select("page_id", F.coalesce("title", F.lit("")).alias("title"), text.normalize_blank_lines(F.coalesce("body", F.lit(""))).alias("body"))
 
 
+@dataclass(frozen=True)
+class SiteRule:
+    """How chapters of a site are read: titles and contents are selectors in
+    order of preference (each may be a list, whose first match in page order
+    counts); junk is cut; the body is the content's paragraphs, each one line
+    with its pieces joined by `joint`; without paragraphs, or with `whole`, it
+    is the content's text, in lines where `joint` is a line break or `split` is
+    set. Lines that hold one of `holding`, or are one of `equal`, go."""
+
+    site: str
+    titles: tuple[str, ...]
+    contents: tuple[str, ...]
+    junk: str
+    joint: str = ""
+    whole: bool = False
+    split: bool = False
+    holding: tuple[str, ...] = ()
+    equal: tuple[str, ...] = ()
+    promotions: bool = False
+
+
+#: Chapter rules of sites (fixed values).
+SITE_RULES = (
+    SiteRule("bqg", ("#title",), ("#content", "div.content"), "script, style, .ad, .ads, iframe", split=True, equal=("上一章", "目录", "下一章")),
+    SiteRule("shuyous", ("h1.title, .readCon h1, h1",), ("#content, .readCon .content",), "script, style, iframe, .ad, .ads, .spe, .btnError", joint=" ", promotions=True),
+    SiteRule("twbook", ("h1.imgtext", "h1"), ("div.content", "#content, .chapter-content, article"), ".adBlock, script, style, ins, iframe", holding=("網站即將改版", "网站即将改版")),
+)
+#: What is always cut from a configured site's content (fixed value).
+CONFIGURED_JUNK = ("script", "style", "noscript", "iframe", "form", "object", "embed")
+
+
+def configured_rule(site: str, chapter: dict[str, str], clean: tuple[str, ...] = ()) -> SiteRule:
+    """The rule of a stored config: its chapter selectors and clean selectors."""
+    title = chapter.get("chapter_title") or chapter.get("title")
+    return SiteRule(site, (title,) if title else (), (chapter["content"],), ", ".join((*CONFIGURED_JUNK, *clean)), joint="\n", whole=True)
+
+
+def site_chapters(captured: DataFrame, nodes: DataFrame, rules: tuple[SiteRule, ...] = SITE_RULES, suffixes: dict[str, str] | None = None) -> DataFrame:
+    """(page_id, site, title, body) of captured pages (page_id, url): those of a
+    site with a rule are read by it, all sites in one pass over the nodes: the
+    rules are a table of selectors by site, role and place. Other pages are read
+    as chapters() reads them. suffixes gives configured domains their site. A
+    page without a content node has an empty body."""
+    sites = keep(captured.select("page_id", routing.site_of(F.col("url"), suffixes=suffixes).alias("site")))
+    known = [r.site for r in rules]
+    own = keep(nodes.join(sites.filter(F.col("site").isin(*known)), "page_id"))
+    rows = [(r.site, role, k, s) for r in rules for role, many in (("title", r.titles), ("content", r.contents), ("junk", (r.junk,))) for k, s in enumerate(many)]
+    table = captured.sparkSession.createDataFrame(rows, "site string, role string, place int, selector string")  # a few rows a rule
+    named = [f.name for f in nodes.schema.fields]
+    hits = keep(dom.select_each(own, sorted({s for *_, s in rows})).select("page_id", "node_id", "end_id", "site", "selector").join(F.broadcast(table), ["site", "selector"]))
+    clean = keep(dom.blanked(own.select(*named), hits.filter("role = 'junk'")))
+    first = lambda role: hits.filter(F.col("role") == role).groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id"), F.struct("place", "node_id")).alias("f")).select("page_id", "f.*")
+    piece = "\u0001"
+    titles = pages.node_text(nodes.join(sites, "page_id", "left_semi"), first("title"), "").select("page_id", F.trim("text").alias("title"))
+
+    def of(value, kind):
+        """A rule's value by the page's site."""
+        out = F.lit(None).cast(kind)
+        for r in rules:
+            v = value(r)
+            out = F.when(F.col("site") == r.site, F.array(*map(F.lit, v)).cast(kind) if isinstance(v, tuple) else F.lit(v)).otherwise(out)
+        return out
+
+    root = first("content").join(sites, "page_id")
+    inside = clean.join(root.select("page_id", F.col("node_id").alias("_from"), F.col("end_id").alias("_to"), "site"), "page_id").filter("node_id >= _from and node_id <= _to and tag = 'p'")
+    lines = inside.filter(~of(lambda r: r.whole, "boolean")).select("page_id", "node_id", "end_id")
+    bare = root.select("page_id", "node_id", "end_id").join(lines.select("page_id").distinct(), "page_id", "left_anti")
+    said = pages.node_text(clean, lines.withColumn("_bare", F.lit(False)).unionByName(bare.withColumn("_bare", F.lit(True))).drop("_bare"), piece)
+    said = said.join(bare.select("page_id", F.lit(True).alias("_bare")), "page_id", "left").join(sites, "page_id")
+    joint = F.when(F.col("_bare") & of(lambda r: r.split, "boolean"), "\n").otherwise(of(lambda r: r.joint, "string"))
+    parts = said.select("page_id", "site", "node_id", F.posexplode(F.split(F.replace("text", F.lit(piece), joint), "\n")).alias("_k", "line"))
+    line = F.trim(F.when(of(lambda r: r.promotions, "boolean"), text.drop_promotions(F.col("line"))).otherwise(F.col("line")))
+    parts = parts.withColumn("line", line).filter("line <> ''")
+    gone = F.exists(of(lambda r: r.holding, "array<string>"), lambda x: F.col("line").contains(x)) | F.array_contains(of(lambda r: r.equal, "array<string>"), F.col("line"))
+    bodies = parts.filter(~F.coalesce(gone, F.lit(False))).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "_k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    ruled = sites.filter(F.col("site").isin(*known)).join(titles, "page_id", "left").join(bodies, "page_id", "left")
+    ruled = ruled.select("page_id", "site", F.coalesce("title", F.lit("")).alias("title"), text.normalize_blank_lines(F.coalesce("body", F.lit(""))).alias("body"))
+    rest = sites.filter(~F.col("site").isin(*known))
+    return ruled.unionByName(chapters(nodes.join(rest, "page_id", "left_semi")).join(rest, "page_id").select("page_id", "site", "title", "body"))
+
+
+def merge_followed(parts: DataFrame, most: int = CHAPTER_PAGES) -> DataFrame:
+    """One body for each chapter of parts (book_id, chapter_number, page_number,
+    url, next_url, body): from its first page along the links to pages of the
+    same chapter, each met once, `most` pages at most; empty bodies are left out.
+    Pages of no book or chapter stand for themselves."""
+    own = keep(parts.withColumn("page_number", F.coalesce("page_number", F.lit(1))))
+    to = own.select(F.col("url").alias("next_url"), F.col("book_id").alias("_b"), F.col("chapter_number").alias("_c")).distinct()
+    following = own.join(to, "next_url").filter("book_id = _b and chapter_number = _c").select("url", "next_url")
+    starts = own.groupBy("book_id", "chapter_number").agg(F.min_by("url", F.struct("page_number", "url")).alias("url"))
+    chains = next_chains(starts.select("url"), following, most)
+    bodies = own.groupBy("url").agg(F.min("body").alias("body"))
+    joined = chains.join(bodies, "url").groupBy("start_url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.nullif("body", F.lit("")).alias("body")))), lambda s: s["body"]), "\n").alias("body"), F.count(F.lit(1)).alias("pages"))
+    return starts.join(joined, starts["url"] == joined["start_url"]).select("book_id", "chapter_number", "body", "pages")
+
+
 def merge_pages(parts: DataFrame, most: int = CHAPTER_PAGES) -> DataFrame:
     """One body for each (book_id, chapter_number) of parts with page_number
     and body: the first `most` distinct pages in order, empty bodies left out."""

@@ -184,10 +184,18 @@ def exact_duplicates(spark, d):
     return dedup.exact_duplicates(_documents(spark, d))
 
 
-@_query("""WITH u AS (SELECT source AS book_id, text, min(doc_id) AS i FROM documents WHERE length(text) > 0 GROUP BY 1, 2),
+_SIMILAR = """WITH u AS (SELECT source AS book_id, text, min(doc_id) AS i FROM documents WHERE length(text) > 0 GROUP BY 1, 2),
 g AS (SELECT book_id, i, CASE WHEN length(text) < 2 THEN [text] ELSE list_distinct(list_transform(generate_series(1, length(text) - 1), lambda k: text[k:k + 1])) END AS g FROM u),
 p AS (SELECT a.book_id, a.i AS a, b.i AS b, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM g a JOIN g b ON a.book_id = b.book_id AND a.i < b.i AND len(a.g) >= 0.85 * len(b.g) AND len(b.g) >= 0.85 * len(a.g))
-SELECT book_id, a, b, round(n / (m - n), 6) AS score FROM p WHERE n / (m - n) >= 0.85""")
+SELECT book_id, a, b, round(n / (m - n), 6) AS score FROM p WHERE n / (m - n) >= 0.85"""
+
+
+@_query(_SIMILAR)
+def approximate_pairs(spark, d):
+    return dedup.approximate_pairs(_documents(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@_query(_SIMILAR)
 def similar_pairs(spark, d):
     return dedup.similar_pairs(_documents(spark, d)).withColumn("score", F.round("score", 6))
 

@@ -325,3 +325,35 @@ def alike_structures(spark, d):
     found = dom.fingerprints(_nodes(_catalog_pages(spark, d)), "salt")
     sizes = found.groupBy("digest").agg(F.count(F.lit(1)).alias("alike"))
     return found.join(sizes, "digest").select("page_id", "alike")
+
+
+#: Made pages of five kinds of sites: url, html (N: the order's key), title, body.
+_SITES = [
+    ("https://www.bqg12.cc/book/N/", '<h1>no</h1><div id="title"> TN </div><div id="content"><p>aN</p><p>上一章</p><p class="ad">ad</p><p>bN</p></div>', "TN", "aN\nbN"),
+    ("https://www.shuyous.com/book/N-1.html", '<h1 class="title">TN</h1><div class="readCon"><div class="content"><p>aN<b>c</b></p><div class="btnError"><p>zz</p></div><p>bN</p></div></div>', "TN", "aN c\nbN"),
+    ("https://www.twbook.cc/N/1.html", '<h1>other</h1><h1 class="imgtext">TN</h1><div class="content"><p>aN<i>c</i></p><p>網站即將改版 N</p><ins><p>ad</p></ins></div>', "TN", "aNc"),
+    ("https://m.shelf.test/N", '<h2 class="name">TN</h2><div id="text"><div>aN</div><div>bN</div><form>f</form><div class="share">s</div></div>', "TN", "aN\nbN"),
+    ("https://plain.test/N", '<h1>TN</h1><div><p>aN</p><p>bN</p></div>', "TN", "aN\nbN"),
+]
+_BY_SITE = lambda k: "CASE o_orderkey % 5 " + " ".join(f"WHEN {n} THEN replace('{x[k]}', 'N', o_orderkey::VARCHAR)" for n, x in enumerate(_SITES)) + " END"
+
+
+@_query(f"SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 0 THEN 'bqg' WHEN 1 THEN 'shuyous' WHEN 2 THEN 'twbook' WHEN 3 THEN 'shelf' ELSE 'auto' END AS site, {_BY_SITE(2)} AS title, {_BY_SITE(3)} AS body FROM orders")
+def site_chapters(spark, d):
+    """One page an order, of five kinds of sites, one of them configured."""
+    k = F.col("o_orderkey")
+    of = lambda at: F.replace(F.element_at(F.array(*[F.lit(x[at]) for x in _SITES]), (k % 5 + 1).cast("int")), F.lit("N"), k.cast("string"))
+    made = _dealt(spark, _t(spark, d, "orders").select(k.alias("page_id"), of(0).alias("url"), of(1).alias("html")))
+    rules = (*extract.SITE_RULES, extract.configured_rule("shelf", {"chapter_title": ".name", "content": "#text"}, (".share",)))
+    return extract.site_chapters(made, _nodes(made), rules, {"shelf.test": "shelf"})
+
+
+@_query("""SELECT conv_id AS book_id, turn // 3 AS chapter_number, coalesce(string_agg(nullif(text, ''), chr(10) ORDER BY turn DESC), '') AS body, count(*) AS pages FROM conversations GROUP BY 1, 2""")
+def followed_pages(spark, d):
+    """Turns as pages of chapters of three, linked from the last turn back to
+    the first, whose link leads to the last again."""
+    w = Window.partitionBy("conv_id", "chapter").orderBy(F.col("turn").desc())
+    url = lambda turn: F.concat_ws("/", F.lit("http://shelf.test"), F.col("conv_id").cast("string"), F.col(turn).cast("string"))
+    rows = _t(spark, d, "conversations").withColumn("chapter", F.floor(F.col("turn") / 3)).withColumns({"nth": F.row_number().over(w), "onward": F.lead("turn").over(w), "first": F.first("turn").over(w)})
+    rows = rows.withColumn("onward", F.coalesce("onward", "first"))
+    return extract.merge_followed(rows.select(F.col("conv_id").alias("book_id"), F.col("chapter").alias("chapter_number"), F.col("nth").alias("page_number"), url("turn").alias("url"), url("onward").alias("next_url"), F.col("text").alias("body")))

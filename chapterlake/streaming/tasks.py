@@ -62,12 +62,15 @@ class TaskProcessor(StatefulProcessor):
             versions.append(np.array([at], np.int64))
             statuses.append(np.array([number.get(to, -1)], np.int8))
         for part in rows:
-            part = part[part["task_version"].notna()]
-            known = part["to_status"].map(number)
-            other |= dict(zip(part["task_version"][known.isna()].astype("int64"), part["to_status"][known.isna()]))
-            versions.append(part["task_version"].to_numpy(np.int64))
-            statuses.append(known.fillna(-1).to_numpy(np.int8))
-            last = part["created_at"].max()
+            at, to, when = (part[c].to_numpy() for c in ("task_version", "to_status", "created_at"))
+            if at.dtype.kind == "f":  # some are null
+                some = ~np.isnan(at)
+                at, to = at[some].astype(np.int64), to[some]
+            known = np.array([number.get(x, -1) for x in to.tolist()], np.int8)
+            other |= {int(v): x for v, x, k in zip(at, to, known) if k < 0}
+            versions.append(at)
+            statuses.append(known)
+            last = when.max()
             newest = last if newest is None or last > newest else newest
         at, to = np.concatenate(versions), np.concatenate(statuses)
         order = np.argsort(at, kind="stable")
@@ -89,7 +92,8 @@ class TaskProcessor(StatefulProcessor):
             self.waiting.clear()
         until = None
         if status == "waiting_for_user":
-            ends = int(newest.timestamp() * 1000) + self.wait_ms if self.by_event and newest is not None and newest == newest else self._now(timerValues) + self.wait_ms
+            timed = self.by_event and newest is not None and newest == newest
+            ends = (int(newest.astype("datetime64[ms]").astype(np.int64)) if timed else self._now(timerValues)) + self.wait_ms
             until = max(ends, self._now(timerValues) + 1)
         self._wait_until(deadline, until)
         if status is not None:

@@ -9,7 +9,7 @@ from chapterlake.operators import books, dedup, events, pages
 from chapterlake.plans import admin_queries, queries, site_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"similar_pairs"}
+SLOW = {"similar_pairs", "approximate_pairs"}
 
 
 def plain(row):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chapterlake.functions import urls
-from chapterlake.operators import adapt, books, configs, dom, extract, pages, tts
+from chapterlake.operators import adapt, books, configs, dedup, dom, extract, pages, tts
 from chapterlake.plans import site_queries
 from chapterlake.sources import exports, readers
 from chapterlake.streaming import tasks
@@ -288,3 +288,64 @@ def test_long_chains_and_page_ids(spark, tmp_path):
     assert sorted((r["page_id"], r["title"], r["body"]) for r in bodies) == [(199_999, "第99999章", "b"), (200_000, "第0章", "c"), (200_000, "第100000章", "a")]
     chains = site_queries.next_chains(spark, str(tmp_path)).collect()
     assert sorted((r["position"], r["url"]) for r in chains) == [(0, "http://shelf.test/book/1/99999.html"), (0, "http://shelf.test/book/2/0.html"), (1, "http://shelf.test/book/1/100000.html")]
+
+
+def test_patterns_are_met_by_keys(spark):
+    patterns = ["/**", "/a/**", "/a/*", "/a/{int}", "/a/{slug}/x", "/{slug}/{int}.html", "https://h.test/a/**", "https://h.test:8/a/*", "/a", "/", "/a//b", "a", "/{int}-{int}", "/*/*/*", "/**/x", None, "/a/b-{int}.html"]
+    rng = random.Random(2)
+    made = ["/" + "/".join(rng.choice(["a", "1", "x", "b-2.html", "3.html", "", "**"]) for _ in range(rng.randint(0, 4))) for _ in range(60)]
+    asked = [f"{h}{p}" for h in ("https://h.test", "http://h.test", "https://h.test:8", "https://other.test") for p in [*made, "", "/a/%62-1.html", "/a/../a/1", "/a?q=1"]]
+    pages_ = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    rows = [(d, f"c{k}", 1, "active", f"{k:02d}", [p]) for d in ("h.test", "other.test") for k, p in enumerate(patterns)]
+    stored = spark.createDataFrame([(d, c + d, *r) for d, c, *r in rows], "domain string, config_id string, version int, status string, validated string, url_patterns array<string>")
+    every = pages_.withColumn("domain", urls.host(F.col("url"))).filter(urls.valid_url(F.col("url"))).join(stored.select("domain", "config_id", "validated", F.col("url_patterns")[0].alias("p")), "domain").filter(urls.pattern_matches(F.col("url"), F.col("p")))
+    want = {r["page_id"]: r["c"] for r in every.groupBy("page_id").agg(F.max_by("config_id", "validated").alias("c")).collect()}
+    assert {r["page_id"]: r["config_id"] for r in configs.active_for(pages_, stored).collect()} == want and len(want) > 50
+
+
+def test_similar_pairs_of_hot_keys_and_by_minhash(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(6)]
+    rows = []
+    for k in range(120):
+        body = list(base[k % 6])
+        for _ in range(rng.randint(0, 3)):
+            body[rng.randrange(60)] = rng.choice("abcdefghxyz")
+        rows.append(("b" if k % 3 else "c", k, "".join(body)))
+    rows += [("b", 500 + k, t) for k, t in enumerate([None, "", "x", "x", "same " * 5000, "same " * 5000 + "!"])]
+    chapters = spark.createDataFrame(rows, "book_id string, chapter_index int, body string")
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)} or {t}
+    least = {}
+    for b, k, t in rows:
+        if t:
+            least.setdefault((b, t), k)
+    items = sorted((b, k, grams(t)) for (b, t), k in least.items())
+    want = {(b, i, j) for b, i, g in items for c, j, h in items if b == c and i < j and len(g & h) >= 0.85 * len(g | h) - 1e-12}
+    hot, dedup.HOT = dedup.HOT, 10**6  # every key is hot
+    try:
+        assert {(r["book_id"], r["a"], r["b"]) for r in dedup.similar_pairs(chapters).collect()} == want and len(want) > 20
+    finally:
+        dedup.HOT = hot
+    assert {(r["book_id"], r["a"], r["b"]) for r in dedup.similar_pairs(chapters).collect()} == want
+    got = {(r["book_id"], r["a"], r["b"]) for r in dedup.approximate_pairs(chapters).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_chapters_by_site_rules(spark):
+    rows = [
+        (1, "https://www.bqg9.cc/book/1/1.html", "<div id=title>T</div><div class=content>上一章<div>one</div><div>two<script>x</script></div></div>"), (2, "https://www.bqg9.cc/book/1/2.html", "<h1>none</h1>"), (3, "https://shuyous.com/book/1-1.html", "<div class=readCon><h1>T</h1><div class=content>only <b>text</b></div></div>"),
+        (4, "https://twbook.cc/1/1.html", "<h1>T</h1><article><p>a</p></article>"), (5, "https://else.test/1", "<h1>T</h1><article><p>a</p></article>"), (6, "https://twbook.cc/1/2.html", None),
+    ]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["site"], r["title"], r["body"]) for r in extract.site_chapters(p, pages.flatten(p)).collect()}
+    assert got == {1: ("bqg", "T", "one\ntwo"), 2: ("bqg", "", ""), 3: ("shuyous", "T", "only text"), 4: ("twbook", "T", "a"), 5: ("auto", "T", "a"), 6: ("twbook", "", "")}
+    rule = extract.configured_rule("x", {"title": "h2", "content": ".c"}, (".no",))
+    q = spark.createDataFrame([(1, "https://a.x.test/", "<h2>T</h2><div class=c><p>a</p><p class=no>b</p><object>o</object></div>")], "page_id long, url string, html string")
+    assert extract.site_chapters(q, pages.flatten(q), (rule,), {"x.test": "x"}).first()["body"] == "a"
+
+
+def test_pages_are_followed_once(spark):
+    rows = [(1, 1, None, "u1", "u2", "a"), (1, 1, 2, "u2", "u3", ""), (1, 1, 3, "u3", "u1", "c"), (1, 2, None, "v1", "u1", "x"), (2, 1, None, "w1", "lost", "y")] + [(3, 1, k, f"p{k}", f"p{k + 1}", str(k)) for k in range(1, 31)]
+    parts = spark.createDataFrame(rows, "book_id long, chapter_number long, page_number int, url string, next_url string, body string")
+    got = {(r["book_id"], r["chapter_number"]): (r["body"], r["pages"]) for r in extract.merge_followed(parts).collect()}
+    assert got == {(1, 1): ("a\nc", 3), (1, 2): ("x", 1), (2, 1): ("y", 1), (3, 1): ("\n".join(map(str, range(1, 21))), 20)}
