@@ -11,8 +11,9 @@ overlap that counts is lost.
 
 A document is contaminated by an item when one alignment's best run matches at
 least min(MIN_MATCH, 80 % of the item's words) words, a mismatch costing two
-matches. Items of 5 to 7 words count when they occur whole; items of fewer
-words are too common to tell and give no hit. Null and empty texts, on either
+matches. Items of under 8 words count when they occur whole. Items of under
+LEAST_WORDS are too common to tell and give no hit, unless `least_words` is
+less: then those of that many words and more are met as whole sequences. Null and empty texts, on either
 side, give no hit; repeated rows are each reported; the first best run is
 reported on ties. An empty table on either side gives no rows. Texts are read
 whole, whatever their length; columns other than the ids and texts are not
@@ -41,6 +42,8 @@ from . import common
 MASKS = ("11111", "111101", "111011")
 MIN_MATCH, SHARE, MISMATCH = 13, 0.8, 2
 BLOCK_BYTES = 8 << 20
+#: Words of the shortest items that are looked for.
+LEAST_WORDS = 5
 #: Seed hits that are followed at a time.
 HITS = 1 << 20
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
@@ -67,7 +70,7 @@ class SeedIndex:
     """The seed hashes of a block of items, sorted, with a table of their
     first bits that turns away most windows."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], least_words: int = LEAST_WORDS):
         raw = [(t or "").encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         words, begins = common.word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, common.ALNUM)
@@ -75,8 +78,12 @@ class SeedIndex:
         for k in range(len(ids)):
             self.words.append(words[begins[k] : begins[k + 1]])
         self.need = np.array([needed(len(w)) for w in self.words], np.int64)
-        for m, mask in enumerate(MASKS):
+        # a short item is one seed of all its words
+        self.masks = (*MASKS, *("1" * n for n in range(max(1, least_words), LEAST_WORDS)))
+        for m, mask in enumerate(self.masks):
             for k, own in enumerate(self.words):
+                if m >= len(MASKS) and len(own) != len(mask):
+                    continue
                 h = seed_hashes(own, mask, m)
                 hashes.append(h)
                 item.append(np.full(len(h), k))
@@ -94,7 +101,7 @@ class SeedIndex:
         """(item, diagonal) of every window of words that meets a seed and from
         which a run goes on to enough matches."""
         found = []
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(self.masks):
             h = seed_hashes(words, mask, m)
             at = np.flatnonzero(self.table[h >> self.shift]) if len(h) else np.zeros(0, np.int64)
             if not len(at):
@@ -140,7 +147,7 @@ class SeedIndex:
         return (matches, a + start, a + end + 1) if matches >= self.need[item] else None
 
 
-def _indexes(benchmark: DataFrame) -> list:
+def _indexes(benchmark: DataFrame, least_words: int) -> list:
     """For each block of the benchmark a function that broadcasts its seeds."""
     spark = benchmark.sparkSession
     common.configure(spark)
@@ -150,12 +157,12 @@ def _indexes(benchmark: DataFrame) -> list:
 
     def send(block: int):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        return spark.sparkContext.broadcast(SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        return spark.sparkContext.broadcast(SeedIndex([r["item_id"] for r in rows], [r["text"] for r in rows], least_words))
 
     return [lambda block=block: send(block) for block in range(blocks)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs (doc_id, text) against benchmark (item_id, text). Returns a row for
     each document and item that overlap: doc_id, item_id, matched_words,
     item_words, start_word, end_word (of the document)."""
@@ -189,11 +196,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             shared.unpersist()
         return found
 
-    sends = _indexes(benchmark)
+    sends = _indexes(benchmark, least_words)
     return reduce(DataFrame.unionByName, [pass_over(send) for send in sends])
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs whose own text has no leak. Each row is decided by its
     text alone, so ids may be null or repeated. Between two blocks of the
     benchmark the rows are written."""
@@ -215,7 +222,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, docs.schema)
 
-    sends, staged = _indexes(benchmark), None
+    sends, staged = _indexes(benchmark, least_words), None
     for send in sends[:-1]:
         now = common.stage(pass_over(docs if staged is None else staged, send), "clean")
         if staged is not None:

@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,18 +82,19 @@ class Codes:
 _FLIPS = [[v for v in range(16) if v.bit_count() <= s] for s in range(5)]
 
 
-def unit_rows(ids, vectors, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors in double precision) of the rows that take part."""
-    kept, out = [], []
-    for i, v in zip(ids, vectors):
-        if i is None or v is None or None in v or (dim and len(v) != dim) or not len(v):
-            continue
-        a = np.asarray(v, float)
-        if np.isfinite(a).all() and (a != 0).any():
-            kept.append(i)
-            far = int(np.frexp(np.abs(a).max())[1])
-            out.append(np.ldexp(a, -far) if abs(far) > 300 else a)
-    return np.array(kept, np.int64), (np.stack(out) if out else np.zeros((0, dim or 0)))
+    ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (ids, vectors))
+    asked = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
+    ids, vectors = ids.filter(asked), vectors.filter(asked)
+    a = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # a null is NaN
+    good = np.isfinite(a).all(1) & (a != 0).any(1)
+    a = a[good]
+    if len(a):
+        far = np.frexp(np.abs(a).max(1))[1]
+        odd = np.abs(far) > 300
+        a[odd] = np.ldexp(a[odd], -far[odd, None])
+    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), a
 
 
 def lengths(vectors: np.ndarray) -> np.ndarray:
@@ -141,15 +143,16 @@ class Part:
 
 
 def fit(vectors: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS) -> Codes | None:
-    """Learns codes on the at most sample_rows rows of least hash of id."""
-    known = vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "vector")
-    rows = common.least_hashed(known, F.xxhash64("id"), sample_rows).collect()  # bounded
-    sizes = [len(r["vector"]) for r in rows]
+    """Learns codes on the at most sample_rows rows of least hash of id, of
+    those whose vectors can take part; null where there is none."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    known = vectors.filter(F.col("id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)).select("id", "vector")
+    rows = common.least_hashed(known, F.xxhash64("id"), sample_rows).toArrow()  # bounded
+    sizes = pc.list_value_length(rows["vector"]).to_pylist()
     if not sizes:
         return None
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    _, sample = unit_rows([r["id"] for r in rows], [r["vector"] for r in rows], dim)
-    return Codes(sample, k) if len(sample) else None
+    return Codes(unit_rows(rows["id"], rows["vector"], dim)[1], k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 20_000) -> DataFrame:
@@ -166,13 +169,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
     blocks = max(1, -(-n // BLOCK_QUERIES))
 
     def block_of(block: int) -> DataFrame:
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about BLOCK_QUERIES
-        ids, asked = unit_rows([r["id"] for r in rows], [r["vector"] for r in rows], codes.dim)
+        rows = queries.select("id", "vector").filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()  # about BLOCK_QUERIES
+        ids, asked = unit_rows(rows["id"], rows["vector"], codes.dim)
         wanted = spark.sparkContext.broadcast((ids, asked))
 
-        def answer(own_ids, own):
+        def answer(parts):
             codes, (q_ids, q) = shared.value, wanted.value
-            ids, vectors = unit_rows(own_ids, own, codes.dim)
+            ids, vectors = (np.concatenate(x) for x in zip(*parts))
             if not len(ids) or not len(q_ids):
                 return
             part = Part(codes, ids, vectors)
@@ -182,14 +185,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, part_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(a) for a, _ in out])), pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([b for _, b in out]))], ["query_id", "vec_id", "score"])
 
         def run(batches):
-            ids, own = [], []
+            parts, n = [], 0
             for batch in batches:
-                ids += batch.column(0).to_pylist()
-                own += batch.column(1).to_pylist()
-                if len(ids) >= part_rows:
-                    yield from answer(ids, own)
-                    ids, own = [], []
-            yield from answer(ids, own)
+                parts.append(unit_rows(batch.column(0), batch.column(1), codes.dim))
+                n += len(parts[-1][0])
+                if n >= part_rows:
+                    yield from answer(parts)
+                    parts, n = [], 0
+            if parts:
+                yield from answer(parts)
 
         found = vectors.select("id", "vector").mapInArrow(run, schema)
         if blocks > 1:  # the driver holds one block at a time

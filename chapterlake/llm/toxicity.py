@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive
 Bayes log-count ratios.
 
-A feature is the presence in a text of a hashed n-gram of lower-cased UTF-8
-bytes, its value the log ratio of its smoothed rates in toxic and other texts.
+A feature is the presence in a text of a hashed n-gram of characters (code
+points, A-Z lower-cased), its value the log ratio of its smoothed rates in toxic and other texts.
 The SELECTED n-grams of most significant ratio enter a logistic regression,
 trained with numpy. All counts come from at most SAMPLE_ROWS labelled rows
 (those of least hash of doc_id); whole texts are read and scored.
@@ -26,27 +26,47 @@ SIZES, BITS = (3, 4, 5), 18
 STEPS, RATE, DECAY = 300, 0.05, 2e-5
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, A-Z lower-cased, and where each text's begin (n + 1)."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    first, tail = padded[lead], [padded[lead + k] & 0x3F for k in (1, 2, 3)]
+    points = np.where(
+        first < 0x80, common.LOWER[first & 0x7F],
+        np.where(first < 0xE0, (first & 0x1F) << 6 | tail[0], np.where(first < 0xF0, (first & 0x0F) << 12 | tail[0] << 6 | tail[1], (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2])),
+    )
+    return points.astype(np.uint32), np.searchsorted(lead, offsets)
+
+
+#: Odd weights of the characters of an n-gram by place.
+_PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(max(SIZES))], np.uint64)
+
+
+def buckets(points: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each code point but the last n - 1."""
+    gram = np.full(max(0, len(points) - n + 1), n, np.uint64)
+    for k in range(n):
+        gram += (points[k : k + len(gram)].astype(np.uint64) + np.uint64(1)) * _PLACES[k]
+    return common.mix(gram) >> np.uint64(64 - BITS)
+
+
 def hits(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs of n-grams, of wanted buckets only."""
+    """Distinct (text, bucket) pairs of n-grams of characters, of wanted buckets only."""
     found = []
     for lo, hi in quality._groups(offsets):
-        part = common.LOWER[data[offsets[lo] : offsets[hi]]].astype(np.uint64)
-        ends = offsets[lo + 1 : hi + 1] - offsets[lo]
-        gram, begin = np.zeros(len(part), np.uint64), 0
-        for n in range(1, max(SIZES) + 1):
-            if len(part) < n:
-                break
-            gram = gram[: len(part) - n + 1] | part[n - 1 :] << np.uint64(8 * (n - 1))
-            if n not in SIZES:
-                continue
-            bucket = ((gram * np.uint64(0x9E3779B97F4A7C15)) ^ (gram >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
-            ok = np.ones(len(bucket), bool) if wanted is None else wanted[bucket]
-            for j in range(1, n):  # none reaches into the next text
-                gone = ends - j
-                ok[gone[(gone >= 0) & (gone < len(ok))]] = False
-            at = np.flatnonzero(ok)
-            doc = np.searchsorted(ends, at, "right") + lo
-            found.append(np.unique((doc.astype(np.uint64) << np.uint64(BITS)) | bucket[at]))
+        points, begins = characters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        ends = begins[1:]
+        for step in range(0, len(points), common.STEP_BYTES):  # of a text longer than a step, too
+            part = points[step : step + common.STEP_BYTES + max(SIZES) - 1]
+            for n in SIZES:
+                bucket = buckets(part, n)[: common.STEP_BYTES]
+                ok = np.ones(len(bucket), bool) if wanted is None else wanted[bucket]
+                for j in range(1, n):  # none reaches into the next text
+                    gone = ends - j - step
+                    ok[gone[(gone >= 0) & (gone < len(ok))]] = False
+                at = np.flatnonzero(ok)
+                doc = np.searchsorted(ends, at + step, "right") + lo
+                found.append(np.unique((doc.astype(np.uint64) << np.uint64(BITS)) | bucket[at]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.unique(np.concatenate(found))
