@@ -108,7 +108,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, ranges: int = RANGES) -> DataFr
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     together = TOGETHER * total / shards
     bounds = keep_together(rows, first_splitters(rows, ranges), together)
-    for _ in range(3):  # overfull ranges are parted by samples of their own
+    while True:  # overfull ranges are parted by samples of their own, until no part is new
         parted = with_range(spark, rows, bounds, bits)
         full = parted.groupBy("range_id").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).filter((F.col("n") > OVERFULL * total / ranges) & (F.col("m") > 1))
         more = splitters(parted.join(F.broadcast(full.select("range_id")), "range_id", "left_semi"), PARTS)  # fewer ids than ranges
