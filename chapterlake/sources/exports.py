@@ -103,11 +103,12 @@ def export_summary(books: DataFrame, exported: DataFrame) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("books"), ok.alias("exported"), (F.count(F.lit(1)) - ok).alias("failed"))
 
 
-def export_all(books: DataFrame, chapters: DataFrame, name: str = "txt", most: int = 1000) -> DataFrame:
-    """Counts of exporting the done chapters of the first `most` books by id
-    (the batch of one call, a feature of the export): asked for, exported,
-    failed (nothing to write), and books that remain for a later call."""
-    first = books.select("book_id").distinct().orderBy("book_id").limit(most)
+def export_all(books: DataFrame, chapters: DataFrame, name: str = "txt", most: int | None = None) -> DataFrame:
+    """Counts of exporting the done chapters of all books, or of the first
+    `most` by id (the batch of one call): asked for, exported, failed (nothing
+    to write), and books that remain for a later call."""
+    first = books.select("book_id").distinct()
+    first = first if most is None else first.orderBy("book_id").limit(most)
     done = chapters.filter("status = 'done'").join(first, "book_id", "left_semi")
     summary = export_summary(first, exporter(name)(done))
     total = books.agg(F.countDistinct("book_id").alias("_all"))
