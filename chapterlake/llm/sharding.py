@@ -30,9 +30,10 @@ from . import common
 SAMPLES_PER_RANGE, OVERFULL = 16, 3.0
 #: Rows of one key go together up to this share of a shard.
 TOGETHER = 0.05
-#: Ranges, parts of an overfull range, and bits of the key by which boundaries
+#: Ranges at least, and bytes of text that one range holds where that makes
+#: more; parts of an overfull range; least bits of the key by which boundaries
 #: are met.
-RANGES, PARTS, LEVELS = 512, 8, 10
+RANGES, RANGE_BYTES, PARTS, LEVELS = 512, 1 << 32, 8, 10
 #: Where a key's rows begin: before every id and row number.
 _FIRST = (-(1 << 63), -1)
 
@@ -91,10 +92,11 @@ def with_range(spark: SparkSession, rows: DataFrame, bounds: list[tuple[int, int
     return joined.filter((own >= F.col("lo")) & (own < F.col("hi"))).drop("slot", "lo", "hi")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, ranges: int = RANGES) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, size, text_crc32, shard, slot."""
+def shard_by_bytes(docs: DataFrame, shards: int, ranges: int | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, size, text_crc32, shard, slot. ranges: by
+    default as many as the bytes ask for, so that a task's rows do not grow
+    with the table."""
     spark = docs.sparkSession
-    bits = 60 - LEVELS
     rows = common.stage(
         docs.select(
             F.col("doc_id").cast("long").alias("id"),
@@ -106,6 +108,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, ranges: int = RANGES) -> DataFr
         "shard_rows",
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    ranges = ranges or max(RANGES, -(-total // RANGE_BYTES))
+    bits = 60 - max(LEVELS, ranges.bit_length())
     together = TOGETHER * total / shards
     bounds = keep_together(rows, first_splitters(rows, ranges), together)
     while True:  # overfull ranges are parted by samples of their own, until no part is new

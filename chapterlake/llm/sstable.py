@@ -9,9 +9,12 @@ File layout: blocks | index | bloom | footer.
 
 Keys: byte 0 for a null id, else byte 1 and the id as big-endian 64 bits with
 the sign turned, so byte order is id order. Repeated ids are all kept, ordered
-by text. Null text is empty. An empty table gives no shard.
-Shards are written under a name of their own attempt and then renamed, so a
-task that runs again after a lost executor leaves one whole file.
+by text. Null text is empty; a text of any length is one entry, which lies in
+one block. Columns other than doc_id and text are not read. An empty table
+gives no shard.
+A shard's file has a name of its own attempt and is never renamed or written
+over: the manifest, of which Spark commits one attempt a task, names the file
+that counts. What a lost attempt wrote is named nowhere and read by nobody.
 """
 
 from __future__ import annotations
@@ -177,20 +180,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, shards: int | None
 
         shard, writer, out, docs_in, first, last = TaskContext.get().partitionId(), None, None, 0, b"", b""
         store, folder = _open(path)
-        file, part = f"shard-{shard:06d}.sst", f"{folder}/.{shard:06d}-{uuid.uuid4().hex}"
+        file = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         for batch in batches:
             coder = tokens.encoder(tokenizer)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key = key_of(doc)
                 if writer is None:
-                    out = store.open_output_stream(part)
+                    out = store.open_output_stream(f"{folder}/{file}")
                     writer, first = Writer(out, coder.tokenizer.get_vocab_size() > 65_536), key
                 writer.add(key, coder.encode(text or "") + b"\0\0\0\0")
                 docs_in, last = docs_in + 1, key
         if writer is not None:
             writer.close()
             out.close()
-            store.move(part, f"{folder}/{file}")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "docs": [docs_in], "n_ids": [writer.ids], "first_key": [first], "last_key": [last]})
 
     schema = "shard long, file string, docs long, n_ids long, first_key binary, last_key binary"
@@ -226,13 +228,20 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: DataFrame) -> DataFrame:
-    """The ids of the asked `doc_id`s, by point reads: keys meet the shards
-    whose range holds them, and each shard answers through its filter and
-    index. Returns doc_id, ids; absent ids give no row."""
-    manifest = spark.read.parquet(f"{path}/manifest").select("file", "first_key", "last_key")
-    as_key = F.when(F.col("doc_id").isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))))
-    asked = doc_ids.select(F.col("doc_id").cast("long")).distinct().withColumn("key", as_key)
-    found = asked.join(manifest, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))
+    """The ids of the asked `doc_id`s, by point reads: each key finds the shards
+    whose range holds it by binary search of their sorted bounds (one row a
+    shard), and each shard answers through its filter and index. Returns doc_id,
+    ids; absent ids give no row, repeated ones count once."""
+    bounds = spark.read.parquet(f"{path}/manifest").select("shard", "file", "first_key", "last_key").orderBy("shard").collect()  # one row a shard
+    shared = spark.sparkContext.broadcast(([r["file"] for r in bounds], [bytes(r["first_key"]) for r in bounds], [bytes(r["last_key"]) for r in bounds]))
+
+    def meet(batches):
+        files, firsts, lasts = shared.value  # shards follow one another, so both ascend
+        for batch in batches:
+            met = [(doc, files[k]) for doc in batch.column(0).to_pylist() for k in range(bisect.bisect_left(lasts, key_of(doc)), bisect.bisect_right(firsts, key_of(doc)))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in met], pa.int64()), pa.array([f for _, f in met], pa.string())], ["doc_id", "file"])
+
+    found = doc_ids.select(F.col("doc_id").cast("long")).distinct().mapInArrow(meet, "doc_id long, file string")
 
     def read(batches):
         store, folder = _open(path)
@@ -249,4 +258,4 @@ def lookup(spark: SparkSession, path: str, doc_ids: DataFrame) -> DataFrame:
                                 out["ids"].append(ids)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["ids"], pa.binary())], ["doc_id", "ids"])
 
-    return found.select("doc_id", "file").repartition("file").mapInArrow(read, "doc_id long, ids binary")
+    return found.repartition("file").mapInArrow(read, "doc_id long, ids binary")

@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -491,6 +492,55 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert left == Counter([r[:2] for r in rows if r[1] != leak])
 
 
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_whole_pipeline_on_odd_rows(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    good = [(100 + k, f"{w} river carries water to the sea and {w} boats follow it down " * 6, "en", "s", 300) for k, w in enumerate("north south east west".split())] if rows else []
+    spark.createDataFrame([*(r[:5] for r in rows), *good], "doc_id long, text string, lang string, source string, n_chars long").withColumn("text_2", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, 0) for r in [*rows, *good]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, "no id"), (1, None), (2, "")] if rows else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(packed.columns)
+    if not rows:
+        assert len(packed) == 0
+    else:
+        ids = set(packed.doc_id.dropna().astype(int))
+        assert {r[0] for r in good} <= ids and not ids & {1, 2, 5}  # no letter: no language
+        assert (packed.groupby("sequence_id").length.sum() <= 2048).all() and (packed.doc_id == 4).sum() == 1
+
+
+def test_shards_of_a_lost_attempt_are_not_read(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k} " * (k % 7)) for k in range(300)], "doc_id long, text string")
+    path = common.new_path(spark, "t")
+    folder = Path(path.removeprefix("file://"))
+    folder.mkdir(parents=True)
+    (folder / "shard-000000-lost.sst").write_bytes(b"half a file")
+    manifest = sstable.write_tokens(docs, queries.tokenizer_path(), path, 4).collect()
+    assert sum(r["docs"] for r in manifest) == 300 and all((folder / r["file"]).exists() for r in manifest)
+    assert sstable.read_tokens(spark, path).count() == 300
+    asked = spark.createDataFrame([(k,) for k in (None, -1, 0, 17, 49, 50, 17)], "doc_id long")
+    assert Counter(r["doc_id"] for r in sstable.lookup(spark, path, asked).collect()) == {0: 6, 17: 6, 49: 6}
+
+
+def test_one_id_over_many_shards_is_looked_up_whole(spark):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(200)] + [(3, "x"), (9, "y")], "doc_id long, text string")
+    path = common.new_path(spark, "t")
+    manifest = sstable.write_tokens(docs, queries.tokenizer_path(), path, 6).collect()
+    assert len(manifest) > 2
+    found = Counter(r["doc_id"] for r in sstable.lookup(spark, path, spark.createDataFrame([(7,), (9,), (8,)], "doc_id long")).collect())
+    assert found == {7: 200, 9: 1}
+
+
+def test_more_ranges_for_more_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 64)
+    docs = spark.createDataFrame([(k, "y" * (k * 31 % 90)) for k in range(2500)], "doc_id long, text string")
+    rows = sharding.shard_by_bytes(docs, 8).toPandas()
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(rows) == 2500 and sizes.max() - sizes.min() <= 0.08 * sizes.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+
+
 def test_remove_leaks_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(f"b{k}w{i}" for i in range(16))) for k in range(5)], "item_id long, text string")
     docs = bench.withColumnRenamed("item_id", "doc_id").union(spark.createDataFrame([(None, "clean"), (None, None)], "doc_id long, text string"))

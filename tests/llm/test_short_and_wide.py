@@ -81,6 +81,24 @@ def test_language_scores_equal_a_naive_network(spark):
     rows = langid.predict(docs, model).collect()
     assert all(r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1 for r in rows)
 
+    def naive(text):
+        """The mean over windows, place by place and filter by filter."""
+        raw, p, total, many, at = text.encode(), model.params, np.zeros(len(model.classes)), 0, 0
+        while at == 0 or at + langid.SPAN - 1 < len(raw):
+            window = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            best = np.full(len(p["bias"]), -np.inf)
+            for place in range(langid.STEP):
+                seen = np.concatenate([p["embed"][b] for b in window[place : place + langid.SPAN]])
+                best = np.maximum(best, seen @ p["filters"])
+            e = np.exp(np.maximum(best + p["bias"], 0) @ p["dense"] + p["out"])
+            total, many, at = total + e / e.sum(), many + 1, at + langid.STEP
+        return total / many
+
+    asked = spark.createDataFrame([(0, "the " * 300), (1, "dies und das"), (2, "é" * 127 + "x"), (3, "a"), (4, "und " * 63 + "abc"), (5, "w" * 257), (6, "123"), (7, None)], "doc_id long, text string")
+    for r in langid.predict(asked, model).collect():
+        want = naive(r["text"]) if r["doc_id"] < 6 else None
+        assert r["lang_pred"] == ("und" if want is None else model.classes[int(want.argmax())]) and abs(r["score"] - (0 if want is None else want.max())) < 1e-4
+
 
 def test_shards_follow_the_law(spark):
     docs = spark.createDataFrame([(k, "x" * (k * 37 % 400)) for k in range(3000)], "doc_id long, text string")
