@@ -1,5 +1,11 @@
 """Corpus pipeline: quality, language, near duplicates, decontamination and
-packing, each over all rows that the stage before it kept."""
+packing, each over all rows that the stage before it kept.
+
+Every stage takes rows as they come: repeated rows and ids are judged each by
+its own text, ties do not arise but where a stage says so, columns beyond those
+of documents are dropped, texts of any length are read whole, and an empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +20,9 @@ QUALITY_MIN, LANGUAGE_MIN = 0.5, 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose quality score is QUALITY_MIN or more."""
+    """Keeps documents whose quality score is QUALITY_MIN or more (a score of
+    just that stays). Null and empty texts are scored by their statistics, a null
+    n_chars counts as absent; without labelled rows the score is one constant."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~common.held_out(F.col("doc_id")))
     model = quality.fit(docs.filter(~common.held_out(F.col("doc_id"))), labels, "quality", queries.METADATA)
     return quality.score(docs.select(*COLUMNS), model, queries.METADATA).filter(F.col("score") >= QUALITY_MIN).select(*COLUMNS)
@@ -22,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; `und` and scores under
-    LANGUAGE_MIN go."""
+    LANGUAGE_MIN go, so null texts and those without a letter do. Rows of null
+    lang are not learned from, but judged; where no row has a lang, all go."""
     model = langid.fit(docs.filter(~common.held_out(F.col("doc_id"))))
     kept = langid.predict(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_MIN))
     return kept.select(*COLUMNS)
@@ -48,12 +57,15 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes rows that hold a passage of the benchmark."""
+    """Removes rows that hold a passage of the benchmark. Null and empty texts
+    hold none; a null or empty benchmark item removes nothing."""
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the kept documents into sequences of 2048 tokens."""
+    """Packs the kept documents into sequences of 2048 tokens: one row a piece,
+    with the row's own doc_id (null where it is). A null or empty text is its
+    end id alone."""
     return packing.pack_documents(docs, queries.tokenizer_path(), 2048)
 
 
