@@ -106,9 +106,9 @@ def inspect(captured: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def largest_block(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, end_id, chars): the block element with most text,
-    the first of equals."""
-    sized = dom.subtree_totals(nodes, chars=dom.text_length()).filter(F.col("tag").isin("div", "article", "section", "main"))
+    """(page_id, node_id, end_id, chars): the block element with most text (its
+    pieces and one character after each), the first of equals."""
+    sized = dom.subtree_totals(nodes, chars=dom.text_length() + (dom.text_length() > 0).cast("int")).filter(F.col("tag").isin("div", "article", "section", "main"))
     best = F.max_by(F.struct("node_id", "end_id", "chars"), F.struct("chars", -F.col("node_id"))).alias("b")
     return sized.groupBy("page_id").agg(best).select("page_id", "b.*")
 

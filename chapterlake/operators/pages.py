@@ -7,7 +7,8 @@ cannot hold it (a paragraph before a block, items, terms, cells, rows, options,
 headings and links before their like, through what stands open in them, but not
 out of the list, table or cell around them); an end tag does not reach out of a
 table cell, nor that of a phrase out of a block; one without its start tag is
-ignored; comments are dropped.
+ignored; comments are dropped. A piece of text is what stands between two tags
+or comments, without the blanks around it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ CELLS = frozenset("td th caption table template".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 #: Nodes in one batch of rows, at least.
 BATCH_NODES = 20_000
-NODES = "page_id long, node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, sibling_pos int, own_text string"
+NODES = "page_id long, node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, sibling_pos int, own_text string, own_pieces array<struct<at:int,text:string>>"
 CHAPTER_TEXT = r"(?i)(?:第\s*[0-9零一二三四五六七八九十百千万两]+\s*[章节回卷]|chapter\s+\d+)"
 #: Signs of kinds, and what is cut before they are looked for (fixed values).
 AUTH_STATUS = (401, 403, 429, 503)
@@ -85,7 +86,7 @@ class _Flat(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rules, self.columns = _rules(), {f.split()[0]: [] for f in NODES.split(", ")}
-        self.stack, self.kinds, self.texts, self.first = [], [{}], [], 0
+        self.stack, self.kinds, self.texts, self.first, self.run = [], [{}], [], 0, []
 
     def __len__(self):
         return len(self.columns["tag"])
@@ -95,12 +96,15 @@ class _Flat(HTMLParser):
         self.first, self.texts = len(self), []
         self.feed(html or "")
         self.close()
+        self._end_run()
         self._close(0)
         self.columns["page_id"] += [page] * len(self.texts)
-        self.columns["own_text"] += [" ".join(t) for t in self.texts]
+        self.columns["own_text"] += [" ".join(said for _, said in t) for t in self.texts]
+        self.columns["own_pieces"] += [None if all(at == k for at, _ in t) and len(t) < 2 else [{"at": at, "text": said} for at, said in t] for k, t in enumerate(self.texts)]
         self.kinds = [{}]
 
     def handle_starttag(self, tag, attrs):
+        self._end_run()
         if self.stack and self._open(-1) == "head" and tag not in IN_HEAD:
             self._close(len(self.stack) - 1)
         for ended, stops in self.rules.get(tag, ()):
@@ -129,6 +133,7 @@ class _Flat(HTMLParser):
             self._close(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
+        self._end_run()
         stops = {"table", "template"} if tag in TABLE_PARTS else CELLS if tag in SPECIAL else SPECIAL
         for k in range(len(self.stack) - 1, -1, -1):
             name = self._open(k)
@@ -139,8 +144,18 @@ class _Flat(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.stack and (data := data.strip()):
-            self.texts[self.stack[-1]].append(data)
+        self.run.append(data)
+
+    def handle_comment(self, data):
+        self._end_run()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def _end_run(self):
+        """What was said since the last tag is a piece of the innermost open element."""
+        said, self.run = "".join(self.run).strip(), []
+        if self.stack and said:
+            self.texts[self.stack[-1]].append((len(self) - self.first - 1, said))
 
     def _open(self, depth):
         return self.columns["tag"][self.first + self.stack[depth]]
@@ -154,10 +169,13 @@ class _Flat(HTMLParser):
 
 def flatten(pages: DataFrame) -> DataFrame:
     """Nodes of pages (page_id, html) in preorder; a node's descendants are
-    those with node_id in (node_id, end_id]. Null html gives no node."""
+    those with node_id in (node_id, end_id]. own_text holds the pieces of text
+    right below the node, joined by blanks; where it is more than one piece
+    behind the start tag, own_pieces tells each and the node begun last before it.
+    Null html gives no node."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string(), pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))]
         for batch in batches:
             flat = _Flat()
             for page, html in zip(batch.column(0), batch.column(1)):
@@ -170,17 +188,32 @@ def flatten(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
 
 
+def text_pieces(nodes: DataFrame) -> DataFrame:
+    """(page_id, at, owner, nth, text): the pieces of text of `nodes`; in the
+    order of these columns they stand as in the page. at is the node begun last
+    before a piece, owner the negative of its node: pieces behind one start tag
+    belong to ever outer nodes."""
+    alone = F.array(F.struct(F.col("node_id").alias("at"), F.col("own_text").alias("text")))
+    spread = nodes.filter("own_text <> ''").select("page_id", "node_id", F.posexplode(F.coalesce("own_pieces", alone)).alias("nth", "p"))
+    return spread.select("page_id", F.col("p.at").alias("at"), (-F.col("node_id")).alias("owner"), "nth", F.col("p.text").alias("text"))
+
+
+def page_texts(pieces: DataFrame) -> DataFrame:
+    """(page_id, t): all pieces of a page in order."""
+    return pieces.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "owner", "nth", "text")))["text"].alias("t"))
+
+
 def node_text(nodes: DataFrame, of: DataFrame, sep: str = " ") -> DataFrame:
-    """(page_id, node_id, text) of the nodes in `of` with all that is in them;
-    nodes without text have no row. A node's pieces are a run of its page's
-    pieces in order: one window counts where it begins and ends."""
-    pieces = nodes.filter(F.col("own_text") != "")
-    texts = pieces.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "own_text")))["own_text"].alias("t"))
-    mark = lambda df, at, kind, top: df.select("page_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), top.cast("int").alias("top"))
-    marks = mark(pieces, "node_id", 1, F.lit(None)).unionByName(mark(of, "node_id", 0, F.col("node_id"))).unionByName(mark(of, "end_id", 2, F.col("node_id")))
-    order = Window.partitionBy("page_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    """(page_id, node_id, text) of the nodes in `of` with all that is in them,
+    its pieces in page order joined by sep; nodes without text have no row. A
+    node's pieces are a run of its page's pieces: one window counts where it
+    begins and ends."""
+    pieces = text_pieces(nodes)
+    mark = lambda df, at, owner, kind, top: df.select("page_id", F.col(at).alias("at"), owner.cast("int").alias("owner"), F.lit(kind).alias("kind"), top.cast("int").alias("top"))
+    marks = mark(pieces, "at", F.col("owner"), 1, F.lit(None)).unionByName(mark(of, "node_id", F.lit(-(1 << 31)), 0, F.col("node_id"))).unionByName(mark(of, "end_id", -F.col("node_id"), 2, F.col("node_id")))
+    order = Window.partitionBy("page_id").orderBy("at", "owner", "kind").rowsBetween(Window.unboundedPreceding, 0)
     spans = marks.withColumn("n", F.count_if(F.col("kind") == 1).over(order)).filter("kind <> 1").groupBy("page_id", "top").agg(F.min("n").cast("int").alias("first"), F.max("n").cast("int").alias("last"))
-    found = spans.filter("last > first").join(texts, "page_id")
+    found = spans.filter("last > first").join(page_texts(pieces), "page_id")
     return found.select("page_id", F.col("top").alias("node_id"), F.array_join(F.slice("t", F.col("first") + 1, F.col("last") - F.col("first")), sep).alias("text"))
 
 
@@ -216,8 +249,8 @@ def classify(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     chapter_text = F.col("text").rlike(f"(?U){CHAPTER_TEXT}")
     said = node_text(clean, anchors).filter(chapter_text).join(anchors.select("page_id", "node_id", dom.attr("href").alias("href")), ["page_id", "node_id"])
     chapters = said.groupBy("page_id").agg(F.countDistinct("href").alias("chapter_links"))
-    spoken = dom.without(clean, clean.filter(F.col("tag").isin("script", "style", "template"))).filter(F.col("own_text") != "")
-    texts = spoken.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("node_id", "own_text")))["own_text"], " ").alias("said"))
+    spoken = dom.without(clean, clean.filter(F.col("tag").isin("script", "style", "template")))
+    texts = page_texts(text_pieces(spoken)).select("page_id", F.array_join("t", " ").alias("said"))
     met = clean.groupBy("page_id").agg(*[F.max(here(selector)).alias(name) for name, selector in CLASSIFY_SIGNS.items()])
     # a password field counts by the form nearest to it
     forms = clean.filter(F.col("tag") == "form").select(

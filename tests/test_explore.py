@@ -89,7 +89,8 @@ def test_covered_and_text_against_brute_force(spark):
     assert {(r["page_id"], r["node_id"]) for r in dom.without(nodes, dom.select(nodes, ".a")).collect()} == {(r["page_id"], r["node_id"]) for r in rows} - gone
     said = {(r["page_id"], r["node_id"]): r["text"] for r in pages.node_text(nodes, nodes, "|").collect()}
     for t in rows:
-        pieces = [r["own_text"] for r in sorted(rows, key=lambda r: r["node_id"]) if r["own_text"] and (inside(r, t) or r == t)]
+        own = lambda r: r["own_pieces"] or [(r["node_id"], r["own_text"])] * bool(r["own_text"])
+        pieces = [said for *_, said in sorted((at, -r["node_id"], k, said) for r in rows if inside(r, t) or r == t for k, (at, said) in enumerate(own(r)))]
         assert said.get((t["page_id"], t["node_id"])) == ("|".join(pieces) if pieces else None)
 
 

@@ -1,11 +1,13 @@
+import random
 from datetime import datetime, timezone
 from decimal import Decimal
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from chapterlake.operators import books, dedup, events, pages
+from chapterlake.operators import books, dedup, dom, events, extract, pages
 from chapterlake.plans import admin_queries, queries, site_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +68,75 @@ def test_malformed_markup(spark):
     assert {r["page_id"]: r["kind"] for r in pages.classify(p, nodes).collect()} == {1: "book_index", 2: "unknown"}
 
 
+class Pieces(HTMLParser):
+    """What stands between tags and comments, and which elements are open there."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.open, self.said, self.begun, self.fresh = [], [], 0, True
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "br":
+            self.open.append(self.begun)
+        self.begun, self.fresh = self.begun + 1, True
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        self.fresh = True
+
+    def handle_comment(self, data):
+        self.fresh = True
+
+    def handle_data(self, data):
+        if self.fresh:
+            self.said.append((tuple(self.open), ""))
+        self.said[-1], self.fresh = (self.said[-1][0], self.said[-1][1] + data), False
+
+
+def test_texts_follow_the_page(spark):
+    """Mixed content against a walk through the markup, for every node."""
+    rng = random.Random(3)
+
+    def made(depth):
+        tags = [rng.choice(["div", "b", "span", "br", "!", "text", "text"]) for _ in range(rng.randint(0, 5))]
+        return "".join(f" w{rng.randrange(99)} < {rng.randrange(9)} &amp; " if t == "text" else "<br>" if t == "br" else "<!-- c -->" if t == "!" else f"<{t}>{made(depth + 1) if depth < 4 else ''}</{t}>" for t in tags)
+
+    htmls = [f"<div>{made(0)}</div>" for _ in range(120)]
+    p = spark.createDataFrame([(k, f"http://h/{k}", html) for k, html in enumerate(htmls)], "page_id long, url string, html string")
+    nodes = pages.flatten(p)
+    got = {(r["page_id"], r["node_id"]): r["text"] for r in pages.node_text(nodes, nodes, "|").collect()}
+    want = {}
+    for k, html in enumerate(htmls):
+        for inside, said in Pieces(html).said:
+            for node in inside if said.strip() else ():
+                want.setdefault((k, node), []).append(said.strip())
+    assert got == {k: "|".join(v) for k, v in want.items()} and len(got) > 300
+    cut = dom.without(nodes, nodes.filter("tag = 'b'"))
+    left = {(r["page_id"], r["node_id"]): r["text"] for r in pages.node_text(cut, cut, "|").collect()}
+    bold = {(r["page_id"], r["node_id"]) for r in nodes.filter("tag = 'b'").collect()}
+    kept = {}
+    for k, html in enumerate(htmls):
+        for inside, said in Pieces(html).said:
+            if said.strip() and not any((k, node) in bold for node in inside):
+                for node in inside:
+                    kept.setdefault((k, node), []).append(said.strip())
+    assert left == {k: "|".join(v) for k, v in kept.items()}
+
+
+def test_mixed_texts_of_pages(spark):
+    rows = [(1, "https://twbook.cc/1/1.html", "<h1>T</h1><article><p>one<br>two <i>three</i> four</p></article>"), (2, "https://shuyous.com/book/1-1.html", "<h1>T</h1><div id=content><p>one<br>two</p></div>"), (3, "https://else.test/1", "<h1>Chap<b>ter</b> 1</h1><article><p>one<br>two</p></article>")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes = pages.flatten(p)
+    assert {r["page_id"]: r["body"] for r in extract.site_chapters(p, nodes).collect()} == {1: "onetwothreefour", 2: "one two", 3: "onetwo"}
+    rule = extract.configured_rule("x", {"title": "h1", "content": "article"})
+    q = p.withColumn("url", F.lit("https://a.x.test/"))
+    assert extract.site_chapters(q, nodes, (rule,), {"x.test": "x"}).filter("page_id = 1").first()["body"] == "one\ntwo\nthree\nfour"
+    human = spark.createDataFrame([(1, "http://h/", "<title>A</title><p>verify <b>you are</b> human</p><input name=captcha>")], "page_id long, url string, html string")
+    assert pages.classify(human, pages.flatten(human)).first()["evidence"] == ["auth.challenge_signals"]
+
+
 CHALLENGE = "<title>Just a moment...</title><form action='/captcha'><input name='captcha'></form><p>Verify you are human</p>"
 LOGIN = "<title>Login</title><form{}><input type='password'></form>"
 CLASSES = [
