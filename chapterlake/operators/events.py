@@ -77,12 +77,25 @@ def claimable(chapters: DataFrame, owner: str, now: float) -> DataFrame:
     return chapters.filter((F.col("status") != "done") & free)
 
 
+def gaps(requests: DataFrame, hours: int = 24) -> DataFrame:
+    """Requests (host, ts, id) with gap_us, the time since the one before of its
+    host (ties by id), null for the first and where a time is null. A host's
+    requests are taken by spans of some hours, so a host of a third of all rows
+    is dealt to as many tasks as it has spans: within a span by a window, across
+    spans by the last time of each, one row a host and span."""
+    timed = requests.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    timed = timed.withColumn("_span", F.struct("host", F.expr(f"_us div {hours * 3_600_000_000}").alias("n")))  # a struct: null hosts meet too
+    within = Window.partitionBy("_span").orderBy("_us", "id")
+    ends = timed.groupBy("_span").agg(F.max("_us").alias("_end"))
+    last = F.lag("_end").over(Window.partitionBy("_span.host").orderBy("_span.n"))
+    before = timed.withColumn("_before", F.lag("_us").over(within)).withColumn("_k", F.row_number().over(within))
+    met = before.join(ends.select("_span", last.alias("_last")), "_span", "left")
+    return met.select(*requests.columns, (F.col("_us") - F.when(F.col("_k") == 1, F.col("_last")).otherwise(F.col("_before"))).alias("gap_us"))
+
+
 def politeness(requests: DataFrame, seconds: float) -> DataFrame:
     """Requests (host, ts, id) that follow another of their host too soon."""
-    w = Window.partitionBy("host").orderBy("ts", "id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = us - F.lag(us).over(w)
-    return requests.withColumn("gap_us", gap).filter(F.col("gap_us") < int(seconds * 1e6))
+    return gaps(requests).filter(F.col("gap_us") < int(seconds * 1e6))
 
 
 def interval_at(requests: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -100,9 +113,7 @@ def interval_at(requests: DataFrame, intervals: DataFrame) -> DataFrame:
 def impolite(requests: DataFrame, intervals: DataFrame) -> DataFrame:
     """Requests (host, ts, id) that follow another of their host sooner than the
     interval valid at their time; hosts without one have none."""
-    w = Window.partitionBy("host").orderBy("ts", "id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return interval_at(requests, intervals).withColumn("gap_us", us - F.lag(us).over(w)).filter(F.col("gap_us") < (F.col("min_seconds") * 1_000_000).cast("long"))
+    return interval_at(gaps(requests), intervals).filter(F.col("gap_us") < (F.col("min_seconds") * 1_000_000).cast("long"))
 
 
 def visits(requests: DataFrame, intervals: DataFrame) -> DataFrame:

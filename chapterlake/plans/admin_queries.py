@@ -436,6 +436,26 @@ def host_visits(spark, d):
     return out.select("host", "requests", "visits", F.coalesce("impolite", F.lit(0)).alias("impolite"), F.coalesce("longest_pause_us", F.lit(0)).alias("longest_pause_us"))
 
 
+@_query(f"WITH {_VISITS} SELECT host, ts, id, gap AS gap_us, 'too_soon' AS code FROM g WHERE gap < least * 1000000 UNION ALL SELECT host, ts, id, gap, 'long_pause' FROM g WHERE epoch_us(ts) > reach")
+def streamed_gaps(spark, d):
+    """Requests that came too soon or after a long pause, from a stream that is
+    stopped after each of three batches; every second request comes half an hour
+    late, some of them a batch after requests that follow them."""
+    requests, intervals = _requests(spark, d)
+    came = F.unix_micros("ts") + F.col("id") % 2 * 1_800_000_000
+    ends = requests.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))  # one row
+    third = F.least(F.lit(2), F.floor(3 * (came - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)))
+    dealt = keep(requests.crossJoin(F.broadcast(ends)).withColumn("n", third.cast("int")))
+    # a request after all others, so that the watermark passes them
+    closing = ends.select(F.lit(-1).alias("host"), F.timestamp_micros(F.col("hi") + 86_400_000_000).alias("ts"), F.lit(-1).alias("id"), F.lit(2).alias("n"))
+    path, target, checkpoint = (shared.new_folder(spark) for _ in range(3))
+    for n in range(3):
+        batch = dealt.select("host", "ts", "id", "n").unionByName(closing).filter(F.col("n") == n).drop("n")
+        batch.write.mode("append").parquet(path)
+        tasks.run_gaps(tasks.request_gaps(spark.readStream.schema(batch.schema).parquet(path), intervals), target, checkpoint)
+    return spark.read.parquet(target).select("host", "ts", "id", "gap_us", "code")
+
+
 @_query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS book_id, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 1000 ORDER BY o_custkey || ':' || o_orderkey) = 1 AS lead, o_orderkey % 2 = 0 AS even FROM orders)
 SELECT book_id, k AS chapter_index, 'http://shelf.test/' || CASE WHEN NOT lead AND even AND k % 3 = 0 THEN 'n' ELSE 'u' END || k AS canonical_url, CASE WHEN lead OR even THEN 'done' ELSE 'pending' END AS status,
   CASE WHEN lead THEN sha256('b' || k % 1000) WHEN even THEN sha256('c' || k) END AS content_hash, CASE WHEN even THEN 'chapter_content_conflict' WHEN NOT lead THEN 'chapter_content_duplicate' END AS error FROM o""")

@@ -131,6 +131,91 @@ def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None =
     return timed.groupBy("task_id").transformWithStateInPandas(processor, shape, "Update", "EventTime" if late else "ProcessingTime")
 
 
+#: Before every time, so that a gap to it still fits 64 bits.
+_NEVER = -(1 << 62)
+
+
+class GapProcessor(StatefulProcessor):
+    """The requests of one host, in order of their times: those that the
+    watermark has passed have all come and are judged; the others wait, with one
+    timer at the earliest. What stays of the judged is the last time of all, the
+    last of those under an interval and how far their visit reaches."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", "last long, timed long, reach long, timer long")
+        self.held = handle.getListState("held", "us long, id long, least long, pause long")
+
+    def _row(self):
+        return self.row.get() if self.row.exists() else (_NEVER, _NEVER, _NEVER, None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for part in rows:
+            came = part[["us", "id", "least", "pause"]].to_numpy(np.int64)
+            self.held.appendList([tuple(r) for r in came.tolist()])
+            least = int(came[:, 0].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            last, timed, reach, timer = self._row()
+            due = -(-first // 1000)
+            if timer is None or due < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+            self.row.update((last, timed, reach, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, timed, reach, timer = self._row()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        held = np.array(list(self.held.get()), np.int64).reshape(-1, 4)
+        passed = held[:, 0] <= 1000 * max(timerValues.getCurrentWatermarkInMs(), timer)
+        left, held = held[~passed], held[passed]
+        us, ids, least, pause = held[np.lexsort((held[:, 1], held[:, 0]))].T
+        gap = np.diff(us, prepend=last)
+        soon = gap < least
+        known = np.flatnonzero(pause >= 0)
+        reached = np.maximum.accumulate(np.concatenate([[reach], us[known] + pause[known]]))
+        before = np.concatenate([[timed], us[known]])
+        away = (us[known] > reached[:-1]) & (before[:-1] != _NEVER)
+        timer = None
+        if len(left):
+            self.held.put([tuple(r) for r in left.tolist()])
+            timer = int(-(-left[:, 0].min() // 1000))
+            self.handle.registerTimer(timer)
+        else:
+            self.held.clear()
+        self.row.update((int(us[-1]), int(before[-1]), int(reached[-1]), timer))
+        for code, at, gaps in (("too_soon", np.flatnonzero(soon), gap[soon]), ("long_pause", known[away], np.diff(before)[away])):
+            if len(at):
+                yield pd.DataFrame({"host": [key[0]] * len(at), "us": us[at], "id": ids[at], "gap_us": gaps, "code": code})
+
+    def close(self) -> None:
+        pass
+
+
+def request_gaps(stream: DataFrame, intervals: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(host, ts, id, gap_us, code) of a stream of requests (host, ts, id long):
+    too_soon where one follows another of its host sooner than the interval of
+    intervals (see events.interval_at) valid at its time; long_pause where it
+    begins a visit that is not the first (see events.visits), with the time since
+    the visit before. A request is judged once the watermark, `late` behind the
+    newest, has passed it: all before it have then come; those later than `late`
+    are dropped. Requests without host, time or id are passed over.
+
+    A host's requests of the last `late` wait in its state, 32 bytes each. The
+    state needs RocksDB: start such a stream by start()."""
+    some = stream.withWatermark("ts", late).filter("host is not null and ts is not null and id is not null")
+    us = lambda c: F.coalesce((F.col(c) * 1_000_000).cast("long"), F.lit(-1))
+    rows = events.interval_at(some, intervals).select("host", "ts", F.col("id").cast("long").alias("id"), F.unix_micros("ts").alias("us"), us("min_seconds").alias("least"), us("pause_seconds").alias("pause"))
+    kind = stream.schema["host"].dataType.simpleString()
+    found = rows.groupBy("host").transformWithStateInPandas(GapProcessor(), f"host {kind}, us long, id long, gap_us long, code string", "Append", "EventTime")
+    return found.select("host", F.timestamp_micros("us").alias("ts"), "id", "gap_us", "code")
+
+
 #: Settings of streams while they start (a query keeps those it started with):
 #: states in RocksDB, written as changes; and without checksum files, which
 #: Spark 4.1 writes in a pool of a few threads, in which more stateful tasks
@@ -244,6 +329,16 @@ def chapter_intake(stream: DataFrame, path: str, checkpoint: str, trigger: dict
     return start(stream.sparkSession, named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
 
 
+def run_gaps(gaps: DataFrame, target: str, checkpoint: str) -> None:
+    """Runs request_gaps over what its stream holds now into a Parquet folder,
+    each micro-batch under its number; progress is in the checkpoint folder."""
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    start(gaps.sparkSession, gaps.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
+
+
 def run_states(states: DataFrame) -> str:
     """Runs task_states (with `late`: the clock's timeouts never come to an end)
     over what its stream holds now; the folder of the rows by batch."""

@@ -1,4 +1,4 @@
-"""Streams that are stopped, repeated and late; claims; long pauses."""
+"""Streams that are stopped, repeated and late; claims; long pauses and short gaps."""
 
 import tracemalloc
 from datetime import datetime, timedelta
@@ -52,6 +52,9 @@ class Cell:
 
     put = update
 
+    def appendList(self, rows):
+        self.value = [*(self.value or ()), *rows]
+
     def clear(self):
         self.value = None
 
@@ -252,3 +255,76 @@ def test_visits_of_a_stream(spark, tmp_path):
     out = events.visits(stream, intervals.cache()).writeStream.outputMode("append").format("memory").queryName("visits").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
     tasks.start(spark, out).awaitTermination(300)
     assert sorted(r["requests"] for r in spark.table("visits").filter("host = 'h' and requests > 1").collect()) == [2, 2, 4]
+
+
+# --- gaps ---------------------------------------------------------------------
+
+
+def audited(requests):
+    """Brute force over (us, id, least, pause) of one host: (id, gap, code)."""
+    out, last, timed, reach = [], None, None, None
+    for us, number, least, pause in sorted(requests):
+        if last is not None and us - last < least:
+            out.append((number, us - last, "too_soon"))
+        if pause >= 0:
+            if reach is not None and us > reach:
+                out.append((number, us - timed, "long_pause"))
+            timed, reach = us, us + pause if reach is None else max(reach, us + pause)
+        last = us
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_gaps_of_a_host_in_any_batches(seed):
+    rng = np.random.default_rng(seed)
+    n, late = 300, 400
+    us = 10**6 + np.sort(rng.integers(0, 40, n)).cumsum() * 100  # ties, and times within one millisecond
+    rows = [(int(t), int(k), int(rng.integers(-1, 2000)), int(rng.choice([-1, 500, 3000]))) for t, k in zip(us, rng.permutation(n))]
+    p, handle = tasks.GapProcessor(), Handle()
+    p.init(handle)
+    arrival, found, watermark = sorted(range(n), key=lambda k: us[k] + int(rng.integers(0, late * 1000 // 2))), [], 0
+    for cut in np.array_split(arrival, 7) + [[]]:
+        came = pd.DataFrame([rows[k] for k in cut], columns=["us", "id", "least", "pause"])
+        if len(came):
+            list(p.handleInputRows(("h",), iter([came[:9], came[9:]] if len(came) > 9 else [came]), Times(watermark)))
+            watermark = max(watermark, int(came["us"].max()) // 1000 - late)
+        else:
+            watermark = int(us.max()) // 1000 + 1
+        assert len(handle.timers) <= 1
+        for at in [t for t in handle.timers if t <= watermark]:
+            handle.timers.discard(at)
+            expired = Times(watermark)
+            expired.getExpiryTimeInMs = lambda at=at: at
+            for out in p.handleExpiredTimer(("h",), Times(watermark), expired):
+                found += out[["id", "gap_us", "code"]].itertuples(index=False, name=None)
+    assert sorted(found) == audited(rows) and {c for *_, c in found} == {"too_soon", "long_pause"} and not p.held.exists()
+
+
+def test_gaps_of_a_stream_that_is_stopped_between_batches(spark, tmp_path):
+    requests, intervals = requests_of(spark)
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    extra = spark.createDataFrame([(None, AT, 1), ("h", None, 2), ("h", AT, None)], REQUESTS)
+    closing = spark.createDataFrame([("z", AT + timedelta(days=9), 99)], REQUESTS)
+    # minute 3 comes a batch after minute 13, minute 24 after 25
+    batches = [requests.filter("id in (0, 1, 13)").unionByName(extra), requests.filter("id in (2, 3, 25) or host = 'free'"), requests.filter("id in (24, 42, 43)").unionByName(closing)]
+    for rows in batches:
+        rows.write.mode("append").parquet(source)
+        tasks.run_gaps(tasks.request_gaps(spark.readStream.schema(REQUESTS).parquet(source), intervals, "1 hour"), target, checkpoint)
+    got = sorted((r["host"], r["id"], r["gap_us"] / 6e7, r["code"]) for r in spark.read.parquet(target).collect())
+    assert got == [("h", 1, 1, "too_soon"), ("h", 24, 11, "long_pause"), ("h", 42, 17, "long_pause")]
+
+
+def test_a_busy_host_is_dealt_by_spans(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"h{k % 7}", None if k % 50 == 0 else AT + timedelta(minutes=int(rng.integers(-4000, 4000))), k) for k in range(600)]
+    rows += rows[:5]
+    requests = spark.createDataFrame([(*r, "x") for r in rows], REQUESTS + ", gap string")
+    wanted, last = [], {}
+    for host, ts, number in sorted(rows, key=lambda r: (r[0] or "", r[1] or datetime.min, r[2])):
+        before = last.get(host)
+        wanted.append((host, number, None if ts is None or before is None else round((ts - before).total_seconds() * 1e6)))
+        last[host] = ts
+    found = events.gaps(requests, 2)
+    assert found.columns == [*requests.columns, "gap_us"]
+    assert sorted(map(repr, ((r["host"], r["id"], r["gap_us"]) for r in found.collect()))) == sorted(map(repr, wanted))
+    assert events.gaps(requests.limit(0)).count() == 0
