@@ -9,7 +9,7 @@ Selector subset: lists split by commas; steps joined by blanks (descendant) or
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import reduce
 
@@ -204,9 +204,11 @@ def text_length() -> Column:
 class _Page:
     """The nodes of one page, for the search of selectors that match one node."""
 
-    def __init__(self, ids, parents, ends, tags, positions, attrs, texts):
+    def __init__(self, ids, parents, ends, tags, positions, attrs, texts, pieces):
         self.at = {i: k for k, i in enumerate(ids)}
-        self.ids, self.ends, self.tags, self.positions, self.texts = ids, ends, tags, positions, texts
+        self.ids, self.ends, self.tags, self.positions = ids, ends, tags, positions
+        # the pieces of text in page order, as pages.text_pieces has them
+        self.said = sorted((p["at"], -i, n, p["text"]) for i, text, many in zip(ids, texts, pieces) for n, p in enumerate(many or [{"at": i, "text": text}]) if p["text"])
         self.up = [self.at.get(p) for p in parents]
         self.attrs = [dict(a or ()) for a in attrs]
         kinds, self.by_id, self.by_class = Counter(zip(self.up, tags)), defaultdict(set), defaultdict(set)
@@ -225,7 +227,11 @@ class _Page:
         if not any(w in PARTS or w.removesuffix("s") in PARTS for w in re.split(r"[-_]", value.casefold())):
             return False
         bare = re.sub(r"\W+", "", value).casefold()
-        return len(bare) < 4 or bare != re.sub(r"\W+", "", "".join(self.texts[k : bisect_right(self.ids, self.ends[k])])).casefold()
+        if len(bare) < 4:
+            return True
+        run = slice(*(bisect_left(self.said, (at,)) for at in (self.ids[k], self.ends[k] + 1)))
+        said = "".join(text for _, owner, _, text in self.said[run] if -owner >= self.ids[k])  # its own and those of nodes below
+        return bare != re.sub(r"\W+", "", said).casefold()
 
     def named(self, k: int) -> str | None:
         """By id, else by classes, where that is the page's only match."""
@@ -292,7 +298,7 @@ def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) ->
         """Whole pages, one after another."""
         read = lambda name: rows.column(name).to_pylist()
         pages, asks = rows.column("page_id").to_numpy(zero_copy_only=False), read("_asked")
-        parts = [read(c) for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos", "attrs", "own_text")]
+        parts = [read(c) for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos", "attrs", "own_text", "own_pieces")]
         chosen, said = [], []
         edges = [0, *(np.flatnonzero(pages[1:] != pages[:-1]) + 1).tolist(), len(pages)]
         for lo, hi in zip(edges, edges[1:]):

@@ -108,6 +108,14 @@ def test_names_in_paths(spark, attrs, selector):
     assert dom.paths(pages.flatten(page)).filter("tag = 'i'").first()["selector"] == selector
 
 
+def test_names_are_held_against_texts_in_page_order(spark):
+    rows = ["chapter <u>ti</u>tle", "chapter<br> tit<u>l</u>e", "<u>chap</u>ter title", "title <u>chapter</u>", "chapter <u>title</u> x", "chapter <u>title</u></i> x<i>"]
+    page = spark.createDataFrame([(k, f'<body><i class="chapter-title">{r}</i></body>') for k, r in enumerate(rows)], "page_id long, html string")
+    found = dom.paths(pages.flatten(page)).filter("attrs['class'] is not null").collect()
+    named = {r["page_id"] for r in found if r["selector"] == ".chapter-title"}
+    assert named == {3, 4}  # what the others say is their name
+
+
 @pytest.mark.parametrize(
     "html, tree",
     [
