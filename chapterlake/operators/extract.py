@@ -72,7 +72,7 @@ def rank_titles(nodes: DataFrame) -> DataFrame:
     first = _first_matches(nodes, TITLE_SELECTORS)
     said = pages.node_text(nodes, first.dropDuplicates(["page_id", "node_id"]), "").withColumnRenamed("text", "said")
     shown = F.when(F.col("tag") == "meta", dom.attr("content")).otherwise(F.col("said"))
-    scored = first.join(said, ["page_id", "node_id"], "left").withColumn("score", F.least(F.length(shown), F.lit(80)).cast("double")).filter("score > 0")
+    scored = first.join(said, ["page_id", "node_id"], "left").withColumn("score", F.least(F.length(F.coalesce(shown, F.lit(""))), F.lit(80)).cast("double")).filter("score > 0")
     return _top(scored).select("page_id", "selector", "score", "rank")
 
 
