@@ -21,10 +21,13 @@ def event_rates(stream: DataFrame, late: str = "10 minutes", width: str = "1 hou
     return events.rates(stream.withWatermark("created_at", late), width)
 
 
+def _canonical(captured: DataFrame) -> DataFrame:
+    return captured.withColumn("canonical_url", urls.canonical_url(F.col("url"))).filter(F.col("canonical_url").isNotNull())
+
+
 def page_intake(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Valid pages (url, retrieved_at, ...) once for each canonical URL."""
-    canonical = stream.withColumn("canonical_url", urls.canonical_url(F.col("url"))).filter(F.col("canonical_url").isNotNull())
-    return canonical.withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
+    return _canonical(stream).withWatermark("retrieved_at", late).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
 class TaskProcessor(StatefulProcessor):
@@ -242,6 +245,19 @@ def start(spark: SparkSession, writer):
                 spark.conf.set(k, v)
 
 
+def _first_captures(batch: DataFrame, seen: KeyedTable, batch_id: int, late: str = "1 day") -> DataFrame:
+    """The earliest capture of each canonical URL of a batch, the least page_id
+    of those of one time; not those within `late` after the capture taken last,
+    or before it. What is taken is noted."""
+    order = Window.partitionBy("canonical_url").orderBy(F.col("retrieved_at").asc_nulls_last(), "page_id")
+    first = keep(batch.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
+    known = seen.near(first, batch_id).select("canonical_url", F.col("retrieved_at").alias("_at"), F.lit(True).alias("_known"))
+    again = F.col("_known").isNull() | (F.col("retrieved_at") >= F.col("_at") + F.expr(f"interval {late}"))
+    new = keep(first.join(known, "canonical_url", "left").filter(again).drop("_at", "_known"))
+    seen.merge(new.select("canonical_url", "retrieved_at"), batch_id)
+    return new
+
+
 def _classified(batch: DataFrame, hashes: KeyedTable, batch_id: int) -> DataFrame:
     """New contents of a batch with their classes; their hashes are noted."""
     hashed = keep(batch.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256)))
@@ -254,21 +270,25 @@ def _classified(batch: DataFrame, hashes: KeyedTable, batch_id: int) -> DataFram
 
 
 def intake(captured: DataFrame, target: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64):
-    """Runs page intake into a Parquet folder. Pages with page_id and html get
-    their class (kind, confidence) and the hash of their content; those whose
+    """Runs page intake into a Parquet folder. Of pages with page_id and html the
+    earliest capture of a canonical URL is taken, by a keyed table of URLs, so
+    that rows do not depend on the order in which they came; they get their class (kind, confidence) and the hash of their content; those whose
     content an earlier page has are refused: hashes lie in a keyed table beside
     the target, of which a batch reads the buckets of its own hashes. Each
     micro-batch is written once under its batch id, so a batch that is repeated
     after a failure replaces itself. Progress is in the checkpoint folder."""
     hashes = KeyedTable(captured.sparkSession, f"{target}_hashes", ["content_hash"], "content_hash string, batch long", buckets)
+    seen = KeyedTable(captured.sparkSession, f"{target}_urls", ["canonical_url"], "canonical_url string, retrieved_at timestamp", buckets)
+    whole = {"page_id", "html"} <= set(captured.columns)
 
     def write(batch, batch_id):
         if batch.isEmpty():
             return
-        out = _classified(batch, hashes, batch_id) if {"page_id", "html"} <= set(batch.columns) else batch
+        out = _classified(_first_captures(batch, seen, batch_id), hashes, batch_id) if whole else batch
         out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return start(captured.sparkSession, page_intake(captured).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
+    taken = _canonical(captured) if whole else page_intake(captured)
+    return start(captured.sparkSession, taken.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
 
 
 CHAPTERS = "id string, book_id long, chapter_index long, title string, canonical_url string, status string, content_hash string, error string"

@@ -26,3 +26,19 @@ def test_titles_cut_in_a_reference(spark, tmp_path, name):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
     columns = ", ".join(f'"{c}"' for c in found.columns)
     assert sorted(map(repr, con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()[name]})").fetchall())) == sorted(repr(tuple(r)) for r in found.collect())
+
+
+def test_earliest_capture_is_taken(spark, tmp_path):
+    """Of captures of one URL that come together the earliest counts, then the
+    least id; later ones within a day are not taken again."""
+    shape, day = "page_id long, url string, html string, retrieved_at timestamp", datetime(2024, 1, 1)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def take(*rows):
+        spark.createDataFrame(list(rows), shape).coalesce(1).write.mode("append").parquet(folder)
+        tasks.intake(spark.readStream.schema(shape).parquet(folder), out, str(tmp_path / "ck"), buckets=2).awaitTermination(120)
+        return {(r["page_id"], r["canonical_url"]) for r in spark.read.parquet(out).collect()}
+
+    first = take((9, "http://h.test/a", "nine", day), (1, "http://h.test/a#x", "one", day), (2, "http://h.test/b", "two", day + timedelta(hours=1)), (3, "http://h.test/b", "three", day))
+    assert first == {(1, "http://h.test/a"), (3, "http://h.test/b")}
+    assert take((4, "http://h.test/a", "four", day + timedelta(hours=2)), (5, "http://h.test/b", "five", day + timedelta(days=2))) == first | {(5, "http://h.test/b")}
