@@ -14,6 +14,23 @@ from chapterlake.plans import site_queries
 from chapterlake.streaming import tasks
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    rng = random.Random(3)
+    parts = '<p> </p> <li> <ul> </ul> <table> <tr> <td> </td> </table> <h1> </h1> <b|class="x|y"> </b> <title> </title> <script> </script> t&amp; &lt|x <br> <br|/> <dd> <dt> <a|href="/1"> </a> <head> </head> <body> <div/> <textarea> <img|src="a&b"> <!--c--> é | &'.split()
+    texts = ["".join(rng.choice(parts).replace("|", " ") for _ in range(rng.randrange(1, 20))) for _ in range(4000)] + [None, "", "<!DOCTYPE html> a<p>b&amp", "<p>x</p><"]
+
+    def read():
+        flat = pages._Flat()
+        for k, html in enumerate(texts):
+            flat.page(k, html)
+        return flat.columns
+
+    plain = read()
+    monkeypatch.setattr(pages._Flat, "_plain", lambda self, html: False)
+    monkeypatch.setattr(pages._Flat, "feed", lambda self, html, feed=pages._Flat.feed: feed(self, html or ""))
+    assert plain == read()
+
+
 @pytest.mark.parametrize("name", ["page_facts", "title_selectors", "book_infos"])
 def test_titles_cut_in_a_reference(spark, tmp_path, name):
     """Texts cut behind `&amp`: SQL and query read the reference alike."""
