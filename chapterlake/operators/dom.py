@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -207,17 +207,22 @@ class _Page:
     def __init__(self, ids, parents, ends, tags, positions, attrs, texts, pieces):
         self.at = {i: k for k, i in enumerate(ids)}
         self.ids, self.ends, self.tags, self.positions = ids, ends, tags, positions
-        # the pieces of text in page order, as pages.text_pieces has them
-        self.said = sorted((p["at"], -i, n, p["text"]) for i, text, many in zip(ids, texts, pieces) for n, p in enumerate(many or [{"at": i, "text": text}]) if p["text"])
+        self.texts, self.pieces = texts, pieces
         self.up = [self.at.get(p) for p in parents]
         self.attrs = [dict(a or ()) for a in attrs]
         kinds, self.by_id, self.by_class = Counter(zip(self.up, tags)), defaultdict(set), defaultdict(set)
         # a step names its place only among several of its kind
         self.steps = [tag if kinds[up, tag] == 1 else f"{tag}:nth-of-type({n})" for up, tag, n in zip(self.up, tags, positions)]
         for k, a in enumerate(self.attrs):
-            self.by_id[a.get("id")].add(k)
-            for c in a.get("class", "").split():
-                self.by_class[c].add(k)
+            if a:
+                self.by_id[a.get("id")].add(k)
+                for c in a.get("class", "").split():
+                    self.by_class[c].add(k)
+
+    @cached_property
+    def said(self) -> list[tuple]:
+        """The pieces of text in page order, as pages.text_pieces has them."""
+        return sorted((p["at"], -i, n, p["text"]) for i, text, many in zip(self.ids, self.texts, self.pieces) for n, p in enumerate(many or [{"at": i, "text": text}]) if p["text"])
 
     def speaks(self, value: str, k: int) -> bool:
         """Whether an id or class names a part of a page, and neither a secret
@@ -258,7 +263,7 @@ class _Page:
         steps upward that matches it alone; that to the root where none does.
         Paths in use grow by one step a round, and with each the nodes that it
         matches; those of one match are done."""
-        out = {k: name for k in asked if (name := self.plainly_named(k) if plain else self.named(k))}
+        out = {k: name for k in asked if self.attrs[k] and (name := self.plainly_named(k) if plain else self.named(k))}
         open_ = {k: (self.steps[k], self.up[k]) for k in asked if k not in out}  # path, and the next step's node
         used = {path for path, _ in open_.values()}
         met = defaultdict(list)  # of a path the nodes it matches, each with the node of the next step
@@ -292,17 +297,31 @@ def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) ->
     row; of two nodes that nothing tells apart (roots of a page without one)
     both have the path from the root."""
     columns = [*nodes.columns, "selector"]
-    asked = nodes.withColumn("_asked", F.lit(True)) if of is None else nodes.join(of.select("page_id", "node_id").distinct().withColumn("_asked", F.lit(True)), ["page_id", "node_id"], "left")
+    every = of is None
+    asked = nodes.withColumn("_asked", F.lit(True if every else None).cast("boolean"))
+    if not every:  # each asked node is named by a row behind its own
+        asked = asked.unionByName(of.select("page_id", "node_id", F.lit(True).alias("_asked")), allowMissingColumns=True)
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         """Whole pages, one after another."""
-        read = lambda name: rows.column(name).to_pylist()
-        pages, asks = rows.column("page_id").to_numpy(zero_copy_only=False), read("_asked")
-        parts = [read(c) for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos", "attrs", "own_text", "own_pieces")]
+        ids = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
+        asks = np.ones(rows.num_rows, bool)
+        if not every:
+            marks = rows.column("_asked").is_valid().to_numpy(zero_copy_only=False)
+            pages, numbers, at = ids("page_id"), ids("node_id"), np.cumsum(~marks) - 1
+            rows = rows.filter(pa.array(~marks))
+            asks, places = np.zeros(rows.num_rows, bool), at[marks]
+            if rows.num_rows:
+                places[places < 0] = 0
+                asks[places[(ids("page_id")[places] == pages[marks]) & (ids("node_id")[places] == numbers[marks])]] = True
+        pages = ids("page_id")
+        wanted_pages = np.isin(pages, pages[asks])
+        rows, asks, pages = rows.filter(pa.array(wanted_pages)), asks[wanted_pages], pages[wanted_pages]
+        parts = [rows.column(c).to_pylist() for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos", "attrs", "own_text", "own_pieces")]
         chosen, said = [], []
         edges = [0, *(np.flatnonzero(pages[1:] != pages[:-1]) + 1).tolist(), len(pages)]
         for lo, hi in zip(edges, edges[1:]):
-            wanted = [k for k in range(hi - lo) if asks[lo + k]]
+            wanted = np.flatnonzero(asks[lo:hi]).tolist()
             if wanted:
                 of_page = _Page(*[p[lo:hi] for p in parts]).selectors(wanted, plain)
                 chosen += [lo + k for k in of_page]
@@ -323,7 +342,8 @@ def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) ->
             yield from found(pa.Table.from_batches(held)).to_batches()
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return asked.repartition("page_id").sortWithinPartitions("page_id", "node_id").mapInArrow(run, f"{shape}, selector string")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not fewer: few bytes are much work
+    return asked.repartition(parts, F.xxhash64("page_id")).sortWithinPartitions("page_id", "node_id", "_asked").mapInArrow(run, f"{shape}, selector string")
 
 
 def fingerprints(nodes: DataFrame, salt: str, counts: DataFrame | None = None) -> DataFrame:

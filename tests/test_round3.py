@@ -14,6 +14,16 @@ from chapterlake.plans import site_queries
 from chapterlake.streaming import tasks
 
 
+def test_pages_of_a_grouping_are_parsed_in_parts(spark):
+    """Rows that are already parted by page are few bytes: one task would parse all."""
+    lines = spark.range(4000).select((F.col("id") % 1000).alias("l_orderkey"), F.floor(F.col("id") / 1000).alias("n"))
+    grouped = lines.groupBy("l_orderkey").agg(F.max("n").alias("n"))
+    made = site_queries._dealt(spark, grouped.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<p>"), F.col("n").cast("string")).alias("html")))
+    nodes = site_queries._nodes(made)
+    assert len(nodes.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions")) and nodes.count() == 1000
+    assert dom.paths(nodes).select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
     rng = random.Random(3)
     parts = '<p> </p> <li> <ul> </ul> <table> <tr> <td> </td> </table> <h1> </h1> <b|class="x|y"> </b> <title> </title> <script> </script> t&amp; &lt|x <br> <br|/> <dd> <dt> <a|href="/1"> </a> <head> </head> <body> <div/> <textarea> <img|src="a&b"> <!--c--> é | &'.split()
@@ -31,6 +41,13 @@ def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
     assert plain == read()
 
 
+def test_some_nodes_have_paths(spark):
+    nodes = pages.flatten(spark.createDataFrame([(1, "<ul><li>a<li>b</ul>"), (2, "<p>c"), (3, "<ul><li>d</ul>")], "page_id long, html string")).cache()
+    asked = spark.createDataFrame([(1, 2), (1, 2), (1, 9), (3, 1), (4, 0)], "page_id long, node_id int")
+    got = {(r["page_id"], r["node_id"]): r["selector"] for r in dom.paths(nodes, asked).collect()}
+    assert got == {(1, 2): "li:nth-of-type(2)", (3, 1): "li"} and dom.paths(nodes, asked).count() == 2
+
+
 @pytest.mark.parametrize("name", ["page_facts", "title_selectors", "book_infos"])
 def test_titles_cut_in_a_reference(spark, tmp_path, name):
     """Texts cut behind `&amp`: SQL and query read the reference alike."""
