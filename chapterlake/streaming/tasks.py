@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -51,6 +52,29 @@ class TaskProcessor(StatefulProcessor):
     def _shown(self, key, status, version, resume, code) -> pd.DataFrame:
         return pd.DataFrame({"task_id": [key[0]], "version": [version], "status": [status], "resume_status": [resume], "code": [code]})
 
+    def _moved(self, status, version, resume, events):
+        """A task behind its events, in order of their versions: its status,
+        version, status to resume, the code of what was refused and what came early."""
+        code, left = None, []
+        for v, name in events:
+            if v > version + 1 and len(left) < self.early:
+                left.append((v, name))
+            elif v != version + 1:
+                code = "version_conflict"
+            elif name not in (self.moves.get(status, ()) if status else ("created",)):
+                code = "illegal_transition"
+            else:
+                resume = status if name in ("paused", "recoverable_failed") else None
+                status, version = name, v
+        return status, version, resume, code, left
+
+    def _until(self, status, newest, now) -> int | None:
+        """When the wait of a task ends that waits since its newest event."""
+        if status != "waiting_for_user":
+            return None
+        timed = self.by_event and newest is not None and newest == newest
+        return max((int(newest.astype("datetime64[ms]").astype(np.int64)) if timed else now) + self.wait_ms, now + 1)
+
     def _wait_until(self, old: int | None, new: int | None) -> None:
         if old is not None and old != new:
             self.handle.deleteTimer(old)
@@ -77,27 +101,13 @@ class TaskProcessor(StatefulProcessor):
             newest = last if newest is None or last > newest else newest
         at, to = np.concatenate(versions), np.concatenate(statuses)
         order = np.argsort(at, kind="stable")
-        code, left = None, []
-        for v, s in zip(at[order].tolist(), to[order].tolist()):
-            name = self.names[s] if s >= 0 else other.get(v)
-            if v > version + 1 and len(left) < self.early:
-                left.append((v, name))
-            elif v != version + 1:
-                code = "version_conflict"
-            elif name not in (self.moves.get(status, ()) if status else ("created",)):
-                code = "illegal_transition"
-            else:
-                resume = status if name in ("paused", "recoverable_failed") else None
-                status, version = name, v
+        names = (self.names[s] if s >= 0 else other.get(v) for v, s in zip(at[order].tolist(), to[order].tolist()))
+        status, version, resume, code, left = self._moved(status, version, resume, zip(at[order].tolist(), names))
         if left:
             self.waiting.put(left)
         else:
             self.waiting.clear()
-        until = None
-        if status == "waiting_for_user":
-            timed = self.by_event and newest is not None and newest == newest
-            ends = (int(newest.astype("datetime64[ms]").astype(np.int64)) if timed else self._now(timerValues)) + self.wait_ms
-            until = max(ends, self._now(timerValues) + 1)
+        until = self._until(status, newest, self._now(timerValues))
         self._wait_until(deadline, until)
         if status is not None:
             self.row.update((status, version, resume, until))
@@ -114,7 +124,87 @@ class TaskProcessor(StatefulProcessor):
         pass
 
 
-def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None = None, early: int = 0) -> DataFrame:
+#: Of a bucket's state: a row a task, by id.
+_HELD = pa.schema([("task_id", pa.string()), ("status", pa.string()), ("version", pa.int64()), ("resume_status", pa.string()), ("deadline", pa.int64()), ("early", pa.list_(pa.int64())), ("early_status", pa.list_(pa.string()))])
+
+
+class TaskBuckets(TaskProcessor):
+    """The live states of the tasks of one bucket, packed as one value, with one
+    timer at the earliest end of a wait: a batch calls for a bucket's state once,
+    not for each task's. A task moves as TaskProcessor has it."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("tasks", "packed binary, timer long")
+
+    def _read(self) -> tuple[dict, int | None]:
+        if not self.state.exists():
+            return {}, None
+        packed, timer = self.state.get()
+        columns = pa.ipc.open_stream(bytes(packed)).read_all().to_pydict()
+        return {k: (*row, list(zip(at, to))) for k, *row, at, to in zip(*columns.values())}, timer
+
+    def _write(self, tasks: dict, timer: int | None) -> None:
+        first = min((t[3] for t in tasks.values() if t[3] is not None), default=None)
+        self._wait_until(timer, first)
+        columns = [list(tasks), *([t[k] for t in tasks.values()] for k in range(4)), *([[e[k] for e in t[4]] for t in tasks.values()] for k in range(2))]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD) as out:
+            out.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HELD)], schema=_HELD))
+        self.state.update((sink.getvalue().to_pybytes(), first))
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["task_id", "version", "status", "resume_status", "code"], dtype=object).astype({"version": np.int64})
+
+    def handleInputRows(self, key, rows, timerValues):
+        tasks, timer = self._read()
+        now, shown = self._now(timerValues), []
+        ids, place = [], {}  # of the batch's tasks
+        parts = []
+        number = {s: k for k, s in enumerate(self.names)}
+        for part in rows:
+            codes, own = pd.factorize(part["task_id"], use_na_sentinel=False)
+            own = [None if x != x else x for x in own]
+            for task in own:
+                if task not in place:
+                    place[task] = len(ids)
+                    ids.append(task)
+            at, to = part["task_version"].to_numpy(), part["to_status"].to_numpy()
+            whole = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)  # some are null
+            for s in pd.unique(to):
+                number.setdefault(s, len(number))
+            parts.append((np.array([place[t] for t in own], np.int64)[codes], np.where(whole, at, 0).astype(np.int64), whole, np.array([number[s] for s in to], np.int32), part["created_at"].to_numpy()))
+        owner, at, whole, to, when = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((at, owner))
+        owner, at, whole, to, when = owner[order], at[order], whole[order], to[order], when[order]
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
+        newest, said = np.fmax.reduceat(when, begins), list(number)
+        for lo, hi, k, last in zip(begins.tolist(), [*begins[1:].tolist(), len(owner)], owner[begins].tolist(), newest):
+            status, version, resume, _, early = tasks.get(ids[k]) or (None, -1, None, None, [])
+            came = zip(at[lo:hi][whole[lo:hi]].tolist(), (said[s] for s in to[lo:hi][whole[lo:hi]].tolist()))
+            events = sorted([*early, *came], key=lambda e: e[0]) if early else came
+            status, version, resume, code, left = self._moved(status, version, resume, events)
+            if status is not None or left:
+                tasks[ids[k]] = (status, version, resume, self._until(status, last, now), left)
+            shown.append((ids[k], version, status, resume, code))
+        self._write(tasks, timer)
+        yield self._frame(shown)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        tasks, timer = self._read()
+        if timer is None or timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        passed = max(timer, self._now(timerValues) - 1)
+        gone = [k for k, t in tasks.items() if t[3] is not None and t[3] <= passed]
+        for k in gone:
+            status, version, _, _, early = tasks[k]
+            tasks[k] = ("recoverable_failed", version + 1, status, None, early)
+        self._write(tasks, None)  # the timer that held is over
+        yield self._frame([(k, tasks[k][1], tasks[k][0], tasks[k][2], "wait_expired") for k in gone])
+
+
+def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None = None, early: int = 0, buckets: int = 1024) -> DataFrame:
     """Live state of tasks from events (task_id, task_version, to_status,
     created_at): per batch and task its status, version, the status to resume
     and the code of what was refused. Events apply in version order; a version
@@ -126,12 +216,16 @@ def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None =
     by `wait`. Events later than `late` are then dropped. Events of a null
     version are passed over.
 
-    The state needs RocksDB: start such a stream by start()."""
-    processor = TaskProcessor(int(pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)), early, late is not None)
+    Tasks lie in buckets by the hash of their id; a batch reads and writes the
+    states of the buckets that its events fall in, whose number is to be chosen
+    for that of the tasks. The state needs RocksDB: start such a stream by start()."""
+    processor = TaskBuckets(int(pd.Timedelta(wait) // pd.Timedelta(milliseconds=1)), early, late is not None)
     kind = stream.schema["task_id"].dataType.simpleString()
-    shape = f"task_id {kind}, version long, status string, resume_status string, code string"
+    shape = "task_id string, version long, status string, resume_status string, code string"
     timed = stream.withWatermark("created_at", late) if late else stream
-    return timed.groupBy("task_id").transformWithStateInPandas(processor, shape, "Update", "EventTime" if late else "ProcessingTime")
+    dealt = timed.select(F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket"), F.col("task_id").cast("string"), "task_version", "to_status", "created_at")
+    found = dealt.groupBy("bucket").transformWithStateInPandas(processor, shape, "Update", "EventTime" if late else "ProcessingTime")
+    return found.withColumn("task_id", F.col("task_id").cast(kind))
 
 
 #: Before every time, so that a gap to it still fits 64 bits.

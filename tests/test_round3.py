@@ -6,10 +6,12 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import test_streams as streams
 from chapterlake.operators import dedup, dom, pages
 from chapterlake.plans import site_queries
 from chapterlake.streaming import tasks
@@ -118,3 +120,55 @@ def test_counts_of_shared_members(monkeypatch):
         for name, value in (("DENSE", dense), ("FEW", few), ("WIDE", wide)):
             monkeypatch.setattr(dedup, name, value)
         assert dedup._shared(left, right, [(0, 25, 0, 15)]).tolist() == want
+
+
+@pytest.mark.parametrize("early", [0, 2])
+def test_buckets_of_tasks_move_as_each_task(early):
+    """Many tasks in one value with one timer: rows of every batch are those of
+    a processor a task, with early events, nulls, unknown statuses and waits."""
+    rng = random.Random(early)
+    at = datetime(2024, 1, 1)
+    path = ["created", "probing", "waiting_for_user", "probing", "validating", "dancing", "paused"]
+    settings = {"wait_ms": 60_000, "early": early, "by_event": True}
+    alone, handles = {}, {}
+    many, handle = tasks.TaskBuckets(**settings), streams.Handle()
+    many.init(handle)
+    seen, onward = set(), [0] * 30
+    ms = lambda t: int(t.timestamp() * 1000 - datetime(2024, 1, 1).timestamp() * 1000) + 1_704_067_200_000
+    for batch in range(12):
+        rows = []
+        for k in range(30):
+            for _ in range(rng.randint(0, 2) * (batch < 6 or k % 3 == 0)):
+                version, status = onward[k], path[min(onward[k], 6)]
+                onward[k] += 1
+                strange = rng.random()
+                if strange < 0.1:
+                    version, status = (None if strange < 0.03 else version + rng.randint(-1, 2)), rng.choice(path)
+                rows.append((None if k == 0 else str(k), version, status, at + timedelta(seconds=20 * batch + rng.randint(0, 9))))
+        rng.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["task_id", "task_version", "to_status", "created_at"])
+        now = streams.Times(ms(at) + 20_000 * batch)
+        want = []
+        for k in dict.fromkeys(frame["task_id"]):
+            if k not in alone:
+                alone[k], handles[k] = tasks.TaskProcessor(**settings), streams.Handle()
+                alone[k].init(handles[k])
+            mine = frame[frame["task_id"].isna() if k is None else frame["task_id"] == k]
+            want += [out for out in alone[k].handleInputRows((k,), iter([mine[:1], mine[1:]] if len(mine) > 1 else [mine]), now)]
+        got = [*many.handleInputRows((0,), iter([frame[:20], frame[20:]]), now)]
+        for timers, p, key, out in [*((handles[k].timers, alone[k], k, want) for k in alone), (handle.timers, many, 0, got)]:
+            assert len(timers) <= 1
+            for due in [t for t in timers if t < now.now]:
+                timers.discard(due)
+                out += p.handleExpiredTimer((key,), now, streams.Times(due))
+        plain = lambda frames: sorted(repr([None if x != x else x for x in r]) for f in frames for r in f[["task_id", "version", "status", "resume_status", "code"]].astype(object).itertuples(index=False))
+        assert plain(got) == plain(want)
+        seen |= {c for f in got for c in f["code"]}
+    assert {"version_conflict", "illegal_transition", "wait_expired", None} <= seen
+
+
+def test_a_batch_calls_for_a_bucket_once(spark):
+    """Not for the state of each of its tasks."""
+    stream = spark.readStream.format("rate").load().selectExpr("value AS task_id", "value AS task_version", "'created' AS to_status", "timestamp AS created_at")
+    found = tasks.task_states(stream, late="1 day", buckets=16)
+    assert found.schema["task_id"].dataType.simpleString() == "bigint" and "xxhash64" in found._jdf.queryExecution().toString()
