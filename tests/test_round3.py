@@ -172,3 +172,21 @@ def test_a_batch_calls_for_a_bucket_once(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value AS task_id", "value AS task_version", "'created' AS to_status", "timestamp AS created_at")
     found = tasks.task_states(stream, late="1 day", buckets=16)
     assert found.schema["task_id"].dataType.simpleString() == "bigint" and "xxhash64" in found._jdf.queryExecution().toString()
+
+
+def test_pages_are_laid_out_in_one_pass(spark):
+    """Selectors, noise and totals of whole pages equal those of the windows
+    and joins, nested noise and pages without marks among them, in one shuffle."""
+    rng = random.Random(4)
+    parts = '<div|class="chapter"> <div|class="ad|box"> </div> <ul|id="list"> <li> </ul> <a|href="/1">第1章</a> <p> text more <b> </b> <div|id="comment-1"> <br>'.split()
+    html = [(k, "".join(rng.choice(parts).replace("|", " ") for _ in range(rng.randrange(0, 40)))) for k in range(120)]
+    nodes = pages.flatten(spark.createDataFrame(html, "page_id long, html string")).cache()
+    good = nodes.filter("tag = 'a' and page_id % 3 > 0").select("page_id", "node_id")
+    shown, para = F.length("own_text"), F.col("tag") == "p"
+    found = dom.laid_out(nodes, dom.is_noise(), good, {"chars": shown}, {"clean_chars": shown, "paragraphs": para})
+    flagged = dom.covered(dom.paths(nodes), nodes.filter(dom.is_noise()), "noise").join(good.withColumn("_g", F.lit(1)), ["page_id", "node_id"], "left")
+    want = dom.subtree_totals(flagged, chars=shown, clean_chars=F.when(~F.col("noise"), shown).otherwise(0), paragraphs=para & ~F.col("noise"), marks=F.coalesce("_g", F.lit(0)))
+    columns = ["page_id", "node_id", "selector", "noise", "chars", "clean_chars", "paragraphs", "marks", "own_text"]
+    rows = [sorted(map(tuple, df.select(*columns).collect())) for df in (found, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 500 and {True, False} == {r[3] for r in rows[0]}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
