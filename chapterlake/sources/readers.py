@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,19 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("valid", F.coalesce(urls.valid_url(F.col("url")), F.lit(False)) & (F.length("url") <= 2048))
 
 
+#: Bytes of bodies that are decoded at once (one body may be more).
+PORTION = 1 << 20
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of about PORTION bytes of bodies: what a task holds beside
+    the batch does not grow with the bodies of its rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("body")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // PORTION
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+    return (batch.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:]) if hi > lo)
+
+
 def decode_pages(raw: DataFrame) -> DataFrame:
     """Pages (page_id, body binary, content_type) as (page_id, encoding, html):
     the declared charset where it decodes, else the guessed one (charsets.py),
@@ -36,10 +53,10 @@ def decode_pages(raw: DataFrame) -> DataFrame:
     marked = marked.withColumn("plain", plain)
 
     def decode(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole)):
             known, texts = [], []
-            for body, charset in zip(batch.column("body").to_pylist(), batch.column("charset").to_pylist()):
-                found = None
+            for body, charset in zip(batch.column("body"), batch.column("charset").to_pylist()):
+                body, found = body.as_py(), None
                 if charset:
                     try:
                         found = charset, body.decode(charset)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ import __spark_entry__ as entry
 import test_streams as streams
 from chapterlake.operators import dedup, dom, pages
 from chapterlake.plans import site_queries
+from chapterlake.sources import readers
 from chapterlake.streaming import tasks
 
 
@@ -190,3 +192,15 @@ def test_pages_are_laid_out_in_one_pass(spark):
     rows = [sorted(map(tuple, df.select(*columns).collect())) for df in (found, want)]
     assert rows[0] == rows[1] and len(rows[0]) > 500 and {True, False} == {r[3] for r in rows[0]}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_decoded_in_portions(spark, monkeypatch):
+    """Long bodies of one batch do not lie decoded side by side; rows stay."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n if n is not None else None for n in (3, None, 9, 0, 4, 4, 30)], pa.binary())], ["body"])
+    monkeypatch.setattr(readers, "PORTION", 8)
+    parts = list(readers._portions(batch))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert [p.num_rows for p in parts] == [3, 2, 2] and list(readers._portions(batch.slice(0, 0))) == []
+    said = [None if k == 3 else "é第一章 " * (k % 40) + "x" for k in range(200)]
+    raw = spark.createDataFrame([(k, None if t is None else bytearray(t.encode("utf-16-be")), "text/html; charset=UTF-16-BE") for k, t in enumerate(said)], "page_id long, body binary, content_type string").coalesce(1)
+    assert [r["html"] for r in readers.decode_pages(raw).orderBy("page_id").collect()] == said
