@@ -232,6 +232,20 @@ def task_states(stream: DataFrame, wait: str = "30 minutes", late: str | None =
 _NEVER = -(1 << 62)
 
 
+def _judged(held: np.ndarray, last: int, timed: int, reach: int) -> tuple[tuple[int, int, int], list[tuple]]:
+    """What stays of a host behind requests (us, id, least, pause), and those
+    that came too soon or after a long pause: (code, us, ids, gaps)."""
+    us, ids, least, pause = held[np.lexsort((held[:, 1], held[:, 0]))].T
+    gap = np.diff(us, prepend=last)
+    soon = gap < least
+    known = np.flatnonzero(pause >= 0)
+    reached = np.maximum.accumulate(np.concatenate([[reach], us[known] + pause[known]]))
+    before = np.concatenate([[timed], us[known]])
+    away = (us[known] > reached[:-1]) & (before[:-1] != _NEVER)
+    found = [(code, us[at], ids[at], gaps) for code, at, gaps in (("too_soon", np.flatnonzero(soon), gap[soon]), ("long_pause", known[away], np.diff(before)[away])) if len(at)]
+    return (int(us[-1]), int(before[-1]), int(reached[-1])), found
+
+
 class GapProcessor(StatefulProcessor):
     """The requests of one host, in order of their times: those that the
     watermark has passed have all come and are judged; the others wait, with one
@@ -271,13 +285,7 @@ class GapProcessor(StatefulProcessor):
         held = np.array(list(self.held.get()), np.int64).reshape(-1, 4)
         passed = held[:, 0] <= 1000 * max(timerValues.getCurrentWatermarkInMs(), timer)
         left, held = held[~passed], held[passed]
-        us, ids, least, pause = held[np.lexsort((held[:, 1], held[:, 0]))].T
-        gap = np.diff(us, prepend=last)
-        soon = gap < least
-        known = np.flatnonzero(pause >= 0)
-        reached = np.maximum.accumulate(np.concatenate([[reach], us[known] + pause[known]]))
-        before = np.concatenate([[timed], us[known]])
-        away = (us[known] > reached[:-1]) & (before[:-1] != _NEVER)
+        (last, timed, reach), found = _judged(held, last, timed, reach)
         timer = None
         if len(left):
             self.held.put([tuple(r) for r in left.tolist()])
@@ -285,16 +293,73 @@ class GapProcessor(StatefulProcessor):
             self.handle.registerTimer(timer)
         else:
             self.held.clear()
-        self.row.update((int(us[-1]), int(before[-1]), int(reached[-1]), timer))
-        for code, at, gaps in (("too_soon", np.flatnonzero(soon), gap[soon]), ("long_pause", known[away], np.diff(before)[away])):
-            if len(at):
-                yield pd.DataFrame({"host": [key[0]] * len(at), "us": us[at], "id": ids[at], "gap_us": gaps, "code": code})
+        self.row.update((last, timed, reach, timer))
+        for code, us, ids, gaps in found:
+            yield pd.DataFrame({"host": [key[0]] * len(us), "us": us, "id": ids, "gap_us": gaps, "code": code})
+
+    def close(self) -> None:
+        pass
+
+
+class GapBuckets(StatefulProcessor):
+    """The requests of the hosts of one bucket as one state, with one timer at
+    the earliest of all; each host is judged as GapProcessor has it. hosts: name,
+    last, timed and reach of each; held: us, id, least, pause and the host's place."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "names array<string>, rows binary, held binary, timer long")
+
+    def _read(self):
+        if not self.state.exists():
+            return [], np.empty((0, 3), np.int64), np.empty((0, 5), np.int64), None
+        names, rows, held, timer = self.state.get()
+        numbers = lambda packed, width: np.frombuffer(bytes(packed), "<i8").reshape(-1, width)
+        return list(names), numbers(rows, 3), numbers(held, 5), timer
+
+    def _write(self, names, rows, held, timer) -> None:
+        """States the bucket anew; its timer is at the earliest request held."""
+        due = int(-(-held[:, 0].min() // 1000)) if len(held) else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((names, rows.astype("<i8").tobytes(), held.astype("<i8").tobytes(), due))
+
+    def handleInputRows(self, key, rows, timerValues):
+        names, kept, held, timer = self._read()
+        place, parts = {h: k for k, h in enumerate(names)}, [held]
+        for part in rows:
+            codes, own = pd.factorize(part["host"])
+            places = np.array([place.setdefault(h, len(place)) for h in own], np.int64)
+            parts.append(np.column_stack([part[["us", "id", "least", "pause"]].to_numpy(np.int64), places[codes]]))
+        new = np.full((len(place) - len(names), 3), _NEVER, np.int64)
+        self._write(list(place), np.concatenate([kept, new]), np.concatenate(parts), timer)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        names, kept, held, timer = self._read()
+        if timer is None or timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        passed = held[:, 0] <= 1000 * max(timerValues.getCurrentWatermarkInMs(), timer)
+        left, held = held[~passed], held[passed]
+        held, kept, out = held[np.argsort(held[:, 4], kind="stable")], kept.copy(), []
+        begins = np.flatnonzero(np.diff(held[:, 4], prepend=-1))
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(held)]):
+            k = int(held[lo, 4])
+            kept[k], found = _judged(held[lo:hi, :4], *kept[k].tolist())
+            out += [(np.full(len(us), k), us, ids, gaps, np.full(len(us), code, object)) for code, us, ids, gaps in found]
+        self._write(names, kept, left, None)  # the timer that held is over
+        if out:
+            host, us, ids, gaps, code = (np.concatenate(c) for c in zip(*out))
+            yield pd.DataFrame({"host": np.array(names, object)[host], "us": us, "id": ids, "gap_us": gaps, "code": code})
 
     def close(self) -> None:
         pass
 
 
-def request_gaps(stream: DataFrame, intervals: DataFrame, late: str = "1 hour") -> DataFrame:
+def request_gaps(stream: DataFrame, intervals: DataFrame, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """(host, ts, id, gap_us, code) of a stream of requests (host, ts, id long):
     too_soon where one follows another of its host sooner than the interval of
     intervals (see events.interval_at) valid at its time; long_pause where it
@@ -303,14 +368,16 @@ def request_gaps(stream: DataFrame, intervals: DataFrame, late: str = "1 hour")
     newest, has passed it: all before it have then come; those later than `late`
     are dropped. Requests without host, time or id are passed over.
 
-    A host's requests of the last `late` wait in its state, 32 bytes each. The
-    state needs RocksDB: start such a stream by start()."""
+    Hosts lie in buckets by their hash, whose number is to be chosen for that of
+    the hosts; requests of the last `late` wait in a bucket's state, 40 bytes
+    each. The state needs RocksDB: start such a stream by start()."""
     some = stream.withWatermark("ts", late).filter("host is not null and ts is not null and id is not null")
     us = lambda c: F.coalesce((F.col(c) * 1_000_000).cast("long"), F.lit(-1))
     rows = events.interval_at(some, intervals).select("host", "ts", F.col("id").cast("long").alias("id"), F.unix_micros("ts").alias("us"), us("min_seconds").alias("least"), us("pause_seconds").alias("pause"))
     kind = stream.schema["host"].dataType.simpleString()
-    found = rows.groupBy("host").transformWithStateInPandas(GapProcessor(), f"host {kind}, us long, id long, gap_us long, code string", "Append", "EventTime")
-    return found.select("host", F.timestamp_micros("us").alias("ts"), "id", "gap_us", "code")
+    dealt = rows.withColumns({"bucket": F.pmod(F.xxhash64("host"), F.lit(buckets)), "host": F.col("host").cast("string")})
+    found = dealt.groupBy("bucket").transformWithStateInPandas(GapBuckets(), "host string, us long, id long, gap_us long, code string", "Append", "EventTime")
+    return found.select(F.col("host").cast(kind).alias("host"), F.timestamp_micros("us").alias("ts"), "id", "gap_us", "code")
 
 
 #: Settings of streams while they start (a query keeps those it started with):

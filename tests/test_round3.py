@@ -204,3 +204,24 @@ def test_bodies_are_decoded_in_portions(spark, monkeypatch):
     said = [None if k == 3 else "é第一章 " * (k % 40) + "x" for k in range(200)]
     raw = spark.createDataFrame([(k, None if t is None else bytearray(t.encode("utf-16-be")), "text/html; charset=UTF-16-BE") for k, t in enumerate(said)], "page_id long, body binary, content_type string").coalesce(1)
     assert [r["html"] for r in readers.decode_pages(raw).orderBy("page_id").collect()] == said
+
+
+def test_buckets_of_hosts_are_judged_as_each_host():
+    """Many hosts in one state with one timer, rows in any batches."""
+    rng = np.random.default_rng(8)
+    rows = [(f"h{k % 9}", int(us), k, int(rng.integers(-1, 2000)), int(rng.choice([-1, 500, 3000]))) for k, us in enumerate(10**6 + rng.integers(0, 4000, 400).cumsum())]
+    want = sorted((h, *r) for h in {r[0] for r in rows} for r in streams.audited([r[1:] for r in rows if r[0] == h]))
+    p, handle = tasks.GapBuckets(), streams.Handle()
+    p.init(handle)
+    late, watermark, found = 400, 0, []
+    for cut in [*np.array_split(sorted(range(400), key=lambda k: rows[k][1] + int(rng.integers(0, late * 500))), 6), []]:
+        came = pd.DataFrame([rows[k] for k in cut], columns=["host", "us", "id", "least", "pause"])
+        if len(came):
+            assert list(p.handleInputRows((0,), iter([came[:9], came[9:]]), streams.Times(watermark))) == []
+        watermark = max(watermark, int(came["us"].max()) // 1000 - late) if len(came) else rows[-1][1] // 1000 + 1
+        assert len(handle.timers) <= 1
+        for due in [t for t in handle.timers if t <= watermark]:
+            handle.timers.discard(due)
+            for out in p.handleExpiredTimer((0,), streams.Times(watermark), streams.Times(due)):
+                found += out[["host", "id", "gap_us", "code"]].itertuples(index=False, name=None)
+    assert sorted(found) == want and len(want) > 50 and not handle.timers
