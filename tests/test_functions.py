@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from chapterlake.functions import text, urls
@@ -46,3 +48,20 @@ def test_templates_and_references(spark):
     assert one(spark, "/book/12/the-end", urls.path_template) == "/book/{int}/{slug}"
     assert one(spark, "../x", lambda c: urls.resolve(F.lit("http://h/a/b"), c)) == "http://h/a/../x"
     assert one(spark, "?p=2", lambda c: urls.resolve(F.lit("http://h/a/b"), c)) == "http://h/a/b?p=2"
+
+
+def test_plain_urls_are_their_own_canonical_form_at_little_cost(spark):
+    heads = ["http://a.test", "https://a-b.c9.test", "HTTP://a.test", "http://A.test", "http://a.test.", "http://a..b", "http://u@a.test", "http://a.test:80", "http://a.test:8080", "ftp://a.test", "http://", "http:///", "http://é.test", "http://a_b.test", "//a.test", f"http://{'a' * 60}.{'b' * 60}.{'c' * 60}.{'d' * 80}"]
+    tails = ["", "/", "//", "/a", "/a/", "/a/b-c_d~e.html", "/.", "/..", "/a/..", "/a/../", "/.../", "/a/./b", "/..a/b", "/a//b", "/%41", "/%zz", "/é", "/a b", "/a\n", "/a\t", "/a?", "/a?b=c", "/a#b", "/a+b", "/a;b", "/" + "a" * 300]
+    rows = spark.createDataFrame([(h + t,) for h in heads for t in tails] + [(None,)], "u string")
+    got = rows.select("u", urls.canonical_url(F.col("u")).alias("a"), urls._resolved_url(F.col("u")).alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and sum(r["a"] is not None and r["a"] == r["u"] for r in got) > 10
+
+    def seconds(made):
+        made = spark.range(0, 40_000, 1, 4).select(urls.canonical_url(F.concat(F.lit("http://shelf.test/"), F.col("id").cast("string"))).alias("u") if made else urls._resolved_url(F.concat(F.lit("http://shelf.test/"), F.col("id").cast("string"))).alias("u"))
+        made.agg(F.max("u")).collect()
+        at = time.perf_counter()
+        made.agg(F.max("u")).collect()
+        return time.perf_counter() - at
+
+    assert seconds(True) * 2 < seconds(False)
