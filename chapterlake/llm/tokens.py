@@ -10,6 +10,7 @@ A text that holds an added token's content goes to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -21,7 +22,10 @@ from . import common
 WORDS = 500_000
 #: The split pattern of the byte-level pre-tokenizer (a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
+#: The same pattern where a word is ASCII alone.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: A space beside another space character.
+_ODD = re.compile(r"[ ](?:\s|(?<=\s[ ]))")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -41,12 +45,13 @@ class WordEncoder:
         kind = str(self.tokenizer.pre_tokenizer)
         self.by_word = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind and self.tokenizer.normalizer is None
         self.chars = byte_chars()
+        self.wide = array("I").itemsize == 4 and array("I", [1]).tobytes() == b"\1\0\0\0"
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _encoded(self, piece: str) -> bytes:
-        chars = self.chars
-        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize("".join([chars[b] for b in piece.encode()]))])
+        ids = [x.id for x in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
+        return array("I", ids).tobytes() if self.wide else np.array(ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece; one that begins with a space is remembered as a
@@ -59,14 +64,21 @@ class WordEncoder:
                 known[key] = found
         return found
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        return (_ASCII_PIECES if text.isascii() else PIECES).findall(text)
+
     def _ids(self, word: str) -> bytes:
-        return b"".join([self._piece(p) for p in PIECES.findall(word)])
+        return b"".join([self._piece(p) for p in self._parts(word)])
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word that follows a space."""
-        parts = PIECES.findall(" " + word)
+        """The ids of a word that follows a space. Words over a line's end seldom
+        come again: their pieces alone are remembered."""
+        if word.isascii() and word.isalpha():
+            return self._piece(" " + word)
+        parts = self._parts(" " + word)
         found = b"".join([self._piece(p) for p in parts])
-        if len(parts) > 1 and len(self.words) < WORDS:
+        if len(parts) > 1 and len(self.words) < WORDS and "\n" not in word:
             self.words[word] = found
         return found
 
@@ -77,7 +89,7 @@ class WordEncoder:
             return b""
         if not self.by_word or any([t in text for t in self.added]):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = _GAP.split(text) if _ODD.search(text) else text.split(" ")
+        first, *rest = _GAP.split(text) if text[0] == " " or text[-1] == " " or _ODD.search(text) else text.split(" ")
         out = [self._ids(first)]
         get = self.words.get
         for w in rest:

@@ -547,3 +547,13 @@ def test_remove_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
     assert sorted(r["text"] or "" for r in decontaminate.remove_leaks(docs, bench).collect()) == ["", "clean"]
     assert decontaminate.find_leaks(docs, bench).count() == 5
+
+
+def test_ascii_words_are_parted_as_the_library_parts_them():
+    library, e, rng = Tokenizer.from_file(queries.tokenizer_path()), encoder(), np.random.default_rng(5)
+    for n in range(3000):
+        text = "".join(rng.choice(list(" \n\ta'stbB9.,\x1c\x1f\x0b\r\x85\xa0é"), rng.integers(1, 30)))
+        assert e.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    e = encoder()
+    e.encode("one the two.\nthree it's")
+    assert "two.\nthree" not in e.words and "it's" in e.words and "\nthree" not in e.words  # parts of a line's end are remembered one by one
