@@ -28,11 +28,11 @@ def new_folder(spark: SparkSession) -> str:
     return f"{folder(spark)}/chapterlake/{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, **options: str) -> DataFrame:
     """df written as Parquet and read again: later jobs neither repeat its work
-    nor lose it with an executor."""
+    nor lose it with an executor. options are those of the writer."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

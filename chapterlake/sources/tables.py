@@ -66,7 +66,8 @@ class KeyedTable:
             columns = self.spark.createDataFrame([], self.schema).columns
             kept = self._rows(layout, touched).join(named, self.keys, "left_anti")
             merged = kept.select(*columns).unionByName(rows.select(*columns)).withColumn("bucket", self._bucket())
-            merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}")
+            # every task writes into the folders of its rows' buckets: rows are not shuffled for it, and no task has a whole bucket
+            merged.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}")
         placed = layout | dict.fromkeys(touched, batch)
         self.spark.createDataFrame(list(placed.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..operators import books, events, pages
+from ..operators import events, pages
 from ..sources.shared import keep, new_folder
 from ..sources.tables import KeyedTable
 
@@ -456,46 +456,81 @@ CHAPTERS = "id string, book_id long, chapter_index long, title string, canonical
 
 
 class ChapterStore:
-    """Chapters that streams write: rows by index, and which row a url and a
+    """Chapters that streams write: rows by index, and which chapter a url and a
     content is bound to, each a keyed table."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        table = lambda name, keys: KeyedTable(spark, f"{path}/{name}", keys, CHAPTERS, buckets)
-        self.by_index, self.by_url, self.by_content = table("index", ["book_id", "chapter_index"]), table("url", ["book_id", "canonical_url"]), table("content", ["book_id", "content_hash"])
+        table = lambda name, keys, schema: KeyedTable(spark, f"{path}/{name}", keys, schema, buckets)
+        self.by_index = table("index", ["book_id", "chapter_index"], CHAPTERS)
+        self.by_url = table("url", ["book_id", "canonical_url"], "book_id long, canonical_url string, chapter_index long")
+        self.by_content = table("content", ["book_id", "content_hash"], "book_id long, content_hash string, chapter_index long")
 
     def read(self) -> DataFrame:
         return self.by_index.read()
 
+    def _taken(self, new: DataFrame, batch: int) -> DataFrame:
+        """Incoming rows whose url another chapter has, or an earlier row."""
+        key = ["book_id", "canonical_url"]
+        bound = self.by_url.near(new, batch).select(*key, F.col("chapter_index").alias("_bound"))
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("position", "row"))
+        placed = new.select(*key, "chapter_index", "position", "row").withColumn("_u", nth).join(bound, key, "left")
+        return keep(placed.filter("_u > 1 or _bound <> chapter_index").select("row", F.lit(True).alias("_taken")))
+
+    def _states(self, new: DataFrame, batch: int) -> DataFrame:
+        """Each incoming chapter that is known or can be put in, as its row and
+        its body leave it; `waits` if its body may be another chapter's. Rows
+        that stay as they are have keys and hash alone."""
+        key = ["book_id", "chapter_index"]
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("position", "row"))
+        first = new.withColumn("_i", nth).filter("_i = 1").drop("_i", "position")
+        here = self.by_index.near(new, batch).join(new.select(*key), key, "left_semi")
+        here = here.select(*key, F.col("title").alias("_title"), F.col("canonical_url").alias("_url"), F.col("status").alias("_status"), F.unhex("content_hash").alias("_hash"), F.col("error").alias("_error"))
+        joined = first.join(here, key, "left").join(self._taken(new, batch), "row", "left")
+        known, done, has = F.col("_status").isNotNull(), F.coalesce(F.col("_status") == "done", F.lit(False)), F.col("hash").isNotNull()
+        put = F.col("_taken").isNull() & ~done
+        code = F.when(has & F.col("empty"), "chapter_content_empty").when(has & done & ~F.coalesce(F.col("_hash") == F.col("hash"), F.lit(False)), "chapter_content_conflict")
+        made = joined.filter(known | put).select(
+            *key, "hash", (has & ~F.col("empty") & ~done).alias("waits"), F.when(put, F.col("title")).otherwise(F.col("_title")).alias("title"), F.when(put, F.col("canonical_url")).otherwise(F.col("_url")).alias("canonical_url"),
+            F.coalesce("_status", F.lit("pending")).alias("status"), F.col("_hash").alias("old_hash"), F.coalesce(code, F.col("_error")).alias("error"), "_title", F.col("_url").alias("old_url"), "_error", known.alias("_known"),
+        )
+        kept = F.col("_known") & F.col("title").eqNullSafe(F.col("_title")) & F.col("canonical_url").eqNullSafe(F.col("old_url")) & F.col("error").eqNullSafe(F.col("_error"))
+        made = made.withColumn("waits", F.coalesce("waits", F.lit(False))).withColumn("changed", ~kept).filter("changed or hash is not null")
+        shown = [F.when(F.col("changed") | F.col("waits"), F.col(c)).alias(c) for c in ("title", "canonical_url", "status", "old_hash", "error", "old_url")]
+        return keep(made.select(*key, "hash", "waits", "changed", *shown), compression="zstd")
+
+    def _repeated(self, states: DataFrame, batch: int) -> DataFrame:
+        """Waiting chapters whose body a chapter of the book has, or one of lower
+        id in the batch."""
+        waiting = states.filter("waits").select("book_id", "hash")
+        held = self.by_content.near(waiting.select("book_id", F.lower(F.hex("hash")).alias("content_hash")), batch)
+        held = held.select("book_id", F.unhex("content_hash").alias("hash"), F.lit(True).alias("_held")).join(waiting, ["book_id", "hash"], "left_semi")
+        nth = F.row_number().over(Window.partitionBy("book_id", "hash").orderBy(F.concat_ws(":", F.col("book_id").cast("string"), F.col("chapter_index").cast("string"))))
+        bodies = states.filter("hash is not null").select("book_id", "chapter_index", "hash", "waits").withColumn("_n", nth)
+        found = bodies.join(held, ["book_id", "hash"], "left").filter("waits and (_n > 1 or _held)")
+        return keep(found.select("book_id", "chapter_index", F.lit(True).alias("_again")))
+
     def take(self, incoming: DataFrame, batch: int) -> None:
         """Upserts chapters (book_id, chapter_index, title, canonical_url, body,
-        position) of one batch by books.upsert_chapters, then accepts their
-        bodies by books.accept_content: an accepted body makes its chapter done,
-        a refused one leaves it as it is, with the code as its error. Rows
-        without book, index or url are passed over."""
-        new = keep(incoming.filter("book_id is not null and chapter_index is not null and canonical_url is not null").withColumn("content_hash", F.sha2("body", 256)))
-        here = keep(self.by_index.near(new, batch).join(new.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi"))
-        bound = self.by_url.near(new, batch).join(new.select("book_id", "canonical_url").distinct(), ["book_id", "canonical_url"], "left_semi")
-        known = keep(here.unionByName(bound).dropDuplicates(["id", "canonical_url"]))
-        actions = books.upsert_chapters(known, new.drop("content_hash", "body")).filter("action <> 'ignore'")
-        own = F.concat_ws(":", F.col("book_id").cast("string"), F.col("chapter_index").cast("string"))
-        changed = actions.select(own.alias("id"), "book_id", "chapter_index", "title", "canonical_url").join(here.select("id", "status", "content_hash", "error"), "id", "left")
-        rows = here.join(changed.select("id"), "id", "left_anti").unionByName(changed.withColumn("status", F.coalesce("status", F.lit("pending"))), allowMissingColumns=True)
-        rows = keep(rows.select(*here.columns))
-        first = F.row_number().over(Window.partitionBy("book_id", "chapter_index").orderBy("position"))
-        bodies = keep(new.withColumn("_n", first).filter("_n = 1 and body is not null").select(own.alias("id"), "book_id", "body", "content_hash").join(rows.select("id"), "id", "left_semi"))
-        held = self.by_content.near(bodies, batch)
-        mine = rows.select("id", "book_id", "status", "content_hash").unionByName(held.join(rows.select("id"), "id", "left_anti").select("id", "book_id", "status", "content_hash"))
-        outcomes = books.accept_content(mine, bodies.select("id", "book_id", "body")).join(bodies.select("id", F.col("content_hash").alias("_hash")), "id")
-        joined = rows.join(outcomes.select("id", "outcome", "_hash"), "id", "left")
-        good = F.col("outcome") == "accepted"
-        done = keep(joined.select(
-            "id", "book_id", "chapter_index", "title", "canonical_url", F.when(good, "done").otherwise(F.col("status")).alias("status"), F.when(good, F.col("_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
-            F.when(good, F.lit(None)).when(F.col("outcome").startswith("chapter_"), F.col("outcome")).otherwise(F.col("error")).alias("error"),
-        ))
-        moved = here.join(done.select("id", F.col("canonical_url").alias("_now")), "id").filter("canonical_url <> _now")
-        self.by_url.merge(done, batch, moved)
-        self.by_content.merge(done.filter("status = 'done'").dropDuplicates(["book_id", "content_hash"]), batch)
-        self.by_index.merge(done, batch)  # the last: what it has, the others have
+        position) of one batch by the rules of books.upsert_chapters, then accepts
+        their bodies by those of books.accept_content: an accepted body makes its
+        chapter done, a refused one leaves it as it is, with the code as its
+        error. Rows without book, index or url are passed over. Bodies go no
+        further than their hash; only what a url or a body forbids comes back to
+        its chapter, and only rows that change are written."""
+        body = F.col("body")
+        new = incoming.filter("book_id is not null and chapter_index is not null and canonical_url is not null")
+        new = keep(new.select("book_id", "chapter_index", "title", "canonical_url", "position", F.unhex(F.sha2(body, 256)).alias("hash"), (F.trim(body) == "").alias("empty"), F.monotonically_increasing_id().alias("row")), compression="zstd")
+        states = self._states(new, batch)
+        out = states.filter("changed or waits").join(self._repeated(states, batch), ["book_id", "chapter_index"], "left")
+        good, refused = F.col("waits") & F.col("_again").isNull(), F.lit("chapter_content_duplicate")
+        done = keep(out.filter(F.col("changed") | good | ~F.col("error").eqNullSafe(refused)).select(
+            F.concat_ws(":", F.col("book_id").cast("string"), F.col("chapter_index").cast("string")).alias("id"), "book_id", "chapter_index", "title", "canonical_url", F.when(good, "done").otherwise(F.col("status")).alias("status"),
+            F.lower(F.hex(F.when(good, F.col("hash")).otherwise(F.col("old_hash")))).alias("content_hash"), F.when(good, F.lit(None)).when(F.col("waits"), refused).otherwise(F.col("error")).alias("error"), "old_url", good.alias("good"),
+        ), compression="zstd")
+        moved = done.filter("old_url <> canonical_url").select("book_id", F.col("old_url").alias("canonical_url"))
+        self.by_url.merge(done.filter("old_url is null or old_url <> canonical_url").select("book_id", "canonical_url", "chapter_index"), batch, moved)
+        self.by_content.merge(done.filter("good").select("book_id", "content_hash", "chapter_index"), batch)
+        self.by_index.merge(done.drop("old_url", "good"), batch)  # the last: what it has, the others have
 
 
 def chapter_intake(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, buckets: int = 64):

@@ -207,6 +207,16 @@ def test_a_batch_reads_and_writes_the_buckets_of_its_keys(spark, tmp_path):
     assert {r["k"]: r["v"] for r in table.read().collect()} == rows
 
 
+def test_chapters_that_stay_as_they_are_are_not_written_again(spark, tmp_path):
+    store = tasks.ChapterStore(spark, str(tmp_path / "d"), 2)
+    frame = spark.createDataFrame([(1, 1, "t", "u1", "one", 0), (1, 2, "t", "u2", "one", 1), (1, 3, "t", "u3", None, 2), (1, 4, "t", "u4", " ", 3)], NEW)
+    tables = (store.by_index, store.by_url, store.by_content)
+    store.take(frame, 0)
+    before, layouts = taken(store), [t.layout() for t in tables]
+    store.take(frame, 1)
+    assert taken(store) == before and [t.layout() for t in tables] == layouts and not (tmp_path / "d" / "index" / "data" / "batch=1").exists()
+
+
 def test_no_chapters(spark, tmp_path):
     store = tasks.ChapterStore(spark, str(tmp_path / "c"), 4)
     assert store.read().count() == 0
