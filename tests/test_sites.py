@@ -357,3 +357,12 @@ def test_pages_are_followed_once(spark):
     parts = spark.createDataFrame(rows, "book_id long, chapter_number long, page_number int, url string, next_url string, body string")
     got = {(r["book_id"], r["chapter_number"]): (r["body"], r["pages"]) for r in extract.merge_followed(parts).collect()}
     assert got == {(1, 1): ("a\nc", 3), (1, 2): ("x", 1), (2, 1): ("y", 1), (3, 1): ("\n".join(map(str, range(1, 21))), 20)}
+
+
+@pytest.mark.parametrize("name", ["list_scores", "page_decisions"])
+def test_tables_that_grow_with_the_pages_are_not_broadcast(spark, tmp_path, name):
+    """Kept tables pack so well that they would go through the driver whole."""
+    spark.range(400).select((F.col("id") % 100).alias("l_orderkey"), F.floor(F.col("id") / 100).cast("int").alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = getattr(site_queries, name)(spark, str(tmp_path))
+    assert found.count() == 100
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
