@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 #: Logs whose buckets are kept by vacuum.
 KEPT_LOGS = 2
 
@@ -41,7 +43,7 @@ class KeyedTable:
 
     def _rows(self, layout: dict[int, int], wanted) -> DataFrame:
         paths = [f"{self.path}/data/batch={layout[b]}/bucket={b}" for b in sorted(wanted) if b in layout]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return spread(self.spark.read.schema(self.schema).parquet(*paths)) if paths else self.spark.createDataFrame([], self.schema)
 
     def _touched(self, rows: DataFrame) -> list[int]:
         return [r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()]  # a row a bucket

@@ -217,6 +217,21 @@ def test_chapters_that_stay_as_they_are_are_not_written_again(spark, tmp_path):
     assert taken(store) == before and [t.layout() for t in tables] == layouts and not (tmp_path / "d" / "index" / "data" / "batch=1").exists()
 
 
+def test_chapters_of_a_batch_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Keys of many chapters pack into few bytes and would go through the driver whole."""
+    store, plans, keep = tasks.ChapterStore(spark, str(tmp_path / "d"), 2), [], tasks.keep
+    frame = spark.createDataFrame([(1, k, "t", f"u{k}", "one", k) for k in range(20)], NEW)
+
+    def noted(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, **options)
+
+    monkeypatch.setattr(tasks, "keep", noted)
+    for n in range(2):
+        store.take(frame, n)
+    assert len(plans) == 10 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_chapters(spark, tmp_path):
     store = tasks.ChapterStore(spark, str(tmp_path / "c"), 4)
     assert store.read().count() == 0
