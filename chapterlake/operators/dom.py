@@ -204,11 +204,29 @@ def text_length() -> Column:
     return F.when(F.col("tag").isin(*SILENT), 0).otherwise(F.length("own_text"))
 
 
+def said_pieces(ids, texts, pieces) -> list[tuple]:
+    """The pieces of text of a page in order, as pages.text_pieces has them."""
+    return sorted((p["at"], -i, n, p["text"]) for i, text, many in zip(ids, texts, pieces) for n, p in enumerate(many or [{"at": i, "text": text}]) if p["text"])
+
+
+def pieces_in(said: list[tuple], first: int, last: int) -> list[str]:
+    """Those of the node `first`, whose subtree ends with `last`."""
+    return [text for _, owner, _, text in said[bisect_left(said, (first,)) : bisect_left(said, (last + 1,))] if -owner >= first]  # its own and those of nodes below
+
+
+def _says(said: list[tuple], first: int, last: int) -> str:
+    """What a node says, without blanks and marks."""
+    return re.sub(r"\W+", "", "".join(pieces_in(said, first, last))).casefold()
+
+
 class _Page:
     """The nodes of one page, for the search of selectors that match one node."""
 
     def __init__(self, ids, parents, ends, tags, positions, own, classes, spoken):
-        """spoken: gives the columns of texts and pieces, which few pages need."""
+        """spoken: gives the columns of texts and pieces, which few pages need.
+        heard: the (word, node, whether it is all that the node says) that were
+        asked of them."""
+        self.heard: list[tuple[str, int, bool]] = []
         self.at = {i: k for k, i in enumerate(ids)}
         self.ids, self.ends, self.tags, self.positions, self.spoken = ids, ends, tags, positions, spoken
         self.up = [self.at.get(p) for p in parents]
@@ -225,8 +243,7 @@ class _Page:
 
     @cached_property
     def said(self) -> list[tuple]:
-        """The pieces of text in page order, as pages.text_pieces has them."""
-        return sorted((p["at"], -i, n, p["text"]) for i, text, many in zip(self.ids, *self.spoken()) for n, p in enumerate(many or [{"at": i, "text": text}]) if p["text"])
+        return said_pieces(self.ids, *self.spoken())
 
     def speaks(self, value: str, k: int) -> bool:
         """Whether an id or class names a part of a page, and neither a secret
@@ -238,9 +255,8 @@ class _Page:
         bare = re.sub(r"\W+", "", value).casefold()
         if len(bare) < 4:
             return True
-        run = slice(*(bisect_left(self.said, (at,)) for at in (self.ids[k], self.ends[k] + 1)))
-        said = "".join(text for _, owner, _, text in self.said[run] if -owner >= self.ids[k])  # its own and those of nodes below
-        return bare != re.sub(r"\W+", "", said).casefold()
+        self.heard.append((bare, k, bare == _says(self.said, self.ids[k], self.ends[k])))
+        return not self.heard[-1][2]
 
     def named(self, k: int) -> str | None:
         """By id, else by classes, where that is the page's only match."""
@@ -293,6 +309,35 @@ class _Page:
         return out
 
 
+class Search:
+    """The selectors of asked nodes by page, those of pages of one structure
+    found once. Nodes, ids, classes and what is asked make a structure; where a
+    search asked what nodes say, its selectors hold for pages that answer alike."""
+
+    #: Nodes of the structures that are remembered, and of the largest of them.
+    MOST, LARGEST = 300_000, 2_000
+
+    def __init__(self, plain: bool = False):
+        self.plain, self.known, self.size = plain, {}, 0
+
+    def __call__(self, ids, parents, ends, tags, positions, own, classes, spoken, asked) -> dict[int, str]:
+        small = len(ids) <= self.LARGEST
+        key = small and tuple(map(tuple, (ids, parents, ends, tags, positions, own, classes, asked)))
+        if small and key in self.known:
+            found, heard = self.known[key]
+            said = said_pieces(ids, *spoken()) if heard else []
+            if all((bare == _says(said, ids[k], ends[k])) == same for bare, k, same in heard):
+                return found
+        page = _Page(ids, parents, ends, tags, positions, own, classes, spoken)
+        found = page.selectors(asked, self.plain)
+        if small:
+            self.size += len(ids)
+            if self.size > self.MOST:
+                self.known, self.size = {}, len(ids)
+            self.known[key] = (found, page.heard)
+        return found
+
+
 def _by_pages(batches, found):
     """found() of tables of whole pages, whose rows come one after another."""
     held: list = []  # the last page so far: it may go on
@@ -307,7 +352,7 @@ def _by_pages(batches, found):
         yield from found(pa.Table.from_batches(held)).to_batches()
 
 
-def _selected(rows: pa.Table, asks: np.ndarray, plain: bool = False) -> tuple[list[int], list[str]]:
+def _selected(rows: pa.Table, asks: np.ndarray, search: Search) -> tuple[list[int], list[str]]:
     """Places of the asked rows of whole pages, and their selectors."""
     pages = rows.column("page_id").to_numpy(zero_copy_only=False)
     parts = [rows.column(c).to_pylist() for c in ("node_id", "parent_id", "end_id", "tag", "sibling_pos")]
@@ -319,7 +364,7 @@ def _selected(rows: pa.Table, asks: np.ndarray, plain: bool = False) -> tuple[li
         wanted = np.flatnonzero(asks[lo:hi]).tolist()
         if wanted:
             texts = lambda lo=lo, hi=hi: [c.slice(lo, hi - lo).to_pylist() for c in spoken]
-            of_page = _Page(*[p[lo:hi] for p in parts], texts).selectors(wanted, plain)
+            of_page = search(*[p[lo:hi] for p in parts], texts, wanted)
             chosen += [lo + k for k in of_page]
             said += of_page.values()
     return chosen, said
@@ -332,7 +377,7 @@ def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) ->
     no other node. A page's nodes are searched together, as they came from one
     row; of two nodes that nothing tells apart (roots of a page without one)
     both have the path from the root."""
-    columns = [*nodes.columns, "selector"]
+    columns, search = [*nodes.columns, "selector"], Search(plain)
     every = of is None
     asked = nodes.withColumn("_asked", F.lit(True if every else None).cast("boolean"))
     if not every:  # each asked node is named by a row behind its own
@@ -353,7 +398,7 @@ def paths(nodes: DataFrame, of: DataFrame | None = None, plain: bool = False) ->
         pages = ids("page_id")
         wanted_pages = np.isin(pages, pages[asks])
         rows, asks, pages = rows.filter(pa.array(wanted_pages)), asks[wanted_pages], pages[wanted_pages]
-        chosen, said = _selected(rows, asks, plain)
+        chosen, said = _selected(rows, asks, search)
         out = rows.take(pa.array(chosen, pa.int64())).drop_columns(["_asked"]).append_column("selector", pa.array(said, pa.string()))
         return out.select(columns).combine_chunks()
 
@@ -369,7 +414,7 @@ def laid_out(nodes: DataFrame, roots: Column, marked: DataFrame, sums: dict[str,
     and the number of nodes of `marked` (page_id, node_id). One pass in page
     order gives all of these: a subtree is a run of rows, so running sums and
     the greatest end met so far tell."""
-    names, clean, width = [*sums, *outside], set(outside), len(nodes.columns)
+    names, clean, width, search = [*sums, *outside], set(outside), len(nodes.columns), Search()
     given = nodes.withColumns({"_root": roots, "_mark": F.lit(None).cast("boolean")} | {f"_{n}": c.cast("long") for n, c in (sums | outside).items()})
     asked = given.unionByName(marked.select("page_id", "node_id", F.lit(True).alias("_mark")), allowMissingColumns=True)
     columns = [*nodes.columns, "selector", "noise", *names, "marks"]
@@ -389,7 +434,7 @@ def laid_out(nodes: DataFrame, roots: Column, marked: DataFrame, sums: dict[str,
 
         told = [total(np.where(noise & (n in clean), 0, numbers(f"_{n}"))) for n in names]
         told.append(total(np.bincount(owners, minlength=rows.num_rows).astype(np.int64)))
-        chosen, said = _selected(rows, np.ones(rows.num_rows, bool))
+        chosen, said = _selected(rows, np.ones(rows.num_rows, bool), search)
         selectors = np.empty(rows.num_rows, object)
         selectors[chosen] = said
         for name, column in zip(columns[width:], (pa.array(selectors, pa.string()), pa.array(noise), *told)):

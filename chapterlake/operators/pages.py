@@ -14,8 +14,11 @@ or comments, without the blanks around it.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,8 +51,9 @@ _PLAIN = re.compile(r'<(?:(/)([a-z][a-z0-9]*)|([a-z][a-z0-9]*)((?: +[a-z][a-z0-9
 _BEFORE = re.compile(r"(?:<!DOCTYPE html>)?([^<]*)")
 _ATTRS = re.compile(r'([a-z][a-z0-9-]*)="([^"]*)"')
 _RAW, _MODES = frozenset(("script", "style")), frozenset("textarea iframe noembed noframes noscript xmp plaintext listing svg math template".split())
-#: Nodes in one batch of rows, at least.
-BATCH_NODES = 20_000
+#: Nodes in one batch of rows, at least; tokens of the page skeletons that a
+#: worker remembers, and of the longest of them.
+BATCH_NODES, KNOWN_TOKENS, LONGEST_SKELETON = 20_000, 500_000, 5_000
 NODES = "page_id long, node_id int, parent_id int, end_id int, depth int, tag string, attrs map<string,string>, sibling_pos int, own_text string, own_pieces array<struct<at:int,text:string>>"
 CHAPTER_TEXT = r"(?i)(?:第\s*[0-9零一二三四五六七八九十百千万两]+\s*[章节回卷]|chapter\s+\d+)"
 #: Signs of kinds, and what is cut before they are looked for (fixed values).
@@ -107,10 +111,12 @@ class _Flat(HTMLParser):
 
     def page(self, page, html):
         self.first, self.texts = len(self), []
-        if not self._plain(html or ""):
-            self.reset()
-            self.feed(html)
-            self.close()
+        if self._plain(html or ""):
+            self.columns["page_id"] += [page] * (len(self) - self.first)
+            return
+        self.reset()
+        self.feed(html)
+        self.close()
         self._end_run()
         self._close(0)
         self.columns["page_id"] += [page] * len(self.texts)
@@ -120,29 +126,39 @@ class _Flat(HTMLParser):
 
     def _plain(self, html):
         """Reads a page of plain tags only, whose tokens one pattern finds;
-        others are left to the parser. True if it was read."""
-        at, match, met = _BEFORE.match(html).end(), _PLAIN.match, []
-        before = _BEFORE.match(html).group(1)
-        while at < len(html):
-            found = match(html, at)
-            if found is None:
-                return False
-            met.append(found.groups())
-            at = found.end()
-        for k, (_, _, tag, _, alone, _) in enumerate(met):
-            if tag in _MODES or tag in _RAW_OR_TITLE and (alone or k + 1 == len(met) or met[k + 1][1] != tag):
-                return False
-        if before:
-            self.run.append(unescape(before))
-        for closes, ended, tag, attrs, alone, said in met:
-            if closes:
-                self.handle_endtag(ended)
-            else:
-                (self.handle_startendtag if alone else self.handle_starttag)(tag, _ATTRS.findall(attrs) if attrs else ())
-            if said:
-                self.run.append(said if tag in _RAW or "&" not in said else unescape(said))
+        others are left to the parser. True if it was read. What stands before
+        the first tag belongs to no node. Pages of one skeleton (tags, and where
+        texts are) have one layout, which is worked out once."""
+        at = _BEFORE.match(html).end()
+        met = _PLAIN.findall(html, at)
+        if len("".join(chain.from_iterable(met))) + 2 * len(met) != len(html) - at:  # each has two brackets; the tokens leave a gap
+            return False
+        if not met:
+            return True
+        closes, ended, tags, attrs, alone, said = zip(*met)
+        if "&" in html:
+            said = [s if "&" not in s or tag in _RAW else unescape(s) for s, tag in zip(said, tags)]
+        said = [s and s.strip() for s in said]
+        layout = _layout((ended, tags, alone, tuple(map(bool, said))))
+        if layout is None:
+            return False
+        for name in ("node_id", "parent_id", "end_id", "depth", "tag", "sibling_pos"):
+            self.columns[name] += layout[name]
+        self.columns["attrs"] += [list(dict(_ATTRS.findall(attrs[k])).items()) if attrs[k] else [] for k in layout["starts"]]
+        said.append("")  # that of nodes without
+        own, pieces = [said[k] for k in layout["single"]], [None] * len(layout["single"])
+        for k, many in layout["many"]:
+            own[k] = " ".join([said[token] for _, token in many])
+            pieces[k] = [{"at": at, "text": said[token]} for at, token in many]
+        self.columns["own_text"] += own
+        self.columns["own_pieces"] += pieces
         return True
 
+    def clear(self):
+        """Forgets the pages so far."""
+        for column in self.columns.values():
+            column.clear()
+
     def handle_starttag(self, tag, attrs):
         if self.run:
             self._end_run()
@@ -219,6 +235,47 @@ class _Flat(HTMLParser):
             self.kinds.pop()
 
 
+#: Layouts by skeleton, as far as KNOWN_TOKENS go.
+_LAYOUTS: dict[tuple, dict | None] = {}
+
+
+def _layout(skeleton: tuple) -> dict | None:
+    """The nodes of plain pages of a skeleton (ended tags, begun tags, whether
+    alone, whether a text follows; one each a token): their columns, the token
+    that begins each, and of its pieces of text the tokens that they follow:
+    `single` where it is one right behind the start tag (-1: none), else `many`.
+    None for pages that the parser is to read."""
+    if skeleton in _LAYOUTS:
+        return _LAYOUTS[skeleton]
+    out, size = None, len(skeleton[0])
+    tokens = list(zip(*skeleton))
+    if not any(tag in _MODES or tag in _RAW_OR_TITLE and (alone or k + 1 == size or skeleton[0][k + 1] != tag) for k, (_, tag, alone, _) in enumerate(tokens)):
+        flat = _Flat()
+        for k, (ended, tag, alone, speaks) in enumerate(tokens):
+            if ended:
+                flat.handle_endtag(ended)
+            else:
+                (flat.handle_startendtag if alone else flat.handle_starttag)(tag, ())
+            if speaks:
+                flat.run.append(str(k))
+        flat._end_run()
+        flat._close(0)
+        out = {name: flat.columns[name] for name in ("node_id", "parent_id", "end_id", "depth", "tag", "sibling_pos")}
+        texts = [[(at, int(token)) for at, token in t] for t in flat.texts]
+        own = [not t or len(t) == 1 and t[0][0] == k for k, t in enumerate(texts)]
+        out |= {"starts": [k for k, (ended, *_) in enumerate(tokens) if not ended], "single": [t[0][1] if t and alone else -1 for t, alone in zip(texts, own)], "many": [(k, t) for k, (t, alone) in enumerate(zip(texts, own)) if not alone]}
+    if size <= LONGEST_SKELETON:
+        _LAYOUTS[skeleton], _KNOWN[0] = out, _KNOWN[0] + size
+        if _KNOWN[0] > KNOWN_TOKENS:
+            _LAYOUTS.clear()
+            _KNOWN[0] = 0
+    return out
+
+
+#: Tokens of the skeletons in _LAYOUTS.
+_KNOWN = [0]
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """rows of pages in as many parts as the session shuffles into, each page in
     one: few bytes are much work, so parts by bytes would leave cores idle. The
@@ -248,6 +305,55 @@ def flatten(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
 
 
+def _each_page(captured: DataFrame, found: Callable, shape: str, *more: Column) -> DataFrame:
+    """found(page_id, columns of its nodes, values of `more`) of every page
+    (page_id, html), in one pass that lets no other node leave it: rows as
+    `shape` names them. For what needs whole pages and gives little."""
+
+    def run(batches):
+        flat = _Flat()
+        for batch in batches:
+            rows = []
+            for page, html, *given in zip(*batch.columns):
+                flat.page(page.as_py(), html.as_py())
+                rows += found(page.as_py(), flat.columns, *[g.as_py() for g in given])
+                flat.clear()
+                if len(rows) >= BATCH_NODES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    names = [c.split()[0] for c in shape.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in shape.split(", ")]
+    return captured.select(F.col("page_id").cast("long"), "html", *more).mapInArrow(run, shape)
+
+
+def located(captured: DataFrame, asked: Callable[[str, dict], bool] | None = None, plain: bool = False) -> DataFrame:
+    """(page_id, node_id, tag, nth, selector) of pages (page_id, html): dom.paths
+    of the nodes whose tag and attributes `asked` takes (none given: of all);
+    nth counts those of one tag."""
+    search = dom.Search(plain)
+
+    def found(page, c):
+        given, none = {k: dict(a) for k, a in enumerate(c["attrs"]) if a}, {}
+        wanted = [k for k, tag in enumerate(c["tag"]) if asked is None or asked(tag, given.get(k, none))]
+        if not wanted:
+            return []
+        own, classes = [None] * len(c["tag"]), [None] * len(c["tag"])
+        for k, a in given.items():
+            own[k], classes[k] = a.get("id"), a.get("class")
+        parts = [c[name] for name in ("node_id", "parent_id", "end_id", "tag", "sibling_pos")]
+        of_page = search(*parts, own, classes, lambda: (c["own_text"], c["own_pieces"]), wanted)
+        met, rows = Counter(), []
+        for k in wanted:
+            met[tag := c["tag"][k]] += 1
+            rows.append((page, c["node_id"][k], tag, met[tag], of_page[k]))
+        return rows
+
+    return _each_page(captured, found, "page_id long, node_id int, tag string, nth int, selector string")
+
+
 def text_pieces(nodes: DataFrame) -> DataFrame:
     """(page_id, at, owner, nth, text): the pieces of text of `nodes`; in the
     order of these columns they stand as in the page. at is the node begun last
@@ -285,8 +391,30 @@ def links(pages: DataFrame, nodes: DataFrame, said: DataFrame | None = None, **m
     said = node_text(nodes, anchors) if said is None else said.select("page_id", "node_id", "text")
     base = pages.select("page_id", F.col("url").alias("base"))
     out = anchors.select("page_id", "node_id", F.col("attrs")["href"].alias("href"), *[c.alias(n) for n, c in more.items()]).join(spread(said), ["page_id", "node_id"], "left").join(spread(base), "page_id")
+    return _resolved(out, *more)
+
+
+def _resolved(anchors: DataFrame, *more: str) -> DataFrame:
     full = urls.resolve(F.col("base"), F.col("href"))
-    return out.select("page_id", "node_id", "href", F.coalesce("text", F.lit("")).alias("text"), full.alias("url"), (urls.domain_of(full) == urls.domain_of(F.col("base"))).alias("same_site"), *more)
+    return anchors.select("page_id", "node_id", "href", F.coalesce("text", F.lit("")).alias("text"), full.alias("url"), (urls.domain_of(full) == urls.domain_of(F.col("base"))).alias("same_site"), *more)
+
+
+def page_links(captured: DataFrame) -> DataFrame:
+    """links() of pages (page_id, url, html) in one pass over them, for where
+    nothing else is read of their nodes."""
+
+    def found(page, c, base):
+        rows, said = [], None
+        for k, (tag, attrs) in enumerate(zip(c["tag"], c["attrs"])):
+            if tag == "a" and attrs and (href := dict(attrs).get("href")) is not None:
+                text = c["own_text"][k]
+                if c["end_id"][k] > k:
+                    said = dom.said_pieces(c["node_id"], c["own_text"], c["own_pieces"]) if said is None else said
+                    text = " ".join(dom.pieces_in(said, k, c["end_id"][k]))
+                rows.append((page, k, href, text, base))
+        return rows
+
+    return _resolved(_each_page(captured, found, "page_id long, node_id int, href string, text string, base string", F.col("url").alias("base")))
 
 
 def page_facts(nodes: DataFrame) -> DataFrame:

@@ -22,14 +22,22 @@ def _dealt(spark, made):
     return keep(made)
 
 
-def _catalog_pages(spark, d):
+def _numbers_of_orders(spark, d):
+    """The line numbers of each order, each once, in order."""
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("long"))).alias("ns"))
+
+
+def _made_catalogs(spark, d):
     """One catalog page an order, its lines as chapter links in order."""
-    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("n")).distinct()
-    key, n = F.col("l_orderkey").cast("string"), F.col("n")
-    link = F.concat(F.lit('<li><a href="/book/'), key, F.lit("/"), n, F.lit('.html">第'), n, F.lit("章</a></li>"))
-    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("k"), link.alias("a"))))["a"], "").alias("links"))
+    rows, key = _numbers_of_orders(spark, d), F.col("l_orderkey").cast("string")
+    link = lambda n: F.concat(F.lit('<li><a href="/book/'), key, F.lit("/"), n.cast("string"), F.lit('.html">第'), n.cast("string"), F.lit("章</a></li>"))
+    rows = rows.withColumn("links", F.array_join(F.transform("ns", link), ""))
     html = F.concat(F.lit("<html><head><title>Book "), key, F.lit('</title></head><body><nav><a href="/">Home</a></nav><h1>Book '), key, F.lit('</h1><ul class="chapter-list">'), F.col("links"), F.lit("</ul></body></html>"))
-    return _dealt(spark, rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("http://shelf.test/book/"), key, F.lit("/")).alias("url"), html.alias("html")))
+    return rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("http://shelf.test/book/"), key, F.lit("/")).alias("url"), html.alias("html"))
+
+
+def _catalog_pages(spark, d):
+    return _dealt(spark, _made_catalogs(spark, d))
 
 
 #: Bits of a page id that hold the turn; the conversation's id takes those above.
@@ -240,12 +248,10 @@ def page_domains(spark, d):
 
 @_query("SELECT DISTINCT l_orderkey AS page_id, l_linenumber::BIGINT AS chapter_index, '第' || l_linenumber || '章' AS title, 'https://www.twbook.cc/' || l_orderkey || '/' || l_linenumber || '.html' AS url FROM lineitem")
 def numbered_chapters(spark, d):
-    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n")).distinct()
-    key, n = F.col("l_orderkey").cast("string"), F.col("n").cast("string")
-    link = F.concat(F.lit('<a href="'), F.lit("/"), key, F.lit("/"), n, F.lit('.html"></a><a href="/x/1.html">x</a>'))
-    html = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", link.alias("a"))))["a"], "").alias("html"))
-    p = keep(html.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://www.twbook.cc/"), key, F.lit("/")).alias("url"), "html"))
-    return extract.numbered_catalog(p, pages.links(p, _nodes(p)))
+    key = F.col("l_orderkey").cast("string")
+    link = lambda n: F.concat(F.lit('<a href="/'), key, F.lit("/"), n.cast("string"), F.lit('.html"></a><a href="/x/1.html">x</a>'))
+    made = _numbers_of_orders(spark, d).select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://www.twbook.cc/"), key, F.lit("/")).alias("url"), F.array_join(F.transform("ns", link), "").alias("html"))
+    return extract.numbered_catalog(made, pages.page_links(pages.dealt(made)))
 
 
 #: (status, html, kind, confidence) of made pages, one of each class and turn of the precedence.
@@ -281,9 +287,7 @@ def catalog_inspections(spark, d):
 SELECT book AS page_id, CASE WHEN m > 1 THEN 'li:nth-of-type(' || k || ') > a' ELSE 'li > a' END AS selector FROM l""")
 def link_paths(spark, d):
     """The paths of the chapter links of made catalogs."""
-    nodes = _nodes(_catalog_pages(spark, d))
-    anchors = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].startswith("/book/"))
-    found = dom.paths(nodes, anchors)
+    found = pages.located(pages.dealt(_made_catalogs(spark, d)), lambda tag, attrs: tag == "a" and attrs.get("href", "").startswith("/book/"))
     return found.select("page_id", "selector")
 
 
@@ -294,15 +298,12 @@ def repeated_name_paths(spark, d):
     """The paths of made definition lists, one an order: every definition has
     the same id, all have a class, the last of several a second one; end tags
     are left out."""
-    lines = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
-    w = Window.partitionBy("l_orderkey")
-    ranked = lines.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("n")))
-    last = F.when((F.col("k") == F.col("m")) & (F.col("m") > 1), " last-item").otherwise("")
-    item = F.concat(F.lit('<dt>x<dd id="item-main" class="entry'), last, F.lit('"><p>'), F.col("n").cast("string"))
-    rows = ranked.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", item.alias("a"))))["a"], "").alias("items"))
-    made = _dealt(spark, rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body><dl>"), "items", F.lit("</dl></body></html>")).alias("html")))
-    found = dom.paths(_nodes(made)).filter(F.col("tag").isin("dd", "p"))
-    return found.select("page_id", "tag", F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("node_id")).cast("long").alias("k"), "selector")
+    last = lambda k: F.when((k + 1 == F.size("ns")) & (k > 0), " last-item").otherwise("")
+    item = lambda n, k: F.concat(F.lit('<dt>x<dd id="item-main" class="entry'), last(k), F.lit('"><p>'), n.cast("string"))
+    rows = _numbers_of_orders(spark, d).withColumn("items", F.array_join(F.transform("ns", item), ""))
+    made = rows.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("<html><body><dl>"), "items", F.lit("</dl></body></html>")).alias("html"))
+    found = pages.located(pages.dealt(made), lambda tag, attrs: tag in ("dd", "p"))
+    return found.select("page_id", "tag", F.col("nth").cast("long").alias("k"), "selector")
 
 
 @_query("""SELECT o_orderkey AS page_id, tag, count(*) AS n, min(depth)::INTEGER AS depth FROM orders, (SELECT unnest(['table', 'tr', 'td', 'p', 'li', 'b']) AS tag, unnest([2, 3, 4, 5, 3, 4]) AS depth,
