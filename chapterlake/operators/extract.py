@@ -331,8 +331,8 @@ def numbered_catalog(captured: DataFrame, links: DataFrame, start: int = 1, coun
     """(page_id, chapter_index, title, url) by the numbers in urls: links to
     chapters of the page's own book, the first of each number, in order;
     `start` is a number, `count` how many from there on."""
-    own = routing.url_parts(captured.select("page_id", "url"), rules).select("page_id", F.col("site").alias("own_site"), F.col("book_id").alias("own_book"))
-    met = routing.url_parts(keep(links), rules).join(own, "page_id").filter("site = own_site and book_id = own_book and chapter_number is not null")
+    own = keep(routing.url_parts(captured.select("page_id", "url"), rules).select("page_id", F.col("site").alias("own_site"), F.col("book_id").alias("own_book")))
+    met = keep(routing.url_parts(links.select("page_id", "node_id", "text", "url"), rules).drop("page_number")).join(own, "page_id").filter("site = own_site and book_id = own_book and chapter_number is not null")
     first = met.groupBy("page_id", "chapter_number").agg(F.min_by(F.struct("text", "url"), "node_id").alias("f")).filter(F.col("chapter_number") >= start)
     if count is not None:
         order = Window.partitionBy("page_id").orderBy("chapter_number")

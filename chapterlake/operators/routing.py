@@ -20,7 +20,10 @@ FALLBACK = "auto"
 def site_of(url: Column, rules=RULES, suffixes: dict[str, str] | None = None) -> Column:
     """Name of the first rule whose host pattern fits; then of the first given
     domain that is the host or ends it; else auto. Null URLs are auto."""
-    host = urls.host(url)
+    return _site_of_host(urls.host(url), rules, suffixes)
+
+
+def _site_of_host(host: Column, rules, suffixes: dict[str, str] | None = None) -> Column:
     out = F.when(F.lit(False), FALLBACK)
     for name, pattern, *_ in rules:
         out = out.when(host.rlike("(?i)" + pattern), name)
@@ -31,8 +34,10 @@ def site_of(url: Column, rules=RULES, suffixes: dict[str, str] | None = None) ->
 
 def url_parts(pages: DataFrame, rules=RULES) -> DataFrame:
     """Adds site, book_id, chapter_number, page_number (null where a rule has
-    none)."""
-    path = urls.part(F.col("url"), 3)
+    none). Host and path are columns of their own, so that each is read off a
+    url once; filters on what is added would read them again for each: keep it
+    first."""
+    path = F.col("_path")
 
     def found(k):
         out = F.lit(None).cast("string")
@@ -41,8 +46,8 @@ def url_parts(pages: DataFrame, rules=RULES) -> DataFrame:
                 out = F.when(F.col("site") == rule[0], F.nullif(F.regexp_extract(path, rule[k], 1), F.lit(""))).otherwise(out)
         return out
 
-    routed = pages.withColumn("site", site_of(F.col("url"), rules))
-    return routed.withColumns({"book_id": found(2), "chapter_number": found(3).try_cast("long"), "page_number": found(4).try_cast("long")})
+    routed = pages.withColumns({"_host": urls.host(F.col("url")), "_path": urls.part(F.col("url"), 3)}).withColumn("site", _site_of_host(F.col("_host"), rules))
+    return routed.withColumns({"book_id": found(2), "chapter_number": found(3).try_cast("long"), "page_number": found(4).try_cast("long")}).drop("_host", "_path")
 
 
 def sequential_urls(books: DataFrame) -> DataFrame:
