@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chapterlake.operators import dom, pages, routing
+from chapterlake.operators import dom, extract, pages, routing
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -67,3 +67,29 @@ def test_catalogs_are_not_written_as_nodes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(site_queries, "_nodes", None)
     for name, rows in (("link_paths", 40), ("repeated_name_paths", 80), ("numbered_chapters", 40)):
         assert getattr(site_queries, name)(spark, str(tmp_path)).count() == rows
+
+
+def test_selectors_of_two_steps_share_a_window(spark):
+    nodes = pages.flatten(made_pages(spark))
+    wanted = ["ul a", ".entry b", "div .x", "#item-main p", "li li", "div > b", "p"]
+    found = dom.select_each(nodes, wanted)
+    got = sorted((r["selector"], r["position"], r["page_id"], r["node_id"]) for r in found.collect())
+    assert got == sorted((s, k, r["page_id"], r["node_id"]) for k, s in enumerate(wanted) for r in dom.select(nodes, s).collect()) and len(got) > 100
+    assert dom.select_each(nodes, wanted[:5])._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_totals_of_asked_nodes(spark):
+    nodes = pages.flatten(made_pages(spark)).cache()
+    sums = {"chars": F.length("own_text"), "pieces": F.col("own_text") != "", "paragraphs": F.col("tag") == "p"}
+    asked = nodes.filter("tag in ('div', 'a', 'p')")
+    want = sorted(tuple(r) for r in dom.subtree_totals(nodes, **sums).filter("tag in ('div', 'a', 'p')").select("page_id", "node_id", *sums).collect())
+    assert sorted(tuple(r) for r in dom.totals_of(nodes, asked, **sums).collect()) == want and len(want) > 100
+
+
+def test_inspection_shuffles_few_columns_a_few_times(spark):
+    """With the html at hand, as without; and no join of all nodes with all."""
+    made = made_pages(spark, 60).cache()
+    nodes = pages.flatten(made).cache()
+    got = extract.inspect(made, nodes)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, extract.inspect(made.select("page_id", "url"), nodes).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 16
